@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .packing import best_fit_packing
 from .pieces import encode_digests
+from .suffix_dedup import suffix_dedup
 from .url_filter import url_filter
+from .window_dedup import window_dedup
 
 #: Where the vocabulary files of the public tokenizers are, by name; None: the installed package says.
 TOKENIZERS: dict[str, str] = {}
@@ -47,7 +49,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_url_filter, op4_sentencepiece, op6_best_fit_packing)}
+def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_url_filter, op4_sentencepiece, op6_best_fit_packing, op7_window_dedup, op9_suffix_dedup)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
