@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .packing import best_fit_packing
 from .pieces import encode_digests
 from .suffix_dedup import suffix_dedup
@@ -57,7 +58,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_url_filter, op4_sentencepiece, op6_best_fit_packing, op7_window_dedup, op9_suffix_dedup)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_url_filter, op4_sentencepiece, op6_best_fit_packing, op7_window_dedup, op9_suffix_dedup, op10_jaccard_join)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
