@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .packing import best_fit_packing
 from .pieces import encode_digests
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 from .url_filter import url_filter
 from .window_dedup import window_dedup
 
@@ -62,7 +64,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_url_filter, op4_sentencepiece, op6_best_fit_packing, op7_window_dedup, op9_suffix_dedup, op10_jaccard_join)}
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod(4) != 2)
+    held_out = F.coalesce(crc_mod(4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
