@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .lm_score import lm_score
 from .packing import best_fit_packing
 from .pieces import encode_digests
 from .suffix_dedup import suffix_dedup
@@ -39,6 +40,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"), crc_mod(10) != 0)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return url_filter(table(spark, sf_dir, "pages"), outcomes)
@@ -74,7 +79,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_lm_score, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 

@@ -86,3 +86,35 @@ def jaccard_join(docs: list[tuple]) -> list[tuple]:
     links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
     comp = components(sets, links)
     return sorted((d, len(s), comp[d]) for d, s in sets.items())
+
+
+def lm_score(docs: list[tuple], least: int = 2, discount: float = 0.75) -> list[tuple]:
+    import math
+    import zlib
+    from collections import Counter
+
+    uni, bi, seqs = Counter(), Counter(), []
+    for d, t in docs:
+        w = [*WORD.findall((t or "").translate(AZ)), None]
+        held = zlib.crc32(str(d).encode()) % 10 == 0
+        seqs.append((d, held, w))
+        if not held:
+            uni.update(w)
+            bi.update(zip([0, *w[:-1]], w, strict=True))
+    n, v = sum(uni.values()), len(uni)
+    kept = {k: c for k, c in bi.items() if c >= least}
+    ks, ts = Counter(), Counter()
+    for (a, _), c in kept.items():
+        ks[a] += c
+        ts[a] += 1
+    out = []
+    for d, held, w in seqs:
+        base = score = 0.0
+        for a, x in zip([0, *w[:-1]], w, strict=True):
+            p = (uni[x] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(p)
+            na = uni[None] if a == 0 else uni[a]
+            bow = (na - ks[a] + discount * ts[a]) / na if na else 1.0
+            score += math.log10((max(kept[a, x] - discount, 0) / na if (a, x) in kept else 0.0) + bow * p)
+        out.append((d, held, len(w), sum(uni[x] > 0 for x in w), n, base, score))
+    return sorted(out)
