@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import stored, texts_of
+from .shared import NULL_ID, stored, texts_of
 
 #: A chunk ends where the top MASK_BITS of the gear hash are zero (1 KiB on average), or after LONGEST bytes.
 MASK_BITS, LONGEST, WINDOW = 10, 16_384, 32
@@ -73,7 +73,7 @@ def _recipes(digest_bytes: int, clashes: frozenset):
                 for k in range(j - i):
                     recipes.append(b"".join(digests[first[k] : first[k + 1]]))
                     shas.append(hashlib.sha256(buf[off[k] : off[k + 1]]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(recipes, pa.binary()), pa.array(shas, pa.string())], names=["doc_id", "recipe", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(recipes, pa.binary()), pa.array(shas, pa.string())], names=["doc_id", "copy", "recipe", "text_sha256"])
 
     return run
 
@@ -88,14 +88,27 @@ def _contents(digest_bytes: int):
     return run
 
 
-def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """doc_id, keep_id (largest doc_id of its group of equal texts), group_size, kept, text_sha256."""
-    docs = texts_of(docs)
+def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+    """exact_dedup, and copy: a hash of the row's own text."""
+    docs = texts_of(docs).withColumn("copy", F.xxhash64("text"))
     contents = docs.select("text").mapInArrow(_contents(digest_bytes), "digest binary, chunk binary").distinct()
     clash = contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest").limit(MOST_CLASHES + 1)
     clashes = frozenset(bytes(r[0]) for r in clash.collect())
     if len(clashes) > MOST_CLASHES:
         raise ValueError(f"more than {MOST_CLASHES} clashing chunk digests; use longer digests")
-    recipes = stored(docs.mapInArrow(_recipes(digest_bytes, clashes), "doc_id long, recipe binary, text_sha256 string"), "recipes")
+    recipes = stored(docs.mapInArrow(_recipes(digest_bytes, clashes), "doc_id long, copy long, recipe binary, text_sha256 string"), "recipes")
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "copy")
+
+
+def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+    """doc_id, keep_id (largest doc_id of its group of equal texts), group_size, kept, text_sha256."""
+    return exact_groups(docs, digest_bytes).drop("copy")
+
+
+def exact_survivors(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, whole, of each group of equal texts: of the largest doc_id, and of equal rows any."""
+    one = exact_groups(docs).where("kept").groupBy("text_sha256").agg(F.first(F.struct("doc_id", "copy")).alias("row"))
+    one = one.select(F.coalesce("row.doc_id", F.lit(NULL_ID)).alias("__doc"), F.col("row.copy").alias("__copy"))
+    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__copy", F.xxhash64(F.col("text").cast("string")))
+    return rows.join(one, ["__doc", "__copy"], "left_semi").dropDuplicates(["__doc", "__copy"]).drop("__doc", "__copy")

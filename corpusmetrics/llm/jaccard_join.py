@@ -207,10 +207,10 @@ def set_links(classes: DataFrame, share: int) -> DataFrame:
     return small.unionByName(large).groupBy("k1", "k2", "k3", "k4", "k5").applyInPandas(_tiles(share), "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links of at least share/100)."""
+def shingle_components(docs: DataFrame, k: int, share: int) -> DataFrame:
+    """doc (null as NULL_ID), n, root: the least doc of its component."""
     docs = texts_of(docs)
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
+    docs = docs.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
     total = text_bytes(docs)
     sent = repeated_keys(docs.select("text"), _keys(k), total / 6, rows=1, room=2)
     sets = stored(docs.select("doc", "text").mapInArrow(_sets(k, share, sent), "doc long, n long, name binary, body binary, prefix array<long>"), "sets")
@@ -221,6 +221,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
     copies = sets.where("n > 0").select("doc", "n", "name").join(named, ["n", "name"]).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(copies))
     out = sets.select("doc", "n").join(roots, F.col("doc") == F.col("node"), "left")
-    real = F.when(F.col("doc") != NULL_ID, F.col("doc"))
-    comp = F.when(F.coalesce("root", "doc") != NULL_ID, F.coalesce("root", "doc"))
-    return out.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"))
+    return out.select("doc", "n", F.coalesce("root", "doc").alias("root"))
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links of at least share/100)."""
+    out = shingle_components(docs, k, share)
+    return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id"))
+
+
+def jaccard_survivors(docs: DataFrame, k: int = 5, share: int = 75) -> DataFrame:
+    """The rows of ``docs``, whole, whose doc_id is the least of its component."""
+    gone = shingle_components(docs, k, share).where("doc <> root").select(F.col("doc").alias("__doc")).distinct()
+    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return rows.join(gone, "__doc", "left_anti").drop("__doc")

@@ -24,10 +24,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import text as tx
 from .repeats import anchors, group_heads
-from .shared import partitions_for, text_bytes
+from .shared import NULL_ID, partitions_for, text_bytes
 from .sketch import held, repeated_keys
 from .window_dedup import covered, keyed, with_runs
 
@@ -278,11 +279,12 @@ def _digests(depth: int):
     return run
 
 
-def _texts(depth: int):
+def _replaced(depth: int):
     def run(batches):
         for batch, out in _kept(depth)(batches):
-            cols = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)] + [pa.array([o[3].decode(errors="ignore") for o in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "copy", "doc_id")), *cols], names=["doc", "copy", "doc_id", "n_bytes", "n_removed", "n_spans", "text"])
+            text = pa.array([o[3].decode(errors="ignore") for o in out], batch.column("text").type)
+            names = [n for n in batch.schema.names if n != "runs"]
+            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names=names)
 
     return run
 
@@ -302,15 +304,22 @@ def suffix_dedup(docs: DataFrame, depth: int = 100) -> DataFrame:
     return rows.mapInArrow(_digests(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def suffix_dedup_texts(docs: DataFrame, depth: int = 100) -> DataFrame:
-    """doc, copy, doc_id, n_bytes, n_removed, n_spans, text: the remaining bytes; a character cut in two goes altogether."""
-    docs = keyed(docs)
-    runs = marked_strings(docs, depth, text_bytes(docs)).groupBy("doc", "copy").agg(_collect())
-    rows = docs.join(runs, ["doc", "copy"], "left")
-    return rows.mapInArrow(_texts(depth), "doc long, copy long, doc_id long, n_bytes long, n_removed long, n_spans long, text string")
-
-
-def _collect():
-    from pyspark.sql import functions as F
-
-    return F.collect_list(F.struct("first", "n")).alias("runs")
+def suffix_deduped(docs: DataFrame, depth: int = 100) -> DataFrame:
+    """``docs`` whole, with what remains of each text; a character that is cut in two goes altogether.  n_chars follows."""
+    own = keyed(docs)
+    runs = marked_strings(own, depth, text_bytes(own)).groupBy("doc", "copy").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    runs = runs.select(F.col("doc").alias("__doc"), F.col("copy").alias("__copy"), "runs")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)),
+        F.col("text").cast("string").alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__doc"),
+        F.xxhash64(F.col("text").cast("string")).alias("__copy"),
+    )
+    rows = rows.join(runs, ["__doc", "__copy"], "left").drop("__doc", "__copy")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "runs")
+    done = rows.mapInArrow(_replaced(depth), kinds)
+    place = {c: F.col(f"c{i}") for i, c in enumerate(rest)} | {"text": F.col("text")}
+    if "n_chars" in place:
+        place["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(place[c].alias(c) for c in docs.columns))
