@@ -1 +1,3 @@
+"""The queries, by family; importing this package registers them."""
 
+from . import judgment_queries, vector_queries  # noqa: F401
