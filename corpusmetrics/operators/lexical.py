@@ -27,7 +27,11 @@ def small_buckets(texts: DataFrame, by: Sequence[str], least: int = 2) -> DataFr
 def gram_counts(texts: DataFrame, by: Sequence[str], index: str, n_max: int) -> DataFrame:
     """by, index, n, gram, c: how often each gram stands in each text."""
     t = texts.withColumn("__t", T.lexical_tokens(F.col("text")))
-    rows = t.select(*by, index, F.explode(F.flatten(F.array(*(F.transform(T.ngrams(F.col("__t"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, n_max + 1))))).alias("g"))
+
+    def numbered(n: int) -> Column:
+        return F.transform(T.ngrams(F.col("__t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    rows = t.select(*by, index, F.explode(F.flatten(F.array(*map(numbered, range(1, n_max + 1))))).alias("g"))
     return rows.groupBy(*by, index, "g.n", "g.gram").agg(F.count("*").alias("c"))
 
 

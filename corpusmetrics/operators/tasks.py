@@ -31,7 +31,7 @@ def canonical_index(samples: DataFrame) -> DataFrame:
 def task_space(keywords: DataFrame, efforts: Sequence[str], per_group: int) -> DataFrame:
     """All (keyword, effort, sample_index): the product is made by exploding two short literal lists."""
     e = keywords.select("*", F.explode(F.array(*map(F.lit, efforts))).alias("effort"))
-    return e.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1))).cast("long").alias("sample_index"))
+    return e.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_group - 1).cast("long"))).alias("sample_index"))
 
 
 def missing_tasks(tasks: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registration of queries with their SQL, and the driver's tables seen as the library's entities.
 
 Vectors: row_idx = vec_id, keyword = label, effort = tier of vec_id % 4, gen = vec_id % 3.
-Texts: row_idx = doc_id, keyword = source, category = lang, effort = tier of doc_id % 4;
+Texts: row_idx = doc_id, keyword = source, category = lang, effort = tier of doc_id // 20 % 4;
 facets are the first three lines that aren't empty.  Tokens: events by user.  Judgments
 are derived from distances of pairs, quality scores from labels, both by fixed arithmetic.
 """
@@ -54,7 +54,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     facet = [F.coalesce(F.get(lines, k), F.lit("")) for k in range(3)]
-    return d.select(F.col("doc_id").alias("row_idx"), F.col("source").alias("keyword"), F.col("lang").alias("category"), tier(F.col("doc_id")).alias("effort"), F.col("text").alias("idea"), *(c.alias(n) for n, c in zip(("purpose", "mechanism", "evaluation"), facet, strict=True)))
+    return d.select(F.col("doc_id").alias("row_idx"), F.col("source").alias("keyword"), F.col("lang").alias("category"), tier(F.floor(F.col("doc_id") / 20)).alias("effort"), F.col("text").alias("idea"), *(c.alias(n) for n, c in zip(("purpose", "mechanism", "evaluation"), facet, strict=True)))
 
 
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +100,7 @@ def quality(spark: SparkSession, sf: str, judge: int = 0) -> DataFrame:
     return q.select(
         F.col("doc_id").alias("row_idx"),
         F.col("source").alias("keyword"),
-        tier(F.col("doc_id")).alias("effort"),
+        tier(F.floor(F.col("doc_id") / 20)).alias("effort"),
         clip(1 + (F.col("doc_id") * 7 + F.col("quality") * 3) % 10 + by).alias("originality"),
         clip(1 + (F.col("doc_id") * 3 + F.col("toxic") * 5) % 10 + by).alias("feasibility"),
         clip(1 + F.col("n_chars") % 10 + by).alias("clarity"),
@@ -152,7 +152,7 @@ judged AS (SELECT *, {_LABEL.format(_MOVED)} AS answer FROM ordered),
 judged2 AS (SELECT *, {_LABEL.format(_MOVED + " + (CASE WHEN (i * 7 + j) % 4 = 0 THEN 1 ELSE 0 END)")} AS answer FROM ordered)"""
 )
 TEXTS = """
-t0 AS (SELECT doc_id AS row_idx, source AS keyword, lang AS category, ['none', 'low', 'medium', 'high'][doc_id % 4 + 1] AS effort, text AS idea,
+t0 AS (SELECT doc_id AS row_idx, source AS keyword, lang AS category, ['none', 'low', 'medium', 'high'][doc_id // 20 % 4 + 1] AS effort, text AS idea,
               list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
 t AS (SELECT *, coalesce(ls[1], '') AS purpose, coalesce(ls[2], '') AS mechanism, coalesce(ls[3], '') AS evaluation FROM t0)"""
 TOKENS = """
@@ -163,7 +163,7 @@ k AS (SELECT *, visible + reasoning_tokens AS output_tokens, input_tokens + visi
 
 def _scores(name: str, by: str) -> str:
     return f"""
-{name} AS (SELECT doc_id AS row_idx, source AS keyword, ['none', 'low', 'medium', 'high'][doc_id % 4 + 1] AS effort,
+{name} AS (SELECT doc_id AS row_idx, source AS keyword, ['none', 'low', 'medium', 'high'][doc_id // 20 % 4 + 1] AS effort,
     greatest(1, least(10, 1 + (doc_id * 7 + quality * 3) % 10 + {by})) AS originality,
     greatest(1, least(10, 1 + (doc_id * 3 + toxic * 5) % 10 + {by})) AS feasibility,
     greatest(1, least(10, 1 + n_chars % 10 + {by})) AS clarity, quality, toxic FROM labels JOIN documents USING (doc_id))"""

@@ -175,7 +175,7 @@ def soft_knn_purity(spark, sf):
     return B.tidy(N.soft_purity(_panels(spark, sf), ["keyword"], [1, 3, 5, 10]))
 
 
-@query(f"WITH {_NEAR} SELECT keyword, count(*) AS n, 1 AS k, {r('avg(CAST(gi = gj AS INT))')} AS purity FROM nr WHERE rank = 1 GROUP BY keyword")
+@query(f"WITH {_NEAR} SELECT keyword, count(*) AS n, CAST(1 AS BIGINT) AS k, {r('avg(CAST(gi = gj AS INT))')} AS purity FROM nr WHERE rank = 1 GROUP BY keyword")
 def nn_purity(spark, sf):
     return B.tidy(N.soft_purity(_panels(spark, sf), ["keyword"], [1]))
 
