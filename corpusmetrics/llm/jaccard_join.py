@@ -1,9 +1,10 @@
 """Exact Jaccard join on word shingles by size-banded tiles with hashed bitmaps.
 
-1. A count-min sketch of all shingles tells which may occur twice.  In the order "single
-   ones first, then by hash", a document must share one of its first n - ceil(t n) + 1
-   shingles with every document it links to (prefix filtering); so a document whose prefix
-   is single throughout has no links, and its prefix never travels.
+1. A count-min sketch of all shingles tells about how often each occurs.  In the order "by
+   class of count (1, 2+, 16+, 256+), then by hash", a document must share one of its first
+   n - ceil(t n) + 1 shingles with every document it links to (prefix filtering); so a
+   document whose prefix is single throughout has no links and nothing of it travels, and
+   common passages seldom come into a prefix.
 2. Documents of equal sets become one class.  Classes that share a prefix shingle fall
    into one block.
 3. Within a block, classes are dealt to tiles by bands of set sizes, in which a size
@@ -38,8 +39,10 @@ from .graph import components
 from .shared import NULL_ID, stored, text_bytes, texts_of
 from .sketch import held, repeated_keys
 
+#: Counts from which a shingle is of the next class.
+LEVELS = (2, 16, 256)
 #: Classes of a tile, and bits of a bitmap.
-TILE, BITMAP = 512, 512
+TILE, BITMAP = 1024, 512
 #: Small blocks are worked on together, about so many classes at once.
 TOGETHER = 2000
 
@@ -85,19 +88,19 @@ def _sets(k: int, share: int, sent):
         for batch in batches:
             sizes, names, sets, prefixes = [], [], [], []
             for _, first, keys in _shingles(batch.column("text"), k):
-                twice = sketch.repeated(keys)
+                level = sketch.level(keys)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    n, own, rep = b - a, keys[a:b], twice[a:b]
+                    n, own, high = b - a, keys[a:b], level[a:b]
                     sizes.append(n)
                     names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     length = n - needed(n, share) + 1 if n else 0
-                    single = n - int(rep.sum())
+                    single = int((high == 0).sum())
                     if single >= length:
                         sets.append(None)
                         prefixes.append(None)
                     else:
                         sets.append(own.tobytes())
-                        prefixes.append(own[rep][: length - single].view(np.int64))
+                        prefixes.append(own[np.argsort(high, kind="stable")[single:length]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "name", "body", "prefix"])
 
     return run
@@ -173,22 +176,23 @@ def _tiles(share: int):
     return run
 
 
-def set_links(classes: DataFrame, share: int) -> DataFrame:
-    """a, b: forests of the links of ``classes`` (node, n, body, prefix)."""
+def set_links(classes: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
+    """a, b: forests of the links of ``classes`` (node, name, n, prefix); ``bodies``: node, name, body.
+
+    All planning is done on narrow rows; the sets themselves move once to their rows and once to their tiles.
+    """
     tokens = classes.select("node", F.explode("prefix").alias("token"))
     least = tokens.groupBy("token").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1").select("token", "m")
     star = tokens.join(least, "token").where("node > m").select(F.col("node").alias("a"), F.col("m").alias("b"))
     blocks = stored(components(star), "blocks")  # node, root
     member = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("block"))
-    rows = classes.join(member, "node").select("node", "n", "body", "block")
+    rows = classes.select("node", "name", "n").join(member, "node")
     # size bands: ratio 100 / share
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share)).cast("int"))
-    rows = stored(rows, "blocked")
+    rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share)).cast("long")), "blocked")
     per_block = rows.groupBy("block").agg(F.count("*").alias("size"))
-    total = rows.count()
-    groups = max(1, total // TOGETHER)
+    groups = max(1, rows.count() // TOGETHER)
     small = rows.join(per_block.where(F.col("size") <= TILE).select("block"), "block")
-    small = small.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("k1"), *(F.lit(0).cast("long").alias(k) for k in ("k2", "k3", "k4", "k5")), F.lit(0).alias("side"), "block", "node", "n", "body")
+    small = small.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("k1"), *(F.lit(0).cast("long").alias(k) for k in ("k2", "k3", "k4", "k5")), F.lit(0).alias("side"), "block", "node", "name", "n")
     large = rows.join(per_block.where(F.col("size") > TILE).select("block"), "block")
     per_band = large.groupBy("block", "band").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
     large = large.join(per_band, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
@@ -196,15 +200,16 @@ def set_links(classes: DataFrame, share: int) -> DataFrame:
     lower = per_band.select("block", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     large = large.join(upper, ["block", "band"], "left").join(lower, ["block", "band"], "left").na.fill(0, ["above", "below"])
     one = "named_struct('k2', {}, 'k3', {}, 'k4', {}, 'k5', {}, 'side', {})"
-    b = "cast(band as bigint)"
     places = F.expr(
         "concat("
-        f"transform(sequence(0L, tiles - 1), t -> {one.format(b, 'least(tile, t)', b, 'greatest(tile, t)', 'if(tile <= t, 0, 1)')}),"
-        f"if(above > 0, transform(sequence(0L, greatest(above, 1L) - 1), t -> {one.format(b, 'tile', b + ' + 1', 't', '0')}), array()),"
-        f"if(below > 0, transform(sequence(0L, greatest(below, 1L) - 1), t -> {one.format(b + ' - 1', 't', b, 'tile', '1')}), array()))"
+        f"transform(sequence(0L, tiles - 1), t -> {one.format('band', 'least(tile, t)', 'band', 'greatest(tile, t)', 'if(tile <= t, 0, 1)')}),"
+        f"if(above > 0, transform(sequence(0L, greatest(above, 1L) - 1), t -> {one.format('band', 'tile', 'band + 1', 't', '0')}), array()),"
+        f"if(below > 0, transform(sequence(0L, greatest(below, 1L) - 1), t -> {one.format('band - 1', 't', 'band', 'tile', '1')}), array()))"
     )
-    large = large.select("block", "node", "n", "body", F.explode(places).alias("p")).select(F.col("block").alias("k1"), F.col("p.k2"), F.col("p.k3"), F.col("p.k4"), F.col("p.k5"), F.col("p.side"), "block", "node", "n", "body")
-    return small.unionByName(large).groupBy("k1", "k2", "k3", "k4", "k5").applyInPandas(_tiles(share), "a long, b long")
+    large = large.select("block", "node", "name", "n", F.explode(places).alias("p"))
+    large = large.select(F.col("block").alias("k1"), *(F.col(f"p.{c}") for c in ("k2", "k3", "k4", "k5", "side")), "block", "node", "name", "n")
+    placed = small.unionByName(large).join(bodies, ["node", "name"]).drop("name")
+    return placed.groupBy("k1", "k2", "k3", "k4", "k5").applyInPandas(_tiles(share), "a long, b long")
 
 
 def shingle_components(docs: DataFrame, k: int, share: int) -> DataFrame:
@@ -212,12 +217,14 @@ def shingle_components(docs: DataFrame, k: int, share: int) -> DataFrame:
     docs = texts_of(docs)
     docs = docs.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
     total = text_bytes(docs)
-    sent = repeated_keys(docs.select("text"), _keys(k), total / 6, rows=1, room=2)
+    sent = repeated_keys(docs.select("text"), _keys(k), total / 6, rows=1, room=2, levels=LEVELS)
     sets = stored(docs.select("doc", "text").mapInArrow(_sets(k, share, sent), "doc long, n long, name binary, body binary, prefix array<long>"), "sets")
-    named = sets.where("n > 0").groupBy("n", "name").agg(F.min("doc").alias("node"))
-    # one row of a class carries its set
-    bearer = sets.where("body is not null").select("doc", "n", "name", "body", "prefix").join(named, ["n", "name"]).where("doc = node").dropDuplicates(["n", "name"])
-    links = set_links(bearer.select("node", "n", "body", "prefix"), share)
+    named = sets.where("n > 0").groupBy("n", "name").agg(F.min("doc").alias("node"), F.bool_or(F.col("body").isNotNull()).alias("live"))
+    # one row of a class speaks for it
+    speaker = F.first("prefix").alias("prefix")
+    classes = sets.where("body is not null").select("doc", "n", "name", "prefix").join(named.where("live").drop("live"), ["n", "name"]).where("doc = node").groupBy("node", "name", "n").agg(speaker)
+    bodies = sets.where("body is not null").select(F.col("doc").alias("node"), "name", "body").dropDuplicates(["node", "name"])
+    links = set_links(classes, bodies, share)
     copies = sets.where("n > 0").select("doc", "n", "name").join(named, ["n", "name"]).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(copies))
     out = sets.select("doc", "n").join(roots, F.col("doc") == F.col("node"), "left")

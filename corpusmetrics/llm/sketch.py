@@ -1,11 +1,12 @@
-"""Count-min sketches of 64-bit keys, built by partitions, merged by shards, and held as bits "seen at least twice".
+"""Count-min sketches of 64-bit keys, built by partitions, merged by shards, and held as classes of counts.
 
 A partition counts at most FLUSH keys at a time and sends, for each shard of 2**20
-counters, the sorted indices of the counters it raised (at most twice each).  Shards
-are merged by addition, saturating at two.  What tasks then hold is one bit a counter:
-its size is set by the number of keys and bounded by MOST_BITS, whatever the input.
-Estimates are never too low, so no key that repeats is lost; on inputs beyond that
-bound more single keys pass, and the exact pass behind it has more to do.
+counters, the sorted indices of the counters it raised.  Shards are merged by addition.
+What tasks then hold is the class of each counter, one bit for "seen at least twice" or
+two bits for three levels: its size is set by the number of keys and bounded by
+MOST_BITS, whatever the input.  Estimates are never too low, so no key that repeats is
+lost; on inputs beyond that bound more single keys pass, and the exact pass behind it
+has more to do.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from . import text as tx
 #: log2 of the counters of a row, at least and at most: 2**28 bits are 32 MB.
 LEAST_BITS, MOST_BITS = 20, 28
 SHARD_BITS = 20
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Indices merged by one task at a time.
 MERGED = 32_000_000
 _SALT = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -35,63 +36,78 @@ def index(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 class Sketch:
-    """Which keys may have been counted twice."""
+    """The class of each key's estimated count: how many of the levels it reaches."""
 
-    def __init__(self, rows: list[np.ndarray], bits: int):
+    def __init__(self, rows: list[list[np.ndarray]], bits: int):
         self.rows, self.bits = rows, bits
 
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for r, plane in enumerate(self.rows):
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        out = None
+        for r, planes in enumerate(self.rows):
             i = index(keys, r, self.bits)
-            out &= (plane[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1
+            at, shift = i >> 3, (7 - (i & 7)).astype(np.uint8)
+            own = sum(((plane[at] >> shift) & 1) << k for k, plane in enumerate(planes))
+            out = own if out is None else np.minimum(out, own)
         return out
 
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        return self.level(keys) > 0
+
 
 def bits_for(items: float, room: int = 8) -> int:
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1.0, items * room)))))
 
 
 def _emit(keys: list[np.ndarray], rows: int, bits: int, salt: int) -> pa.RecordBatch:
+    """Each blob: how many indices each 16th of the shard has, how many counts beyond two; the indices (twice if raised more than once); those counts."""
     flat = np.concatenate(keys)
     out: list[list] = [[], [], [], []]
     for r in range(rows):
         i = np.sort(index(flat, r, bits))
-        if len(i) > 2:
-            i = i[np.concatenate([[True, True], i[2:] != i[:-2]])]
+        start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+        uniq, count = i[start], np.diff(np.append(start, len(i)))
+        i = np.repeat(uniq, np.minimum(count, 2))
+        many = count > 2
+        more, times = uniq[many], (count[many] - 2).astype("<u4")
         edges = np.searchsorted(i, np.arange(0, (1 << bits) + 1, 1 << 16))
-        low = (i & 0xFFFF).astype("<u2")
+        extra = np.searchsorted(more, np.arange(0, (1 << bits) + 1, 1 << SHARD_BITS))
+        low, high = (i & 0xFFFF).astype("<u2"), (more & ((1 << SHARD_BITS) - 1)).astype("<u4")
         for shard in range(1 << (bits - SHARD_BITS)):
             cut = edges[shard * 16 : shard * 16 + 17]
             if cut[-1] > cut[0]:
-                for o, v in zip(out, (r, shard, salt, np.diff(cut).astype("<u4").tobytes() + low[cut[0] : cut[-1]].tobytes()), strict=True):
+                a, b = extra[shard], extra[shard + 1]
+                blob = np.append(np.diff(cut), b - a).astype("<u4").tobytes() + low[cut[0] : cut[-1]].tobytes() + high[a:b].tobytes() + times[a:b].tobytes()
+                for o, v in zip(out, (r, shard, salt, blob), strict=True):
                     o.append(v)
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["row", "shard", "salt", "blob"])
 
 
 def _partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    once, twice = np.zeros(1 << SHARD_BITS, bool), np.zeros(1 << SHARD_BITS, bool)
-    high = np.arange(16, dtype=np.int64) << 16
+    counts = np.zeros(1 << SHARD_BITS, np.int64)
+    base = np.arange(16, dtype=np.int64) << 16
     for blob in pdf["blob"]:
-        sizes = np.frombuffer(blob, "<u4", 16)
-        i = np.frombuffer(blob, "<u2", offset=64).astype(np.int64) + np.repeat(high, sizes)
-        again = i[1:][i[1:] == i[:-1]]
-        twice[i[once[i]]] = True
-        twice[again] = True
-        once[i] = True
-    return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "once": [np.packbits(once).tobytes()], "twice": [np.packbits(twice).tobytes()]})
+        sizes = np.frombuffer(blob, "<u4", 17).astype(np.int64)
+        n, k = int(sizes[:16].sum()), int(sizes[16])
+        i = np.frombuffer(blob, "<u2", n, 68).astype(np.int64) + np.repeat(base, sizes[:16])
+        head = np.concatenate([[True], i[1:] != i[:-1]])
+        counts[i[head]] += 1
+        counts[i[~head]] += 1
+        if k:
+            counts[np.frombuffer(blob, "<u4", k, 68 + 2 * n)] += np.frombuffer(blob, "<u4", k, 68 + 2 * n + 4 * k)
+    return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "counts": [np.minimum(counts, 65535).astype("<u2").tobytes()]})
+
 
+def _whole(levels: tuple[int, ...]):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = sum(np.frombuffer(c, "<u2").astype(np.int64) for c in pdf["counts"])
+        reached = sum((counts >= t).astype(np.uint8) for t in levels)
+        planes = b"".join(np.packbits((reached >> k) & 1).tobytes() for k in range(len(levels).bit_length()))
+        return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "planes": [planes]})
 
-def _whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    once, twice = np.zeros(1 << (SHARD_BITS - 3), np.uint8), np.zeros(1 << (SHARD_BITS - 3), np.uint8)
-    for a, b in zip(pdf["once"], pdf["twice"], strict=True):
-        a = np.frombuffer(a, np.uint8)
-        twice |= np.frombuffer(b, np.uint8) | (once & a)
-        once |= a
-    return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "twice": [twice.tobytes()]})
+    return run
 
 
-def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: float, rows: int = 2, room: int = 8):
+def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: float, rows: int = 2, room: int = 8, levels: tuple[int, ...] = (2,)):
     """A broadcast Sketch of all keys that ``keys_of`` finds in the batches of df; ``items``: about how many."""
     spark = df.sparkSession
     bits = bits_for(items, room)
@@ -110,14 +126,14 @@ def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
             yield _emit(held, rows, bits, int(held[0][0]) % salts if len(held[0]) else 0)
 
     parts = df.mapInArrow(run, "row int, shard int, salt int, blob binary")
-    merged = parts.groupBy("row", "shard", "salt").applyInPandas(_partial, "row int, shard int, once binary, twice binary")
-    if salts > 1:
-        merged = merged.groupBy("row", "shard").applyInPandas(_whole, "row int, shard int, twice binary")
-    planes = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(rows)]
-    width = 1 << (SHARD_BITS - 3)
-    # at most rows * 2**MOST_BITS bits come to the driver
-    for r in merged.select("row", "shard", "twice").collect():
-        planes[r[0]][r[1] * width : (r[1] + 1) * width] = np.frombuffer(r[2], np.uint8)
+    merged = parts.groupBy("row", "shard", "salt").applyInPandas(_partial, "row int, shard int, counts binary")
+    merged = merged.groupBy("row", "shard").applyInPandas(_whole(levels), "row int, shard int, planes binary")
+    depth, width = len(levels).bit_length(), 1 << (SHARD_BITS - 3)
+    planes = [[np.zeros(1 << (bits - 3), np.uint8) for _ in range(depth)] for _ in range(rows)]
+    # at most rows * depth * 2**MOST_BITS bits come to the driver
+    for r in merged.select("row", "shard", "planes").collect():
+        for k in range(depth):
+            planes[r[0]][k][r[1] * width : (r[1] + 1) * width] = np.frombuffer(r[2], np.uint8, width, k * width)
     return spark.sparkContext.broadcast((planes, bits))
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U8 = np.uint64
 #: Text bytes worked on at once; bounds the temporaries to some tens of MB.
-SLICE = 2_000_000
+SLICE = 1_000_000
 _HASH_CHUNK = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
