@@ -21,11 +21,17 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, strict:
     if strict:
         df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     else:
-        df = spark.read.schema(schema + ", _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
-        df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        df = parsed(spark.read.text(path), schema)
     return df.repartition(partitions) if partitions else df
 
 
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """The well-formed records among lines of text (column value); blank and malformed lines are dropped."""
+    record = F.from_json("value", schema + ", _corrupt_record STRING", {"mode": "PERMISSIVE"})
+    rows = lines.where(F.trim("value") != "").select(record.alias("r"))
+    return rows.where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+
+
 def samples(spark: SparkSession, path: str | list[str], backfill: str | None = None) -> DataFrame:
     """Validated samples in canonical order (row_idx), backfilled rows included."""
     df = json_lines(spark, path, schemas.SAMPLE)

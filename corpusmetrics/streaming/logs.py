@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.readers import parsed
+
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    df = spark.readStream.schema(schema + ", _corrupt_record STRING").option("mode", "PERMISSIVE").json(path)
-    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return parsed(spark.readStream.text(path), schema)
 
 
 def once(log: DataFrame, key: Sequence[str], time: str, lateness: str = "1 hour") -> DataFrame:
