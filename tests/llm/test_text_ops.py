@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmetrics.llm import packing, pieces
 from corpusmetrics.llm.embedding_dedup import embedding_dedup
@@ -112,7 +113,7 @@ def test_model_sums_to_one(spark):
     train = [(2 * i, t) for i, t in enumerate(base)]
     probe = [(2 * k + 1, f"a {w}".strip()) for k, w in enumerate(words)]
     df = spark.createDataFrame(train + probe, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm_score(df, "doc_id % 2 = 0" and (df["doc_id"] % 2 == 0)).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm_score(df, F.col("doc_id") % 2 == 0).collect()}
     plain = brute_model(base)
     total = sum(plain["a", w] for w in ("a", "b", "c", None, "?"))
     assert total == pytest.approx(1)
