@@ -18,8 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import stored
 
 #: log2 of the counters of a row, at least and at most: 2**28 bits are 32 MB.
 LEAST_BITS, MOST_BITS = 20, 28
@@ -27,6 +29,8 @@ SHARD_BITS = 20
 FLUSH = 2_000_000
 #: Indices merged by one task at a time.
 MERGED = 32_000_000
+#: Parts in which the driver fetches a sketch.
+FETCHES = 4
 _SALT = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -82,7 +86,7 @@ def _emit(keys: list[np.ndarray], rows: int, bits: int, salt: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["row", "shard", "salt", "blob"])
 
 
-def _partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _counted(pdf: pd.DataFrame) -> np.ndarray:
     counts = np.zeros(1 << SHARD_BITS, np.int64)
     base = np.arange(16, dtype=np.int64) << 16
     for blob in pdf["blob"]:
@@ -94,12 +98,16 @@ def _partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         counts[i[~head]] += 1
         if k:
             counts[np.frombuffer(blob, "<u4", k, 68 + 2 * n)] += np.frombuffer(blob, "<u4", k, 68 + 2 * n + 4 * k)
-    return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "counts": [np.minimum(counts, 65535).astype("<u2").tobytes()]})
+    return counts
+
+
+def _partial(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "counts": [np.minimum(_counted(pdf), 65535).astype("<u2").tobytes()]})
 
 
 def _whole(levels: tuple[int, ...]):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(np.frombuffer(c, "<u2").astype(np.int64) for c in pdf["counts"])
+        counts = _counted(pdf) if "blob" in pdf else sum(np.frombuffer(c, "<u2").astype(np.int64) for c in pdf["counts"])
         reached = sum((counts >= t).astype(np.uint8) for t in levels)
         planes = b"".join(np.packbits((reached >> k) & 1).tobytes() for k in range(len(levels).bit_length()))
         return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "planes": [planes]})
@@ -126,16 +134,20 @@ def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
             yield _emit(held, rows, bits, int(held[0][0]) % salts if len(held[0]) else 0)
 
     parts = df.mapInArrow(run, "row int, shard int, salt int, blob binary")
-    merged = parts.groupBy("row", "shard", "salt").applyInPandas(_partial, "row int, shard int, counts binary")
-    merged = merged.groupBy("row", "shard").applyInPandas(_whole(levels), "row int, shard int, planes binary")
+    if salts > 1:  # a shard's blobs are too many for one task
+        parts = parts.groupBy("row", "shard", "salt").applyInPandas(_partial, "row int, shard int, counts binary")
+    merged = parts.groupBy("row", "shard").applyInPandas(_whole(levels), "row int, shard int, planes binary")
     depth, width = len(levels).bit_length(), 1 << (SHARD_BITS - 3)
-    planes = [[np.zeros(1 << (bits - 3), np.uint8) for _ in range(depth)] for _ in range(rows)]
-    # at most rows * depth * 2**MOST_BITS bits come to the driver
-    for r in merged.select("row", "shard", "planes").collect():
-        for k in range(depth):
-            planes[r[0]][k][r[1] * width : (r[1] + 1) * width] = np.frombuffer(r[2], np.uint8, width, k * width)
+    merged = stored(merged, "sketch")
+    planes = [[bytearray(1 << (bits - 3)) for _ in range(depth)] for _ in range(rows)]
+    # at most rows * depth * 2**MOST_BITS bits come to the driver, a part of the shards at a time
+    for part in range(FETCHES):
+        for r in merged.where(F.col("shard") % FETCHES == part).select("row", "shard", "planes").collect():
+            for k in range(depth):
+                planes[r[0]][k][r[1] * width : (r[1] + 1) * width] = r[2][k * width : (k + 1) * width]
     return spark.sparkContext.broadcast((planes, bits))
 
 
 def held(sent) -> Sketch:
-    return Sketch(*sent.value)
+    planes, bits = sent.value
+    return Sketch([[np.frombuffer(p, np.uint8) for p in row] for row in planes], bits)
