@@ -119,7 +119,7 @@ class PieceCodec:
                 break
             else:  # b was made last; at equal rank the pair at the border lies further left
                 bound, closed, b = rb, True, half[b][0]
-        if len(self.joins) > 2_000_000:
+        if len(self.joins) > 500_000:
             self.joins.clear()
         self.joins[key] = ok
         return ok
