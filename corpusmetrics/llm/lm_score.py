@@ -39,73 +39,91 @@ from . import text as tx
 from .shared import partitions_for, stored, text_bytes, texts_of
 from .sketch import held, repeated_keys
 
-#: Text of a block, discount, and shards over which the bigrams of a context are dealt.
-BLOCK, DISCOUNT, SALTS = 12_000_000, 0.75, 8
+#: Text of a part of a block, parts of a block, discount, and shards over which the bigrams of a context are dealt.
+PART, PARTS, DISCOUNT, SALTS = 3_000_000, 4, 0.75, 8
 LEAST = 2
 BEGIN, END = np.uint64(0xB5297A4D3F84D5A1), np.uint64(0x68E31DA4C1B2F5E7)
 _I64 = np.int64
 
 
 def _blocks(batches):
-    """Rows gathered to blocks of about BLOCK bytes of text, compressed.  Read back from a written table, so their names hold."""
-    held_, size = [], 0
+    """Rows gathered to blocks of some parts of about PART bytes of text, compressed.  Read back from a written table, so their names hold."""
+    rows, size, parts = [], 0, []
 
-    def out():
-        t = pa.Table.from_batches(held_)
+    def part() -> bytes:
+        t = pa.Table.from_batches(rows)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(t)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
+            w.write_table(t.combine_chunks())
+        return sink.getvalue().to_pybytes()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=["block", "bodies"])
 
     for batch in batches:
-        for i, j, _, off in tx.slices(tx.column(batch.column("text")), BLOCK // 4):
-            held_.append(batch.slice(i, j - i))
+        for i, j, _, off in tx.slices(tx.column(batch.column("text"))):
+            rows.append(batch.slice(i, j - i))
             size += int(off[-1])
-            if size >= BLOCK:
+            if size >= PART:
+                parts.append(part())
+                rows, size = [], 0
+            if len(parts) == PARTS:
                 yield out()
-                held_, size = [], 0
-    if held_:
+                parts = []
+    if rows:
+        parts.append(part())
+    if parts:
         yield out()
 
 
-class Block:
-    """Tokens of a block, its distinct words and its distinct bigrams."""
+class Part:
+    """Tokens of a part of a block, and its distinct words."""
 
     def __init__(self, body: bytes):
         t = pa.ipc.open_stream(body).read_all().combine_chunks()
         self.doc_id, self.learn = t.column("doc_id"), t.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        codes, firsts, base = [], [], 0
+        codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, _I64)]
         for _, _, data, off in tx.slices(tx.column(t.column("text"))):
             st, en, first = tx.word_bounds(data, off)
             codes.append(tx.span_hashes(data, st, en, lower=True))
-            firsts.append(np.diff(first))
-            base += len(st)
-        n = np.concatenate(firsts) if firsts else np.zeros(0, _I64)
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+            counts.append(np.diff(first))
+        n = np.concatenate(counts)
         #: tokens of each text: its words and the end
         self.n = n + 1
         self.start = np.cumsum(self.n) - self.n
         word = np.full(int(self.n.sum()), END, np.uint64)
-        word[tx.ragged(self.start, n)] = flat
-        self.vocab, inv = np.unique(np.concatenate([[BEGIN, END], word]), return_inverse=True)
-        self.begin, self.end = int(inv[0]), int(inv[1])
-        self.word = inv[2:].astype(_I64)
-        self.context = np.concatenate([[self.begin], self.word[:-1]])
-        self.context[self.start] = self.begin
+        word[tx.ragged(self.start, n)] = np.concatenate(codes)
+        self.vocab, inv = np.unique(np.concatenate([np.array([BEGIN, END]), word]), return_inverse=True)
+        self.word = inv[2:].astype(np.int32)
+        self.context = np.concatenate([inv[:1].astype(np.int32), self.word[:-1]])
+        self.context[self.start] = inv[0]
         self.trained = np.repeat(self.learn, self.n)
         self.count = np.bincount(self.word[self.trained], minlength=len(self.vocab))
 
-    def bigrams(self, sketch=None) -> None:
-        """pair: distinct (context, word) that may repeat; pair_of: the pair of each token, or -1."""
-        both = self.context * len(self.vocab) + self.word
-        pair, inv = np.unique(both, return_inverse=True)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of context and word of the distinct bigrams, ascending; counts in training texts; the bigram of each token."""
+        pair, inv = np.unique(self.context.astype(_I64) * len(self.vocab) + self.word, return_inverse=True)
         count = np.bincount(inv[self.trained], minlength=len(pair))
-        a, b = pair // len(self.vocab), pair % len(self.vocab)
-        if sketch is not None:
-            keep = sketch.repeated(bigram_keys(self.vocab[a], self.vocab[b]))
-            number = np.where(keep, np.cumsum(keep) - 1, -1)
-            a, b, count, inv = a[keep], b[keep], count[keep], number[inv]
-        self.pair_context, self.pair_word, self.pair_count, self.pair_of = a, b, count, inv
+        return self.vocab[pair // len(self.vocab)], self.vocab[pair % len(self.vocab)], count, inv.astype(np.int32)
+
+
+def block_words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a block, ascending, and their counts in training texts."""
+    parts = [(p.vocab, p.count) for p in map(Part, bodies)]
+    at, (count,), _ = _sums([np.concatenate([p[0] for p in parts])], [np.concatenate([p[1] for p in parts])])
+    return np.concatenate([p[0] for p in parts])[at], count
+
+
+def block_pairs(bodies: list[bytes], sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams of a block that may repeat, ascending, and their counts in training texts."""
+    parts = []
+    for p in map(Part, bodies):
+        a, b, n, _ = p.pairs()
+        keep = sketch.repeated(bigram_keys(a, b))
+        parts.append((a[keep], b[keep], n[keep]))
+    a, b, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    at, (n,), _ = _sums([a, b], [n])
+    return a[at], b[at], n
 
 
 def bigram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,27 +131,32 @@ def bigram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _learnt_keys(batch):
-    for body in batch.column("body").to_pylist():
-        b = Block(body)
-        b.bigrams()
-        own = b.pair_count > 0
-        keys = bigram_keys(b.vocab[b.pair_context[own]], b.vocab[b.pair_word[own]])
-        yield np.concatenate([keys, keys[b.pair_count[own] > 1]])
+    for bodies in batch.column("bodies").to_pylist():
+        for body in bodies:
+            a, b, n, _ = Part(body).pairs()
+            keys = bigram_keys(a[n > 0], b[n > 0])
+            yield np.concatenate([keys, keys[n[n > 0] > 1]])
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a.astype("<u8")).tobytes() for a in arrays))
+def _packed(*arrays: np.ndarray, ascending: int = 0) -> bytes:
+    """Arrays as bytes, plane by plane; the first ``ascending`` ones as differences."""
+    out = [np.array([len(arrays), ascending, *(len(a) for a in arrays)], "<i8").tobytes()]
+    for i, a in enumerate(arrays):
+        a = a.astype("<u8")
+        if i < ascending and len(a):
+            a = np.concatenate([a[:1], a[1:] - a[:-1]])
+        out.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    k = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes = np.frombuffer(raw, "<i8", k, 8)
-    out, at = [], 8 * (k + 1)
-    for s in sizes.tolist():
-        out.append(np.frombuffer(raw, "<u8", s, at))
-        at += 8 * s
+    k, ascending = np.frombuffer(raw, "<i8", 2).tolist()
+    out, at = [], 8 * (k + 2)
+    for i, n in enumerate(np.frombuffer(raw, "<i8", k, 16).tolist()):
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
+        out.append(np.cumsum(a, dtype=np.uint64) if i < ascending else a)
+        at += 8 * n
     return out
 
 
@@ -149,20 +172,19 @@ def _asked(shards: int, sent, kind: str):
     """What the blocks ask of the shards of words, or of bigrams."""
 
     def run(batches):
-        sketch = held(sent) if kind == "pairs" else None
+        sketch = held(sent) if sent else None
         for batch in batches:
-            for name, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                b = Block(body)
+            for name, bodies in zip(batch.column("block").to_pylist(), batch.column("bodies").to_pylist(), strict=True):
                 if kind == "pairs":
-                    b.bigrams(sketch)
-                    x, y = b.vocab[b.pair_context], b.vocab[b.pair_word]
-                    shard, arrays = _pair_shard(x, y, shards), (x, y, b.pair_count)
+                    arrays = block_pairs(bodies, sketch)
+                    shard = _pair_shard(arrays[0], arrays[1], shards)
                 else:
-                    shard, arrays = _word_shard(b.vocab, shards), (b.vocab, b.count)
+                    arrays = block_words(bodies)
+                    shard = _word_shard(arrays[0], shards)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 own = np.flatnonzero(np.diff(cut))
-                blobs = [_packed(*(a[order[cut[s] : cut[s + 1]]] for a in arrays)) for s in own]
+                blobs = [_packed(*(a[order[cut[s] : cut[s + 1]]] for a in arrays), ascending=len(arrays) - 1) for s in own]
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([name] * len(own), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "block", "blob"])
 
     return run
@@ -228,22 +250,20 @@ class Automaton:
         with np.errstate(divide="ignore"):
             self.fail = np.log10(bow)
         arc = (pair_total - DISCOUNT) / n[pair_context] + bow[pair_context] * 10 ** self.root[pair_word]
-        self.arc = np.where(pair_total > 0, np.log10(np.maximum(arc, 1e-300)), np.nan)
+        self.arc = np.log10(arc)
 
     def walk(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """Weight of each step: the arc of its bigram (-1: none asked for), or failure and the root's arc."""
+        """Weight of each step: its arc, or (-1: there is none) failure and the root's arc."""
         out = self.fail[state] + self.root[word]
-        if len(self.arc):
-            weight = np.where(arc >= 0, self.arc[arc], np.nan)
-            out = np.where(np.isnan(weight), out, weight)
+        own = arc >= 0
+        out[own] = self.arc[arc[own]]
         return out
 
 
 def _scored(word_shards: int, pair_shards: int, sent, tokens: int, words: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts: dict[tuple, list[np.ndarray]] = {(k, s): _unpacked(b) for k, s, b in zip(pdf["kind"], pdf["shard"], pdf["blob"], strict=True) if k != "t"}
-        b = Block(pdf["blob"][pdf["kind"] == "t"].iloc[0])
-        b.bigrams(held(sent))
+        parts = {(k, s): _unpacked(b) for k, s, b in zip(pdf["kind"], pdf["shard"], pdf["blob"], strict=True) if k != "t"}
+        bodies = list(pdf["bodies"][pdf["kind"] == "t"].iloc[0])
 
         def gathered(kind: str, shard: np.ndarray, columns: int) -> list[np.ndarray]:
             order = np.argsort(shard, kind="stable")
@@ -256,23 +276,39 @@ def _scored(word_shards: int, pair_shards: int, sent, tokens: int, words: int):
                 out.append(v)
             return out
 
-        count, k, t = gathered("w", _word_shard(b.vocab, word_shards), 3)
-        (total,) = gathered("p", _pair_shard(b.vocab[b.pair_context], b.vocab[b.pair_word], pair_shards), 1)
+        vocab, _ = block_words(bodies)
+        a, b, _ = block_pairs(bodies, held(sent))
+        count, k, t = gathered("w", _word_shard(vocab, word_shards), 3)
+        (total,) = gathered("p", _pair_shard(a, b, pair_shards), 1)
+        kept = total > 0
+        a, b, total = np.searchsorted(vocab, a[kept]), np.searchsorted(vocab, b[kept]), total[kept]
+        begin, end = np.searchsorted(vocab, np.array([BEGIN, END]))
         n_context = count.copy()
-        n_context[b.begin], n_context[b.end] = count[b.end], 0
-        model = Automaton(count, k, t, n_context, b.pair_context, b.pair_word, total, tokens, words)
-        steps = model.walk(b.context, b.word, b.pair_of)
-        return pd.DataFrame(
-            {
-                "doc_id": b.doc_id.to_pandas().astype("Int64"),
-                "held_out": ~b.learn,
-                "n_tokens": b.n,
-                "n_known": np.add.reduceat((count > 0)[b.word].astype(_I64), b.start),
-                "train_tokens": np.full(len(b.n), tokens),
-                "base_score": np.add.reduceat(model.root[b.word], b.start),
-                "score": np.add.reduceat(steps, b.start),
-            }
-        )
+        n_context[begin], n_context[end] = count[end], 0
+        model = Automaton(count, k, t, n_context, a, b, total, tokens, words)
+        code = a * len(vocab) + b  # ascending
+        out = []
+        for p in map(Part, bodies):
+            place = np.searchsorted(vocab, p.vocab)
+            state, word = place[p.context], place[p.word]
+            step = state * len(vocab) + word
+            arc = np.searchsorted(code, step)
+            arc = np.where((arc < len(code)) & (code[np.minimum(arc, max(0, len(code) - 1))] == step), arc, -1) if len(code) else np.full(len(step), -1)
+            steps = model.walk(state, word, arc)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": p.doc_id.to_pandas().astype("Int64"),
+                        "held_out": ~p.learn,
+                        "n_tokens": p.n,
+                        "n_known": np.add.reduceat((count > 0)[word].astype(_I64), p.start),
+                        "train_tokens": np.full(len(p.n), tokens),
+                        "base_score": np.add.reduceat(model.root[word], p.start),
+                        "score": np.add.reduceat(steps, p.start),
+                    }
+                )
+            )
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -281,9 +317,9 @@ def lm_score(docs: DataFrame, learn) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``learn``: a condition on doc_id, true for rows learnt from."""
     docs = texts_of(docs).withColumn("learn", F.coalesce(learn, F.lit(False)))
     total = text_bytes(docs)
-    blocks = stored(docs.mapInArrow(_blocks, "block long, body binary"), "blocks")
+    blocks = stored(docs.mapInArrow(_blocks, "block long, bodies array<binary>"), "blocks")
     shards = max(8, int(total / 32e6) + 1)
-    sent = repeated_keys(blocks.select("body"), _learnt_keys, total / 8, rows=1, room=2)
+    sent = repeated_keys(blocks.select("bodies"), _learnt_keys, total / 8, rows=1, room=2)
     asks = "shard int, block long, blob binary"
     pairs = blocks.mapInArrow(_asked(shards, sent, "pairs"), asks).groupBy("shard").applyInPandas(_pair_totals(shards), "kind string, shard int, block long, blob binary")
     pairs = stored(pairs, "pairs")
@@ -293,7 +329,8 @@ def lm_score(docs: DataFrame, learn) -> DataFrame:
     n, v = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     answers = words.where("kind = 'r'").select(F.lit("w").alias("kind"), "shard", "block", "blob")
     answers = answers.unionByName(pairs.where("kind = 'r'").select(F.lit("p").alias("kind"), "shard", "block", "blob"))
-    rows = answers.unionByName(blocks.select(F.lit("t").alias("kind"), F.lit(0).alias("shard"), "block", F.col("body").alias("blob")))
+    texts = blocks.select(F.lit("t").alias("kind"), F.lit(0).alias("shard"), "block", F.lit(None).cast("binary").alias("blob"), "bodies")
+    rows = answers.withColumn("bodies", F.lit(None).cast("array<binary>")).unionByName(texts)
     rows = rows.repartition(partitions_for(docs.sparkSession, total), "block")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").applyInPandas(_scored(shards, shards, sent, int(n), int(v)), out)
