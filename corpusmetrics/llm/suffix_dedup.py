@@ -36,7 +36,7 @@ GRAM = 32
 #: Period of the difference cover, and the most bytes from any position to the next one of the cover.
 PERIOD, REACH = 32, 8
 #: Text sorted as one block.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 _OCCURRENCE = "key long, doc long, copy long, at int, back int, n int, body binary"
 _I64 = np.int64
 
