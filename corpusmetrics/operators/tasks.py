@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import effort_order
@@ -57,8 +57,8 @@ def reuse_cached(new: DataFrame, old: DataFrame, key: Sequence[str], payload: Se
     return new.join(first, list(key))
 
 
-def explode_calls(calls: DataFrame, responses: str = "responses", per_call: int = 3) -> DataFrame:
-    """One row for each response of a call; sample_index = batch * per_call + position."""
+def explode_calls(calls: DataFrame, responses: str = "responses", per_call: int | Column = 3) -> DataFrame:
+    """One row for each response of a call; sample_index = batch * per_call + position, so per_call is the most responses that a call has."""
     c = calls.select("*", F.posexplode(responses).alias("__pos", "response")).drop(responses)
     return c.withColumn("sample_index", F.col("batch_index") * per_call + F.col("__pos")).drop("__pos")
 

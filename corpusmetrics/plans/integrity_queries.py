@@ -118,10 +118,12 @@ def effort_ordering(spark, sf):
 
 @query("SELECT conv_id AS batch_index, turn, conv_id * 3 + turn AS sample_index, text AS response FROM conversations WHERE turn < 3")
 def call_explosion(spark, sf):
-    c = B.table(spark, sf, "conversations").where("turn < 3")
-    calls = c.groupBy(F.col("conv_id").alias("batch_index")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]).alias("responses"))
-    out = K.explode_calls(calls)
-    return out.select("batch_index", (F.col("sample_index") - F.col("batch_index") * 3).cast("long").alias("turn"), F.col("sample_index").cast("long").alias("sample_index"), "response")
+    c = B.table(spark, sf, "conversations")
+    calls = c.groupBy(F.col("conv_id").alias("batch_index")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("responses"))
+    # one number for all calls: as many places as the longest has, three at least
+    longest = c.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.greatest(F.lit(3), F.coalesce(F.max("n"), F.lit(0))).alias("per_call"))
+    out = K.explode_calls(calls.crossJoin(F.broadcast(longest)), per_call=F.col("per_call"))
+    return out.select("batch_index", F.col("response.turn").cast("long").alias("turn"), F.col("sample_index").cast("long").alias("sample_index"), F.col("response.text").alias("response"))
 
 
 @query("WITH x AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rk FROM documents), y AS (SELECT l.doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY l.doc_id DESC) AS rk FROM labels l JOIN documents USING (doc_id)) SELECT coalesce(x.lang, y.lang) AS lang, x.doc_id, y.doc_id AS other_id FROM x FULL JOIN y ON x.lang = y.lang AND x.rk = y.rk")
