@@ -5,7 +5,8 @@ over a text feed a logistic unit.  It learns from a sample of labelled rows of b
 size (``most`` of each label, drawn by hash of doc_id), with weights that restore the
 share of each label, so scores are probabilities.  Embeddings start from the smoothed
 log-odds of their words; buckets that the sample never shows are zero.  Thresholds are
-calibrated by language on the sample; scores use nothing but the text.
+calibrated by language on the scores of all labelled rows that may be learnt from, which
+tasks count by label and step of the grid; scores use nothing but the text.
 
 Defined results: null and empty texts have the score of an empty text; rows with null
 doc_id are scored but never learnt from; several labels of a doc_id count as the largest;
@@ -31,6 +32,8 @@ BUCKET_BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 12
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 SEED = 5
 DEFAULT_THRESHOLD = 0.3
+#: Thresholds to choose from.
+GRID = np.linspace(0.1, 0.9, 81)
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -165,39 +168,42 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     return model
 
 
-def calibrate(score: np.ndarray, labels: np.ndarray, weights: np.ndarray, langs: list) -> dict[str, float]:
-    """For each language the threshold of best F1, drawn towards that of all languages where rows are few."""
+def calibrate(counts: dict[str, np.ndarray]) -> dict[str, float]:
+    """For each language the threshold of best F1, drawn towards that of all languages where rows are few.
 
-    def best(pick: np.ndarray) -> float | None:
-        s, y, w = score[pick], labels[pick], weights[pick]
-        if not len(s) or y.min() == y.max():
+    counts: of each language the rows by label (2) and by how many thresholds of GRID their score reaches (0 to len(GRID)).
+    """
+
+    def best(n: np.ndarray) -> float | None:
+        if not n.sum(axis=1).all():
             return None
-        grid = np.linspace(0.1, 0.9, 81)
-        hit = np.array([(w * y * (s >= t)).sum() for t in grid])
-        f1 = 2 * hit / np.array([(w * (s >= t)).sum() + (w * y).sum() for t in grid])
-        top = grid[f1 >= f1.max() - 1e-3]
+        clean, hit = (n[y, ::-1].cumsum()[::-1][1:] for y in (0, 1))  # rows at or above each threshold
+        f1 = 2 * hit / (clean + hit + n[1].sum())
+        top = GRID[f1 >= f1.max() - 1e-3]
         return float(np.median(top))
 
-    whole = best(np.ones(len(score), bool))
+    whole = best(sum(counts.values(), np.zeros((2, len(GRID) + 1), np.int64)))
     whole = DEFAULT_THRESHOLD if whole is None else whole
     out = {"": whole}
-    names = np.array([x or "" for x in langs])
-    for lang in sorted(set(names.tolist()) - {""}):
-        pick = names == lang
-        if (t := best(pick)) is not None:
-            n = float((labels[pick] > 0).sum())
+    for lang in sorted(set(counts) - {""}):
+        if (t := best(counts[lang])) is not None:
+            n = float(counts[lang][1].sum())
             out[lang] = (n * t + 50 * whole) / (n + 50)
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn, most: int) -> tuple[list[str], np.ndarray, np.ndarray, list]:
-    """Texts, labels, weights and languages of at most ``most`` rows of each label.  ``learn``: whether a doc_id may be learnt from."""
+def labelled(labels: DataFrame, learn) -> DataFrame:
+    """doc_id and __y of the rows that may be learnt from.  ``learn``: whether a doc_id may be."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("__y")).where("doc_id is not null and __y is not null").where(learn)
-    known = known.groupBy("doc_id").agg(F.max("__y").cast("int").alias("__y"))
+    return known.groupBy("doc_id").agg(F.max("__y").cast("int").alias("__y"))
+
+
+def sample(docs: DataFrame, known: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of at most ``most`` rows of each label."""
     total = {r[0]: r[1] for r in known.groupBy("__y").agg(F.count("*")).collect()}
     ids = [r for y in (0, 1) for r in known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if not ids:
-        return [], np.zeros(0), np.zeros(0), []
+        return [], np.zeros(0), np.zeros(0)
     wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, __y int")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     # ``wanted`` has at most 2 * most rows; a doc_id that stands twice is learnt from once
@@ -205,31 +211,46 @@ def sample(docs: DataFrame, labels: DataFrame, learn, most: int) -> tuple[list[s
     rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["text"] or "", r["__lang"] or ""))}.values(), key=lambda r: r["doc_id"])
     y = np.array([r["__y"] for r in rows], np.float64)
     weight = np.array([total[r["__y"]] / max(1, min(most, total[r["__y"]])) for r in rows], np.float64)
-    return [r["text"] or "" for r in rows], y, weight, [r["__lang"] for r in rows]
+    return [r["text"] or "" for r in rows], y, weight
 
 
 def scored_rows(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> DataFrame:
     """``docs`` whole, with __score and __threshold (that of the row's language)."""
-    texts, y, weight, langs = sample(docs, labels, learn, most)
+    known = labelled(labels, learn)
+    texts, y, weight = sample(docs, known, most)
     model = doubled(train(texts, y, weight))
-    if len(y):
-        fitted = np.concatenate([scores(model, *tokens(d, o)) for _, _, d, o in tx.slices(tx.column(pa.array(texts, pa.large_string())))])
-        thresholds = calibrate(fitted, y, weight, langs)
-    else:
-        thresholds = {"": DEFAULT_THRESHOLD}
     used = np.flatnonzero(model.embed.any(axis=1))
     # a row for each bucket at most
     sent = docs.sparkSession.sparkContext.broadcast((used, model.embed[used], model._replace(embed=None)))
     place = docs.columns.index("text")
 
-    def run(batches):
+    def scored_batches(batches, place: int):
         used, rows, model = sent.value
         embed = np.zeros((_PAD + 1, DIM))
         embed[used] = rows
         model = model._replace(embed=embed)
         for batch in batches:
             out = [scores(model, *tokens(d, o)) for _, _, d, o in tx.slices(tx.column(batch.column(place)), tx.SLICE // 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, "score"])
+            yield batch, np.concatenate(out) if out else np.zeros(0)
+
+    def run(batches):
+        for batch, score in scored_batches(batches, place):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+
+    def steps(batches):
+        for batch, score in scored_batches(batches, 1):
+            step = np.searchsorted(GRID, score, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(step)], names=["doc_id", "lang", "step"])
+
+    counts: dict[str, np.ndarray] = {}
+    if len(y):
+        lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+        # texts are scored where they are; only ids, languages and steps meet the labels
+        reached = texts_of(docs, F.coalesce(lang, F.lit("")).alias("lang")).where(learn).mapInArrow(steps, "doc_id long, lang string, step int").join(known, "doc_id")
+        # a row for each language, label and step
+        for r in reached.groupBy("lang", "__y", "step").agg(F.count("*").alias("n")).collect():
+            counts.setdefault(r["lang"], np.zeros((2, len(GRID) + 1), np.int64))[int(r["__y"] > 0), r["step"]] += r["n"]
+    thresholds = calibrate(counts)
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
