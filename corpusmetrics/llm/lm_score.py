@@ -1,7 +1,7 @@
 """Scores of texts under a smoothed bigram model, as a weighted backoff automaton.
 
 States are the contexts (words, and the begin of a text); a state has an arc for every
-word that was seen at least twice after it, and a failure arc of weight bow(v) to the
+word that was seen at least ``least`` times after it (op2 keeps all), and a failure arc of weight bow(v) to the
 root, whose arcs are all words.  With counts c of the training texts, n(v) uses of v as a
 context, and K and T the sum and the number of the counts kept at v:
 
@@ -14,8 +14,8 @@ to right; each word follows its arc or fails to the root, and the log10 weights
 
 The model is never in one place.  Documents are kept in blocks of bounded size.  A block
 asks the shards for the totals of its own words and bigrams, sending its own counts along,
-and gets back just the weights of the part of the automaton that it will walk.  A sketch
-of all bigrams spares those that occur once the way.  A context's bigrams are dealt to
+and gets back just the weights of the part of the automaton that it will walk.  Where
+``least`` is above 1, a sketch of all bigrams spares those that occur once the way.  A context's bigrams are dealt to
 several shards, which send on only its sums.
 
 Defined results: null texts are empty and consist of the end alone; rows with null doc_id
@@ -114,13 +114,15 @@ def block_words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts])[at], count
 
 
-def block_pairs(bodies: list[bytes], sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams of a block that may repeat, ascending, and their counts in training texts."""
+def block_pairs(bodies: list[bytes], sketch=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams of a block (by a sketch only those that may repeat), ascending, and their counts in training texts."""
     parts = []
     for p in map(Part, bodies):
         a, b, n, _ = p.pairs()
-        keep = sketch.repeated(bigram_keys(a, b))
-        parts.append((a[keep], b[keep], n[keep]))
+        if sketch is not None:
+            keep = sketch.repeated(bigram_keys(a, b))
+            a, b, n = a[keep], b[keep], n[keep]
+        parts.append((a, b, n))
     a, b, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
     at, (n,), _ = _sums([a, b], [n])
     return a[at], b[at], n
@@ -203,12 +205,12 @@ def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray,
     return order[at], [np.add.reduceat(v[order].astype(_I64), at) if len(at) else v[:0].astype(_I64) for v in values], group
 
 
-def _pair_totals(word_shards: int):
+def _pair_totals(word_shards: int, least: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpacked(b) for b in pdf["blob"]]
         a, b, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
         first, (total,), group = _sums([a, b], [n])
-        total = np.where(total >= LEAST, total, 0)
+        total = np.where(total >= least, total, 0)
         answer = total[group]
         size = np.cumsum([0, *(len(p[0]) for p in parts)])
         rows = [("r", key[0], block, _packed(answer[x:y])) for block, x, y in zip(pdf["block"], size[:-1], size[1:], strict=True)]
@@ -277,7 +279,7 @@ def _scored(word_shards: int, pair_shards: int, sent, tokens: int, words: int):
             return out
 
         vocab, _ = block_words(bodies)
-        a, b, _ = block_pairs(bodies, held(sent))
+        a, b, _ = block_pairs(bodies, held(sent) if sent else None)
         count, k, t = gathered("w", _word_shard(vocab, word_shards), 3)
         (total,) = gathered("p", _pair_shard(a, b, pair_shards), 1)
         kept = total > 0
@@ -313,15 +315,15 @@ def _scored(word_shards: int, pair_shards: int, sent, tokens: int, words: int):
     return run
 
 
-def lm_score(docs: DataFrame, learn) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``learn``: a condition on doc_id, true for rows learnt from."""
+def lm_score(docs: DataFrame, learn, least: int = LEAST) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``learn``: a condition on doc_id, true for rows learnt from; ``least``: the count from which a bigram is kept (1: all are)."""
     docs = texts_of(docs).withColumn("learn", F.coalesce(learn, F.lit(False)))
     total = text_bytes(docs)
     blocks = stored(docs.mapInArrow(_blocks, "block long, bodies array<binary>"), "blocks")
     shards = max(8, int(total / 32e6) + 1)
-    sent = repeated_keys(blocks.select("bodies"), _learnt_keys, total / 8, rows=1, room=2)
+    sent = repeated_keys(blocks.select("bodies"), _learnt_keys, total / 8, rows=1, room=2) if least > 1 else None
     asks = "shard int, block long, blob binary"
-    pairs = blocks.mapInArrow(_asked(shards, sent, "pairs"), asks).groupBy("shard").applyInPandas(_pair_totals(shards), "kind string, shard int, block long, blob binary")
+    pairs = blocks.mapInArrow(_asked(shards, sent, "pairs"), asks).groupBy("shard").applyInPandas(_pair_totals(shards, least), "kind string, shard int, block long, blob binary")
     pairs = stored(pairs, "pairs")
     words = blocks.mapInArrow(_asked(shards, None, "words"), asks).select(F.lit("w").alias("kind"), "shard", "block", "blob")
     words = words.unionByName(pairs.where("kind = 'p'")).groupBy("shard").applyInPandas(_word_totals, "kind string, shard int, block long, blob binary, tokens long, words long")

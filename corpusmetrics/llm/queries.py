@@ -41,7 +41,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(table(spark, sf_dir, "documents"), crc_mod(10) != 0)
+    return lm_score(table(spark, sf_dir, "documents"), crc_mod(10) != 0, least=1)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,25 @@
-"""Training-text operators over all labelled rows."""
+"""Training-text operators over all counts and all labelled rows."""
 
+import brute
 import numpy as np
 
 from corpusmetrics.llm import toxicity as tox
-from corpusmetrics.llm.queries import crc_mod
+from corpusmetrics.llm.lm_score import lm_score
+from corpusmetrics.llm.queries import crc_mod, op2_lm_score
+
+
+def test_language_model_of_all_bigrams(docs, pairs):
+    got = sorted(tuple(r) for r in lm_score(docs, crc_mod(10) != 0, least=1).collect())
+    for g, w in zip(got, brute.lm_score(pairs, least=1), strict=True):
+        assert g[:5] == w[:5]
+        np.testing.assert_allclose(g[5:], w[5:], rtol=1e-9)
+
+
+def test_the_query_keeps_bigrams_seen_once(spark, tmp_path, docs, pairs):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in op2_lm_score(spark, str(tmp_path)).collect()}
+    want = {r[0]: r[6] for r in brute.lm_score(pairs, least=1)}
+    np.testing.assert_allclose([got[d] for d in sorted(got)], [want[d] for d in sorted(want)], rtol=1e-9)
 
 
 def test_thresholds_come_from_all_labelled_rows(spark):
