@@ -132,28 +132,28 @@ _SHORT = f"{_W}, s AS (SELECT row_idx, keyword, substr(idea, 1, 40) AS s FROM t)
 _ENT = ", ch AS (SELECT row_idx, unnest(string_split(s, '')) AS c FROM s WHERE length(s) > 0), cn AS (SELECT row_idx, c, count(*) AS n FROM ch GROUP BY ALL), ct AS (SELECT row_idx, sum(n) AS n FROM cn GROUP BY ALL), en AS (SELECT row_idx, -sum(cn.n / ct.n * log2(cn.n / ct.n)) AS e FROM cn JOIN ct USING (row_idx) GROUP BY ALL)"
 
 
-def _short(spark, sf):
-    return B.texts(spark, sf).select("row_idx", "keyword", "category", F.substring("idea", 1, 40).alias("s"))
+def _strings(spark, sf):
+    return B.texts(spark, sf).select("row_idx", "keyword", "category", F.col("idea").alias("s"))
 
 
 @query(f"{_SHORT}{_ENT} SELECT row_idx, {r('coalesce(e, 0)')} AS entropy FROM s LEFT JOIN en USING (row_idx)")
 def char_entropy(spark, sf):
-    return B.tidy(_short(spark, sf).select("row_idx", T.char_entropy(F.col("s")).alias("entropy")))
+    return B.tidy(_strings(spark, sf).select("row_idx", T.char_entropy(F.col("s")).alias("entropy")))
 
 
 @query(f"{_SHORT}, p AS (SELECT keyword, substr(s, 1, 7) AS p, count(*) AS c FROM s GROUP BY ALL) SELECT keyword, {r('max(c) / sum(c)')} AS modal_prefix_share FROM p GROUP BY keyword")
 def prefix_share(spark, sf):
-    return B.tidy(L.prefix_share(_short(spark, sf), ["keyword"], "s"))
+    return B.tidy(L.prefix_share(_strings(spark, sf), ["keyword"], "s"))
 
 
 @query(f"{_SHORT}{_ENT}, p AS (SELECT keyword, substr(s, 1, 7) AS p, count(*) AS c FROM s GROUP BY ALL), pp AS (SELECT keyword, max(c) / sum(c) AS m FROM p GROUP BY keyword) SELECT keyword, count(*) AS n, {r('count(DISTINCT s) / count(*)')} AS unique_share, {r('avg(length(s))')} AS mean_length, {r('stddev_pop(length(s))')} AS std_length, {r('avg(coalesce(e, 0))')} AS mean_entropy, {r('any_value(m)')} AS modal_prefix_share FROM s LEFT JOIN en USING (row_idx) JOIN pp USING (keyword) GROUP BY keyword")
 def string_diagnostics(spark, sf):
-    return B.tidy(L.string_diagnostics(_short(spark, sf), ["keyword"], "s"))
+    return B.tidy(L.string_diagnostics(_strings(spark, sf), ["keyword"], "s"))
 
 
 @query(f"{_SHORT}, b AS (SELECT row_idx, keyword, CASE WHEN length(s) > 1 THEN list_distinct(list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2))) WHEN length(s) = 1 THEN [s] ELSE [] END AS b FROM s), d AS (SELECT x.keyword, CASE WHEN len(list_distinct(x.b || y.b)) = 0 THEN 0 ELSE 1 - len(list_intersect(x.b, y.b)) / len(list_distinct(x.b || y.b)) END AS d FROM b x JOIN b y ON x.keyword = y.keyword AND x.row_idx < y.row_idx) SELECT keyword, count(*) AS n_pairs, {r('avg(d)')} AS mean_distance, {r('median(d)')} AS median_distance FROM d GROUP BY keyword")
 def bigram_jaccard(spark, sf):
-    d = L.string_distances(_short(spark, sf), ["keyword"], "s")
+    d = L.string_distances(_strings(spark, sf), ["keyword"], "s")
     return B.tidy(d.groupBy("keyword").agg(F.count("*").alias("n_pairs"), F.avg("distance").alias("mean_distance"), F.percentile("distance", F.lit(0.5)).alias("median_distance")))
 
 

@@ -29,6 +29,12 @@ def same(spark, name: str, *lifted: tuple[str, str]):
     return got
 
 
+@pytest.mark.parametrize("name", ["char_entropy", "prefix_share", "string_diagnostics", "bigram_jaccard"])
+def test_strings_are_whole(spark, name):
+    got = same(spark, name, ("substr(idea, 1, 40)", "idea"))
+    assert name != "string_diagnostics" or got.mean_length.min() > 40
+
+
 def test_calls_explode_to_all_turns(spark):
     got = same(spark, "call_explosion", (" WHERE turn < 3", ""), ("conv_id * 3", "conv_id * (SELECT max(n) FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id))"))
     assert got.turn.max() >= 3 and got.sample_index.is_unique
