@@ -2,7 +2,7 @@
 
 Vectors: row_idx = vec_id, keyword = label, effort = tier of vec_id % 4, gen = vec_id % 3.
 Texts: row_idx = doc_id, keyword = source, category = lang, effort = tier of doc_id // 20 % 4;
-facets are the first three lines that aren't empty.  Tokens: events by user.  Judgments
+facets are the first line that isn't empty, the second, and all others.  Tokens: events by user.  Judgments
 are derived from distances of pairs, quality scores from labels, both by fixed arithmetic.
 """
 
@@ -53,7 +53,8 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    facet = [F.coalesce(F.get(lines, k), F.lit("")) for k in range(3)]
+    rest = F.when(F.size(lines) > 2, F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
+    facet = [F.coalesce(c, F.lit("")) for c in (F.get(lines, 0), F.get(lines, 1), rest)]
     return d.select(F.col("doc_id").alias("row_idx"), F.col("source").alias("keyword"), F.col("lang").alias("category"), tier(F.floor(F.col("doc_id") / 20)).alias("effort"), F.col("text").alias("idea"), *(c.alias(n) for n, c in zip(("purpose", "mechanism", "evaluation"), facet, strict=True)))
 
 

@@ -35,6 +35,12 @@ def test_strings_are_whole(spark, name):
     assert name != "string_diagnostics" or got.mean_length.min() > 40
 
 
+@pytest.mark.parametrize("name", ["distinct_n", "lexical_aggregate", "lexical_relative", "self_bleu_relational"])
+def test_facets_hold_all_lines_and_orders(spark, name):
+    got = same(spark, name, ("coalesce(ls[3], '')", "coalesce(array_to_string(ls[3:], chr(10)), '')"), ("generate_series(1, 4)) AS n", "generate_series(1, 6)) AS n"))
+    assert sorted(got.n.unique()) == [1, 2, 3, 4, 5, 6]
+
+
 def test_calls_explode_to_all_turns(spark):
     got = same(spark, "call_explosion", (" WHERE turn < 3", ""), ("conv_id * 3", "conv_id * (SELECT max(n) FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id))"))
     assert got.turn.max() >= 3 and got.sample_index.is_unique
