@@ -53,7 +53,7 @@ def _shingles(col, k: int):
         st, en, first = tx.word_bounds(data, off)
         codes = tx.span_hashes(data, st, en, lower=True)
         n = np.diff(first)
-        grams = tx.Rolling(codes).windows(k)
+        grams = tx.run_hashes(codes, k)
         own = np.repeat(np.arange(j - i), np.maximum(n - k + 1, 0))
         at = tx.ragged(first[:-1], np.maximum(n - k + 1, 0))
         keys = grams[at] if len(at) else np.zeros(0, np.uint64)

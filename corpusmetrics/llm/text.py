@@ -1,13 +1,16 @@
 """Vectorised text primitives on the UTF-8 bytes of Arrow string columns.
 
 A word is a maximal run of bytes other than space, tab, LF, VT, FF and CR
-(``[^\\x20\\x09-\\x0D]+``).  Words are represented by 64-bit hashes: a polynomial
-modulo 2**64 over randomised byte codes, finalised by mixing, so equal words have
-equal hashes in every process and at every position.
+(``[^\\x20\\x09-\\x0D]+``).  Words are represented by 64-bit hashes that are equal in
+every process and at every position: words of up to LONG bytes are read as lanes of eight
+bytes, each mixed into the hash (no two words of one length up to eight share it);
+longer ones have blake2b.  Runs of words are hashed by mixing halves, never by sums, so that
+the hash has no algebraic structure which ordinary text could meet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,8 @@ import pyarrow.compute as pc
 U8 = np.uint64
 #: Text bytes worked on at once; bounds the temporaries to some tens of MB.
 SLICE = 1_000_000
-_HASH_CHUNK = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,8 +30,6 @@ LOWER[65:91] += 32
 
 _rng = np.random.default_rng(20240229)
 _CODES = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U8) | U8(1)
-_LOW_CODES = _CODES[LOWER]
-_BASE = U8(0x9E3779B97F4A7C15)
 
 
 def _inverse(odd: int) -> int:
@@ -114,22 +116,60 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return st, en, np.searchsorted(st, off)
 
 
+_ODD, _TURN = U8(0x9FB21C651E98DF25), U8(0xA24BAED4963EE407)
+_KEEP = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], dtype=U8)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """Entry i: bytes i .. i + 7 as a little-endian number, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def heads(at: np.ndarray, st: np.ndarray, en: np.ndarray, n: int) -> np.ndarray:
+    """The first n (at most 8) bytes of each span of ``lanes`` as a number; shorter spans have all theirs."""
+    return at[st] & _KEEP[np.minimum(en - st, n)]
+
+
 def span_hashes(data: np.ndarray, st: np.ndarray, en: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans ascend and do not overlap."""
-    out = np.empty(len(st), U8)
-    codes = _LOW_CODES if lower else _CODES
-    inv = _inverse(int(_BASE))
-    i, n = 0, len(st)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(en, st[i] + _HASH_CHUNK, "right")))
-        lo, hi = int(st[i]), int(en[j - 1])
-        part = data[lo:hi]
-        acc = np.empty(len(part) + 1, U8)
-        acc[0] = 0
-        np.cumsum(codes[part] * powers(int(_BASE), len(part)), out=acc[1:])
-        s, e = st[i:j] - lo, en[i:j] - lo
-        out[i:j] = mix((acc[e] - acc[s]) * powers(inv, len(part))[s] + (e - s).astype(U8))
-        i = j
+    """64-bit hash of the bytes of each span."""
+    if lower:
+        data = LOWER[data]
+    size = en - st
+    at = lanes(data)
+    out = mix(heads(at, st, en, 8) ^ (size.astype(U8) * _ODD))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    k = 8
+    while len(more):
+        part = at[st[more] + k] & _KEEP[np.minimum(size[more] - k, 8)]
+        out[more] = mix(out[more] * _TURN ^ part)
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[st[i] : en[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def run_hashes(codes: np.ndarray, width: int, salt: int = 0, chunk: int = 1 << 17) -> np.ndarray:
+    """Entry i: hash of codes[i : i + width] as a sequence; len(codes) - width + 1 entries (none if shorter)."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.zeros(0, U8)
+    out = np.empty(n, U8)
+    for i in range(0, n, chunk):
+        m = min(chunk, n - i)
+        run, size, have, done = codes[i : i + m + width - 1] ^ U8(salt), 1, None, 0
+        while True:
+            if width & size:  # runs of this power of two are part of the width
+                own = run[done : done + m]
+                have = own if have is None else mix(have * _TURN ^ own)
+                done += size
+            if 2 * size > width:
+                break
+            run = mix(run[:-size] * _ODD ^ run[size:])
+            size *= 2
+        out[i : i + m] = mix(have + U8(width))
     return out
 
 
