@@ -3,6 +3,11 @@
 The anchor of a window is its gram (a short run of elements) of least hash, the
 leftmost of equals.  Equal windows have equal anchors at equal distances, so windows
 can be counted and grouped by anchors, of which there are far fewer.
+
+An anchor that occurs very often, in contexts that differ, would bring all of them to one task.
+Its windows are therefore dealt by their distance from it, STEP distances at a time, and by
+a hash of what all windows of those distances share: equal windows still meet, and
+what meets is alike but for the outermost elements.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ import numpy as np
 
 from . import text as tx
 
+#: An anchor is dealt by its contexts from so many occurrences on, and so many distances together.
+OFTEN, STEP = 512, 8
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
@@ -47,6 +54,24 @@ def anchors(codes: np.ndarray, off: np.ndarray, width: int, gram: int) -> Anchor
     return Anchors(grams[at], at, valid[starts], count)
 
 
+def dealt(a: Anchors, often: np.ndarray, shared) -> Anchors:
+    """``a`` with the runs of anchors that occur ``often`` cut, and their keys dealt.  ``shared``: hashes of the elements that windows of one cut share, by its first."""
+    if not often.any():
+        return a
+    rest = Anchors(*(x[~often] for x in a))
+    key, at, first, count = (x[often] for x in a)
+    run = np.repeat(np.arange(len(at)), count)
+    window = tx.ragged(first, count)
+    group = (at[run] - window) // STEP
+    head = np.flatnonzero(group_heads(run, group))
+    run, group = run[head], group[head]
+    key = tx.mix(tx.mix(key[run] + group.astype(np.uint64)) ^ shared(at[run] - STEP * group))
+    cut = Anchors(key, at[run], window[head], np.diff(np.append(head, len(window))))
+    both = [np.concatenate([x, y]) for x, y in zip(rest, cut, strict=True)]
+    order = np.argsort(both[2], kind="stable")
+    return Anchors(*(x[order] for x in both))
+
+
 def group_heads(*keys: np.ndarray) -> np.ndarray:
     """Whether each row of sorted columns differs from the row before."""
     if not len(keys[0]):

@@ -7,14 +7,17 @@ one distance from it.  The text of a block is laid out with the anchors at multi
 the cover's period, and the suffixes at cover positions are ranked once, by prefix
 doubling.  A bucket is then sorted by the few bytes up to the next cover position and
 the rank there, so long ties cost one comparison and a block's memory is bounded by its
-text.  Neighbours in the order that agree on ``depth`` bytes are one string; all but its
+text; buckets of anchors that occur very often are dealt by their contexts (see repeats).
+Neighbours in the order that agree on ``depth`` bytes are one string; all but its
 first occurrence are marked, and marked strings cover the bytes to remove.
 
 Defined results: a null text is empty; rows of null doc_id come before all others; rows
 of equal doc_id count as one document, so a byte string at one start in both is not
 earlier in either, and repeated rows get equal results; texts shorter than ``depth``
-bytes can still hold no match; an empty table gives an empty result; columns beyond
-doc_id and text are not read.
+bytes hold no match; of ties (equal strings of one document) the leftmost is the first; a very
+long text is one row, worked on alone, with memory for some numbers a byte; an empty
+table gives an empty result; columns beyond doc_id and text, whatever their names, are
+not read (``suffix_deduped`` carries them along, and gives a null text back as empty).
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .repeats import anchors, group_heads
-from .shared import NULL_ID, partitions_for, text_bytes
+from .repeats import OFTEN, STEP, Anchors, anchors, dealt, group_heads
+from .shared import NULL_ID, partitions_for, stored, text_bytes
 from .sketch import held, repeated_keys
 from .window_dedup import covered, keyed, with_runs
 
@@ -138,29 +141,30 @@ def _occurrences(depth: int, sent):
         sketch = held(sent)
         for batch in batches:
             doc, copy = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
-            got: list[list[np.ndarray]] = [[] for _ in range(7)]
+            got: list[list[np.ndarray]] = [[] for _ in range(6)]
             bodies = []
             for i, j, data, off, codes in _codes(tx.column(batch.column("text"))):
                 a = anchors(codes, off, depth, GRAM)
-                pick = sketch.repeated(a.key)
-                if not pick.any():
+                level = sketch.level(a.key)
+                if not level.any():
                     continue
-                windows = tx.Rolling(codes).windows(depth)
-                at, n, anchor = a.first[pick], a.count[pick], a.at[pick]
+                a, level = Anchors(*(x[level > 0] for x in a)), level[level > 0]
+                a = dealt(a, level > 1, lambda at: tx.span_hashes(data, at, at + (depth - STEP + 1)))  # noqa: B023
+                at, n = a.first, a.count
                 row = np.searchsorted(off, at, "right") - 1
-                ident = tx.mix(windows[at] * np.uint64(3) + windows[at + n - 1]) + n.astype(np.uint64)
                 buf = data.tobytes()
                 bodies += [buf[x:y] for x, y in zip(at.tolist(), (at + n - 1 + depth).tolist(), strict=True)]
-                for g, v in zip(got, (a.key[pick].view(_I64), doc[i + row], copy[i + row], at - off[row], anchor - at, n, ident), strict=True):
+                for g, v in zip(got, (a.key.view(_I64), doc[i + row], copy[i + row], at - off[row], a.at - at, n), strict=True):
                     g.append(v)
             if not bodies:
                 continue
-            key, d, c, at, back, n, ident = (np.concatenate(g) for g in got)
+            key, d, c, at, back, n = (np.concatenate(g) for g in got)
+            ident = pa.array(bodies, pa.binary()).dictionary_encode().indices.to_numpy()
             order = np.lexsort((at, d, ident, back, key))
             head = group_heads(key[order], back[order], ident[order])
             lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
             later = np.zeros(len(d), bool)
-            later[order] = (d[order] != d[lead]) | (at[order] != at[lead])  # an equal body starts earlier in this task: settled here
+            later[order] = (d[order] != d[lead]) | (at[order] != at[lead])  # an equal body starts earlier in this batch: settled here
             key = np.where(later, tx.mix(key.view(np.uint64) ^ tx.mix(d.view(np.uint64) + at.astype(np.uint64))).view(_I64), key)
             cols = [pa.array(key), pa.array(d), pa.array(c), *(pa.array(x.astype(np.int32)) for x in (at, back, n)), pa.array([None if l else b for l, b in zip(later.tolist(), bodies, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "copy", "at", "back", "n", "body"])
@@ -291,10 +295,12 @@ def _replaced(depth: int):
 
 def marked_strings(docs: DataFrame, depth: int, total: int) -> DataFrame:
     """doc, copy, first, n: runs of ``depth``-byte strings that also start earlier."""
-    sent = repeated_keys(docs.select("text"), _keys(depth), total / (depth - GRAM + 2) * 2)
+    sent = repeated_keys(docs.select("text"), _keys(depth), total / (depth - GRAM + 2) * 2, levels=(2, OFTEN))
     found = docs.select("doc", "copy", "text").mapInArrow(_occurrences(depth, sent), _OCCURRENCE)
     found = found.repartition(partitions_for(docs.sparkSession, total), "key").sortWithinPartitions("key", "doc", "at")
-    return found.mapInArrow(_marked(depth), "doc long, copy long, first long, n long")
+    runs = stored(found.mapInArrow(_marked(depth), "doc long, copy long, first long, n long"), "runs")
+    sent.destroy()
+    return runs
 
 
 def suffix_dedup(docs: DataFrame, depth: int = 100) -> DataFrame:

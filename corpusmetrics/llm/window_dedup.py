@@ -5,13 +5,15 @@ the sketch overestimates how often an anchor, and so any window of it, occurs.
 pass: the windows whose estimate is two or more, and no others, are grouped by anchor
 and 64-bit window hash (128 bits in all), and those that also start in a document of a
 smaller doc_id are marked.  Windows that cannot repeat never travel.  Equal runs of
-windows of one task are combined before the shuffle, so a passage that a third of all
-documents hold sends a few rows a task.
+windows of one batch are combined before the shuffle, so a passage that a third of all
+documents hold sends a few rows a task, and the windows of an anchor that occurs very often
+are dealt by their contexts (see repeats).
 
 Defined results: a null text has no words; rows of null doc_id come before all others;
 rows of equal doc_id never mark each other, and repeated rows get equal results; texts
-shorter than a window stay whole; an empty table gives an empty result; columns beyond
-doc_id and text are not read.
+shorter than a window stay whole; a very long text is one row, worked on alone, with memory for
+a few numbers a word; an empty table gives an empty result; columns beyond doc_id and
+text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .repeats import anchors, group_heads
-from .shared import NULL_ID, partitions_for, text_bytes, texts_of
+from .repeats import OFTEN, STEP, Anchors, anchors, dealt, group_heads
+from .shared import NULL_ID, partitions_for, stored, text_bytes, texts_of
 from .sketch import held, repeated_keys
 
 #: Words of an anchor gram.
@@ -49,6 +51,14 @@ def _keys(width: int):
     return run
 
 
+def _folded(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n codes from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        out = tx.mix(out * np.uint64(0x9E3779B97F4A7C15) ^ codes[at + j])
+    return out
+
+
 def _occurrences(width: int, sent):
     def run(batches):
         sketch = held(sent)
@@ -58,15 +68,17 @@ def _occurrences(width: int, sent):
             bodies = []
             for i, j, _, _, _, codes, first in _word_codes(tx.column(batch.column("text"))):
                 a = anchors(codes, first, width, GRAM)
-                pick = sketch.repeated(a.key)
-                if not pick.any():
+                level = sketch.level(a.key)
+                if not level.any():
                     continue
-                windows = tx.Rolling(codes).windows(width)
-                at, n = a.first[pick], a.count[pick]
+                a, level = Anchors(*(x[level > 0] for x in a)), level[level > 0]
+                a = dealt(a, level > 1, lambda at: _folded(codes, at, width - STEP + 1))  # noqa: B023
+                windows = tx.run_hashes(codes, width)
+                at, n = a.first, a.count
                 row = np.searchsorted(first, at, "right") - 1
                 bodies += np.split(windows[tx.ragged(at, n)], np.cumsum(n)[:-1])
                 ident = tx.mix(windows[at] * np.uint64(3) + windows[at + n - 1]) + n.astype(np.uint64)
-                for g, v in zip(got, (a.key[pick].view(_I64), doc[i + row], copy[i + row], at - first[row], n, ident), strict=True):
+                for g, v in zip(got, (a.key.view(_I64), doc[i + row], copy[i + row], at - first[row], n, ident), strict=True):
                     g.append(v)
             if not bodies:
                 continue
@@ -136,10 +148,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def marked_windows(docs: DataFrame, width: int, total: int) -> DataFrame:
     """doc, copy, first, n: runs of windows that also start in a document of smaller id."""
-    sent = repeated_keys(docs.select("text"), _keys(width), total / 6 / (width - GRAM + 2) * 2)
+    sent = repeated_keys(docs.select("text"), _keys(width), total / 6 / (width - GRAM + 2) * 2, levels=(2, OFTEN))
     found = docs.select("doc", "copy", "text").mapInArrow(_occurrences(width, sent), _OCCURRENCE)
     found = found.repartition(partitions_for(docs.sparkSession, total * 0.4), "key").sortWithinPartitions("key", "doc")
-    return found.mapInArrow(_marked, "doc long, copy long, first long, n long")
+    runs = stored(found.mapInArrow(_marked, "doc long, copy long, first long, n long"), "runs")
+    sent.destroy()
+    return runs
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
