@@ -6,11 +6,14 @@ are deduplicated to identifiers (128-bit digests), and the identifiers are verif
 every distinct chunk travels once, to where all contents of its digest meet.  Should
 a digest stand for two contents, the recipes use the content itself in its place.
 Documents are then compared by their ordered identifier lists; whole texts never move.
+Groups are counted by (recipe, salt) first and met by (recipe, salt) again, so that a recipe
+which a third of all rows share is the work of many tasks.
 
 Defined results: a null text equals an empty one; rows whose doc_id is null count in
 their group, and one stays only if the whole group has null ids; repeated rows (same
-doc_id, equal texts) are all marked like their doc_id; an empty table gives an empty
-result; columns beyond doc_id and text are not read.
+doc_id, equal texts) are all marked like their doc_id, which is how ties end; a very long
+text is as many chunks as it needs, and its recipe has 16 bytes for each; an empty table
+gives an empty result; columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from .shared import NULL_ID, stored, texts_of
 
 #: A chunk ends where the top MASK_BITS of the gear hash are zero (1 KiB on average), or after LONGEST bytes.
 MASK_BITS, LONGEST, WINDOW = 10, 16_384, 32
-#: Clashing digests are held by every task; a 128-bit digest has none in practice.
-MOST_CLASHES = 100_000
+#: Clashing digests are held by every task; with more of them (a 128-bit digest has none in practice), digests are made longer.
+MOST_CLASHES, LONGEST_DIGEST = 100_000, 64
+#: Tasks that share the rows of one recipe.
+SALTS = 128
 
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -94,11 +99,14 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     contents = docs.select("text").mapInArrow(_contents(digest_bytes), "digest binary, chunk binary").distinct()
     clash = contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest").limit(MOST_CLASHES + 1)
     clashes = frozenset(bytes(r[0]) for r in clash.collect())
-    if len(clashes) > MOST_CLASHES:
-        raise ValueError(f"more than {MOST_CLASHES} clashing chunk digests; use longer digests")
+    if len(clashes) > MOST_CLASHES and digest_bytes < LONGEST_DIGEST:
+        return exact_groups(docs.drop("copy"), min(LONGEST_DIGEST, 2 * digest_bytes))
     recipes = stored(docs.mapInArrow(_recipes(digest_bytes, clashes), "doc_id long, copy long, recipe binary, text_sha256 string"), "recipes")
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "copy")
+    recipes = recipes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = recipes.groupBy("recipe", "salt").agg(F.max("doc_id").alias("m"), F.count("*").alias("n"))
+    groups = parts.groupBy("recipe").agg(F.max("m").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
+    groups = groups.select("recipe", F.explode("salts").alias("salt"), "keep_id", "group_size")
+    return recipes.join(groups, ["recipe", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "copy")
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
