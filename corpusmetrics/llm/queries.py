@@ -13,7 +13,7 @@ from .packing import best_fit_packing
 from .pieces import encode_digests
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
-from .url_filter import url_filter
+from .url_filter import SUFFIXES, url_filter
 from .window_dedup import window_dedup
 
 #: Where the vocabulary files of the public tokenizers are, by name; None: the installed package says.
@@ -90,6 +90,7 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS t FROM documents)
 WINDOW g AS (PARTITION BY t)
 """
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES)
 OP3_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS tail FROM pages),
 p AS (SELECT page_id, coalesce(translate(regexp_extract(tail, '^([^/?#]*)', 1), {AZ}), '') AS host,
@@ -97,7 +98,8 @@ p AS (SELECT page_id, coalesce(translate(regexp_extract(tail, '^([^/?#]*)', 1),
 l AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(1 - quality) AS DOUBLE) AS bad
       FROM p JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY host),
 parts AS (SELECT DISTINCT host, string_split(host, '.') AS a FROM p),
-names AS (SELECT host, array_to_string(a[-2:], '.') AS domain, a[-1] AS suffix FROM parts),
+names AS (SELECT host, CASE WHEN two IN ({_SUFFIXES}) THEN array_to_string(a[-3:], '.') ELSE two END AS domain, CASE WHEN two IN ({_SUFFIXES}) THEN two ELSE a[-1] END AS suffix
+          FROM (SELECT *, array_to_string(a[-2:], '.') AS two FROM parts)),
 h AS (SELECT * FROM l JOIN names USING (host)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),

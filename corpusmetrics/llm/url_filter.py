@@ -1,15 +1,19 @@
 """URL verdicts from fixed rules and an empirical-Bayes reputation of hosts; native expressions only.
 
 Labelled outcomes of pages (bad or not) are counted by host, registered domain (the
-last two labels of the host) and suffix (the last label).  At each level the rate of
+suffix and one label more) and suffix (the last label, or the last two where these are one of
+``suffixes``).  At each level the rate of
 a unit is shrunk towards the posterior mean of the level above by a beta prior whose
 strength comes from the beta-binomial moments of that level.  A url is blocked when
 the lower posterior bound of its host's bad rate exceeds ``most_bad``.
 
 Defined results: null urls and urls without ``://`` have empty host and path and no
 rule, and are judged by the reputation of the empty host; null ids have no label; several labels of a
-page all count; null outcomes count as none; without any label the rate is 0.5 with
-the weakest prior, which blocks nothing; empty tables give empty results.
+page all count, and so do repeated pages, each of which is a row of the result; null outcomes
+count as none; of rules of equal length (ties) the first by name wins; very long urls are
+ordinary ones; without any label the rate is 0.5 with the weakest prior, which blocks
+nothing; empty tables give empty results; columns beyond page_id and url (page_id and
+bad of the outcomes), whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,17 @@ from pyspark.sql import functions as F
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = ("suffix", "domain", "host")
+#: Suffixes of two labels under which names are registered.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+#: Tasks that share the pages of one host.
+SALTS = 128
+
+
+def suffix_of(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host."""
+    two = F.substring_index(host, ".", -2)
+    long = two.isin(*suffixes)
+    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -56,29 +70,33 @@ def _strength(units: DataFrame, level: str) -> DataFrame:
     return s.select((1 / rho - 1).alias("k_" + level), *([F.coalesce("m", F.lit(0.5)).alias("m_all")] if level == "suffix" else []))
 
 
-def reputation(labelled: DataFrame) -> DataFrame:
-    """host, domain, suffix, alpha, beta: the posterior of each host with labelled pages.  ``labelled``: host, bad (0/1)."""
+def reputation(labelled: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """host, n, bad, domain, suffix of each host with labelled pages.  ``labelled``: host, bad (0/1)."""
     counts = labelled.where("bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    return counts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    domain, suffix = suffix_of(F.col("host"), suffixes)
+    return counts.withColumn("domain", domain).withColumn("suffix", suffix)
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: float = 0.5, z: float = 1.645, suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict.  ``outcomes``: page_id, bad (0/1)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     host, path = split_url(F.col("url"))
     rule, by_rule = rule_of(F.col("host"), F.col("path"), rules)
-    pages = pages.select("page_id", host.alias("host"), path.alias("path"))
+    pages = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
     labelled = pages.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id")
-    hosts = reputation(labelled)
+    hosts = reputation(labelled, suffixes)
+    domain, suffix = suffix_of(F.col("host"), suffixes)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # three one-row tables
-    k = _strength(suffixes, "suffix").crossJoin(_strength(domains, "domain")).crossJoin(_strength(hosts, "host"))
-    known = pages.select("host").distinct().withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    k = _strength(ends, "suffix").crossJoin(_strength(domains, "domain")).crossJoin(_strength(hosts, "host"))
+    # a host that a third of all pages share meets its verdict in many tasks
+    known = pages.groupBy("host", "salt").agg(F.count("*")).groupBy("host").agg(F.collect_list("salt").alias("salts"))
+    known = known.withColumn("domain", domain).withColumn("suffix", suffix)
     r = (
         known.join(hosts.select("host", F.col("n").alias("n_h"), F.col("bad").alias("b_h")), "host", "left")
         .join(domains.select("domain", F.col("n").alias("n_d"), F.col("bad").alias("b_d")), "domain", "left")
-        .join(suffixes.select("suffix", F.col("n").alias("n_s"), F.col("bad").alias("b_s")), "suffix", "left")
+        .join(ends.select("suffix", F.col("n").alias("n_s"), F.col("bad").alias("b_s")), "suffix", "left")
         .na.fill(0.0, ["n_h", "b_h", "n_d", "b_d", "n_s", "b_s"])
         .crossJoin(F.broadcast(k))
     )
@@ -86,5 +104,5 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: flo
     r = r.withColumn("m_d", F.expr("(b_d + k_domain * m_s) / (n_d + k_domain)"))
     r = r.withColumn("a", F.expr("b_h + k_host * m_d")).withColumn("t", F.expr("n_h + k_host"))
     low = F.expr(f"a / t - {z} * sqrt(a * (t - a) / (t * t * (t + 1)))")
-    r = r.select("host", F.when(low > most_bad, F.lit("block")).otherwise(F.lit("allow")).alias("earned"))
-    return pages.join(r, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, F.col("earned"), F.lit("allow")).alias("verdict"))
+    r = r.select("host", F.explode("salts").alias("salt"), F.when(low > most_bad, F.lit("block")).otherwise(F.lit("allow")).alias("earned"))
+    return pages.join(r, ["host", "salt"], "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, F.col("earned"), F.lit("allow")).alias("verdict"))
