@@ -3,13 +3,14 @@
 Encoding backtracks over longest vocabulary matches (Aho-Corasick).  A piece may follow
 another if re-merging cannot join across their border: undoing the later of the two
 merges at the border, again and again, never shows a pair that would have merged first.
-Positions from which no valid rest exists are cleared in a bitfield.  A text is first
+Positions from which no valid rest exists are set in a bitfield.  A text is first
 cut wherever no piece of the vocabulary could span, and every distinct cut is encoded
-once.  Runs of spaces, whose merges share one score, are re-merged directly.
+once, whatever its length.  Merges of equal rank (runs of spaces) happen from left to right.
 
 Defined results: a null text is an empty one and has only the begin and end ids; rows
-with null doc_id and repeated rows are encoded like any other; an empty table gives an
-empty result; columns beyond doc_id and text are not read.
+with null doc_id and repeated rows are encoded like any other; very long texts are
+worked on alone, in time and memory that grow with their length; an empty table gives
+an empty result; columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ class PieceCodec:
         return ok
 
     def encode_span(self, s: str) -> list[int]:
-        return [i for p in (self.merge(s)[0] if MARK * 2 in s else self.backtrack(s)) for i in self.ids_of(p)]
+        return [i for p in self.backtrack(s) for i in self.ids_of(p)]
 
     def ids_of(self, p: str) -> list[int]:
         if (i := self.id.get(p)) is not None:
@@ -140,14 +141,15 @@ class PieceCodec:
         for i in range(n):
             if not starts[i] or len(starts[i][0]) > 1:
                 starts[i].insert(0, s[i])  # a character without piece stands alone
-        open_ = (1 << (n + 1)) - 1
+        failed = bytearray((n >> 3) + 1)  # one bit a position
         out: list[str] = []
         tried: list[int] = []  # index of the chosen match at each chosen start
         pos, k = 0, len(starts[0]) - 1 if n else -1
         while pos < n:
             while k >= 0:
                 p = starts[pos][k]
-                if open_ >> (pos + len(p)) & 1 and (not out or self.may_follow(out[-1], p)):
+                end = pos + len(p)
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.may_follow(out[-1], p)):
                     break
                 k -= 1
             if k >= 0:
@@ -156,7 +158,7 @@ class PieceCodec:
                 pos += len(p)
                 k = len(starts[pos]) - 1 if pos < n else -1
             else:
-                open_ &= ~(1 << pos)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 pos -= len(out.pop())
                 k = tried.pop() - 1
         return out
