@@ -5,12 +5,14 @@ The driver sees only how many pieces have each length (at most ``size`` numbers)
 runs best-fit decreasing on these counts: all bins with the same free room are one
 entry, so the plan is a list of runs "pieces a..b of length l, m to a sequence, from
 sequence s at offset o".  Pieces then take their slots by rank within their length.
-Ranks come from counts by (length, salt), so a length that a third of all pieces
-share is ranked by many tasks.
+Ranks come from counts by (length, salt), with more salts the more pieces there are, so
+a length that a third of all pieces share is ranked by many tasks.
 
 Defined results: null texts and texts without tokens are one piece of length 1 (the
-separator); rows with null doc_id and repeated rows are packed like any other; an
-empty table gives an empty result; columns beyond doc_id and text are not read.
+separator); rows with null doc_id and repeated rows are packed like any other; very long
+texts are cut into as many pieces as they need; pieces of equal length (ties) take
+their slots by salt, doc_id, piece and checksum; an empty table gives an empty result;
+columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from .shared import stored, texts_of
 
 #: A span may be cut between a letter of A-Z, a-z and one of these, on either side: no pre-token holds both.
 APART = b".,;:!?*&%$#()\"/-"
-SALTS = 64
+#: Salts of a length: at least LEAST_SALTS, and one for so many pieces.
+LEAST_SALTS, PIECES_A_SALT = 64, 500_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -133,8 +136,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, separator: int = 1, size: int
 def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     """``pieces`` (any columns with an integral length of 1..size) with sequence_id and offset."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece") if c in pieces.columns]), F.lit(SALTS)))
-    counts = stored(salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")), "lengths")  # at most size * SALTS rows
+    salts = max(LEAST_SALTS, pieces.count() // PIECES_A_SALT)
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece") if c in pieces.columns]), F.lit(salts)))
+    counts = stored(salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")), "lengths")  # at most size * salts rows
     total = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("__n")).collect()}
     runs: dict[int, list] = {}
     for length, *run in best_fit_plan(total, size):
@@ -144,7 +148,7 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     base = counts.select(F.col("length").alias("__l"), F.col("__salt").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"))
     order = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
     ranked = salted.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(base), (F.col("length") == F.col("__l")) & (F.col("__salt") == F.col("__s"))).withColumn("__r", F.col("__r") + F.col("__before"))
+    ranked = ranked.join(base, (F.col("length") == F.col("__l")) & (F.col("__salt") == F.col("__s"))).withColumn("__r", F.col("__r") + F.col("__before"))
     # lengths are at most ``size``, and the plan has few runs for each
     slot = F.expr("element_at(filter(__runs, r -> __r >= r.rank and __r < r.rank + r.n), 1)")
     placed = ranked.join(F.broadcast(plan), "length").withColumn("__slot", slot)
