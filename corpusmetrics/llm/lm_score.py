@@ -1,27 +1,32 @@
-"""Scores of texts under a smoothed bigram model, as a weighted backoff automaton.
+"""Scores of texts under a smoothed trigram model, as a weighted backoff automaton.
 
-States are the contexts (words, and the begin of a text); a state has an arc for every
-word that was seen at least ``least`` times after it (op2 keeps all), and a failure arc of weight bow(v) to the
-root, whose arcs are all words.  With counts c of the training texts, n(v) uses of v as a
-context, and K and T the sum and the number of the counts kept at v:
+States are the known contexts: all bigrams and words of the training texts, the begin of a
+text, and the root.  A state has an arc for every word seen after it, however seldom, and a
+failure arc to the state of the context one word shorter; the root's arcs are all words.  With
+counts c of the training texts, n(h) uses of h as a context, and m the mass of its order,
 
-    p(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    bow(v)   = (n(v) - K(v) + D T(v)) / n(v)
-    p(w | v) = [kept] (c(vw) - D) / n(v) + bow(v) p(w)
+    p(w)      = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w | h)  = (c(h w) + m p(w | h')) / (n(h) + m),    h' one word shorter
+    failure of h: m / (n(h) + m)
 
-which sums to one over all known words and one unknown.  A text is read once from left
-to right; each word follows its arc or fails to the root, and the log10 weights add up.
+(hierarchical Dirichlet smoothing), which sums to one over all known words and one unknown.
+A text is read once from left to right: each word follows an arc of the state or fails to
+shorter ones until there is one, the log10 weights add up, and the state that is carried on is
+the longest known context.  As that depends on two words only, texts are cut into
+stretches that are walked side by side, each from the state that the words before it leave.
 
 The model is never in one place.  Documents are kept in blocks of bounded size.  A block
-asks the shards for the totals of its own words and bigrams, sending its own counts along,
-and gets back just the weights of the part of the automaton that it will walk.  Where
-``least`` is above 1, a sketch of all bigrams spares those that occur once the way.  A context's bigrams are dealt to
-several shards, which send on only its sums.
+sends the distinct n-grams of its texts, as sorted 64-bit hashes with its own counts, to
+shards by ranges of the hash, and gets back just the totals of its own n-grams: the arcs
+that it will walk.  No n-gram is left out, and no shard gathers a whole context, so frequent
+words load no task more than others; a text longer than a block is cut between words
+into several rows that take their contexts along.
 
 Defined results: null texts are empty and consist of the end alone; rows with null doc_id
-are held out; repeated rows count and are scored each; an empty training set gives the
-uniform weights of N = V = 0; an empty table gives an empty result; columns beyond doc_id
-and text are not read.
+are held out; repeated rows count and are scored each; ties do not arise; very long texts are
+scored whole; an empty training set gives the uniform weights of N = V = 0; an empty
+table gives an empty result; columns beyond doc_id and text, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -37,107 +42,123 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .shared import partitions_for, stored, text_bytes, texts_of
-from .sketch import held, repeated_keys
 
-#: Text of a part of a block, parts of a block, discount, and shards over which the bigrams of a context are dealt.
-PART, PARTS, DISCOUNT, SALTS = 3_000_000, 4, 0.75, 8
-LEAST = 2
+#: Text of a block, and text whose n-grams make up a shard, in bytes.
+BLOCK, SHARD = 4_000_000, 8_000_000
+#: Mass given to the shorter context, for contexts of one word, two words (fixed; not fitted to data).
+MASS = (300.0, 0.3)
+#: Words of a stretch that is walked beside others.
+STRETCH = 64
 BEGIN, END = np.uint64(0xB5297A4D3F84D5A1), np.uint64(0x68E31DA4C1B2F5E7)
 _I64 = np.int64
+_JOIN = np.uint64(0x9FB21C651E98DF25)
+
+
+def cut_text(data: np.ndarray, most: int, before: int):
+    """(context words, bytes) of consecutive pieces of about ``most`` bytes, cut between words; the ``before`` words ahead of a piece stand in front of it."""
+    at, tail = 0, []
+    while True:
+        end = len(data)
+        if end - at > most:
+            spaces = np.flatnonzero(tx.IS_SPACE[data[at + 1 : at + most]])
+            if len(spaces):
+                end = at + 1 + int(spaces[-1])
+            else:  # a word longer than a piece stays whole
+                for x in range(at + most, len(data), most):
+                    spaces = np.flatnonzero(tx.IS_SPACE[data[x : x + most]])
+                    if len(spaces):
+                        end = x + int(spaces[0])
+                        break
+        part = data[at:end]
+        yield len(tail), b" ".join([*tail, part.tobytes()])
+        if end == len(data):
+            return
+        st, en, _ = tx.word_bounds(part, np.array([0, len(part)]))
+        tail = [*tail, *(part[a:b].tobytes() for a, b in zip(st[-before:].tolist(), en[-before:].tolist(), strict=True))][-before:]
+        at = end
+
+
+def _blocks(most: int):
+    """Rows gathered to blocks of about ``most`` bytes of text, compressed.  Read back from a written table, so their names hold."""
 
+    def run(batches):
+        rows, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
+                w.write_table(t.combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+
+        def packed(doc_id, learn, texts, skip, ends, name) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([doc_id, learn, texts, pa.array(skip, pa.int32()), pa.array(ends, pa.bool_()), pa.array(name, pa.int64())], names=["doc_id", "learn", "text", "skip", "ends", "row"])
 
-def _blocks(batches):
-    """Rows gathered to blocks of some parts of about PART bytes of text, compressed.  Read back from a written table, so their names hold."""
-    rows, size, parts = [], 0, []
-
-    def part() -> bytes:
-        t = pa.Table.from_batches(rows)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
-            w.write_table(t.combine_chunks())
-        return sink.getvalue().to_pybytes()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([parts], pa.list_(pa.binary()))], names=["block", "bodies"])
-
-    for batch in batches:
-        for i, j, _, off in tx.slices(tx.column(batch.column("text"))):
-            rows.append(batch.slice(i, j - i))
-            size += int(off[-1])
-            if size >= PART:
-                parts.append(part())
-                rows, size = [], 0
-            if len(parts) == PARTS:
-                yield out()
-                parts = []
-    if rows:
-        parts.append(part())
-    if parts:
-        yield out()
+        for batch in batches:
+            doc_id, learn = batch.column("doc_id"), batch.column("learn")
+            texts = tx.column(batch.column("text"))
+            for i, j, data, off in tx.slices(texts, min(tx.SLICE, most)):
+                n = j - i
+                names = [uuid.uuid4().int >> 65 for _ in range(n)]
+                if n == 1 and len(data) > most:
+                    parts = list(cut_text(data, most, len(MASS)))
+                    for k, (skip, part) in enumerate(parts):
+                        rows.append(packed(doc_id.slice(i, 1), learn.slice(i, 1), pa.array([part], pa.large_binary()).cast(pa.large_string()), [skip], [k + 1 == len(parts)], names))
+                        yield out()
+                        rows, size = [], 0
+                    continue
+                rows.append(packed(doc_id.slice(i, n), learn.slice(i, n), texts.slice(i, n), [0] * n, [True] * n, names))
+                size += int(off[-1])
+                if size >= most:
+                    yield out()
+                    rows, size = [], 0
+        if rows:
+            yield out()
+
+    return run
 
 
 class Part:
-    """Tokens of a part of a block, and its distinct words."""
+    """Tokens of a block and their n-grams."""
 
     def __init__(self, body: bytes):
         t = pa.ipc.open_stream(body).read_all().combine_chunks()
-        self.doc_id, self.learn = t.column("doc_id"), t.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+        self.doc_id, self.row = t.column("doc_id"), t.column("row")
+        self.learn = t.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+        ends = t.column("ends").to_numpy(zero_copy_only=False).astype(bool)
+        skip = t.column("skip").to_numpy()
         codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, _I64)]
         for _, _, data, off in tx.slices(tx.column(t.column("text"))):
             st, en, first = tx.word_bounds(data, off)
             codes.append(tx.span_hashes(data, st, en, lower=True))
             counts.append(np.diff(first))
         n = np.concatenate(counts)
-        #: tokens of each text: its words and the end
-        self.n = n + 1
+        #: tokens of each row: its words, and the end
+        self.n = n + ends
         self.start = np.cumsum(self.n) - self.n
-        word = np.full(int(self.n.sum()), END, np.uint64)
-        word[tx.ragged(self.start, n)] = np.concatenate(codes)
-        self.vocab, inv = np.unique(np.concatenate([np.array([BEGIN, END]), word]), return_inverse=True)
-        self.word = inv[2:].astype(np.int32)
-        self.context = np.concatenate([inv[:1].astype(np.int32), self.word[:-1]])
-        self.context[self.start] = inv[0]
-        self.trained = np.repeat(self.learn, self.n)
-        self.count = np.bincount(self.word[self.trained], minlength=len(self.vocab))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of context and word of the distinct bigrams, ascending; counts in training texts; the bigram of each token."""
-        pair, inv = np.unique(self.context.astype(_I64) * len(self.vocab) + self.word, return_inverse=True)
-        count = np.bincount(inv[self.trained], minlength=len(pair))
-        return self.vocab[pair // len(self.vocab)], self.vocab[pair % len(self.vocab)], count, inv.astype(np.int32)
-
-
-def block_words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of a block, ascending, and their counts in training texts."""
-    parts = [(p.vocab, p.count) for p in map(Part, bodies)]
-    at, (count,), _ = _sums([np.concatenate([p[0] for p in parts])], [np.concatenate([p[1] for p in parts])])
-    return np.concatenate([p[0] for p in parts])[at], count
-
-
-def block_pairs(bodies: list[bytes], sketch=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams of a block (by a sketch only those that may repeat), ascending, and their counts in training texts."""
-    parts = []
-    for p in map(Part, bodies):
-        a, b, n, _ = p.pairs()
-        if sketch is not None:
-            keep = sketch.repeated(bigram_keys(a, b))
-            a, b, n = a[keep], b[keep], n[keep]
-        parts.append((a, b, n))
-    a, b, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    at, (n,), _ = _sums([a, b], [n])
-    return a[at], b[at], n
-
-
-def bigram_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return tx.mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
-
-
-def _learnt_keys(batch):
-    for bodies in batch.column("bodies").to_pylist():
-        for body in bodies:
-            a, b, n, _ = Part(body).pairs()
-            keys = bigram_keys(a[n > 0], b[n > 0])
-            yield np.concatenate([keys, keys[n[n > 0] > 1]])
+        self.word = np.full(int(self.n.sum()), END, np.uint64)
+        self.word[tx.ragged(self.start, n)] = np.concatenate(codes)
+        self.place = np.arange(len(self.word)) - np.repeat(self.start, self.n)
+        #: tokens that are scored: not those that are there as context only
+        self.counted = self.place >= np.repeat(skip, self.n)
+        self.scored = np.bincount(np.repeat(np.arange(len(n)), self.n)[self.counted], minlength=len(n))
+        self.trained = np.repeat(self.learn, self.n) & self.counted
+
+    def grams(self):
+        """For n = 1, 2, ..: distinct n-grams that end in a scored token, ascending; counts in training texts; the n-gram of each token (-1: too few words before it)."""
+        keys = self.word
+        for order in range(len(MASS) + 1):
+            if order:
+                ahead = np.empty_like(keys)
+                ahead[1:] = keys[:-1]
+                ahead[self.place == 0] = BEGIN
+                keys = tx.mix(ahead * _JOIN ^ self.word)
+            have = self.place >= order - 1
+            # tokens that are context only need the totals of their own n-grams too: these say which state they leave
+            uniq, inv = np.unique(keys[have], return_inverse=True)
+            where = np.full(len(keys), -1, np.int32)
+            where[have] = inv
+            yield uniq, np.bincount(inv[self.trained[have]], minlength=len(uniq)).astype(_I64), where
 
 
 def _packed(*arrays: np.ndarray, ascending: int = 0) -> bytes:
@@ -162,177 +183,141 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
-    return (tx.mix(words) % np.uint64(shards)).astype(_I64)
+def _edges(shards: int) -> np.ndarray:
+    """First hash of each shard but the first."""
+    return np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
 
 
-def _pair_shard(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
-    return (tx.mix(a + (b % np.uint64(SALTS)) * np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)).astype(_I64)
-
-
-def _asked(shards: int, sent, kind: str):
-    """What the blocks ask of the shards of words, or of bigrams."""
+def _asked(shards: int):
+    """The n-grams of the blocks, by shards."""
+    edges = _edges(shards)
 
     def run(batches):
-        sketch = held(sent) if sent else None
         for batch in batches:
-            for name, bodies in zip(batch.column("block").to_pylist(), batch.column("bodies").to_pylist(), strict=True):
-                if kind == "pairs":
-                    arrays = block_pairs(bodies, sketch)
-                    shard = _pair_shard(arrays[0], arrays[1], shards)
-                else:
-                    arrays = block_words(bodies)
-                    shard = _word_shard(arrays[0], shards)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                own = np.flatnonzero(np.diff(cut))
-                blobs = [_packed(*(a[order[cut[s] : cut[s + 1]]] for a in arrays), ascending=len(arrays) - 1) for s in own]
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([name] * len(own), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "block", "blob"])
-
-    return run
-
-
-def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Distinct rows of ``keys`` (row numbers of their first), the sums of ``values`` there, and the group of each row."""
-    order = np.lexsort(keys[::-1])
-    head = np.zeros(len(order), bool)
-    head[:1] = True
-    for k in keys:
-        head[1:] |= k[order][1:] != k[order][:-1]
-    group = np.empty(len(order), _I64)
-    group[order] = np.cumsum(head) - 1
-    at = np.flatnonzero(head)
-    return order[at], [np.add.reduceat(v[order].astype(_I64), at) if len(at) else v[:0].astype(_I64) for v in values], group
-
-
-def _pair_totals(word_shards: int, least: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpacked(b) for b in pdf["blob"]]
-        a, b, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        first, (total,), group = _sums([a, b], [n])
-        total = np.where(total >= least, total, 0)
-        answer = total[group]
-        size = np.cumsum([0, *(len(p[0]) for p in parts)])
-        rows = [("r", key[0], block, _packed(answer[x:y])) for block, x, y in zip(pdf["block"], size[:-1], size[1:], strict=True)]
-        kept = total > 0
-        at, (k, t), _ = _sums([a[first][kept]], [total[kept], np.ones(int(kept.sum()))])
-        words = a[first][kept][at]
-        shard = _word_shard(words, word_shards)
-        for s in np.unique(shard).tolist():
-            own = shard == s
-            rows.append(("p", s, -1, _packed(words[own], k[own], t[own])))
-        return pd.DataFrame(rows, columns=["kind", "shard", "block", "blob"])
+            for name, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
+                asks = [(uniq, count, np.concatenate([[0], np.searchsorted(uniq, edges), [len(uniq)]])) for uniq, count, _ in Part(body.as_py()).grams()]
+                own = [s for s in range(shards) if any(cut[s + 1] > cut[s] for *_, cut in asks)]
+                blobs = [_packed(*(u[c[s] : c[s + 1]] for u, _, c in asks), *(n[c[s] : c[s + 1]] for _, n, c in asks), ascending=len(asks)) for s in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([name] * len(own), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "block", "blob"])
 
     return run
 
 
-def _word_totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    asks, sums = pdf[pdf["kind"] == "w"], pdf[pdf["kind"] == "p"]
-    parts = [_unpacked(b) for b in asks["blob"]]
-    more = [_unpacked(b) for b in sums["blob"]]
-    words = np.concatenate([p[0] for p in parts] + [p[0] for p in more])
-    none = np.zeros(sum(len(p[0]) for p in parts), _I64)
-    count = np.concatenate([p[1].astype(_I64) for p in parts] + [np.zeros(len(p[0]), _I64) for p in more])
-    k = np.concatenate([none, *(p[1].astype(_I64) for p in more)])
-    t = np.concatenate([none, *(p[2].astype(_I64) for p in more)])
-    _, (count, k, t), group = _sums([words], [count, k, t])
-    size = np.cumsum([0, *(len(p[0]) for p in parts)])
-    rows = [("r", key[0], block, _packed(*(v[group[x:y]] for v in (count, k, t))), 0, 0) for block, x, y in zip(asks["block"], size[:-1], size[1:], strict=True)]
-    rows.append(("s", key[0], -1, b"", int(count.sum()), int((count > 0).sum())))
-    return pd.DataFrame(rows, columns=["kind", "shard", "block", "blob", "tokens", "words"])
+def _totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Answers to the blocks: the totals of the n-grams they asked for; and a row with the tokens and words of the shard."""
+    parts = [_unpacked(b) for b in pdf["blob"]]
+    orders = len(MASS) + 1
+    answers: list[list[np.ndarray]] = [[] for _ in parts]
+    tokens = words = 0
+    for k in range(orders):
+        keys = np.concatenate([p[k] for p in parts])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        head = np.ones(len(keys), bool)
+        head[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(head)
+        count = np.concatenate([p[orders + k] for p in parts]).astype(_I64)[order]
+        total = np.add.reduceat(count, at) if len(at) else count
+        if k == 0:
+            tokens, words = int(total.sum()), int((total > 0).sum())
+        answer = np.empty(len(keys), _I64)
+        answer[order] = total[np.cumsum(head) - 1]
+        size = np.cumsum([0, *(len(p[k]) for p in parts)])
+        for a, x, y in zip(answers, size[:-1], size[1:], strict=True):
+            a.append(answer[x:y])
+    rows = [(key[0], block, _packed(*a), 0, 0) for block, a in zip(pdf["block"], answers, strict=True)]
+    rows.append((key[0], -1, None, tokens, words))
+    return pd.DataFrame(rows, columns=["shard", "block", "blob", "tokens", "words"])
 
 
 class Automaton:
-    """The part of the model that a block walks: one state for each word of the block, and the begin."""
-
-    def __init__(self, count, kept_sum, kept_number, n_context, pair_context, pair_word, pair_total, tokens: int, words: int):
-        self.root = np.log10((count + 0.1) / (tokens + 0.1 * (words + 1)))
-        n = np.maximum(n_context, 1)
-        bow = np.where(n_context > 0, (n_context - kept_sum + DISCOUNT * kept_number) / n, 1.0)
-        with np.errstate(divide="ignore"):
-            self.fail = np.log10(bow)
-        arc = (pair_total - DISCOUNT) / n[pair_context] + bow[pair_context] * 10 ** self.root[pair_word]
-        self.arc = np.log10(arc)
-
-    def walk(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """Weight of each step: its arc, or (-1: there is none) failure and the root's arc."""
-        out = self.fail[state] + self.root[word]
-        own = arc >= 0
-        out[own] = self.arc[arc[own]]
+    """The part of the model that a block walks, its arcs and failures laid out by the tokens that may take them.
+
+    c[k]: for each token, the total of the (k + 1)-gram that it ends (0: there is no such arc);
+    first: which tokens begin a text.
+    """
+
+    def __init__(self, c: list[np.ndarray], first: np.ndarray, texts: int, tokens: int, words: int):
+        p = (c[0] + 0.1) / (tokens + 0.1 * (words + 1))
+        self.arc = [np.log10(p)]
+        self.fail: list[np.ndarray] = []
+        for order, mass in enumerate(MASS, 1):
+            n = np.zeros(len(p))
+            n[1:] = c[order - 1][:-1]
+            n[first] = texts if order == 1 else 0
+            p = (c[order] + mass * p) / (n + mass)
+            self.arc.append(np.log10(p))
+            self.fail.append(np.log10(mass / (n + mass)))
+        self.known = c
+        # the state that a token leaves: words of the longest known context
+        self.left = np.zeros(len(p), np.int8)
+        for order in range(1, len(MASS) + 1):
+            self.left[c[order - 1] > 0] = order
+
+    def walk(self, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Sums of the weights along stretches of tokens, each walked from its state."""
+        by = np.argsort(-size, kind="stable")
+        at, size, state, total = start[by], size[by], state[by].copy(), np.zeros(len(by))
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t, "left"))  # stretches that have a token there
+            token, now = at[:n] + t, state[:n]
+            # an arc of the state, or failure to a shorter one
+            for order in range(len(MASS), 0, -1):
+                here = np.flatnonzero(now == order)
+                x = token[here]
+                arc = self.known[order][x] > 0
+                total[here] += np.where(arc, self.arc[order][x], self.fail[order - 1][x])
+                now[here] = np.where(arc, -1, order - 1)
+            here = np.flatnonzero(now == 0)
+            total[here] += self.arc[0][token[here]]
+            state[:n] = self.left[token]
+        out = np.empty(len(by))
+        out[by] = total
         return out
 
 
-def _scored(word_shards: int, pair_shards: int, sent, tokens: int, words: int):
+def _scored(texts: int, tokens: int, words: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {(k, s): _unpacked(b) for k, s, b in zip(pdf["kind"], pdf["shard"], pdf["blob"], strict=True) if k != "t"}
-        bodies = list(pdf["bodies"][pdf["kind"] == "t"].iloc[0])
-
-        def gathered(kind: str, shard: np.ndarray, columns: int) -> list[np.ndarray]:
-            order = np.argsort(shard, kind="stable")
-            own = [parts[kind, s] for s in np.unique(shard).tolist()]
-            out = []
-            for i in range(columns):
-                v = np.zeros(len(shard), _I64)
-                if own:
-                    v[order] = np.concatenate([p[i] for p in own]).astype(_I64)
-                out.append(v)
-            return out
-
-        vocab, _ = block_words(bodies)
-        a, b, _ = block_pairs(bodies, held(sent) if sent else None)
-        count, k, t = gathered("w", _word_shard(vocab, word_shards), 3)
-        (total,) = gathered("p", _pair_shard(a, b, pair_shards), 1)
-        kept = total > 0
-        a, b, total = np.searchsorted(vocab, a[kept]), np.searchsorted(vocab, b[kept]), total[kept]
-        begin, end = np.searchsorted(vocab, np.array([BEGIN, END]))
-        n_context = count.copy()
-        n_context[begin], n_context[end] = count[end], 0
-        model = Automaton(count, k, t, n_context, a, b, total, tokens, words)
-        code = a * len(vocab) + b  # ascending
-        out = []
-        for p in map(Part, bodies):
-            place = np.searchsorted(vocab, p.vocab)
-            state, word = place[p.context], place[p.word]
-            step = state * len(vocab) + word
-            arc = np.searchsorted(code, step)
-            arc = np.where((arc < len(code)) & (code[np.minimum(arc, max(0, len(code) - 1))] == step), arc, -1) if len(code) else np.full(len(step), -1)
-            steps = model.walk(state, word, arc)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": p.doc_id.to_pandas().astype("Int64"),
-                        "held_out": ~p.learn,
-                        "n_tokens": p.n,
-                        "n_known": np.add.reduceat((count > 0)[word].astype(_I64), p.start),
-                        "train_tokens": np.full(len(p.n), tokens),
-                        "base_score": np.add.reduceat(model.root[word], p.start),
-                        "score": np.add.reduceat(steps, p.start),
-                    }
-                )
-            )
-        return pd.concat(out, ignore_index=True)
+        answers = pdf[pdf["body"].isna()].sort_values("shard")
+        parts = [_unpacked(b) for b in answers["blob"]]
+        for body in pdf["body"][pdf["body"].notna()]:
+            p = Part(body)
+            c = []
+            for k, (_, _, where) in enumerate(p.grams()):
+                total = np.concatenate([np.zeros(0, _I64), *(x[k].astype(_I64) for x in parts), np.zeros(1, _I64)])  # the last stands for -1
+                c.append(total[where])
+            first = p.place == 0
+            model = Automaton(c, first, texts, tokens, words)
+            # stretches of the scored tokens of each row
+            pieces = -(-p.scored // STRETCH)
+            row = np.repeat(np.arange(len(pieces)), pieces)
+            step = tx.ragged(np.zeros(len(pieces), _I64), pieces) * STRETCH
+            start = (p.start + p.n - p.scored)[row] + step
+            size = np.minimum(STRETCH, p.scored[row] - step)
+            before = np.where(first[start], int(texts > 0), model.left[np.maximum(start - 1, 0)]) if len(start) else np.zeros(0, np.int8)
+            sums = np.bincount(row, model.walk(start, size, before.astype(np.int8)), len(pieces))
+            own = np.repeat(np.arange(len(pieces)), p.n)[p.counted]
+            summed = lambda v: np.bincount(own, v[p.counted], len(pieces))  # noqa: B023, E731
+            return pd.DataFrame({"row": p.row.to_numpy(), "doc_id": p.doc_id.to_pandas().astype("Int64"), "held_out": ~p.learn, "n_tokens": p.scored, "n_known": summed((c[0] > 0).astype(float)).astype(_I64), "base_score": summed(model.arc[0]), "score": sums})
+        return pd.DataFrame(columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def lm_score(docs: DataFrame, learn, least: int = LEAST) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``learn``: a condition on doc_id, true for rows learnt from; ``least``: the count from which a bigram is kept (1: all are)."""
+def lm_score(docs: DataFrame, learn, block: int = BLOCK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``learn``: a condition on doc_id, true for rows learnt from; ``block``: bytes of text worked on at once."""
     docs = texts_of(docs).withColumn("learn", F.coalesce(learn, F.lit(False)))
     total = text_bytes(docs)
-    blocks = stored(docs.mapInArrow(_blocks, "block long, bodies array<binary>"), "blocks")
-    shards = max(8, int(total / 32e6) + 1)
-    sent = repeated_keys(blocks.select("bodies"), _learnt_keys, total / 8, rows=1, room=2) if least > 1 else None
-    asks = "shard int, block long, blob binary"
-    pairs = blocks.mapInArrow(_asked(shards, sent, "pairs"), asks).groupBy("shard").applyInPandas(_pair_totals(shards, least), "kind string, shard int, block long, blob binary")
-    pairs = stored(pairs, "pairs")
-    words = blocks.mapInArrow(_asked(shards, None, "words"), asks).select(F.lit("w").alias("kind"), "shard", "block", "blob")
-    words = words.unionByName(pairs.where("kind = 'p'")).groupBy("shard").applyInPandas(_word_totals, "kind string, shard int, block long, blob binary, tokens long, words long")
-    words = stored(words, "words")
-    n, v = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    answers = words.where("kind = 'r'").select(F.lit("w").alias("kind"), "shard", "block", "blob")
-    answers = answers.unionByName(pairs.where("kind = 'r'").select(F.lit("p").alias("kind"), "shard", "block", "blob"))
-    texts = blocks.select(F.lit("t").alias("kind"), F.lit(0).alias("shard"), "block", F.lit(None).cast("binary").alias("blob"), "bodies")
-    rows = answers.withColumn("bodies", F.lit(None).cast("array<binary>")).unionByName(texts)
-    rows = rows.repartition(partitions_for(docs.sparkSession, total), "block")
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").applyInPandas(_scored(shards, shards, sent, int(n), int(v)), out)
+    blocks = stored(docs.mapInArrow(_blocks(block), "block long, body binary"), "blocks")
+    shards = max(8, int(total / SHARD) + 1)
+    asks = blocks.mapInArrow(_asked(shards), "shard int, block long, blob binary")
+    answers = stored(asks.groupBy("shard").applyInPandas(_totals, "shard int, block long, blob binary, tokens long, words long"), "answers")
+    n, v = answers.where("block = -1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    texts = docs.where("learn").count()
+    rows = answers.where("block <> -1").select("shard", "block", "blob", F.lit(None).cast("binary").alias("body"))
+    rows = rows.unionByName(blocks.select(F.lit(-1).alias("shard"), "block", F.lit(None).cast("binary").alias("blob"), "body"))
+    rows = rows.repartition(partitions_for(docs.sparkSession, total, 16e6), "block")
+    out = rows.groupBy("block").applyInPandas(_scored(texts, int(n), int(v)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    # the pieces of a text longer than a block are added up
+    out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -88,33 +88,39 @@ def jaccard_join(docs: list[tuple]) -> list[tuple]:
     return sorted((d, len(s), comp[d]) for d, s in sets.items())
 
 
-def lm_score(docs: list[tuple], least: int = 2, discount: float = 0.75) -> list[tuple]:
-    import math
-    import zlib
+def language_model(seqs: list[list], mass: tuple = (300.0, 0.3)):
+    """p(words before, word) of the trigram model of token sequences (None: the end; 0: the begin)."""
     from collections import Counter
 
-    uni, bi, seqs = Counter(), Counter(), []
-    for d, t in docs:
-        w = [*WORD.findall((t or "").translate(AZ)), None]
-        held = zlib.crc32(str(d).encode()) % 10 == 0
-        seqs.append((d, held, w))
-        if not held:
-            uni.update(w)
-            bi.update(zip([0, *w[:-1]], w, strict=True))
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for w in seqs:
+        h = [0, *w]
+        uni.update(w)
+        bi.update(zip(h, h[1:]))
+        tri.update(zip(h, h[1:], h[2:]))
     n, v = sum(uni.values()), len(uni)
-    kept = {k: c for k, c in bi.items() if c >= least}
-    ks, ts = Counter(), Counter()
-    for (a, _), c in kept.items():
-        ks[a] += c
-        ts[a] += 1
+    uses = lambda h: len(seqs) if h == 0 else uni[h]
+
+    def p(before: list, x):
+        out = (uni[x] + 0.1) / (n + 0.1 * (v + 1))
+        out = (bi[before[-1], x] + mass[0] * out) / (uses(before[-1]) + mass[0])
+        if len(before) > 1:
+            a, b = before[-2:]
+            out = (tri[a, b, x] + mass[1] * out) / (bi[a, b] + mass[1])
+        return out
+
+    return p, uni, n, v
+
+
+def lm_score(docs: list[tuple]) -> list[tuple]:
+    import math
+    import zlib
+
+    seqs = [(d, zlib.crc32(str(d).encode()) % 10 == 0, [*WORD.findall((t or "").translate(AZ)), None]) for d, t in docs]
+    p, uni, n, v = language_model([w for _, held, w in seqs if not held])
     out = []
     for d, held, w in seqs:
-        base = score = 0.0
-        for a, x in zip([0, *w[:-1]], w, strict=True):
-            p = (uni[x] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(p)
-            na = uni[None] if a == 0 else uni[a]
-            bow = (na - ks[a] + discount * ts[a]) / na if na else 1.0
-            score += math.log10((max(kept[a, x] - discount, 0) / na if (a, x) in kept else 0.0) + bow * p)
+        base = sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        score = sum(math.log10(p([0, *w[:i]], x)) for i, x in enumerate(w))
         out.append((d, held, len(w), sum(uni[x] > 0 for x in w), n, base, score))
     return sorted(out)

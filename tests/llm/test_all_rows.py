@@ -2,24 +2,45 @@
 
 import brute
 import numpy as np
+import pytest
 
 from corpusmetrics.llm import toxicity as tox
 from corpusmetrics.llm.lm_score import lm_score
 from corpusmetrics.llm.queries import crc_mod, op2_lm_score
 
 
-def test_language_model_of_all_bigrams(docs, pairs):
-    got = sorted(tuple(r) for r in lm_score(docs, crc_mod(10) != 0, least=1).collect())
-    for g, w in zip(got, brute.lm_score(pairs, least=1), strict=True):
+def test_the_query_keeps_ngrams_seen_once(spark, tmp_path, docs, pairs):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in op2_lm_score(spark, str(tmp_path)).collect())
+    for g, w in zip(got, brute.lm_score(pairs), strict=True):
         assert g[:5] == w[:5]
         np.testing.assert_allclose(g[5:], w[5:], rtol=1e-9)
 
 
-def test_the_query_keeps_bigrams_seen_once(spark, tmp_path, docs, pairs):
-    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["score"] for r in op2_lm_score(spark, str(tmp_path)).collect()}
-    want = {r[0]: r[6] for r in brute.lm_score(pairs, least=1)}
-    np.testing.assert_allclose([got[d] for d in sorted(got)], [want[d] for d in sorted(want)], rtol=1e-9)
+def test_texts_longer_than_a_block(docs, pairs):
+    got = sorted(tuple(r) for r in lm_score(docs, crc_mod(10) != 0, block=700).collect())
+    for g, w in zip(got, brute.lm_score(pairs), strict=True):
+        assert g[:5] == w[:5]
+        np.testing.assert_allclose(g[5:], w[5:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("text", ["", "  ", "a", "one two three four five six " * 9, "x" * 99 + " y " + "z" * 150 + " end", " a" * 30 + "\n"])
+def test_cut_texts_are_whole(text):
+    from corpusmetrics.llm.lm_score import cut_text
+
+    words = []
+    for skip, part in cut_text(np.frombuffer(text.encode(), np.uint8), 20, 2):
+        own = brute.WORD.findall(part.decode())
+        assert skip == min(2, len(words)) and own[:skip] == words[len(words) - skip :]
+        words += own[skip:]
+    assert words == brute.WORD.findall(text)
+
+
+def test_held_out_texts_fare_better_than_under_bigrams(spark):
+    """Log10 probability of a held-out token: the model, its bigrams alone, and the base."""
+    sf = "/root/testdata/sf0.01"
+    got = op2_lm_score(spark, sf).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b").first()
+    assert got["s"] > -3.0 > -4.0 > got["b"]
 
 
 def test_thresholds_come_from_all_labelled_rows(spark):

@@ -114,33 +114,16 @@ def test_model_sums_to_one(spark):
     probe = [(2 * k + 1, f"a {w}".strip()) for k, w in enumerate(words)]
     df = spark.createDataFrame(train + probe, "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in lm_score(df, F.col("doc_id") % 2 == 0).collect()}
-    plain = brute_model(base)
-    total = sum(plain["a", w] for w in ("a", "b", "c", None, "?"))
-    assert total == pytest.approx(1)
+    p, *_ = brute.language_model([[*t.split(), None] for t in base])
+    known = lambda x: x if x in ("a", "b", "c", None) else "?"
+    assert sum(p([0, "a"], w) for w in ("a", "b", "c", None, "?")) == pytest.approx(1)
+    assert sum(p([0, "a", "b"], w) for w in ("a", "b", "c", None, "?")) == pytest.approx(1)
     for k, w in enumerate(words):
         seq = ["a", *([w] if w else []), None]
-        want = sum(np.log10(plain[x, y if y in ("a", "b", "c", None) else "?"]) for x, y in zip([0, *[s if s in ("a", "b", "c") else "?" for s in seq[:-1]]], seq, strict=True))
+        want = sum(np.log10(p([0, *seq[:i]], known(x))) for i, x in enumerate(seq))
         assert got[2 * k + 1] == pytest.approx(want)
 
 
-def brute_model(texts, discount=0.75):
-    uni, bi = Counter(), Counter()
-    for t in texts:
-        s = [*t.split(), None]
-        uni.update(s)
-        bi.update(zip([0, *s[:-1]], s, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    kept = {k: c for k, c in bi.items() if c >= 2}
-    out = {}
-    for a in [0, "a", "b", "c", "?"]:
-        na = uni[None] if a == 0 else uni[a]
-        k, t = sum(c for (x, _), c in kept.items() if x == a), sum(x == a for x, _ in kept)
-        bow = (na - k + discount * t) / na if na else 1
-        for w in ["a", "b", "c", None, "?"]:
-            out[a, w] = (max(kept.get((a, w), discount) - discount, 0) / na if na else 0) + bow * (uni[w] + 0.1) / (n + 0.1 * (v + 1))
-    return out
-
-
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     rng = np.random.default_rng(6)
     vocab = ["w" + str(i) for i in range(300)]
