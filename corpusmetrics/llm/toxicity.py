@@ -1,35 +1,47 @@
 """Toxicity scores of a convolutional text classifier, trained in numpy.
 
-Words are hashed to embeddings; filters of several widths run over them, their maxima
-over a text feed a logistic unit.  It learns from a sample of labelled rows of bounded
-size (``most`` of each label, drawn by hash of doc_id), with weights that restore the
+The embedding of a word is the sum of hashed embeddings of the word and of its first bytes
+(``HEADS``), so unseen forms of a seen stem are known too.  Filters of several widths run
+over the words; their TOP largest different values over a text (max pooling, then the
+maximum of what lies below) feed a logistic unit.  It learns from a sample of labelled rows of
+bounded size (``most`` of each label, drawn by hash of doc_id), with weights that restore the
 share of each label, so scores are probabilities.  Embeddings start from the smoothed
-log-odds of their words; buckets that the sample never shows are zero.  Thresholds are
-calibrated by language on the scores of all labelled rows that may be learnt from, which
-tasks count by label and step of the grid; scores use nothing but the text.
+log-odds of their buckets; buckets that the sample never shows are zero.  One fold of the
+doc_ids is never fitted: it tells after which epoch to stop.  Thresholds are calibrated by
+language on the scores of all labelled rows that may be learnt from and were not fitted,
+which tasks count by label and step of the grid; scores use nothing but the text.
+
+Training runs in one task, on the bounded sample; the driver gets the weights alone.
 
 Defined results: null and empty texts have the score of an empty text; rows with null
 doc_id are scored but never learnt from; several labels of a doc_id count as the largest;
-null labels count as none; without any label of either kind the score is the prior rate;
-an empty table gives an empty result; extra columns are not read.
+of several texts of a doc_id (repeated rows) one is learnt from, and each is scored; null
+labels count as none; a score on the threshold (a tie) is flagged; very long texts are
+scored whole, and those of more than TRAIN_BYTES are not in the sample; without any label of
+either kind the score is the prior rate; an empty table gives an empty result; extra columns,
+whatever their names, are not read (``not_toxic`` carries them along).
 """
 
 from __future__ import annotations
 
+import pickle
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import texts_of
-
-#: Labelled rows learnt from, of each label at most.
-SAMPLE = 3000
-BUCKET_BITS, DIM, WIDTHS, FILTERS = 18, 8, (1, 2, 3), 12
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+from .shared import stored, texts_of
+
+#: Labelled rows learnt from, of each label at most, and the most bytes of a text among them.
+SAMPLE, TRAIN_BYTES = 3000, 200_000
+#: A doc_id in one of so many is in the fold that is not fitted.
+FOLDS = 5
+BUCKET_BITS, HEADS, DIM, WIDTHS, FILTERS, TOP = 18, (4, 6), 8, (1, 2, 3), 6, 3
+EPOCHS, BATCH, RATE, EMBED_RATE, DECAY, DROP = 8, 32, 0.005, 0.03, 1e-3, 0.2
 SEED = 5
 DEFAULT_THRESHOLD = 0.3
 #: Thresholds to choose from.
@@ -39,44 +51,58 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
 _PAD = 1 << BUCKET_BITS
 _GAP = max(WIDTHS) - 1
+_PARTS = 1 + len(HEADS)
 
 
 class Model(NamedTuple):
     embed: np.ndarray  # buckets + 1 (zeros) x DIM
     filters: list[np.ndarray]  # for each width: width * DIM x FILTERS
     bias: list[np.ndarray]
-    out: np.ndarray
+    out: np.ndarray  # for each width, rank of the maximum and filter; the last is the constant
     prior: float
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words (runs of letters and digits, A-Z lower-cased) of texts, _GAP + 1 pads behind each; where each begins."""
-    spaced = np.where(_INSIDE[data], data, 32).astype(np.uint8)
+    """Buckets of the words (runs of letters and digits, A-Z lower-cased) of texts and of their heads, one column each, _GAP + 1 pads behind each text; where each begins."""
+    spaced = tx.LOWER[np.where(_INSIDE[data], data, 32).astype(np.uint8)]
     st, en, first = tx.word_bounds(spaced, off)
-    bucket = (tx.span_hashes(data, st, en, lower=True) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     n = np.diff(first)
     begin = np.cumsum(n + _GAP + 1) - (n + _GAP + 1)
-    out = np.full(int((n + _GAP + 1).sum()), _PAD, np.int64)
-    out[tx.ragged(begin, n)] = bucket
+    out = np.full((int((n + _GAP + 1).sum()), _PARTS), _PAD, np.int32)
+    at = tx.ragged(begin, n)
+    shift = np.uint64(64 - BUCKET_BITS)
+    out[at, 0] = tx.span_hashes(spaced, st, en) >> shift
+    lanes = tx.lanes(spaced)
+    for k, size in enumerate(HEADS, 1):
+        out[at, k] = tx.mix(tx.heads(lanes, st, en, size) + np.uint64(k << 60)) >> shift
     return out, begin
 
 
 def features(model: Model, ids: np.ndarray, begin: np.ndarray, where: bool = False):
-    """Maxima of all filters for each text (and the places of the maxima)."""
-    x = model.embed[ids]
+    """The TOP largest different values of all filters for each text, least zero (and their places)."""
+    x = model.embed[ids[:, 0]]
+    for k in range(1, _PARTS):
+        x += model.embed[ids[:, k]]
+    n = len(ids) - _GAP
+    size = np.diff(np.append(begin, n))
+    row = np.repeat(np.arange(len(begin)), size)
     outs, places = [], []
     for w, filt, bias in zip(WIDTHS, model.filters, model.bias, strict=True):
-        n = len(ids) - _GAP
         y = x[:n] @ filt[:DIM]
         for j in range(1, w):
             y += x[j : n + j] @ filt[j * DIM : (j + 1) * DIM]
+        y += bias
         for g in range(1, _GAP + 1):  # runs that start there would reach into the next text
             y[begin[1:] - g] = -np.inf
-        best = np.maximum.reduceat(y, begin)
-        outs.append(np.maximum(best + bias, 0))
-        if where:
-            edges = np.append(begin, len(ids))
-            places.append(np.stack([a + y[a : min(b, n)].argmax(axis=0) for a, b in zip(edges[:-1], edges[1:], strict=True)]))
+        for top in range(TOP):
+            best = np.maximum.reduceat(y, begin)
+            outs.append(np.maximum(best, 0))
+            if not where and top + 1 == TOP:
+                break
+            equal = y == best[row]
+            if where:
+                places.append(np.minimum.reduceat(np.where(equal, np.arange(n)[:, None], n), begin))
+            y[equal] = -np.inf
     feats = np.concatenate(outs, axis=1)
     return (feats, places) if where else feats
 
@@ -94,78 +120,102 @@ def doubled(model: Model) -> Model:
     return Model(model.embed.astype(np.float64), [f.astype(np.float64) for f in model.filters], [b.astype(np.float64) for b in model.bias], model.out.astype(np.float64), model.prior)
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
-    """weights: how many rows each row of the sample stands for."""
+def gradients(model: Model, ids: np.ndarray, begin: np.ndarray, labels: np.ndarray, scale: np.ndarray, kept: np.ndarray):
+    """Of the weighted mean log loss: gradients of filters, bias and out, and (rows, gradients) of embed.  ``kept``: factors of the features (dropout)."""
+    feats, places = features(model, ids, begin, where=True)
+    used = feats * kept
+    z = used @ model.out[:-1] + model.out[-1]
+    err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * scale / len(begin)
+    down = err[:, None] * model.out[None, :-1] * kept * (feats > 0)
+    g_filters, g_bias, rows, g_rows = [], [], [], []
+    for w_no, (w, filt) in enumerate(zip(WIDTHS, model.filters, strict=True)):
+        g, gb = np.zeros_like(filt), np.zeros(FILTERS, filt.dtype)
+        for top in range(TOP):
+            col = w_no * TOP + top
+            d = down[:, col * FILTERS : (col + 1) * FILTERS]
+            r, f = np.nonzero(d)
+            v = d[r, f][:, None]
+            gb += d.sum(axis=0).astype(filt.dtype)
+            for j in range(w):
+                token = ids[places[col][r, f] + j]
+                x = sum(model.embed[token[:, k]] for k in range(_PARTS))
+                np.add.at(g[j * DIM : (j + 1) * DIM].T, f, (x * v).astype(filt.dtype))
+                part = filt[j * DIM : (j + 1) * DIM].T[f] * v
+                for k in range(_PARTS):
+                    rows.append(token[:, k])
+                    g_rows.append(part)
+        g_filters.append(g)
+        g_bias.append(gb)
+    return g_filters, g_bias, np.append(err @ used, err.sum()).astype(model.out.dtype), (np.concatenate(rows), np.concatenate(g_rows))
+
+
+def log_loss(model: Model, parts: list, labels: np.ndarray, scale: np.ndarray) -> float:
+    p = np.clip(np.concatenate([scores(model, *x) for x in parts]), 1e-6, 1 - 1e-6)
+    return float(-(scale * np.where(labels > 0, np.log(p), np.log(1 - p))).sum() / scale.sum())
+
+
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, held: np.ndarray | None = None, epochs: int = EPOCHS) -> Model:
+    """weights: how many rows each row of the sample stands for; held: rows not to fit, by whose loss the best epoch is chosen."""
     rng = np.random.default_rng(SEED)
-    found = [tokens(d, o) for _, _, d, o in tx.slices(tx.column(pa.array(texts, pa.large_string())))]
-    ids = np.concatenate([np.zeros(0, np.int32), *(f[0].astype(np.int32) for f in found)])
-    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(np.append(f[1], len(f[0]))) for f in found)])
-    begin = np.cumsum(size) - size
+    held = np.zeros(len(labels), bool) if held is None else held
     rate = float((weights * labels).sum() / weights.sum()) if len(labels) else 0.0
     rate = min(max(rate, 1e-3), 1 - 1e-3)
     embed = np.zeros((_PAD + 1, DIM), np.float32)
-    shapes = [(w * DIM, FILTERS) for w in WIDTHS]
-    filters = [rng.normal(0, (2 / s[0]) ** 0.5, s).astype(np.float32) for s in shapes]
+    filters = [rng.normal(0, (1 / (w * DIM)) ** 0.5, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS + 1).astype(np.float32)
+    out = rng.normal(0, 0.1, len(WIDTHS) * TOP * FILTERS + 1).astype(np.float32)
     out[-1] = np.log(rate / (1 - rate))
-    if not len(labels) or labels.min() == labels.max():
+    fit = np.flatnonzero(~held)
+    if not len(fit) or labels[fit].min() == labels[fit].max():
         out[:-1] = 0
         return Model(embed, filters, bias, out, rate)
-    edges = np.append(begin, len(ids))
+    split = lambda some: [tokens(d, o) for _, _, d, o in tx.slices(tx.column(pa.array(some, pa.large_string())))]
+    parts = split([texts[i] for i in fit])
+    check = split([texts[i] for i in np.flatnonzero(held)])
+    ids = np.concatenate([f[0] for f in parts])
+    size = np.concatenate([np.diff(np.append(f[1], len(f[0]))) for f in parts])
+    begin = np.cumsum(size) - size
+    y, w = labels[fit], weights[fit]
     # smoothed log-odds of each bucket, by documents that hold it
-    bad, all_ = np.zeros(_PAD + 1), np.zeros(_PAD + 1)
-    for a, b, y, w in zip(edges[:-1], edges[1:], labels, weights, strict=True):
-        word = np.unique(ids[a:b])
-        bad[word] += w * y
-        all_[word] += w
-    strength = 10 * weights.mean()
-    odds = np.log((bad + strength * rate) / (all_ - bad + strength * (1 - rate))) - np.log(rate / (1 - rate))
-    seen = np.flatnonzero(all_[:_PAD])
-    embed[seen] = rng.normal(0, 0.02, (len(seen), DIM)).astype(np.float32)
-    embed[seen, 0] = odds[seen]
+    strength = 10 * w.mean()
+    for k in range(_PARTS):
+        doc = np.repeat(np.arange(len(size)), size)
+        pair = np.unique(doc.astype(np.int64) * (_PAD + 1) + ids[:, k])
+        doc, bucket = pair // (_PAD + 1), pair % (_PAD + 1)
+        bad, all_ = np.bincount(bucket, (w * y)[doc], _PAD + 1), np.bincount(bucket, w[doc], _PAD + 1)
+        odds = np.log((bad + strength * rate) / (all_ - bad + strength * (1 - rate))) - np.log(rate / (1 - rate))
+        seen = np.flatnonzero(all_[:_PAD])
+        embed[seen] += rng.normal(0, 0.02, (len(seen), DIM)).astype(np.float32)
+        embed[seen, k] += odds[seen]
     for f in filters:
-        f[::DIM] = np.abs(f[::DIM])  # every filter answers to suspicious words at first
+        for k in range(_PARTS):
+            f[k::DIM] = np.abs(f[k::DIM])  # every filter answers to suspicious words at first
     out[:-1] = np.abs(out[:-1])
     model = Model(embed, filters, bias, out, rate)
-    scale = weights / weights.mean()
+    scale = w / w.mean()
     params = [*filters, *bias, out]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(EPOCHS):
+    best, best_loss, step = None, np.inf, 0
+    for _ in range(epochs):
         order = rng.permutation(len(begin))
         for i in range(0, len(order), BATCH):
             rows = np.sort(order[i : i + BATCH])
-            size = (edges[1:] - edges[:-1])[rows]
-            part = ids[tx.ragged(begin[rows], size)]
-            start = np.cumsum(size) - size
-            feats, places = features(model, part, start, where=True)
-            z = feats @ out[:-1] + out[-1]
-            err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) * scale[rows] / len(rows)).astype(np.float32)
-            grads: list[np.ndarray] = []
-            g_bias = []
-            down = err[:, None] * out[None, :-1] * (feats > 0)
-            g_embed_rows, g_embed = [], []
-            for w_no, (w, filt) in enumerate(zip(WIDTHS, filters, strict=True)):
-                d = down[:, w_no * FILTERS : (w_no + 1) * FILTERS]
-                g = np.zeros_like(filt)
-                for j in range(w):
-                    token = part[places[w_no] + j]
-                    g[j * DIM : (j + 1) * DIM] = np.einsum("rfd,rf->df", embed[token], d)
-                    g_embed_rows.append(token.ravel())
-                    g_embed.append((d[:, :, None] * filt[j * DIM : (j + 1) * DIM].T[None]).reshape(-1, DIM))
-                grads.append(g)
-                g_bias.append(d.sum(axis=0))
-            grads += [*g_bias, np.append(err @ feats, err.sum()).astype(np.float32)]
+            part = ids[tx.ragged(begin[rows], size[rows])]
+            start = np.cumsum(size[rows]) - size[rows]
+            kept = (rng.random((len(rows), len(out) - 1)) >= DROP) / (1 - DROP)
+            g_filters, g_bias, g_out, (touched, g_embed) = gradients(model, part, start, y[rows], scale[rows], kept)
             step += 1
-            for k, (p, g) in enumerate(zip(params, grads, strict=True)):
-                g = g + 1e-4 * p
+            for k, (p, g) in enumerate(zip(params, [*g_filters, *g_bias, g_out], strict=True)):
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
-                p -= RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
-            np.add.at(embed, np.concatenate(g_embed_rows), -0.1 * np.concatenate(g_embed))
+                p -= RATE * (m1[k] / (1 - 0.9**step) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8) + DECAY * p)
+            np.add.at(embed, touched, (-EMBED_RATE * g_embed).astype(np.float32))
+            embed[np.unique(touched)] *= 1 - DECAY
             embed[_PAD] = 0
-    return model
+        if len(check) and best_loss > (loss := log_loss(model, check, labels[held], weights[held])):
+            best_loss = loss
+            best = Model(embed.copy(), [f.copy() for f in filters], [b.copy() for b in bias], out.copy(), rate)
+    return best or model
 
 
 def calibrate(counts: dict[str, np.ndarray]) -> dict[str, float]:
@@ -198,39 +248,62 @@ def labelled(labels: DataFrame, learn) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("__y").cast("int").alias("__y"))
 
 
-def sample(docs: DataFrame, known: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most ``most`` rows of each label."""
-    total = {r[0]: r[1] for r in known.groupBy("__y").agg(F.count("*")).collect()}
-    ids = [r for y in (0, 1) for r in known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    if not ids:
-        return [], np.zeros(0), np.zeros(0)
-    wanted = docs.sparkSession.createDataFrame(ids, "doc_id long, __y int")
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    # ``wanted`` has at most 2 * most rows; a doc_id that stands twice is learnt from once
-    rows = texts_of(docs, lang.alias("__lang")).join(F.broadcast(wanted), "doc_id").collect()
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["text"] or "", r["__lang"] or ""))}.values(), key=lambda r: r["doc_id"])
-    y = np.array([r["__y"] for r in rows], np.float64)
-    weight = np.array([total[r["__y"]] / max(1, min(most, total[r["__y"]])) for r in rows], np.float64)
-    return [r["text"] or "" for r in rows], y, weight
+def sample_ids(known: DataFrame, most: int) -> DataFrame:
+    """doc_id, __y, __held (in the fold that is not fitted) of at most ``most`` rows of each label."""
+    some = [known.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+    return some[0].unionByName(some[1]).withColumn("__held", F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)) == 0)
+
+
+def packed(model: Model) -> bytes:
+    used = np.flatnonzero(model.embed.any(axis=1))
+    return pickle.dumps((used, model.embed[used], model._replace(embed=None)))
+
+
+def unpacked(blob: bytes) -> Model:
+    """As it scores: in double precision."""
+    used, rows, model = pickle.loads(blob)
+    embed = np.zeros((_PAD + 1, DIM), np.float32)
+    embed[used] = rows
+    return doubled(model._replace(embed=embed))
+
+
+def _trained(totals: dict[int, int], most: int):
+    """A task that learns from all rows of the sample, and gives the model as one row."""
+
+    def run(batches):
+        # a doc_id that stands twice is learnt from once
+        rows = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame(columns=["doc_id", "text", "y", "held"])])
+        rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id", keep="last")
+        y = rows["y"].to_numpy(np.float64)
+        weight = np.array([totals[int(x)] / max(1, min(most, totals[int(x)])) for x in y])
+        model = train(rows["text"].tolist(), y, weight, rows["held"].to_numpy(bool))
+        yield pa.RecordBatch.from_arrays([pa.array([packed(model)], pa.binary())], names=["model"])
+
+    return run
+
+
+def fitted(docs: DataFrame, known: DataFrame, wanted: DataFrame, most: int) -> bytes:
+    """The model, with a row of embed for each bucket that it knows."""
+    totals = {r[0]: r[1] for r in known.groupBy("__y").agg(F.count("*")).collect()}
+    # ``wanted`` has at most 2 * most rows, and one task reads their texts
+    rows = texts_of(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(wanted), "doc_id")
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("__y").alias("y"), F.col("__held").alias("held"))
+    row = rows.repartition(1).mapInArrow(_trained(totals, most), "model binary").first()
+    return bytes(row["model"]) if row else packed(train([], np.zeros(0), np.zeros(0)))
 
 
 def scored_rows(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> DataFrame:
     """``docs`` whole, with __score and __threshold (that of the row's language)."""
-    known = labelled(labels, learn)
-    texts, y, weight = sample(docs, known, most)
-    model = doubled(train(texts, y, weight))
-    used = np.flatnonzero(model.embed.any(axis=1))
+    known = stored(labelled(labels, learn), "known")
+    wanted = stored(sample_ids(known, most), "sample")
     # a row for each bucket at most
-    sent = docs.sparkSession.sparkContext.broadcast((used, model.embed[used], model._replace(embed=None)))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, known, wanted, most))
     place = docs.columns.index("text")
 
     def scored_batches(batches, place: int):
-        used, rows, model = sent.value
-        embed = np.zeros((_PAD + 1, DIM))
-        embed[used] = rows
-        model = model._replace(embed=embed)
+        model = unpacked(sent.value)
         for batch in batches:
-            out = [scores(model, *tokens(d, o)) for _, _, d, o in tx.slices(tx.column(batch.column(place)), tx.SLICE // 2)]
+            out = [scores(model, *tokens(d, o)) for _, _, d, o in tx.slices(tx.column(batch.column(place)), tx.SLICE // 4)]
             yield batch, np.concatenate(out) if out else np.zeros(0)
 
     def run(batches):
@@ -242,14 +315,14 @@ def scored_rows(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -
             step = np.searchsorted(GRID, score, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(step)], names=["doc_id", "lang", "step"])
 
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    # texts are scored where they are; only ids, languages and steps meet the labels
+    reached = texts_of(docs, F.coalesce(lang, F.lit("")).alias("lang")).where(learn).mapInArrow(steps, "doc_id long, lang string, step int").join(known, "doc_id")
+    reached = reached.join(F.broadcast(wanted.where("not __held").select("doc_id")), "doc_id", "left_anti")
     counts: dict[str, np.ndarray] = {}
-    if len(y):
-        lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-        # texts are scored where they are; only ids, languages and steps meet the labels
-        reached = texts_of(docs, F.coalesce(lang, F.lit("")).alias("lang")).where(learn).mapInArrow(steps, "doc_id long, lang string, step int").join(known, "doc_id")
-        # a row for each language, label and step
-        for r in reached.groupBy("lang", "__y", "step").agg(F.count("*").alias("n")).collect():
-            counts.setdefault(r["lang"], np.zeros((2, len(GRID) + 1), np.int64))[int(r["__y"] > 0), r["step"]] += r["n"]
+    # a row for each language, label and step
+    for r in reached.groupBy("lang", "__y", "step").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["lang"], np.zeros((2, len(GRID) + 1), np.int64))[int(r["__y"] > 0), r["step"]] += r["n"]
     thresholds = calibrate(counts)
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
