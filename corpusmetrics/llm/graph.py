@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+def _thinned(batches):
+    """Of the links of each batch a forest: all to the least node that the batch reaches."""
+    for batch in batches:
+        node, root = forest(batch.column("u").to_numpy(), batch.column("v").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (least node reachable) of every node of the links that isn't its own root."""
-    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = stored(e, "links")
+    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")
+    e = stored(e.mapInArrow(_thinned, "u long, v long").distinct(), "links")
     seen = None
     while True:
         # large star: the larger neighbours of a node go to its least neighbour

@@ -217,8 +217,9 @@ def shingle_components(docs: DataFrame, k: int, share: int) -> DataFrame:
     docs = texts_of(docs)
     docs = docs.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
     total = text_bytes(docs)
-    sent = repeated_keys(docs.select("text"), _keys(k), total / 6, rows=1, room=2, levels=LEVELS)
+    sent = repeated_keys(docs.select("text"), _keys(k), total / 6, rows=1, room=1, levels=LEVELS)
     sets = stored(docs.select("doc", "text").mapInArrow(_sets(k, share, sent), "doc long, n long, name binary, body binary, prefix array<long>"), "sets")
+    sent.destroy()
     named = sets.where("n > 0").groupBy("n", "name").agg(F.min("doc").alias("node"), F.bool_or(F.col("body").isNotNull()).alias("live"))
     # one row of a class speaks for it
     speaker = F.first("prefix").alias("prefix")

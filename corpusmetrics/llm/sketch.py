@@ -30,7 +30,7 @@ FLUSH = 2_000_000
 #: Indices merged by one task at a time.
 MERGED = 32_000_000
 #: Parts in which the driver fetches a sketch.
-FETCHES = 4
+FETCHES = 16
 _SALT = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
