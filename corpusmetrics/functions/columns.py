@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import EFFORTS, LABEL_POINTS, LABELS
+from .constants import EFFORTS, LABEL_POINTS, LABELS, WHITE
 
 
 def effort_order(effort: Column) -> Column:
@@ -62,7 +62,8 @@ def total_tokens(total: Column, input_: Column, output: Column) -> Column:
 
 
 def reasoning_by_subtraction(has_block: Column, output: Column, visible: Column, overhead: Column) -> Column:
-    return F.when(has_block, F.greatest(F.lit(0), output - visible + overhead)).otherwise(F.lit(0))
+    """A text without a reasoning block has none; one with a block what the billed output exceeds the visible text by, negative or not."""
+    return F.when(has_block, output - visible + overhead).otherwise(F.lit(0))
 
 
 def json_long(raw: Column, path: str, missing: int | None = None) -> Column:
@@ -74,8 +75,13 @@ def group_field(category: Column, subject: Column) -> Column:
     return F.coalesce(F.nullif(category, F.lit("")), F.nullif(subject, F.lit("")))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def is_blank(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit(""))) == ""
+    return stripped(F.coalesce(c, F.lit(""))) == ""
 
 
 def hyphen_slug(c: Column) -> Column:
@@ -89,7 +95,7 @@ def underscore_slug(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    return F.substring(F.sha1(F.trim(c)), 1, 16)
+    return F.substring(F.sha1(stripped(c)), 1, 16)
 
 
 def template_key(c: Column) -> Column:
@@ -112,5 +118,10 @@ def guarded_corr(x: str, y: str) -> Column:
     return F.when((n > 1) & (scale > 1e-12), cov / F.when(scale > 1e-12, scale))
 
 
+def distinct_in_order(values: Column) -> Column:
+    """Each value of a list once, where it stands first."""
+    return F.array_distinct(values)
+
+
 def in_lists(c: Column, stop: list[str]) -> Column:
     return F.array_contains(F.array(*map(F.lit, stop)), c)

@@ -15,6 +15,9 @@ BIN_EDGES = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0
 BLEU_EPSILON = 0.1
 CALIBRATION_MEAN, CALIBRATION_LEAST, TREND_TOLERANCE, CALIBRATION_ROWS = 0.30, 0.21, 0.5, 30
 
+# Fixed value: white space, as a class that Java's and RE2's patterns share.
+WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 # Patterns of the three tokenizers.
 LEXICAL_TOKEN = "[a-z0-9]+(?:[-'][a-z0-9]+)*"
 VOCABULARY_TOKEN = "[A-Za-z][A-Za-z-]*[A-Za-z]|[A-Za-z]"
@@ -54,3 +57,17 @@ CELL_CONTRASTS = (
     ("vs", "high", "ssot", "high"),
     ("vs", "high", "ssot", "low"),
 )
+
+# Contrasts of distances (8) and of quality (7), and the comparisons of tiers, each as (kind, tier; kind, tier).
+GAIN_CONTRASTS = (
+    ("default", "high", "default", "low"),
+    ("vs", "low", "default", "low"),
+    ("vs", "low", "default", "high"),
+    ("vs", "high", "default", "high"),
+    ("vs", "high", "default", "low"),
+    ("ssot", "low", "default", "low"),
+    ("ssot", "high", "default", "high"),
+    ("ssot", "high", "default", "low"),
+)
+QUALITY_CONTRASTS = tuple(c for c in GAIN_CONTRASTS if c != ("vs", "low", "default", "high"))
+EFFECT_COMPARISONS = (("none", "low"), ("none", "medium"), ("none", "high"), ("low", "high"), ("medium", "high"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.columns import effort_order, rate, safe_ratio, stopped_at_limit
+from ..functions.columns import effort_order, is_blank, rate, safe_ratio, stopped_at_limit
+from . import pairs as P
 
 GROUP = ("keyword", "effort")
 
@@ -31,19 +32,13 @@ def mean_pairwise_distance(samples: DataFrame, by: Sequence[str] = GROUP, small:
 
 
 def pair_distances(samples: DataFrame, by: Sequence[str] = GROUP, index: str = "row_idx") -> DataFrame:
-    """All pairs i < j of a group with their distance: a hash join on the group, with i < j as a residual."""
-    u = with_unit(samples).select(*by, F.col(index).alias("i"), F.col("u").alias("ui"))
-    w = u.select(*by, F.col("i").alias("j"), F.col("ui").alias("uj"))
-    return u.join(w, list(by)).where("i < j").select(*by, "i", "j", V.cosine_distance(F.col("ui"), F.col("uj")).alias("distance"))
-
-
-def pair_summary(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    return pairs.groupBy(*by).agg(
-        F.count("*").alias("n_pairs"),
-        F.avg("distance").alias("mean_distance"),
-        F.percentile("distance", F.lit(0.5)).alias("median_distance"),
-        F.stddev_pop("distance").alias("std_distance"),
-    )
+    """All pairs i < j of a group with their distance, by matrix products of tiles."""
+    return P.all_pairs(samples, by, index)
+
+
+def pair_summary(samples: DataFrame, by: Sequence[str] = GROUP, group: Sequence[str] | None = None, index: str = "row_idx") -> DataFrame:
+    """n_pairs, mean, median and population deviation of the distances within ``by``, by ``group`` (some of ``by``)."""
+    return P.summary(samples, by, group, index)
 
 
 def centroids(samples: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
@@ -68,7 +63,8 @@ def centroid_matrix(samples: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
 
 def keyword_effort_summary(samples: DataFrame, by: Sequence[str] = ("category", "keyword", "effort")) -> DataFrame:
     """One row a group: counts, lengths, rates, tokens, and the distances of mean_pairwise, median and centroid."""
-    counts = samples.groupBy(*by).agg(
+    u = with_unit(samples)
+    one = u.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg("word_count").alias("mean_word_count"),
         F.avg("char_count").alias("mean_char_count"),
@@ -79,11 +75,16 @@ def keyword_effort_summary(samples: DataFrame, by: Sequence[str] = ("category",
         F.avg("output_tokens").alias("mean_output_tokens"),
         F.avg("total_tokens").alias("mean_total_tokens"),
         F.max("output_tokens").alias("max_output_tokens"),
+        V.vector_sum(F.col("u")).alias("__total"),
+        F.sum(V.dot(F.col("u"), F.col("u"))).alias("__squares"),
+        V.vector_mean(V.doubles(F.col("vec"))).alias("__centroid"),
     )
-    mean = mean_pairwise_distance(samples, by).select(*by, F.col("mean_distance").alias("mean_pairwise_distance"))
-    median = pair_distances(samples, by).groupBy(*by).agg(F.percentile("distance", F.lit(0.5)).alias("median_pairwise_distance"))
-    spread = centroid_spread(samples, by)
-    out = counts.join(mean, list(by), "left").join(median, list(by), "left").join(spread, list(by), "left")
+    mean = F.coalesce(V.mean_pair_distance(F.col("__total"), F.col("__squares"), F.col("n")), F.lit(0.0))
+    one = one.withColumn("mean_pairwise_distance", mean)
+    d = u.select(*by, "u").join(one.select(*by, V.unit(F.col("__centroid")).alias("cu")), list(by)).withColumn("d", 1 - V.dot(F.col("u"), F.col("cu")))
+    spread = d.groupBy(*by).agg(F.avg("d").alias("mean_to_centroid"), F.stddev_pop("d").alias("std_to_centroid"))
+    median = pair_summary(samples, by).select(*by, F.col("median_distance").alias("median_pairwise_distance"))
+    out = one.drop("__total", "__squares", "__centroid").join(median, list(by), "left").join(spread, list(by), "left")
     return out.withColumn("median_pairwise_distance", F.coalesce("median_pairwise_distance", F.lit(0.0)))
 
 
@@ -95,27 +96,28 @@ def effort_summary(rows: DataFrame, means: Sequence[str], total: str = "n", most
 
 def category_summary(rows: DataFrame, value: str) -> DataFrame:
     """By category and effort: mean, population deviation (0 for one row), least and most; blank categories are left out."""
-    rows = rows.where(F.trim(F.coalesce("category", F.lit(""))) != "")
+    rows = rows.where(~is_blank(F.col("category")))
     return rows.groupBy("category", "effort").agg(F.count("*").alias("n_keywords"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
 def cross_within(samples: DataFrame, by: str, side: str) -> DataFrame:
-    """For each two sides a < b within a group: mean cross distance, distance of centroids, and cross over mean within."""
-    s = group_sums(samples, [by, side])
+    """For each two sides a < b within a group: mean cross distance, distance of the centroids of raw vectors, and cross over mean within."""
+    u = with_unit(samples)
+    s = u.groupBy(by, side).agg(F.count("u").alias("n"), V.vector_sum(F.col("u")).alias("total"), F.sum(V.dot(F.col("u"), F.col("u"))).alias("squares"), V.vector_mean(V.doubles(F.col("vec"))).alias("centroid"))
     within = V.mean_pair_distance(F.col("total"), F.col("squares"), F.col("n"))
     s = s.withColumn("within", within)
-    a = s.select(by, *(F.col(c).alias(c + "_a") for c in (side, "n", "total", "within")))
-    b = s.select(by, *(F.col(c).alias(c + "_b") for c in (side, "n", "total", "within")))
+    a = s.select(by, *(F.col(c).alias(c + "_a") for c in (side, "n", "total", "within", "centroid")))
+    b = s.select(by, *(F.col(c).alias(c + "_b") for c in (side, "n", "total", "within", "centroid")))
     j = a.join(b, by).where(F.col(side + "_a") < F.col(side + "_b"))
     cross = V.mean_cross_distance(F.col("total_a"), F.col("total_b"), F.col("n_a"), F.col("n_b"))
     enough = (F.col("n_a") > 1) & (F.col("n_b") > 1)
-    centroid = 1 - V.dot(V.unit(F.col("total_a")), V.unit(F.col("total_b")))
+    centroid = 1 - V.dot(V.unit(F.col("centroid_a")), V.unit(F.col("centroid_b")))
     return j.select(
         by,
         side + "_a",
         side + "_b",
         cross.alias("cross_distance"),
-        F.when(enough, centroid).alias("unit_centroid_distance"),
+        F.when(enough, centroid).alias("centroid_distance"),
         F.when(enough, safe_ratio(cross, (F.col("within_a") + F.col("within_b")) / 2)).alias("cross_within_ratio"),
     )
 
@@ -140,27 +142,31 @@ def separability(samples: DataFrame, group: str = "keyword", within: Sequence[st
 
 
 def leave_one_out(samples: DataFrame, group: str = "keyword", within: Sequence[str] = ("effort",)) -> DataFrame:
-    """Separability without each group, by taking its part from the sums, and the shift against all groups."""
-    g = group_sums(samples, [*within, group]).withColumn("own", V.dot(F.col("total"), F.col("total"))).withColumn("pairs", F.col("n") * (F.col("n") - 1))
-    s = g.groupBy(*within).agg(V.vector_sum(F.col("total")).alias("all"), *(F.sum(c).alias("s_" + c) for c in ("n", "own", "squares", "pairs")), F.sum(F.col("n") * F.col("n")).alias("s_nn"))
+    """Separability without each group, by taking its part from the sums, and the shift against all groups.
+
+    Intra is the unweighted mean of the groups' own mean distances (groups of one row have none); inter is over all
+    pairs of different groups.
+    """
+    g = group_sums(samples, [*within, group]).withColumn("own", V.dot(F.col("total"), F.col("total")))
+    g = g.withColumn("intra", V.mean_pair_distance(F.col("total"), F.col("squares"), F.col("n")))
+    s = g.groupBy(*within).agg(V.vector_sum(F.col("total")).alias("all"), *(F.sum(c).alias("s_" + c) for c in ("n", "own")), F.sum("intra").alias("s_intra"), F.count("intra").alias("s_have"), F.sum(F.col("n") * F.col("n")).alias("s_nn"))
     j = g.join(s, list(within))
     rest = F.zip_with("all", "total", lambda x, y: x - y)
-    n, own, squares, pairs = (F.col("s_" + c) - F.col(c) for c in ("n", "own", "squares", "pairs"))
-    nn = F.col("s_nn") - F.col("n") * F.col("n")
 
-    def ratio(all_, n, own, squares, pairs, nn):
-        intra = F.when(pairs > 0, 1 - (own - squares) / pairs)
+    def ratio(all_, n, own, nn, intra, have):
         inter = F.when(n * n - nn > 0, 1 - (all_ - own) / (n * n - nn))
-        return safe_ratio(inter, intra)
+        return safe_ratio(inter, F.when(have > 0, intra / have))
 
-    whole = ratio(V.dot(F.col("all"), F.col("all")), *(F.col("s_" + c) for c in ("n", "own", "squares", "pairs", "nn")))
+    whole = ratio(V.dot(F.col("all"), F.col("all")), *(F.col("s_" + c) for c in ("n", "own", "nn", "intra", "have")))
     j = j.withColumn("rest", rest)
-    left = ratio(V.dot(F.col("rest"), F.col("rest")), n, own, squares, pairs, nn)
+    have = F.col("s_have") - F.col("intra").isNotNull().cast("int")
+    intra = F.col("s_intra") - F.coalesce("intra", F.lit(0.0))
+    left = ratio(V.dot(F.col("rest"), F.col("rest")), F.col("s_n") - F.col("n"), F.col("s_own") - F.col("own"), F.col("s_nn") - F.col("n") * F.col("n"), intra, have)
     return j.select(*within, group, left.alias("separability"), (left - whole).alias("shift"))
 
 
 def most_influential(loo: DataFrame, group: str = "keyword", within: Sequence[str] = ("effort",)) -> DataFrame:
-    return loo.groupBy(*within).agg(F.max_by(group, F.struct(F.abs("shift"), F.col(group))).alias(group), F.max(F.abs("shift")).alias("largest_shift"))
+    return loo.groupBy(*within).agg(F.max_by(group, F.when(F.col("shift").isNotNull(), F.struct(F.abs("shift"), F.col(group)))).alias(group), F.max(F.abs("shift")).alias("largest_shift"))
 
 
 def per_group_variation(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

@@ -55,12 +55,12 @@ def collapse_orders(judged: DataFrame, pair: Sequence[str]) -> DataFrame:
     return judged.groupBy(*pair).agg(F.min("answer").alias("answer"), F.min_by("distance", "order").alias("distance"))
 
 
-def calibration(pairs: DataFrame, edges: Sequence[float] = BIN_EDGES) -> DataFrame:
-    """Labels by half-open bins of distance; what lies beyond the last edge is left out."""
+def calibration(pairs: DataFrame, by: Sequence[str] = ("effort",), edges: Sequence[float] = BIN_EDGES) -> DataFrame:
+    """Labels by tier and half-open bins of distance; what lies beyond the last edge is left out."""
     bins = F.array(*(F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in zip(edges[:-1], edges[1:], strict=True)))
     own = F.element_at(F.filter(bins, lambda b: (F.col("distance") >= b["lo"]) & (F.col("distance") < b["hi"])), 1)
     inside = pairs.where((F.col("distance") >= edges[0]) & (F.col("distance") < edges[-1])).withColumn("bin", own)
-    return inside.groupBy("bin.lo", "bin.hi").agg(*_counts(), F.avg("distance").alias("mean_distance"))
+    return inside.groupBy(*by, "bin.lo", "bin.hi").agg(*_counts(), F.avg("distance").alias("mean_distance"))
 
 
 def beyond_bins(pairs: DataFrame, edges: Sequence[float] = BIN_EDGES) -> DataFrame:

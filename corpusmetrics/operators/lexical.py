@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grams
 from ..functions import text as T
 from ..functions.columns import safe_ratio
 from ..functions.constants import BLEU_EPSILON, FACETS
+from . import pairs as P
+from .pairs import kinds
 
 
 def facet_rows(texts: DataFrame, keep: Sequence[str], facets: Sequence[str] = FACETS) -> DataFrame:
@@ -24,51 +30,129 @@ def small_buckets(texts: DataFrame, by: Sequence[str], least: int = 2) -> DataFr
     return texts.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") < max(2, least))
 
 
-def gram_counts(texts: DataFrame, by: Sequence[str], index: str, n_max: int) -> DataFrame:
-    """by, index, n, gram, c: how often each gram stands in each text."""
-    t = texts.withColumn("__t", T.lexical_tokens(F.col("text")))
-
-    def numbered(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("__t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-
-    rows = t.select(*by, index, F.explode(F.flatten(F.array(*map(numbered, range(1, n_max + 1))))).alias("g"))
-    return rows.groupBy(*by, index, "g.n", "g.gram").agg(F.count("*").alias("c"))
-
-
-def distinct_n(texts: DataFrame, by: Sequence[str], n_max: int = 6, index: str = "row_idx") -> DataFrame:
-    """Share of distinct grams among all, by n; 0 where there are none.  Two aggregations, so no distinct is expanded."""
-    grams = gram_counts(texts, by, index, n_max).groupBy(*by, "n", "gram").agg(F.sum("c").alias("c"))
-    have = grams.groupBy(*by, "n").agg((F.count("*") / F.sum("c")).alias("distinct_n"), F.sum("c").alias("total"))
+#: Grams that one task holds at a time, about.
+_TOGETHER = 4_000_000
+_GRAM = np.dtype([("a", "<u8"), ("b", "<u8")])
+_COUNTED = np.dtype([("a", "<u8"), ("b", "<u8"), ("text", "<i8"), ("c", "<i4")])
+
+
+def _shards(texts: DataFrame) -> int:
+    """Parts into which the digests of the grams of an order are dealt."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, int(total / 5 / _TOGETHER) + 1)
+
+
+def _dealt(texts: DataFrame, by: Sequence[str], n_max: int, shards: int, index: str | None) -> DataFrame:
+    """by, n, shard, blob, total: the distinct grams of each batch by bucket (with ``index``: of each text, with their counts), as digests."""
+    rows = texts.select(*by, F.lower("text").alias("__text"), *([F.col(index).cast("long").alias("__index")] if index else []))
+    names = [*by, "n", "shard", "blob", "total"]
+
+    def run(batches):
+        for batch in batches:
+            codes, first = grams.lexical_codes(batch.column(len(by)))
+            keys = batch.select(list(range(len(by)))).to_pandas()
+            bucket, heads = pd.factorize(pd.MultiIndex.from_frame(keys)) if len(by) > 1 else pd.factorize(keys.iloc[:, 0], use_na_sentinel=False)
+            one = [keys.iloc[int(np.argmax(bucket == g))].tolist() for g in range(len(heads))]
+            place = batch.column(len(by) + 1).to_numpy() if index else None
+            out: list[list] = [[] for _ in names]
+            for n, h in grams.runs(codes, n_max):
+                at, text = grams.inside(first, n)
+                h, group = h[at], bucket[text]
+                shard = ((h[:, 0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                cols = (h[:, 1], h[:, 0], *((text,) if index else ()), shard, group)
+                order = np.lexsort(cols)
+                new = np.zeros(len(order), bool)
+                new[:1] = True
+                for c in cols:
+                    new[1:] |= c[order][1:] != c[order][:-1]
+                lead = np.flatnonzero(new)
+                count = np.diff(np.append(lead, len(order)))
+                own = order[lead]
+                record = np.empty(len(own), _COUNTED if index else _GRAM)
+                record["a"], record["b"] = h[own, 0], h[own, 1]
+                if index:
+                    record["text"], record["c"] = place[text[own]], count
+                part = group[own] * shards + shard[own]
+                cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else [0]
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    g, s = divmod(int(part[x]), shards)
+                    for o, v in zip(out, (*one[g], n, s, record[x:y].tobytes(), int(count[x:y].sum())), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, [*(batch.schema.field(k).type for k in range(len(by))), pa.int32(), pa.int32(), pa.binary(), pa.int64()], strict=True)], names=names)
+
+    return rows.mapInArrow(run, kinds(rows, by) + "n int, shard int, blob binary, total long")
+
+
+def _head(pdf: pd.DataFrame, by: Sequence[str], out: pd.DataFrame) -> pd.DataFrame:
+    for k, c in enumerate([*by, "n"]):
+        out.insert(k, c, [pdf[c].iloc[0]] * len(out))
+    return out if len(out) else pd.DataFrame()
+
+
+def distinct_n(texts: DataFrame, by: Sequence[str], n_max: int = 6) -> DataFrame:
+    """Share of distinct grams among all, by n; 0 where there are none.  Grams are 128-bit digests, dealt by their value."""
+    by = list(by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _head(pdf, by, pd.DataFrame({"distinct": [len(np.unique(np.frombuffer(b"".join(pdf["blob"]), _GRAM)))], "total": [pdf["total"].sum()]}))
+
+    dealt = _dealt(texts, by, n_max, _shards(texts), None)
+    parts = dealt.groupBy(*by, "n", "shard").applyInPandas(run, kinds(dealt, by) + "n int, distinct long, total long")
+    have = parts.groupBy(*by, "n").agg((F.sum("distinct") / F.sum("total")).alias("distinct_n"), F.sum("total").alias("total"))
     grid = texts.select(*by).distinct().withColumn("n", F.explode(F.array(*map(F.lit, range(1, n_max + 1)))))
     return grid.join(have, [*by, "n"], "left").na.fill(0, ["total"]).na.fill(0.0, ["distinct_n"])
 
 
-def self_bleu(texts: DataFrame, by: Sequence[str], n_max: int = 4, index: str = "row_idx", epsilon: float = BLEU_EPSILON) -> DataFrame:
-    """Mean BLEU of each text against the others of its bucket, for every order up to n_max, without pairs of texts.
+def clipped_hits(texts: DataFrame, by: Sequence[str], n_max: int, index: str = "row_idx") -> DataFrame:
+    """by, index, n, hit: how many grams of a text also stand in another text of its bucket, each at most as often as there.
 
     A gram's count in the other texts is the largest count of its bucket, or the second largest
-    for the one text that alone has the largest.  Buckets below two texts are left out.
+    for the one text that alone has the largest.
+    """
+    by = list(by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.sort(np.frombuffer(b"".join(pdf["blob"]), _COUNTED), order=["a", "b", "c"])
+        last = np.append((r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1]), True)
+        ends = np.flatnonzero(last)
+        size = np.diff(np.append(-1, ends))
+        most = r["c"][ends]
+        second = np.where(size > 1, r["c"][np.maximum(ends - 1, 0)], 0)
+        others = np.repeat(most, size)
+        others[ends] = second
+        text, inv = np.unique(r["text"], return_inverse=True)
+        hit = np.bincount(inv, np.minimum(r["c"], others), len(text)).astype(np.int64)
+        return _head(pdf, by, pd.DataFrame({index: text[hit > 0], "hit": hit[hit > 0]}))
+
+    dealt = _dealt(texts, by, n_max, _shards(texts), index)
+    parts = dealt.groupBy(*by, "n", "shard").applyInPandas(run, kinds(dealt, by) + f"n int, {index} long, hit long")
+    return parts.groupBy(*by, index, "n").agg(F.sum("hit").alias("hit"))
+
+
+def self_bleu(texts: DataFrame, by: Sequence[str], n_max: int = 6, index: str = "row_idx", epsilon: float = BLEU_EPSILON) -> DataFrame:
+    """Mean BLEU of each text against the others of its bucket, for every order up to n_max, without pairs of texts.
+
+    Buckets below two texts are left out.
     """
-    counts = gram_counts(texts, by, index, n_max)
-    w = Window.partitionBy(*by, "n", "gram").orderBy(F.desc("c"), index)
-    ranked = counts.withColumn("__r", F.row_number().over(w))
-    top = ranked.groupBy(*by, "n", "gram").agg(F.max("c").alias("m1"), F.max(F.when(F.col("__r") == 2, F.col("c"))).alias("m2"), F.count_if(F.col("__r") >= 1).alias("texts"))
-    c = counts.join(top, [*by, "n", "gram"])
-    others = F.when(F.col("c") < F.col("m1"), F.col("m1")).otherwise(F.coalesce("m2", F.lit(0)))
-    hits = c.groupBy(*by, index, "n").agg(F.sum(F.least("c", others)).alias("hit"), F.sum("c").alias("total"))
-    lens = texts.select(*by, index, F.size(T.lexical_tokens(F.col("text"))).alias("len"))
-    # the closest other length: neighbours in the order of lengths
-    wl = Window.partitionBy(*by).orderBy("len", index)
-    near = lens.withColumn("prev", F.lag("len").over(wl)).withColumn("next", F.lead("len").over(wl)).withColumn("size", F.count("*").over(Window.partitionBy(*by))).where("size > 1")
-    close = F.when(F.col("prev").isNull(), F.col("next")).when(F.col("next").isNull(), F.col("prev")).when(F.col("len") - F.col("prev") <= F.col("next") - F.col("len"), F.col("prev")).otherwise(F.col("next"))
+    hits = clipped_hits(texts, by, n_max, index)
+    lens = texts.select(*by, F.col(index).cast("long").alias(index), F.size(T.lexical_tokens(F.col("text"))).alias("len"))
+    # the closest other length: neighbours in the order of lengths, of which a bucket has few; a length that stands twice is its own
+    sizes = lens.groupBy(*by, "len").agg(F.count("*").alias("same"))
+    wl = Window.partitionBy(*by).orderBy("len")
+    sizes = sizes.withColumn("prev", F.lag("len").over(wl)).withColumn("next", F.lead("len").over(wl)).withColumn("size", F.sum("same").over(Window.partitionBy(*by))).where("size > 1")
+    close = F.when(F.col("same") > 1, F.col("len")).when(F.col("prev").isNull(), F.col("next")).when(F.col("next").isNull(), F.col("prev")).when(F.col("len") - F.col("prev") <= F.col("next") - F.col("len"), F.col("prev")).otherwise(F.col("next"))
     bp = F.when(F.col("len") > close, F.lit(1.0)).when(F.col("len") > 0, F.exp(1 - close / F.when(F.col("len") > 0, F.col("len")))).otherwise(F.lit(0.0))
-    base = near.select(*by, index, "len", bp.alias("bp")).withColumn("n", F.explode(F.array(*map(F.lit, range(1, n_max + 1)))))
-    p = base.join(hits, [*by, index, "n"], "left").na.fill(0, ["hit", "total"])
-    p = p.withColumn("logp", F.log(F.when(F.col("hit") > 0, F.col("hit").cast("double")).otherwise(F.lit(epsilon)) / F.greatest("total", F.lit(1))))
-    w2 = Window.partitionBy(*by, index).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("sum", F.sum("logp").over(w2)).withColumn("hit1", F.first("hit").over(w2))
-    score = F.when((F.col("hit1") == 0) | (F.col("len") == 0), F.lit(0.0)).otherwise(F.col("bp") * F.exp(F.col("sum") / F.col("n")))
-    return p.withColumn("score", score).groupBy(*by, "n").agg(F.count("*").alias("n_texts"), F.avg("score").alias("self_bleu"))
+    near = lens.join(sizes.select(*by, "len", bp.alias("bp")), [*by, "len"])
+    at = hits.groupBy(*by, index).pivot("n", list(range(1, n_max + 1))).agg(F.first("hit"))
+    p = near.join(at, [*by, index], "left").na.fill(0, [str(n) for n in range(1, n_max + 1)])
+    logs, cells = F.lit(0.0), []
+    for n in range(1, n_max + 1):
+        hit, total = F.col(str(n)), F.greatest(F.col("len") - n + 1, F.lit(1))
+        logs = logs + F.log(F.when(hit > 0, hit.cast("double")).otherwise(F.lit(epsilon)) / total)
+        none = (F.col("1") == 0) | (F.col("len") == 0)
+        cells.append(F.struct(F.lit(n).alias("n"), F.when(none, F.lit(0.0)).otherwise(F.col("bp") * F.exp(logs / n)).alias("score")))
+    p = p.select(*by, F.explode(F.array(*cells)).alias("s"))
+    return p.groupBy(*by, "s.n").agg(F.count("*").alias("n_texts"), F.avg("s.score").alias("self_bleu"))
 
 
 def lexical_aggregate(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -86,31 +170,63 @@ def vocabulary(texts: DataFrame, by: Sequence[str], tokens: Column) -> DataFrame
     return texts.select(*by, F.explode(tokens).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("tf"))
 
 
-def vocabulary_jaccard(vocab: DataFrame, by: Sequence[str], key: str) -> DataFrame:
-    """Mean Jaccard index of vocabularies over all pairs of keys whose union isn't empty.
+#: Keys of a block, and distinct tokens that one task holds at a time, about.
+KEYS, TOKENS = 1024, 50_000
 
-    Only pairs that share a token are built; the others count as 0 by their number.
+
+def vocabulary_jaccard(vocab: DataFrame, by: Sequence[str], key: str, keys: DataFrame) -> DataFrame:
+    """Mean Jaccard index of vocabularies over all pairs of ``keys`` (by, key) whose union isn't empty; 0 without any.
+
+    Tokens meet as rows of 0/1 matrices of blocks of keys, so a common token costs a row and not a pair of keys.
     """
-    v = vocab.select(*by, key, "token").distinct()
-    sizes = v.groupBy(*by, key).agg(F.count("*").alias("size"))
-    a, b = v.withColumnRenamed(key, "a"), v.withColumnRenamed(key, "b")
-    both = a.join(b, [*by, "token"]).where("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("both"))
-    j = both.join(sizes.withColumnRenamed(key, "a").withColumnRenamed("size", "na"), [*by, "a"]).join(sizes.withColumnRenamed(key, "b").withColumnRenamed("size", "nb"), [*by, "b"])
+    by = list(by)
+    w = Window.partitionBy(*by).orderBy(key)  # a row for each key
+    ids = keys.select(*by, key).distinct().withColumn("__k", F.row_number().over(w) - 1)
+    v = vocab.select(*by, key, "token").distinct().join(ids, [*by, key])
+    sizes = v.groupBy(*by, "__k").agg(F.count("*").alias("size"))
+    salts = max(1, v.select("token").distinct().count() // TOKENS)
+    per = v.groupBy(*by, "token").agg(F.sort_array(F.collect_list("__k")).alias("ks"))
+    blocks = F.array_distinct(F.transform("ks", lambda k: F.floor(k / KEYS).cast("int")))
+    per = per.withColumn("__bs", blocks).withColumn("__salt", F.pmod(F.xxhash64("token"), F.lit(salts)))
+    per = per.withColumn("__x", F.explode("__bs")).withColumn("__y", F.explode("__bs")).where("__x <= __y")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(pdf["__x"].iloc[0]) * KEYS, int(pdf["__y"].iloc[0]) * KEYS
+        size = pdf["ks"].map(len).to_numpy()
+        flat, row = np.concatenate(pdf["ks"].to_numpy()), np.repeat(np.arange(len(pdf)), size)
+
+        def block(first):
+            m = np.zeros((len(pdf), KEYS), np.float32)
+            pick = (flat >= first) & (flat < first + KEYS)
+            m[row[pick], flat[pick] - first] = 1
+            return m
+
+        both = block(x).T @ block(y)
+        a, b = np.nonzero(np.triu(both, 1) if x == y else both)
+        out = pd.DataFrame({"a": a + x, "b": b + y, "both": both[a, b].astype(np.int64)})
+        for k, c in enumerate(by):
+            out.insert(k, c, [pdf[c].iloc[0]] * len(out))
+        return out if len(out) else pd.DataFrame()
+
+    both = per.groupBy(*by, "__x", "__y", "__salt").applyInPandas(run, kinds(per, by) + "a long, b long, both long").groupBy(*by, "a", "b").agg(F.sum("both").alias("both"))
+    j = both.join(sizes.select(*by, F.col("__k").alias("a"), F.col("size").alias("na")), [*by, "a"]).join(sizes.select(*by, F.col("__k").alias("b"), F.col("size").alias("nb")), [*by, "b"])
     total = j.groupBy(*by).agg(F.sum(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("total"))
-    keys = sizes.groupBy(*by).agg(F.count("*").alias("k"))
-    pairs = F.col("k") * (F.col("k") - 1) / 2
-    return keys.join(total, list(by), "left").select(*by, F.col("k").alias("n_keys"), F.when(pairs > 0, F.coalesce("total", F.lit(0.0)) / F.when(pairs > 0, pairs)).alias("mean_jaccard"))
+    n = ids.join(sizes, [*by, "__k"], "left").groupBy(*by).agg(F.count("*").alias("k"), F.count_if(F.col("size").isNull()).alias("none"))
+    pairs = F.col("k") * (F.col("k") - 1) / 2 - F.col("none") * (F.col("none") - 1) / 2
+    return n.join(total, by, "left").select(*by, F.col("k").alias("n_keys"), F.when(pairs > 0, F.coalesce("total", F.lit(0.0)) / F.when(pairs > 0, pairs)).otherwise(F.lit(0.0)).alias("mean_jaccard"))
 
 
-def tf_idf(vocab: DataFrame, by: Sequence[str], key: str) -> DataFrame:
-    """tf, df, idf = ln(N / df) and tf * idf, a key being a document."""
+def tf_idf(vocab: DataFrame, by: Sequence[str], key: str, keys: DataFrame) -> DataFrame:
+    """tf, df, idf = ln(N / df) and tf_idf = tf / (tokens of the key) * idf, a key being a document; N: all ``keys`` (by, key), also those without tokens."""
     df = vocab.groupBy(*by, "token").agg(F.count("*").alias("df"))
-    n = vocab.select(*by, key).distinct().groupBy(*by).agg(F.count("*").alias("N"))
-    out = vocab.join(df, [*by, "token"]).join(n, list(by)).withColumn("idf", F.log(F.col("N") / F.col("df")))
-    return out.withColumn("tf_idf", F.col("tf") * F.col("idf"))
+    n = keys.select(*by, key).distinct().groupBy(*by).agg(F.count("*").alias("N"))
+    total = vocab.groupBy(*by, key).agg(F.sum("tf").alias("__total"))
+    out = vocab.join(df, [*by, "token"]).join(n, list(by)).join(total, [*by, key]).withColumn("idf", F.log(F.col("N") / F.col("df")))
+    return out.withColumn("tf_idf", F.col("tf") / F.col("__total") * F.col("idf")).drop("__total")
 
 
 def idf_mean(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean idf over all tokens of a group, every use counting."""
     return scored.groupBy(*by).agg((F.sum(F.col("tf") * F.col("idf")) / F.sum("tf")).alias("mean_idf"))
 
 
@@ -119,12 +235,11 @@ def top_terms(scored: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "rank", "token", "tf", "tf_idf")
 
 
-def universal_words(vocab: DataFrame, key: str, share: float = 0.9) -> DataFrame:
-    """Tokens of at least floor(share * N) keys, with their total frequency."""
-    # a one-row table
-    n = vocab.select(key).distinct().agg(F.count("*").alias("N"))
-    t = vocab.groupBy("token").agg(F.countDistinct(key).alias("df"), F.sum("tf").alias("tf")).crossJoin(F.broadcast(n))
-    return t.where(F.col("df") >= F.floor(F.col("N") * share)).select("token", "df", "tf")
+def universal_words(vocab: DataFrame, key: str, keys: DataFrame, share: float = 0.9) -> DataFrame:
+    """Tokens of at least floor(share * N) of the N ``keys`` (also those without tokens), with their total frequency."""
+    n = keys.select(key).distinct().count()
+    t = vocab.groupBy("token").agg(F.countDistinct(key).alias("df"), F.sum("tf").alias("tf"))
+    return t.where(F.col("df") >= int(n * share)).select("token", "df", "tf")
 
 
 def universal_share(texts: DataFrame, by: Sequence[str], tokens: Column, words: DataFrame) -> DataFrame:
@@ -158,11 +273,33 @@ def string_diagnostics(texts: DataFrame, by: Sequence[str], text: str) -> DataFr
     return s.join(prefix_share(texts, by, text), list(by))
 
 
+def _jaccard(first: pd.DataFrame, second: pd.DataFrame) -> np.ndarray:
+    sets = [list(map(list, x["u"])) for x in ((first,) if second is first else (first, second))]
+    size = [np.fromiter(map(len, s), np.int64, len(s)) for s in sets]
+    code, _ = pd.factorize(np.array([g for s in sets for one in s for g in one], object))
+    out, at = [], 0
+    for s, n in zip(sets, size, strict=True):
+        m = np.zeros((len(s), code.max(initial=-1) + 1), np.float32)
+        m[np.repeat(np.arange(len(s)), n), code[at : at + int(n.sum())]] = 1
+        at += int(n.sum())
+        out.append(m)
+    both = (out[0] @ out[-1].T).astype(np.float64)
+    union = size[0][:, None] + size[-1][None, :] - both
+    return np.where(union > 0, 1 - both / np.maximum(union, 1), 0.0)
+
+
+def string_tiles(texts: DataFrame, by: Sequence[str], text: str, index: str = "row_idx") -> DataFrame:
+    return P.tiled(texts.select(*by, F.col(index).alias("i"), T.bigram_set(F.col(text)).alias("u")), by)
+
+
 def string_distances(texts: DataFrame, by: Sequence[str], text: str, index: str = "row_idx") -> DataFrame:
     """Jaccard distances of character-bigram sets over all pairs i < j of a group."""
-    a = texts.select(*by, F.col(index).alias("i"), T.bigram_set(F.col(text)).alias("x"))
-    b = a.select(*by, F.col("i").alias("j"), F.col("x").alias("y"))
-    return a.join(b, list(by)).where("i < j").select(*by, "i", "j", T.jaccard_distance(F.col("x"), F.col("y")).alias("distance"))
+    return P.all_pairs_of(string_tiles(texts, by, text, index), by, _jaccard)
+
+
+def string_distance_summary(texts: DataFrame, by: Sequence[str], text: str, index: str = "row_idx") -> DataFrame:
+    """n_pairs, mean, median and deviation of these distances, without a row for each pair."""
+    return P.summary_of(string_tiles(texts, by, text, index), by, by, _jaccard)
 
 
 def cell_aggregate(rows: DataFrame, by: Sequence[str], value: str, p: str) -> DataFrame:

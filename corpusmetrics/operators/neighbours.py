@@ -1,60 +1,66 @@
-"""Nearest-neighbour purity and silhouettes within panels, from one table of ordered pairs."""
+"""Nearest-neighbour purity and silhouettes within panels.
+
+Neighbours come from matrix products of tiles; means of distances follow from sums of unit
+vectors and need no pairs.  A row is never its own neighbour.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .diversity import with_unit
-
+from ..functions.columns import safe_ratio
+from .diversity import group_sums, with_unit
+from .pairs import nearest
 
-def ordered_pairs(samples: DataFrame, panel: Sequence[str], label: str, index: str = "row_idx") -> DataFrame:
-    """Every row with every other row of its panel: i, j, their labels and distance.  A row is never its own neighbour."""
-    u = with_unit(samples).select(*panel, F.col(index).alias("i"), F.col(label).alias("label_i"), F.col("u").alias("ui"))
-    w = u.select(*panel, F.col("i").alias("j"), F.col("label_i").alias("label_j"), F.col("ui").alias("uj"))
-    return u.join(w, list(panel)).where("i <> j").select(*panel, "i", "j", "label_i", "label_j", V.cosine_distance(F.col("ui"), F.col("uj")).alias("distance"))
 
+def neighbours(samples: DataFrame, panel: Sequence[str], label: str, k: int, index: str = "row_idx") -> DataFrame:
+    """The k nearest of each row (i, label_i): j, label_j, distance, rank; ties go to the lower label, then the lower index."""
+    return nearest(samples, panel, label, k, index)
 
-def neighbours(pairs: DataFrame, panel: Sequence[str], k: int) -> DataFrame:
-    """The k nearest of each row; ties go to the lower label, then the lower index."""
-    w = Window.partitionBy(*panel, "i").orderBy(F.round("distance", 12), "label_j", "j")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-
-def soft_purity(pairs: DataFrame, panel: Sequence[str], ks: Sequence[int]) -> DataFrame:
-    """For each k the mean share of a row's k nearest (or all others) that have its label."""
-    near = neighbours(pairs, panel, max(ks))
+def soft_purity(near: DataFrame, panel: Sequence[str], ks: Sequence[int]) -> DataFrame:
+    """For each k the mean share of a row's k nearest (or all others) that have its label.  ``near``: at least max(ks) neighbours."""
     near = near.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.col("rank") <= F.col("k"))
     per_row = near.groupBy(*panel, "i", "k").agg(F.avg((F.col("label_i") == F.col("label_j")).cast("double")).alias("share"))
     return per_row.groupBy(*panel, "k").agg(F.count("*").alias("n"), F.avg("share").alias("purity"))
 
 
-def panel_purity(pairs: DataFrame, panel: Sequence[str], most: int = 10) -> DataFrame:
-    """Purity of min(most, n - 1) neighbours by label; panels below three rows are left out."""
-    sizes = pairs.select(*panel, "i").distinct().groupBy(*panel).agg(F.count("*").alias("size")).where("size >= 3")
-    near = neighbours(pairs, panel, most).join(sizes, list(panel))
+def panel_purity(near: DataFrame, panel: Sequence[str], least: int = 3) -> DataFrame:
+    """Purity of the neighbours by label; panels below ``least`` rows are left out."""
     per_row = near.groupBy(*panel, "i", "label_i").agg(F.avg((F.col("label_i") == F.col("label_j")).cast("double")).alias("share"))
-    return per_row.groupBy(*panel, F.col("label_i").alias("label")).agg(F.count("*").alias("n"), F.avg("share").alias("purity"))
-
-
-def label_distances(pairs: DataFrame, panel: Sequence[str]) -> DataFrame:
-    """Mean distance within and to other labels, and their ratio, by label."""
-    same = F.col("label_i") == F.col("label_j")
-    s = pairs.groupBy(*panel, F.col("label_i").alias("label")).agg(F.avg(F.when(same, F.col("distance"))).alias("within"), F.avg(F.when(~same, F.col("distance"))).alias("between"))
-    return s.withColumn("ratio", F.when(F.col("within") != 0, F.col("between") / F.col("within")))
-
-
-def silhouette(pairs: DataFrame, panel: Sequence[str]) -> DataFrame:
-    """Mean silhouette of each panel; single members count 0; null unless there are 2 .. n - 1 labels."""
-    to = pairs.groupBy(*panel, "i", "label_i", "label_j").agg(F.avg("distance").alias("d"))
-    same = F.col("label_i") == F.col("label_j")
-    row = to.groupBy(*panel, "i", "label_i").agg(F.max(F.when(same, F.col("d"))).alias("a"), F.min(F.when(~same, F.col("d"))).alias("b"))
+    sizes = per_row.groupBy(*panel).agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return per_row.join(sizes, list(panel)).groupBy(*panel, F.col("label_i").alias("label")).agg(F.count("*").alias("n"), F.avg("share").alias("purity"))
+
+
+def label_distances(samples: DataFrame, panel: Sequence[str], label: str) -> DataFrame:
+    """Mean distance within a label and to all others, and within over between, by label: from sums of unit vectors."""
+    s = group_sums(samples, [*panel, label])
+    whole = s.groupBy(*panel).agg(V.vector_sum(F.col("total")).alias("all"), F.sum("n").alias("n_all"))
+    j = s.join(whole, list(panel))
+    rest = F.zip_with("all", "total", lambda x, y: x - y)
+    j = j.withColumn("within", V.mean_pair_distance(F.col("total"), F.col("squares"), F.col("n"))).withColumn("between", V.mean_cross_distance(F.col("total"), rest, F.col("n"), F.col("n_all") - F.col("n")))
+    return j.select(*panel, F.col(label).alias("label"), "within", "between", safe_ratio(F.col("within"), F.col("between")).alias("ratio"))
+
+
+def silhouette(samples: DataFrame, panel: Sequence[str], label: str, index: str = "row_idx") -> DataFrame:
+    """Mean silhouette of each panel; single members count 0; null unless there are 2 .. n - 1 labels.
+
+    The mean distance of a row to a label follows from the label's sum of unit vectors, so a row meets labels and not rows.
+    """
+    u = with_unit(samples).select(*panel, F.col(index).alias("id"), F.col(label).alias("own"), "u")
+    sums = group_sums(samples, [*panel, label]).select(*panel, F.col(label).alias("other"), F.col("n").alias("m"), "total")
+    j = u.join(sums, list(panel))
+    same = F.col("own") == F.col("other")
+    to_own = F.when(F.col("m") > 1, 1 - (V.dot(F.col("u"), F.col("total")) - V.dot(F.col("u"), F.col("u"))) / F.when(F.col("m") > 1, F.col("m") - 1))
+    to_other = 1 - V.dot(F.col("u"), F.col("total")) / F.col("m")
+    row = j.groupBy(*panel, "id", "own").agg(F.max(F.when(same, to_own)).alias("a"), F.min(F.when(~same, to_other)).alias("b"))
     top = F.greatest("a", "b")
-    s = F.when(F.col("a").isNull() | (top == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.when(top != 0, top))
-    out = row.withColumn("s", s).groupBy(*panel).agg(F.count("*").alias("n"), F.countDistinct("label_i").alias("labels"), F.avg("s").alias("mean"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull() | (top == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.when(top != 0, top))
+    out = row.withColumn("s", s).groupBy(*panel).agg(F.count("*").alias("n"), F.countDistinct("own").alias("labels"), F.avg("s").alias("mean"))
     return out.select(*panel, "n", "labels", F.when((F.col("labels") > 1) & (F.col("n") > F.col("labels")), F.col("mean")).alias("silhouette"))
 
 

@@ -12,7 +12,12 @@ from ..functions.constants import AXES, CALIBRATION_LEAST, CALIBRATION_MEAN, CAL
 
 
 def per_keyword_wide(scores: DataFrame, by: Sequence[str], axes: Sequence[str], efforts: Sequence[str], low: str | None = None, high: str = "high") -> DataFrame:
-    """Means of each axis by tier as columns, complete keywords only, and the change from ``low`` (or the lowest tier) to ``high``."""
+    """Means of each axis by tier as columns, complete keywords only, and the change from ``low`` (or the lowest tier present) to ``high``.
+
+    Tiers that no row has are left out.
+    """
+    have = {x[0] for x in scores.where(F.col("effort").isin(*efforts)).select("effort").distinct().collect()}  # one row a tier
+    efforts = [e for e in efforts if e in have]
     if high not in efforts:
         raise ValueError(f"tier {high!r} is needed for the change")
     low = low or efforts[0]

@@ -3,33 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pairs as P
+
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, m: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= m)
 
 
-def stratified_pairs(pairs: DataFrame, by: Sequence[str], m: int, middle: int | None = None) -> DataFrame:
-    """The m farthest, the m nearest and the ``middle`` ones around the median rank of each group, ranked from 1.
+def stratified_pairs(samples: DataFrame, by: Sequence[str], m: int, middle: int | None = None, short: str = "raise", index: str = "row_idx") -> DataFrame:
+    """The m farthest, the m nearest and the ``middle`` ones around the median rank of each group of vectors, ranked from 1.
 
-    A pair may stand in two strata.  Raises where a group has fewer than ``middle`` pairs.
+    The farthest are ranked from far to near, the others from near to far.  A pair may stand in two strata.  Where a
+    group has fewer than ``middle`` pairs, the query fails, or takes all of them with short = "all".
     """
     middle = m if middle is None else middle
-    far = Window.partitionBy(*by).orderBy(F.desc(F.round("distance", 12)), "i", "j")
-    near = Window.partitionBy(*by).orderBy(F.round("distance", 12), "i", "j")
-    r = pairs.withColumn("far", F.row_number().over(far)).withColumn("near", F.row_number().over(near)).withColumn("size", F.count("*").over(Window.partitionBy(*by)))
-    start = F.greatest(F.lit(0), F.floor((F.col("size") - middle) / 2))
-    strata = [("top", F.col("far"), m), ("middle", F.col("far") - start, middle), ("bottom", F.col("near"), m)]
-    r = r.withColumn("stratum", F.explode(F.filter(F.array(*(F.struct(F.lit(n).alias("stratum"), k.cast("int").alias("rank"), F.lit(size).alias("most")) for n, k, size in strata)), lambda s: (s["rank"] >= 1) & (s["rank"] <= s["most"]))))
-    return r.select(*by, "i", "j", "distance", "stratum.stratum", "stratum.rank")
-
-
-def too_few_pairs(pairs: DataFrame, by: Sequence[str], middle: int) -> DataFrame:
+    tiles = P.tiled(P.unit_rows(samples, by, index), by)
+    ends = P.extremes(tiles, by, m)
+    out = []
+    for name, order in (("top", F.desc("distance")), ("bottom", F.asc("distance"))):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, "i", "j"))
+        out.append(ends.withColumn("stratum", F.lit(name)).withColumn("rank", rank).where(F.col("rank") <= m))
+    if middle > 0:
+        start = F.greatest(F.lit(0), F.floor((F.col("__size") - middle) / 2))
+        hist = P.histogram(tiles, by)
+        wanted = P.between_ranks(hist, by, start + 1, start + middle)
+        if short == "raise":
+            enough = F.col("__size") >= middle
+            wanted = wanted.withColumn("__size", F.when(enough, F.col("__size")).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {middle} pairs in "), F.concat_ws(", ", *(F.col(c).cast("string") for c in by)))).cast("long")))
+        near = P.in_bins(tiles, by, by, wanted).join(wanted, [*by, "bin"])
+        rank = F.row_number().over(Window.partitionBy(*by, "bin").orderBy("distance", "i", "j")) + F.col("__below") - start
+        near = near.withColumn("stratum", F.lit("middle")).withColumn("rank", rank.cast("int")).where((F.col("rank") >= 1) & (F.col("rank") <= middle))
+        out.append(near.drop("bin", "__below", "__size"))
+    return reduce(DataFrame.unionByName, out).select(*by, "i", "j", "distance", "stratum", "rank")
+
+
+def too_few_pairs(samples: DataFrame, by: Sequence[str], middle: int) -> DataFrame:
     """Groups in which ``middle`` pairs around the median can't be chosen."""
-    return pairs.groupBy(*by).agg(F.count("*").alias("n_pairs")).where(F.col("n_pairs") < middle)
+    n = F.count("*")
+    return samples.groupBy(*by).agg((n * (n - 1) / 2).cast("long").alias("n_pairs")).where(F.col("n_pairs") < middle)
 
 
 def judge_requests(pairs: DataFrame, texts: DataFrame, judge: str, both_orders: bool = True) -> DataFrame:
@@ -57,9 +73,17 @@ def median_split(rows: DataFrame, by: Sequence[str], value: str, key: str) -> Da
     return r.withColumn("half", F.when(F.col("__rn") <= F.floor(F.col("__n") / 2), "lower").otherwise("upper")).drop("__rn", "__n")
 
 
-def seeded_sample(rows: DataFrame, by: Sequence[str], key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows of each group without replacement, the same for a seed whatever the partitioning."""
-    return top_per_group(rows, by, [F.xxhash64(*key, F.lit(seed)), *key], n, "__r").drop("__r")
+def seeded_sample(rows: DataFrame, by: Sequence[str], key: Sequence[str], n: int, seed: int = 42, short: str = "raise") -> DataFrame:
+    """n rows of each group without replacement, the same for a seed whatever the partitioning.
+
+    Where a group has fewer than n rows, the query fails, or takes all of them with short = "all".
+    """
+    order = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in key), F.lit(str(seed))).cast("binary"))
+    if short == "raise":
+        size = F.count("*").over(Window.partitionBy(*by))
+        error = F.raise_error(F.concat(F.lit(f"fewer than {n} rows in "), F.concat_ws(", ", *(F.col(c).cast("string") for c in by))))
+        rows = rows.withColumn("__size", size).where(F.when(F.col("__size") >= n, F.lit(True)).otherwise(error.cast("boolean"))).drop("__size")
+    return top_per_group(rows, by, [order, *key], n, "__r").drop("__r")
 
 
 def short_groups(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.columns import rounded
-from ..functions.constants import EFFORTS, LABELS
+from ..functions.constants import EFFORTS, LABELS, WHITE
 from ..operators import diversity as D
 from ..operators import selection as S
 from ..registry import ORACLE, QUERIES
@@ -73,10 +73,6 @@ def token_rows(spark: SparkSession, sf: str) -> DataFrame:
     ).select("*", (F.col("visible") + F.col("reasoning_tokens")).alias("output_tokens"), (F.col("input_tokens") + F.col("visible") + F.col("reasoning_tokens")).alias("total_tokens"))
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return D.pair_distances(samples(spark, sf))
-
-
 def label(d, shift=0) -> F.Column:
     n = F.when(d >= 1.1, 0).when(d >= 1.0, 1).when(d >= 0.9, 2).otherwise(3)
     return F.element_at(F.array(*map(F.lit, LABELS)), (F.pmod(n + shift, F.lit(4)) + 1).cast("int"))
@@ -84,7 +80,7 @@ def label(d, shift=0) -> F.Column:
 
 def judged(spark: SparkSession, sf: str, judge: int = 0, m: int = 5) -> DataFrame:
     """Labels of the stratified pairs in both orders; another judge moves every fourth label by one."""
-    p = S.stratified_pairs(pairs(spark, sf), D.GROUP, m)
+    p = S.stratified_pairs(samples(spark, sf), D.GROUP, m, short="all")
     p = p.withColumn("order", F.explode(F.array(F.lit("ab"), F.lit("ba")))).withColumn("distance", F.round("distance", 9))
     moved = F.when((F.col("order") == "ba") & ((F.col("i") + F.col("j")) % 5 == 0), 1).otherwise(0)
     if judge:
@@ -110,7 +106,9 @@ def quality(spark: SparkSession, sf: str, judge: int = 0) -> DataFrame:
     )
 
 
-R = "round({}, 6) + 0.0"
+def stripped(text: str) -> str:
+    """Text without white space at either end, in SQL."""
+    return f"regexp_replace({text}, '^{WHITE}+|{WHITE}+$', '', 'g')"
 
 
 def r(expr: str, digits: int = 6) -> str:
@@ -139,8 +137,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY keyword, effort ORDER BY round(
               row_number() OVER (PARTITION BY keyword, effort ORDER BY round(distance, 12), i, j) AS near,
               count(*) OVER (PARTITION BY keyword, effort) AS size FROM pairs),
 strat AS (SELECT keyword, effort, i, j, distance, 'top' AS stratum, far AS rank FROM rk WHERE far <= 5
-          UNION ALL SELECT keyword, effort, i, j, distance, 'middle', far - greatest(0, (size - 5) // 2) FROM rk
-            WHERE far - greatest(0, (size - 5) // 2) BETWEEN 1 AND 5
+          UNION ALL SELECT keyword, effort, i, j, distance, 'middle', near - greatest(0, (size - 5) // 2) FROM rk
+            WHERE near - greatest(0, (size - 5) // 2) BETWEEN 1 AND 5
           UNION ALL SELECT keyword, effort, i, j, distance, 'bottom', near FROM rk WHERE near <= 5)"""
 )
 _LABEL = "['A', 'B', 'C', 'D'][((CASE WHEN distance >= 1.1 THEN 0 WHEN distance >= 1.0 THEN 1 WHEN distance >= 0.9 THEN 2 ELSE 3 END) + {}) % 4 + 1]"
@@ -155,7 +153,7 @@ judged2 AS (SELECT *, {_LABEL.format(_MOVED + " + (CASE WHEN (i * 7 + j) % 4 = 0
 TEXTS = """
 t0 AS (SELECT doc_id AS row_idx, source AS keyword, lang AS category, ['none', 'low', 'medium', 'high'][doc_id // 20 % 4 + 1] AS effort, text AS idea,
               list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents),
-t AS (SELECT *, coalesce(ls[1], '') AS purpose, coalesce(ls[2], '') AS mechanism, coalesce(ls[3], '') AS evaluation FROM t0)"""
+t AS (SELECT *, coalesce(ls[1], '') AS purpose, coalesce(ls[2], '') AS mechanism, coalesce(array_to_string(ls[3:], chr(10)), '') AS evaluation FROM t0)"""
 TOKENS = """
 k0 AS (SELECT event_id AS sample_index, CAST(user_id AS VARCHAR) AS keyword, event_type AS prompt, ['none', 'low', 'medium', 'high'][event_id % 4 + 1] AS effort,
               event_id % 50 + 1 AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS visible, CAST(json_extract_string(props, '$.k') AS BIGINT) AS reasoning_tokens, value FROM events),

@@ -116,7 +116,7 @@ def effort_ordering(spark, sf):
     return ordered_by_effort(k.withColumn("effort_order", effort_order(F.col("effort")).cast("long")), "event_type")
 
 
-@query("SELECT conv_id AS batch_index, turn, conv_id * 3 + turn AS sample_index, text AS response FROM conversations WHERE turn < 3")
+@query("SELECT conv_id AS batch_index, turn, conv_id * (SELECT greatest(3, max(n)) FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)) + row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS sample_index, text AS response FROM conversations")
 def call_explosion(spark, sf):
     c = B.table(spark, sf, "conversations")
     calls = c.groupBy(F.col("conv_id").alias("batch_index")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("responses"))
@@ -133,7 +133,7 @@ def positional_alignment(spark, sf):
     return S.positional_join(d, q, ["lang"], ["doc_id"], [F.desc("other_id")])
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_blank FROM documents GROUP BY lang")
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER ({B.stripped("coalesce(text, '')")} = '') AS n_blank FROM documents GROUP BY lang")
 def blank_fields(spark, sf):
     d = B.table(spark, sf, "documents")
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(is_blank(F.col("text"))).alias("n_blank"))

@@ -55,10 +55,10 @@ _EDGES = [0.7 + 0.05 * k for k in range(11)]
 _EDGES_SQL = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True))
 
 
-@query(f"WITH {JUDGED}, p AS (SELECT keyword, effort, i, j, min(answer) AS answer, any_value(distance) AS distance FROM judged GROUP BY ALL) SELECT {r('lo')} AS lo, {r('hi')} AS hi, {_C}, {r('avg(distance)')} AS mean_distance FROM p JOIN (VALUES {_EDGES_SQL}) AS b(lo, hi) ON distance >= lo AND distance < hi GROUP BY lo, hi")
+@query(f"WITH {JUDGED}, p AS (SELECT keyword, effort, i, j, min(answer) AS answer, any_value(distance) AS distance FROM judged GROUP BY ALL) SELECT effort, {r('lo')} AS lo, {r('hi')} AS hi, {_C}, {r('avg(distance)')} AS mean_distance FROM p JOIN (VALUES {_EDGES_SQL}) AS b(lo, hi) ON distance >= lo AND distance < hi GROUP BY effort, lo, hi")
 def calibration_bins(spark, sf):
     p = J.collapse_orders(B.judged(spark, sf), ["keyword", "effort", "i", "j"])
-    return B.tidy(J.calibration(p, _EDGES))
+    return B.tidy(J.calibration(p, ["effort"], _EDGES))
 
 
 @query(f"WITH {JUDGED}, p AS (SELECT keyword, effort, i, j, any_value(distance) AS distance FROM judged GROUP BY ALL) SELECT count(*) FILTER (distance >= 0.7) AS n_beyond FROM p")

@@ -29,7 +29,7 @@ def _without(text: str, pattern: str, stop: list[str]) -> str:
 _FACETS = f"""{_W}, fc AS (SELECT row_idx, keyword, category, effort, 'purpose' AS facet, purpose AS text FROM t UNION ALL SELECT row_idx, keyword, category, effort, 'mechanism', mechanism FROM t
 UNION ALL SELECT row_idx, keyword, category, effort, 'evaluation', evaluation FROM t UNION ALL SELECT row_idx, keyword, category, effort, 'combined', purpose || ' ' || mechanism || ' ' || evaluation FROM t),
 tk AS (SELECT row_idx, category, effort, facet, {_tokens('text', LEXICAL_TOKEN)} AS w FROM fc),
-ns AS (SELECT unnest(generate_series(1, 4)) AS n),
+ns AS (SELECT unnest(generate_series(1, 6)) AS n),
 gr AS (SELECT row_idx, category, effort, facet, CAST(n AS BIGINT) AS n, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM tk, ns WHERE len(w) >= n)"""
 
 
@@ -82,39 +82,43 @@ def _vocabulary(spark, sf):
     return L.vocabulary(B.texts(spark, sf), ["category", "keyword"], T.vocabulary_tokens(F.col("idea")))
 
 
+def _keys(spark, sf):
+    return B.texts(spark, sf).select("category", "keyword").distinct()
+
+
 def _shared(spark, sf):
     return L.vocabulary(B.texts(spark, sf), ["keyword"], T.shared_tokens(F.col("idea")))
 
 
-@query(f"{_VOC}, sz AS (SELECT category, keyword, count(*) AS n FROM v GROUP BY ALL), bo AS (SELECT a.category, a.keyword AS ka, b.keyword AS kb, count(*) AS c FROM v a JOIN v b ON a.category = b.category AND a.token = b.token AND a.keyword < b.keyword GROUP BY ALL), pr AS (SELECT a.category, coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS j FROM sz a JOIN sz b ON a.category = b.category AND a.keyword < b.keyword LEFT JOIN bo ON bo.category = a.category AND ka = a.keyword AND kb = b.keyword), nk AS (SELECT category, count(*) AS n_keys FROM sz GROUP BY ALL) SELECT category, n_keys, {r('avg(j)')} AS mean_jaccard FROM nk LEFT JOIN pr USING (category) GROUP BY ALL")
+@query(f"{_VOC}, ks AS (SELECT DISTINCT category, keyword FROM t), sz AS (SELECT category, keyword, count(token) AS n FROM ks LEFT JOIN v USING (category, keyword) GROUP BY ALL), bo AS (SELECT a.category, a.keyword AS ka, b.keyword AS kb, count(*) AS c FROM v a JOIN v b ON a.category = b.category AND a.token = b.token AND a.keyword < b.keyword GROUP BY ALL), pr AS (SELECT a.category, coalesce(c, 0) / nullif(a.n + b.n - coalesce(c, 0), 0) AS j FROM sz a JOIN sz b ON a.category = b.category AND a.keyword < b.keyword LEFT JOIN bo ON bo.category = a.category AND ka = a.keyword AND kb = b.keyword), nk AS (SELECT category, count(*) AS n_keys FROM sz GROUP BY ALL) SELECT category, n_keys, {r('coalesce(avg(j), 0)')} AS mean_jaccard FROM nk LEFT JOIN pr USING (category) GROUP BY ALL")
 def vocab_jaccard(spark, sf):
-    return B.tidy(L.vocabulary_jaccard(_vocabulary(spark, sf), ["category"], "keyword"))
+    return B.tidy(L.vocabulary_jaccard(_vocabulary(spark, sf), ["category"], "keyword", _keys(spark, sf)))
 
 
-_IDF = f"{_VOC}, df AS (SELECT category, token, count(*) AS df FROM v GROUP BY ALL), nn AS (SELECT category, count(DISTINCT keyword) AS n FROM v GROUP BY ALL), sc AS (SELECT v.*, ln(n / df) AS idf, tf * ln(n / df) AS ti FROM v JOIN df USING (category, token) JOIN nn USING (category))"
+_IDF = f"{_VOC}, df AS (SELECT category, token, count(*) AS df FROM v GROUP BY ALL), nn AS (SELECT category, count(DISTINCT keyword) AS n FROM t GROUP BY ALL), tt AS (SELECT category, keyword, sum(tf) AS tokens FROM v GROUP BY ALL), sc AS (SELECT v.*, ln(n / df) AS idf, tf / tokens * ln(n / df) AS ti FROM v JOIN df USING (category, token) JOIN nn USING (category) JOIN tt USING (category, keyword))"
 
 
-@query(f"{_IDF} SELECT category, keyword, {r('sum(tf * idf) / sum(tf)')} AS mean_idf FROM sc GROUP BY ALL")
+@query(f"{_IDF} SELECT category, {r('sum(tf * idf) / sum(tf)')} AS mean_idf FROM sc GROUP BY ALL")
 def idf_mean(spark, sf):
-    return B.tidy(L.idf_mean(L.tf_idf(_vocabulary(spark, sf), ["category"], "keyword"), ["category", "keyword"]))
+    return B.tidy(L.idf_mean(L.tf_idf(_vocabulary(spark, sf), ["category"], "keyword", _keys(spark, sf)), ["category"]))
 
 
 @query(f"{_IDF}, k AS (SELECT *, row_number() OVER (PARTITION BY category, keyword ORDER BY round(ti, 9) DESC, token) AS rank FROM sc) SELECT category, keyword, rank, token, tf, {r('ti')} AS tf_idf FROM k WHERE rank <= 10")
 def top_tfidf(spark, sf):
-    return B.tidy(L.top_terms(L.tf_idf(_vocabulary(spark, sf), ["category"], "keyword"), ["category", "keyword"], 10))
+    return B.tidy(L.top_terms(L.tf_idf(_vocabulary(spark, sf), ["category"], "keyword", _keys(spark, sf)), ["category", "keyword"], 10))
 
 
-_UNI = f"{_SHARED}, u AS (SELECT token, count(DISTINCT keyword) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM v GROUP BY token HAVING count(DISTINCT keyword) >= floor((SELECT count(DISTINCT keyword) FROM v) * 0.9))"
+_UNI = f"{_SHARED}, u AS (SELECT token, count(DISTINCT keyword) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM v GROUP BY token HAVING count(DISTINCT keyword) >= floor((SELECT count(DISTINCT keyword) FROM t) * 0.9))"
 
 
 @query(f"{_UNI} SELECT * FROM u")
 def universal_words(spark, sf):
-    return L.universal_words(_shared(spark, sf), "keyword")
+    return L.universal_words(_shared(spark, sf), "keyword", _keys(spark, sf))
 
 
 @query(f"{_UNI}, s AS (SELECT category, row_idx, avg(CASE WHEN u.token IS NULL THEN 0 ELSE 1 END) AS s FROM vc LEFT JOIN u USING (token) GROUP BY ALL) SELECT category, count(*) AS n_texts, {r('avg(s)')} AS universal_share FROM s GROUP BY ALL")
 def universal_share(spark, sf):
-    words = L.universal_words(_shared(spark, sf), "keyword")
+    words = L.universal_words(_shared(spark, sf), "keyword", _keys(spark, sf))
     return B.tidy(L.universal_share(B.texts(spark, sf), ["category"], T.shared_tokens(F.col("idea")), words))
 
 
@@ -128,7 +132,7 @@ def keyword_coverage(spark, sf):
     return B.tidy(L.keyword_coverage(B.texts(spark, sf), ["category"], "category"))
 
 
-_SHORT = f"{_W}, s AS (SELECT row_idx, keyword, substr(idea, 1, 40) AS s FROM t)"
+_STRINGS = f"{_W}, s AS (SELECT row_idx, keyword, idea AS s FROM t)"
 _ENT = ", ch AS (SELECT row_idx, unnest(string_split(s, '')) AS c FROM s WHERE length(s) > 0), cn AS (SELECT row_idx, c, count(*) AS n FROM ch GROUP BY ALL), ct AS (SELECT row_idx, sum(n) AS n FROM cn GROUP BY ALL), en AS (SELECT row_idx, -sum(cn.n / ct.n * log2(cn.n / ct.n)) AS e FROM cn JOIN ct USING (row_idx) GROUP BY ALL)"
 
 
@@ -136,28 +140,27 @@ def _strings(spark, sf):
     return B.texts(spark, sf).select("row_idx", "keyword", "category", F.col("idea").alias("s"))
 
 
-@query(f"{_SHORT}{_ENT} SELECT row_idx, {r('coalesce(e, 0)')} AS entropy FROM s LEFT JOIN en USING (row_idx)")
+@query(f"{_STRINGS}{_ENT} SELECT row_idx, {r('coalesce(e, 0)')} AS entropy FROM s LEFT JOIN en USING (row_idx)")
 def char_entropy(spark, sf):
     return B.tidy(_strings(spark, sf).select("row_idx", T.char_entropy(F.col("s")).alias("entropy")))
 
 
-@query(f"{_SHORT}, p AS (SELECT keyword, substr(s, 1, 7) AS p, count(*) AS c FROM s GROUP BY ALL) SELECT keyword, {r('max(c) / sum(c)')} AS modal_prefix_share FROM p GROUP BY keyword")
+@query(f"{_STRINGS}, p AS (SELECT keyword, substr(s, 1, 7) AS p, count(*) AS c FROM s GROUP BY ALL) SELECT keyword, {r('max(c) / sum(c)')} AS modal_prefix_share FROM p GROUP BY keyword")
 def prefix_share(spark, sf):
     return B.tidy(L.prefix_share(_strings(spark, sf), ["keyword"], "s"))
 
 
-@query(f"{_SHORT}{_ENT}, p AS (SELECT keyword, substr(s, 1, 7) AS p, count(*) AS c FROM s GROUP BY ALL), pp AS (SELECT keyword, max(c) / sum(c) AS m FROM p GROUP BY keyword) SELECT keyword, count(*) AS n, {r('count(DISTINCT s) / count(*)')} AS unique_share, {r('avg(length(s))')} AS mean_length, {r('stddev_pop(length(s))')} AS std_length, {r('avg(coalesce(e, 0))')} AS mean_entropy, {r('any_value(m)')} AS modal_prefix_share FROM s LEFT JOIN en USING (row_idx) JOIN pp USING (keyword) GROUP BY keyword")
+@query(f"{_STRINGS}{_ENT}, p AS (SELECT keyword, substr(s, 1, 7) AS p, count(*) AS c FROM s GROUP BY ALL), pp AS (SELECT keyword, max(c) / sum(c) AS m FROM p GROUP BY keyword) SELECT keyword, count(*) AS n, {r('count(DISTINCT s) / count(*)')} AS unique_share, {r('avg(length(s))')} AS mean_length, {r('stddev_pop(length(s))')} AS std_length, {r('avg(coalesce(e, 0))')} AS mean_entropy, {r('any_value(m)')} AS modal_prefix_share FROM s LEFT JOIN en USING (row_idx) JOIN pp USING (keyword) GROUP BY keyword")
 def string_diagnostics(spark, sf):
     return B.tidy(L.string_diagnostics(_strings(spark, sf), ["keyword"], "s"))
 
 
-@query(f"{_SHORT}, b AS (SELECT row_idx, keyword, CASE WHEN length(s) > 1 THEN list_distinct(list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2))) WHEN length(s) = 1 THEN [s] ELSE [] END AS b FROM s), d AS (SELECT x.keyword, CASE WHEN len(list_distinct(x.b || y.b)) = 0 THEN 0 ELSE 1 - len(list_intersect(x.b, y.b)) / len(list_distinct(x.b || y.b)) END AS d FROM b x JOIN b y ON x.keyword = y.keyword AND x.row_idx < y.row_idx) SELECT keyword, count(*) AS n_pairs, {r('avg(d)')} AS mean_distance, {r('median(d)')} AS median_distance FROM d GROUP BY keyword")
+@query(f"{_STRINGS}, b AS (SELECT row_idx, keyword, CASE WHEN length(s) > 1 THEN list_distinct(list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2))) WHEN length(s) = 1 THEN [s] ELSE [] END AS b FROM s), d AS (SELECT x.keyword, CASE WHEN len(list_distinct(x.b || y.b)) = 0 THEN 0 ELSE 1 - len(list_intersect(x.b, y.b)) / len(list_distinct(x.b || y.b)) END AS d FROM b x JOIN b y ON x.keyword = y.keyword AND x.row_idx < y.row_idx) SELECT keyword, count(*) AS n_pairs, {r('avg(d)')} AS mean_distance, {r('median(d)')} AS median_distance FROM d GROUP BY keyword")
 def bigram_jaccard(spark, sf):
-    d = L.string_distances(_strings(spark, sf), ["keyword"], "s")
-    return B.tidy(d.groupBy("keyword").agg(F.count("*").alias("n_pairs"), F.avg("distance").alias("mean_distance"), F.percentile("distance", F.lit(0.5)).alias("median_distance")))
+    return B.tidy(L.string_distance_summary(_strings(spark, sf), ["keyword"], "s").drop("std_distance"))
 
 
-@query(r"SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[\s]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\s]+', ' ', 'g')), ' ')) END AS word_count, length(text) AS char_count, substr(sha1(trim(text)), 1, 16) AS text_key, substr(sha256(lang), 1, 12) AS template_key FROM documents")
+@query(r"SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[\s]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\s]+', ' ', 'g')), ' ')) END AS word_count, length(text) AS char_count, substr(sha1(" + B.stripped("text") + "), 1, 16) AS text_key, substr(sha256(lang), 1, 12) AS template_key FROM documents")
 def text_stats(spark, sf):
     d = B.table(spark, sf, "documents")
     return B.tidy(d.select("doc_id", T.word_count(F.col("text")).alias("word_count"), F.length("text").alias("char_count"), text_key(F.col("text")).alias("text_key"), template_key(F.col("lang")).alias("template_key")))

@@ -81,7 +81,7 @@ def _long(spark, sf, judge):
 
 def _long_sql() -> str:
     def part(t, name):
-        return " UNION ALL ".join(f"SELECT d.lang AS gen, {t}.keyword, {t}.effort, substr(sha1(trim(d.text)), 1, 16) AS text_key, '{a}' AS axis, CAST({t}.{a} AS DOUBLE) AS score, '{name}' AS judge FROM {t} JOIN documents d ON d.doc_id = {t}.row_idx" for a in AXES)
+        return " UNION ALL ".join(f"SELECT d.lang AS gen, {t}.keyword, {t}.effort, substr(sha1({B.stripped("d.text")}), 1, 16) AS text_key, '{a}' AS axis, CAST({t}.{a} AS DOUBLE) AS score, '{name}' AS judge FROM {t} JOIN documents d ON d.doc_id = {t}.row_idx" for a in AXES)
 
     return f"{_W}, weak AS ({part('q', 'weak')}), strong AS ({part('q2', 'strong')}), lg AS (SELECT * FROM weak UNION ALL SELECT * FROM strong)"
 
@@ -181,10 +181,8 @@ def longest_per_language(spark, sf):
     return B.tidy(S.top_per_group(d, ["lang"], [F.desc("n_chars"), "doc_id"], 3))
 
 
+@query("WITH d AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS rn FROM documents) SELECT lang, doc_id FROM d WHERE rn <= 10")
 def seeded_sample(spark, sf):
-    """Ten labelled texts a language, by a seeded hash order that SQL engines don't share."""
+    """Ten texts a language, by a seeded hash order."""
     d = B.table(spark, sf, "documents").select("lang", "doc_id")
-    return S.seeded_sample(d, ["lang"], ["doc_id"], 10)
-
-
-query()(seeded_sample)
+    return S.seeded_sample(d, ["lang"], ["doc_id"], 10, short="all")

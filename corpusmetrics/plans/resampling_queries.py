@@ -63,7 +63,7 @@ def quality_by_effort_ci(spark, sf):
 
 @query()
 def purity_with_ci(spark, sf):
-    near = N.soft_purity(N.ordered_pairs(B.samples(spark, sf), ["keyword"], "gen"), ["keyword"], [1, 3, 5, 10])
+    near = N.soft_purity(N.neighbours(B.samples(spark, sf), ["keyword"], "gen", 10), ["keyword"], [1, 3, 5, 10])
     return R.bootstrap_mean_ci(near, ["k"], "purity", n_boot=10_000)
 
 

@@ -19,12 +19,12 @@ def mean_pairwise_distance(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT keyword, effort, count(*) AS n_pairs, {r('avg(distance)')} AS mean_distance, {r('median(distance)')} AS median_distance, {r('stddev_pop(distance)')} AS std_distance FROM pairs GROUP BY ALL")
 def median_pairwise_distance(spark, sf):
-    return B.tidy(D.pair_summary(B.pairs(spark, sf), D.GROUP))
+    return B.tidy(D.pair_summary(B.samples(spark, sf)))
 
 
 @query(f"WITH {PAIRS} SELECT effort, count(*) AS n_pairs, {r('avg(distance)')} AS mean_distance, {r('median(distance)')} AS median_distance, {r('stddev_pop(distance)')} AS std_distance FROM pairs GROUP BY ALL")
 def pooled_pair_summary(spark, sf):
-    return B.tidy(D.pair_summary(B.pairs(spark, sf), ["effort"]))
+    return B.tidy(D.pair_summary(B.samples(spark, sf), D.GROUP, ["effort"]))
 
 
 CENTROIDS = (
@@ -101,15 +101,15 @@ def category_summary(spark, sf):
 _SIDES = (
     COORDS
     + """,
-g AS (SELECT keyword, gen, k, sum(y) AS s FROM c GROUP BY ALL), gn AS (SELECT keyword, gen, count(*) AS n, sum(list_inner_product(u, u)) AS q FROM e GROUP BY ALL),
-gw AS (SELECT keyword, gen, n, q, sum(s * s) AS ss FROM g JOIN gn USING (keyword, gen) GROUP BY ALL),
-gx AS (SELECT a.keyword, a.gen AS gen_a, b.gen AS gen_b, sum(a.s * b.s) AS ab FROM g a JOIN g b ON a.keyword = b.keyword AND a.k = b.k AND a.gen < b.gen GROUP BY ALL),
-gj AS (SELECT x.*, a.n AS na, b.n AS nb, a.ss AS sa, b.ss AS sb, CASE WHEN a.n > 1 THEN 1 - (a.ss - a.q) / (a.n * (a.n - 1)) END AS wa, CASE WHEN b.n > 1 THEN 1 - (b.ss - b.q) / (b.n * (b.n - 1)) END AS wb
+g AS (SELECT keyword, gen, k, sum(y) AS s, avg(x) AS m FROM c GROUP BY ALL), gn AS (SELECT keyword, gen, count(*) AS n, sum(list_inner_product(u, u)) AS q FROM e GROUP BY ALL),
+gw AS (SELECT keyword, gen, n, q, sum(s * s) AS ss, sum(m * m) AS mm FROM g JOIN gn USING (keyword, gen) GROUP BY ALL),
+gx AS (SELECT a.keyword, a.gen AS gen_a, b.gen AS gen_b, sum(a.s * b.s) AS ab, sum(a.m * b.m) AS mab FROM g a JOIN g b ON a.keyword = b.keyword AND a.k = b.k AND a.gen < b.gen GROUP BY ALL),
+gj AS (SELECT x.*, a.n AS na, b.n AS nb, a.mm AS ma, b.mm AS mb, CASE WHEN a.n > 1 THEN 1 - (a.ss - a.q) / (a.n * (a.n - 1)) END AS wa, CASE WHEN b.n > 1 THEN 1 - (b.ss - b.q) / (b.n * (b.n - 1)) END AS wb
        FROM gx x JOIN gw a ON a.keyword = x.keyword AND a.gen = gen_a JOIN gw b ON b.keyword = x.keyword AND b.gen = gen_b)"""
 )
 
 
-@query(f"WITH {_SIDES} SELECT keyword, gen_a, gen_b, {r('1 - ab / (na * nb)')} AS cross_distance, {r('CASE WHEN na > 1 AND nb > 1 THEN 1 - ab / (sqrt(sa) * sqrt(sb)) END')} AS unit_centroid_distance, {r('CASE WHEN na > 1 AND nb > 1 THEN (1 - ab / (na * nb)) / nullif((wa + wb) / 2, 0) END')} AS cross_within_ratio FROM gj")
+@query(f"WITH {_SIDES} SELECT keyword, gen_a, gen_b, {r('1 - ab / (na * nb)')} AS cross_distance, {r('CASE WHEN na > 1 AND nb > 1 THEN 1 - mab / (sqrt(ma) * sqrt(mb)) END')} AS centroid_distance, {r('CASE WHEN na > 1 AND nb > 1 THEN (1 - ab / (na * nb)) / nullif((wa + wb) / 2, 0) END')} AS cross_within_ratio FROM gj")
 def cross_within_ratio(spark, sf):
     return B.tidy(D.cross_within(B.samples(spark, sf), "keyword", "gen"))
 
@@ -125,8 +125,11 @@ def separability_exact(spark, sf):
 _LOO = (
     _ORDERED
     + """, kk AS (SELECT DISTINCT keyword FROM e),
-w AS (SELECT effort, avg(d) FILTER (ka <> kb) / nullif(avg(d) FILTER (ka = kb AND i <> j), 0) AS s FROM op GROUP BY ALL),
-l AS (SELECT op.effort, kk.keyword, avg(d) FILTER (ka <> kb) / nullif(avg(d) FILTER (ka = kb AND i <> j), 0) AS s FROM op JOIN kk ON ka <> keyword AND kb <> keyword GROUP BY ALL)"""
+own AS (SELECT effort, ka AS keyword, avg(d) AS d FROM op WHERE ka = kb AND i <> j GROUP BY ALL),
+w AS (SELECT effort, inter / nullif(intra, 0) AS s FROM (SELECT effort, avg(d) AS inter FROM op WHERE ka <> kb GROUP BY effort) JOIN (SELECT effort, avg(d) AS intra FROM own GROUP BY effort) USING (effort)),
+li AS (SELECT op.effort, kk.keyword, avg(d) AS inter FROM op JOIN kk ON ka <> keyword AND kb <> keyword WHERE ka <> kb GROUP BY ALL),
+la AS (SELECT own.effort, kk.keyword, avg(d) AS intra FROM own JOIN kk ON own.keyword <> kk.keyword GROUP BY ALL),
+l AS (SELECT k2.effort, k2.keyword, inter / nullif(intra, 0) AS s FROM (SELECT DISTINCT effort, keyword FROM e) k2 LEFT JOIN li USING (effort, keyword) LEFT JOIN la USING (effort, keyword))"""
 )
 
 
@@ -135,7 +138,7 @@ def leave_one_out(spark, sf):
     return B.tidy(D.leave_one_out(B.samples(spark, sf)))
 
 
-@query(f"WITH {_LOO}, x AS (SELECT l.effort, l.keyword, abs(l.s - w.s) AS a FROM l JOIN w USING (effort)) SELECT effort, arg_max(keyword, a) AS keyword, {r('max(a)')} AS largest_shift FROM x GROUP BY effort")
+@query(f"WITH {_LOO}, x AS (SELECT l.effort, l.keyword, abs(l.s - w.s) AS a FROM l JOIN w USING (effort)) SELECT effort, arg_max(keyword, (a, keyword)) FILTER (a IS NOT NULL) AS keyword, {r('max(a)')} AS largest_shift FROM x GROUP BY effort")
 def most_influential_keyword(spark, sf):
     return B.tidy(D.most_influential(D.leave_one_out(B.samples(spark, sf))))
 
@@ -166,49 +169,49 @@ nr AS (SELECT *, row_number() OVER (PARTITION BY keyword, i ORDER BY round(d, 12
 )
 
 
-def _panels(spark, sf):
-    return N.ordered_pairs(B.samples(spark, sf), ["keyword"], "gen")
+def _near(spark, sf, k=10):
+    return N.neighbours(B.samples(spark, sf), ["keyword"], "gen", k)
 
 
 @query(f"WITH {_NEAR}, x AS (SELECT keyword, i, k, avg(CAST(gi = gj AS INT)) AS s FROM nr, (VALUES (1), (3), (5), (10)) AS ks(k) WHERE rank <= k GROUP BY ALL) SELECT keyword, CAST(k AS BIGINT) AS k, count(*) AS n, {r('avg(s)')} AS purity FROM x GROUP BY ALL")
 def soft_knn_purity(spark, sf):
-    return B.tidy(N.soft_purity(_panels(spark, sf), ["keyword"], [1, 3, 5, 10]))
+    return B.tidy(N.soft_purity(_near(spark, sf), ["keyword"], [1, 3, 5, 10]))
 
 
 @query(f"WITH {_NEAR} SELECT keyword, count(*) AS n, CAST(1 AS BIGINT) AS k, {r('avg(CAST(gi = gj AS INT))')} AS purity FROM nr WHERE rank = 1 GROUP BY keyword")
 def nn_purity(spark, sf):
-    return B.tidy(N.soft_purity(_panels(spark, sf), ["keyword"], [1]))
+    return B.tidy(N.soft_purity(_near(spark, sf, 1), ["keyword"], [1]))
 
 
 @query(f"WITH {_NEAR}, x AS (SELECT keyword, i, gi, avg(CAST(gi = gj AS INT)) AS s FROM nr WHERE rank <= 10 GROUP BY ALL) SELECT keyword, gi AS label, count(*) AS n, {r('avg(s)')} AS purity FROM x GROUP BY ALL")
 def knn_purity_panel(spark, sf):
-    return B.tidy(N.panel_purity(_panels(spark, sf), ["keyword"]))
+    return B.tidy(N.panel_purity(_near(spark, sf), ["keyword"]))
 
 
 @query(f"WITH {_NEAR}, x AS (SELECT keyword, i, gi, avg(CAST(gi = gj AS INT)) AS s FROM nr WHERE rank <= 10 GROUP BY ALL), y AS (SELECT keyword, gi, avg(s) AS purity FROM x GROUP BY ALL) SELECT gi AS label, count(*) AS n_panels, {r('avg(purity)')} AS mean_purity FROM y GROUP BY gi")
 def knn_purity_overall(spark, sf):
-    return B.tidy(N.mean_over_panels(N.panel_purity(_panels(spark, sf), ["keyword"]), ["label"], "purity"))
+    return B.tidy(N.mean_over_panels(N.panel_purity(_near(spark, sf), ["keyword"]), ["label"], "purity"))
 
 
-@query(f"WITH {_NEAR}, x AS (SELECT keyword, gi, avg(d) FILTER (gi = gj) AS w, avg(d) FILTER (gi <> gj) AS b FROM np GROUP BY ALL) SELECT keyword, gi AS label, {r('w')} AS within, {r('b')} AS between, {r('b / nullif(w, 0)')} AS ratio FROM x")
+@query(f"WITH {_NEAR}, x AS (SELECT keyword, gi, avg(d) FILTER (gi = gj) AS w, avg(d) FILTER (gi <> gj) AS b FROM np GROUP BY ALL) SELECT keyword, gi AS label, {r('w')} AS within, {r('b')} AS between, {r('w / nullif(b, 0)')} AS ratio FROM x")
 def label_distances(spark, sf):
-    return B.tidy(N.label_distances(_panels(spark, sf), ["keyword"]))
+    return B.tidy(N.label_distances(B.samples(spark, sf), ["keyword"], "gen"))
 
 
 @query(f"WITH {_NEAR}, t AS (SELECT keyword, i, gi, gj, avg(d) AS d FROM np GROUP BY ALL), x AS (SELECT keyword, i, gi, max(d) FILTER (gi = gj) AS a, min(d) FILTER (gi <> gj) AS b FROM t GROUP BY ALL), y AS (SELECT *, CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM x) SELECT keyword, count(*) AS n, count(DISTINCT gi) AS labels, {r('CASE WHEN count(DISTINCT gi) > 1 AND count(*) > count(DISTINCT gi) THEN avg(s) END')} AS silhouette FROM y GROUP BY keyword")
 def silhouette(spark, sf):
-    return B.tidy(N.silhouette(_panels(spark, sf), ["keyword"]))
+    return B.tidy(N.silhouette(B.samples(spark, sf), ["keyword"], "gen"))
 
 
 @query(f"WITH {STRATIFIED} SELECT keyword, effort, i, j, {r('distance')} AS distance, stratum, rank FROM strat")
 def stratified_pairs(spark, sf):
-    return B.tidy(S.stratified_pairs(B.pairs(spark, sf), D.GROUP, 5))
+    return B.tidy(S.stratified_pairs(B.samples(spark, sf), D.GROUP, 5, short="all"))
 
 
 @query(f"""WITH {STRATIFIED}, {B.TEXTS}, x AS (SELECT s.keyword, s.effort, i, j, {r('distance')} AS distance, stratum, rank, 'judge' AS judge, unnest(['ab', 'ba']) AS "order", a.idea AS ta, b.idea AS tb
   FROM strat s JOIN t a ON a.row_idx = i JOIN t b ON b.row_idx = j) SELECT keyword, effort, i, j, distance, stratum, rank, judge, "order", CASE WHEN "order" = 'ab' THEN ta ELSE tb END AS text_a, CASE WHEN "order" = 'ab' THEN tb ELSE ta END AS text_b FROM x""")
 def judge_requests_both_orders(spark, sf):
-    p = S.stratified_pairs(B.pairs(spark, sf), D.GROUP, 5)
+    p = S.stratified_pairs(B.samples(spark, sf), D.GROUP, 5, short="all")
     return B.tidy(S.judge_requests(p, B.texts(spark, sf).select("row_idx", "idea"), "judge"))
 
 

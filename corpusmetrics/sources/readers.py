@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import is_blank, stripped
 from ..operators.checks import IntegrityError, misaligned, require_empty
 from ..operators.selection import positional_join
 from ..operators.tasks import canonical_index, merge_backfill
@@ -28,7 +29,7 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, strict:
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
     """The well-formed records among lines of text (column value); blank and malformed lines are dropped."""
     record = F.from_json("value", schema + ", _corrupt_record STRING", {"mode": "PERMISSIVE"})
-    rows = lines.where(F.trim("value") != "").select(record.alias("r"))
+    rows = lines.where(~is_blank(F.col("value"))).select(record.alias("r"))
     return rows.where("r is not null and r._corrupt_record is null").select("r.*").drop("_corrupt_record")
 
 
@@ -62,12 +63,12 @@ def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def keyword_list(spark: SparkSession, path: str) -> DataFrame:
     """keyword, category of a CSV (headers of any case) or of a text file of one keyword a line; blank ones are left out."""
     if path.endswith(".txt"):
-        df = spark.read.text(path).select(F.trim("value").alias("keyword"), F.lit(None).cast("string").alias("category"))
+        df = spark.read.text(path).select(stripped(F.col("value")).alias("keyword"), F.lit(None).cast("string").alias("category"))
     else:
         raw = spark.read.option("header", True).csv(path)
         raw = raw.toDF(*(c.strip().lower() for c in raw.columns))
-        category = F.trim("category") if "category" in raw.columns else F.lit(None).cast("string")
-        df = raw.select(F.trim("keyword").alias("keyword"), F.nullif(category, F.lit("")).alias("category"))
+        category = stripped(F.col("category")) if "category" in raw.columns else F.lit(None).cast("string")
+        df = raw.select(stripped(F.col("keyword")).alias("keyword"), F.nullif(category, F.lit("")).alias("category"))
     return df.where("keyword <> ''")
 
 

@@ -22,7 +22,7 @@ def vectors(spark):
 
 def test_closed_form_is_the_mean_of_pairs(vectors):
     closed = {r["keyword"]: r for r in diversity.mean_pairwise_distance(vectors).collect()}
-    pairs = {r["keyword"]: r for r in diversity.pair_summary(diversity.pair_distances(vectors), ["keyword"]).collect()}
+    pairs = {r["keyword"]: r for r in diversity.pair_summary(vectors, ["keyword"]).collect()}
     assert closed["c"]["mean_distance"] == 0.0 and closed["c"]["n"] == 1
     assert closed["a"]["mean_distance"] == pytest.approx(pairs["a"]["mean_distance"], abs=1e-12)
     assert pairs["a"]["n_pairs"] == 21 and pairs["b"]["n_pairs"] == 1 and "c" not in pairs
@@ -41,22 +41,172 @@ def test_separability_against_plain_loops(vectors):
 
 
 def test_neighbours_exclude_self_by_id(vectors):
-    pairs = N.ordered_pairs(vectors, ["effort"], "gen")
-    near = {r["i"]: r["j"] for r in N.neighbours(pairs, ["effort"], 1).collect()}
+    near = {r["i"]: r["j"] for r in N.neighbours(vectors, ["effort"], "gen", 1).collect()}
     assert near[3] == 4 and near[4] == 3
-    assert N.panel_purity(pairs.where("i < 2 and j < 2"), ["effort"]).count() == 0
+    assert N.panel_purity(N.neighbours(vectors.where("row_idx < 2"), ["effort"], "gen", 5), ["effort"]).count() == 0
 
 
 def test_middle_needs_enough_pairs(vectors):
-    pairs = diversity.pair_distances(vectors)
-    assert {r["keyword"] for r in selection.too_few_pairs(pairs, ["keyword"], 5).collect()} == {"b"}
-    s = selection.stratified_pairs(pairs, ["keyword"], 3).where("keyword = 'a'").groupBy("stratum").count().collect()
+    assert {r["keyword"] for r in selection.too_few_pairs(vectors, ["keyword"], 5).collect()} == {"b", "c"}
+    s = selection.stratified_pairs(vectors, ["keyword"], 3, short="all").where("keyword = 'a'").groupBy("stratum").count().collect()
     assert {r["stratum"]: r["count"] for r in s} == {"top": 3, "middle": 3, "bottom": 3}
+    with pytest.raises(Exception, match="fewer than 3 pairs in b"):
+        selection.stratified_pairs(vectors, ["keyword"], 3).collect()
+
+
+@pytest.fixture(scope="module")
+def lined(spark):
+    """Unit vectors at 0, 10, 30, 60 and 100 degrees: all ten distances differ."""
+    import math
+
+    rows = [(i, "k", "low", f"g{i % 2}", [math.cos(math.radians(a)), math.sin(math.radians(a))]) for i, a in enumerate((0, 10, 30, 60, 100))]
+    return spark.createDataFrame(rows, "row_idx long, keyword string, effort string, gen string, vec array<double>")
+
+
+def test_middle_pairs_run_from_near_to_far(lined):
+    """Angles of the ten pairs in order: 10 20 30 30 40 50 60 70 90 100, by (i, j) among equals."""
+    got = {(r["stratum"], r["rank"]): (r["i"], r["j"]) for r in selection.stratified_pairs(lined, ["keyword"], 2, 4).collect()}
+    assert got["top", 1] == (0, 4) and got["top", 2] == (1, 4) and got["bottom", 1] == (0, 1) and got["bottom", 2] == (1, 2)
+    assert [got["middle", k] for k in (1, 2, 3, 4)] == [(2, 3), (3, 4), (1, 3), (0, 3)]
+
+
+@pytest.mark.parametrize("tile", [1024, 2])
+def test_tiles_give_the_distances_of_plain_loops(vectors, monkeypatch, tile):
+    from corpusmetrics.operators import pairs as P
+
+    monkeypatch.setattr(P, "TILE", tile)
+    rows = [r for r in vectors.collect() if r["keyword"] == "a"]
+    u = {r["row_idx"]: np.array(r["vec"]) / (np.linalg.norm(r["vec"]) or 1) for r in rows}
+    want = {(i, j): 1 - u[i] @ u[j] for i in u for j in u if i < j}
+    got = {(r["i"], r["j"]): r["distance"] for r in diversity.pair_distances(vectors, ["keyword"]).where("keyword = 'a'").collect()}
+    assert got == pytest.approx(want, abs=1e-11)
+    s = diversity.pair_summary(vectors, ["keyword"]).where("keyword = 'a'").first()
+    assert s["median_distance"] == pytest.approx(np.median(list(want.values())), abs=1e-11) and s["std_distance"] == pytest.approx(np.std(list(want.values())), abs=1e-9)
+    whole = diversity.pair_summary(vectors, ["keyword", "effort"], ["effort"]).first()
+    both = [*want.values(), *(r["distance"] for r in diversity.pair_distances(vectors, ["keyword"]).where("keyword = 'b'").collect())]
+    assert whole["n_pairs"] == 22 and whole["median_distance"] == pytest.approx(np.median(both), abs=1e-11)
+    near = {(r["i"], r["rank"]): r["j"] for r in N.neighbours(vectors, ["keyword"], "gen", 2).where("keyword = 'a'").collect()}
+    for i in u:
+        order = sorted((j for j in u if j != i), key=lambda j: (round(1 - u[i] @ u[j], 12), f"g{j % 2}", j))
+        assert [near[i, 1], near[i, 2]] == order[:2]
+
+
+def test_silhouette_and_label_distances_against_plain_loops(vectors):
+    rows = vectors.collect()
+    u = {r["row_idx"]: np.array(r["vec"]) / (np.linalg.norm(r["vec"]) or 1) for r in rows}
+    g = {r["row_idx"]: r["gen"] for r in rows}
+    d = lambda i, j: 1 - u[i] @ u[j]
+    s = []
+    for i in u:
+        a = np.mean([d(i, j) for j in u if j != i and g[j] == g[i]])
+        b = np.mean([d(i, j) for j in u if g[j] != g[i]])
+        s.append((b - a) / max(a, b))
+    assert N.silhouette(vectors, ["effort"], "gen").first()["silhouette"] == pytest.approx(np.mean(s))
+    for r in N.label_distances(vectors, ["effort"], "gen").collect():
+        own = [i for i in u if g[i] == r["label"]]
+        within, between = np.mean([d(i, j) for i in own for j in own if i < j]), np.mean([d(i, j) for i in own for j in u if g[j] != r["label"]])
+        assert (r["within"], r["between"], r["ratio"]) == pytest.approx((within, between, within / between))
+
+
+def test_leave_one_out_takes_the_mean_of_keyword_means(vectors):
+    """a has 21 pairs, b one, c none: the mean of the means of a and b, however many pairs they have."""
+    rows = vectors.collect()
+    u = {r["row_idx"]: np.array(r["vec"]) / (np.linalg.norm(r["vec"]) or 1) for r in rows}
+    k = {r["row_idx"]: r["keyword"] for r in rows}
+    mean = lambda keys: np.mean([np.mean([1 - u[i] @ u[j] for i in u for j in u if i < j and k[i] == k[j] == x]) for x in keys])
+    inter = lambda keys: np.mean([1 - u[i] @ u[j] for i in u for j in u if k[i] != k[j] and k[i] in keys and k[j] in keys])
+    got = {r["keyword"]: r for r in diversity.leave_one_out(vectors).collect()}
+    assert got["c"]["separability"] == pytest.approx(inter("ab") / mean("ab"))
+    assert got["a"]["separability"] == pytest.approx(inter("bc") / mean("b"))
+    assert got["c"]["shift"] == pytest.approx(inter("ab") / mean("ab") - inter("abc") / mean("ab"))
+
+
+def test_centroids_of_cells_are_of_raw_vectors(spark):
+    df = spark.createDataFrame([(0, "k", "x", [4.0, 0.0]), (1, "k", "x", [0.0, 2.0]), (2, "k", "y", [1.0, 0.0]), (3, "k", "y", [3.0, 0.0])], "row_idx long, keyword string, gen string, vec array<double>")
+    r = diversity.cross_within(df, "keyword", "gen").first()
+    # centroids (2, 1) and (2, 0); unit vectors would give (1, 1) and (2, 0)
+    assert r["centroid_distance"] == pytest.approx(1 - 2 / 5**0.5)
+
+
+def test_calibration_is_by_tier(spark):
+    df = spark.createDataFrame([("low", "A", 0.01), ("high", "B", 0.02), ("high", "A", 0.03)], "effort string, answer string, distance double")
+    assert {(r["effort"], r["n"]) for r in judgments.calibration(df).collect()} == {("low", 1), ("high", 2)}
+
+
+def test_white_space_of_any_kind(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("\n idea\t",), ("\n\t",), ("\u00a0\u3000",), ("\x1c a b \u2003",), (None,)], "t string")
+    r = df.select(C.is_blank(F.col("t")).alias("b"), C.text_key(F.col("t")).alias("k")).collect()
+    assert [x["b"] for x in r] == [False, True, True, False, True]
+    assert r[0]["k"] == hashlib.sha1(b"idea").hexdigest()[:16] and r[3]["k"] == hashlib.sha1(b"a b").hexdigest()[:16]
+
+
+def test_reasoning_tokens_of_texts_without_a_block_are_zero(spark):
+    df = spark.createDataFrame([(True, 10, 30, 5), (False, 40, 30, 5), (True, 40, 30, 5)], "b boolean, o long, v long, h long")
+    got = [r[0] for r in df.select(C.reasoning_by_subtraction(F.col("b"), F.col("o"), F.col("v"), F.col("h"))).collect()]
+    assert got == [-15, 0, 15]
+
+
+def test_terms_are_weighted_by_the_size_of_their_keyword(spark):
+    """x: a a b, y: b, z: no tokens.  idf of a is ln 3, of b ln 1.5."""
+    rows = [("c", "x", "a", 2), ("c", "x", "b", 1), ("c", "y", "b", 1)]
+    v = spark.createDataFrame(rows, "category string, keyword string, token string, tf long")
+    keys = spark.createDataFrame([("c", k) for k in "xyz"], "category string, keyword string")
+    s = lexical.tf_idf(v, ["category"], "keyword", keys)
+    got = {(r["keyword"], r["token"]): r["tf_idf"] for r in s.collect()}
+    assert got == pytest.approx({("x", "a"): 2 / 3 * np.log(3), ("x", "b"): np.log(1.5) / 3, ("y", "b"): np.log(1.5)})
+    assert lexical.idf_mean(s, ["category"]).first()["mean_idf"] == pytest.approx((2 * np.log(3) + 2 * np.log(1.5)) / 4)
+    j = lexical.vocabulary_jaccard(v, ["category"], "keyword", keys).first()
+    assert j["n_keys"] == 3 and j["mean_jaccard"] == pytest.approx((1 / 2 + 0 + 0) / 3)
+    more = keys.union(spark.createDataFrame([("c", "w")], "category string, keyword string"))
+    assert lexical.vocabulary_jaccard(v, ["category"], "keyword", more).first()["mean_jaccard"] == pytest.approx(0.5 / 5)
+    assert [r["token"] for r in lexical.universal_words(v, "keyword", keys, 0.7).collect()] == ["b"]
+
+
+def test_the_lowest_tier_present_is_the_base(spark):
+    df = spark.createDataFrame([("k", "low", 1.0), ("k", "high", 4.0)], "keyword string, effort string, x double")
+    assert quality.per_keyword_wide(df, ["keyword"], ["x"], ["none", "low", "medium", "high"]).collect()[0].asDict() == {"keyword": "k", "x_low": 1.0, "x_high": 4.0, "x_delta": 3.0}
+
+
+def test_short_samples_fail(spark):
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "g string, i long")
+    with pytest.raises(Exception, match="fewer than 3 rows in b"):
+        selection.seeded_sample(df, ["g"], ["i"], 3).collect()
+    assert selection.seeded_sample(df, ["g"], ["i"], 3, short="all").count() == 4
+
+
+def test_prefix_must_hit_one_row(spark):
+    from corpusmetrics.operators import contrasts
+
+    df = spark.createDataFrame([("vs-low (a)", 1), ("vs-high", 2), ("vs-high", 3)], "label string, x long")
+    assert contrasts.one_by_prefix(df, "label", "vs-low").first()["x"] == 1
+    for prefix in ("vs-high", "none"):
+        with pytest.raises(Exception, match="not one row"):
+            contrasts.one_by_prefix(df, "label", prefix).collect()
+    assert spark.sql("SELECT array('b', 'a', 'b') AS v").select(C.distinct_in_order(F.col("v"))).first()[0] == ["b", "a"]
+
+
+def test_gain_table_by_hand(spark):
+    from corpusmetrics.operators import contrasts
+
+    cells = [(k, "vs", "low", v) for k, v in zip("abcd", (3.0, 4.0, 5.0, 6.0), strict=True)] + [(k, "default", "low", v) for k, v in zip("abcd", (1.0, 2.0, 4.0, 3.0), strict=True)]
+    c = spark.createDataFrame(cells, "keyword string, kind string, effort string, value double")
+    strata = contrasts.baseline_strata(c, ["value"])
+    assert {r["keyword"]: r["stratum"] for r in strata.collect()} == {"a": "Q1", "b": "Q1", "c": "Q4", "d": "Q4"}
+    rows = contrasts.gains(c, strata, [("vs", "low", "default", "low"), ("vs", "high", "default", "low")])
+    m = contrasts.gain_means(rows).collect()
+    assert len(m) == 1 and m[0].asDict() == pytest.approx({"contrast": "vs-low vs default-low", "n_q1": 2, "abs_gain_q1": 2.0, "rel_gain_q1": 1.5, "n_q4": 2, "abs_gain_q4": 2.0, "rel_gain_q4": 0.625, "abs_gain_ratio": 1.0, "rel_gain_ratio": 2.4})
+    t = contrasts.gain_tests(rows, n_boot=500).first()
+    assert t["wilcoxon_q1_p"] is None and t["mannwhitney_p"] is not None and t["abs_gain_q1_ci_low"] <= 2.0 <= t["abs_gain_q1_ci_high"]
+    v = spark.createDataFrame([(k, e, x) for k, e, x in [("a", "none", 0.0), ("a", "low", 0.5), ("b", "none", 0.5), ("b", "low", 0.5), ("c", "low", 1.0)]], "keyword string, effort string, value double")
+    e = contrasts.paired_effects(v, [("none", "low"), ("low", "high")]).collect()
+    assert len(e) == 1 and (e[0]["n_keywords"], e[0]["mean_baseline"], e[0]["mean_diff"]) == (2, 0.25, 0.25) and e[0]["cohens_dz"] == pytest.approx(0.25 / np.std([0.5, 0], ddof=1))
 
 
 def test_bin_edges_are_half_open(spark):
     df = spark.createDataFrame([("A", 0.0), ("B", 0.05), ("C", 0.699), ("D", 0.7)], "answer string, distance double")
-    bins = {(r["lo"], r["hi"]): r["n"] for r in judgments.calibration(df).collect()}
+    bins = {(r["lo"], r["hi"]): r["n"] for r in judgments.calibration(df, []).collect()}
     assert bins == {(0.0, 0.05): 1, (0.05, 0.1): 1, (0.55, 0.7): 1}
     assert judgments.beyond_bins(df).first()[0] == 1
 
