@@ -121,7 +121,3 @@ def guarded_corr(x: str, y: str) -> Column:
 def distinct_in_order(values: Column) -> Column:
     """Each value of a list once, where it stands first."""
     return F.array_distinct(values)
-
-
-def in_lists(c: Column, stop: list[str]) -> Column:
-    return F.array_contains(F.array(*map(F.lit, stop)), c)

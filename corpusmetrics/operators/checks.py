@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import AXES, LABELS, STRATA
+
 
 class IntegrityError(ValueError):
     pass
@@ -17,6 +20,17 @@ def require_empty(violations: DataFrame, what: str) -> None:
         raise IntegrityError(f"{what}: {found}")
 
 
+def invalid_labels(judged: DataFrame) -> DataFrame:
+    """Judgments with a label, an order or a stratum that there is not."""
+    one_of = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    return judged.where(~(one_of("answer", LABELS) & one_of("order", ("ab", "ba")) & one_of("stratum", STRATA)))
+
+
+def invalid_scores(scores: DataFrame, axes: Sequence[str] = AXES, lo: int = 1, hi: int = 10) -> DataFrame:
+    inside = [F.coalesce(F.col(a).between(lo, hi), F.lit(False)) for a in axes]
+    return scores.where(~reduce(lambda a, b: a & b, inside))
+
+
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 

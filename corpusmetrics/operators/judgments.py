@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..functions.columns import guarded_corr, label_order, label_points
 from ..functions.constants import BIN_EDGES, LABELS
 
@@ -50,6 +51,14 @@ def attribution(judged: DataFrame, by: Sequence[str]) -> DataFrame:
     return s.select(*by, "answer", "n", "mean", "std", F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"))
 
 
+def facet_distances(pairs: DataFrame, vectors: DataFrame, facet: str = "facet") -> DataFrame:
+    """``pairs`` (i, j, ..) with the distance of their vectors in every facet, looked up by row index."""
+    u = vectors.select("row_idx", facet, V.unit(V.doubles(F.col("vec"))).alias("u"))
+    a, b = (u.select(F.col("row_idx").alias(k), facet, F.col("u").alias("u" + k)) for k in "ij")
+    j = pairs.join(a, "i").join(b, ["j", facet])
+    return j.select(*pairs.columns, facet, V.cosine_distance(F.col("ui"), F.col("uj")).alias("facet_distance"))
+
+
 def collapse_orders(judged: DataFrame, pair: Sequence[str]) -> DataFrame:
     """One row a pair: the label farthest towards A of its orders."""
     return judged.groupBy(*pair).agg(F.min("answer").alias("answer"), F.min_by("distance", "order").alias("distance"))

@@ -86,10 +86,6 @@ def seeded_sample(rows: DataFrame, by: Sequence[str], key: Sequence[str], n: int
     return top_per_group(rows, by, [order, *key], n, "__r").drop("__r")
 
 
-def short_groups(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") < n)
-
-
 def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
     return top_per_group(rows, by, order, 1, "__r").drop("__r")
 

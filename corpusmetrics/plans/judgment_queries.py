@@ -51,6 +51,18 @@ def facet_attribution(spark, sf):
     return B.tidy(J.attribution(B.judged(spark, sf), ["stratum", "effort"]))
 
 
+@query(f"""WITH {JUDGED}, fv AS (SELECT row_idx, 'whole' AS facet, v FROM e UNION ALL SELECT row_idx, 'first half', v[:len(v) // 2] FROM e),
+fu AS (SELECT *, list_transform(v, lambda x: x / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END) AS u FROM fv)
+SELECT facet, answer, count(*) AS n, {r('avg(least(2, greatest(0, 1 - list_inner_product(a.u, b.u))))')} AS mean FROM judged JOIN fu a ON a.row_idx = i JOIN fu b USING (facet) WHERE b.row_idx = j GROUP BY ALL""")
+def facet_lookup(spark, sf):
+    """Distances of judged pairs in two facets (the whole vector, and its first half), by label."""
+    s = B.samples(spark, sf).select("row_idx", "vec")
+    half = F.slice("vec", F.lit(1), F.greatest(F.floor(F.size("vec") / 2).cast("int"), F.lit(1)))
+    facets = s.withColumn("facet", F.lit("whole")).unionByName(s.select("row_idx", half.alias("vec"), F.lit("first half").alias("facet")))
+    d = J.facet_distances(B.judged(spark, sf).select("i", "j", "answer"), facets)
+    return B.tidy(d.groupBy("facet", "answer").agg(F.count("*").alias("n"), F.avg("facet_distance").alias("mean")))
+
+
 _EDGES = [0.7 + 0.05 * k for k in range(11)]
 _EDGES_SQL = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True))
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_blank, stripped
-from ..operators.checks import IntegrityError, misaligned, require_empty
+from ..functions.constants import AXES
+from ..operators.checks import IntegrityError, invalid_labels, invalid_scores, misaligned, require_empty
 from ..operators.selection import positional_join
 from ..operators.tasks import canonical_index, merge_backfill
 from . import schemas
@@ -41,21 +45,37 @@ def samples(spark: SparkSession, path: str | list[str], backfill: str | None = N
     return canonical_index(df)
 
 
-def pairwise(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
-    """One row a judgment, flat."""
+def pairwise(spark: SparkSession, path: str | list[str], strict: bool = True, validate: bool = True) -> DataFrame:
+    """One row a judgment, flat; values that no judgment has raise."""
     df = json_lines(spark, path, schemas.PAIRWISE, strict)
-    return df.select("request.pair.*", "request.order", "request.judge_model", "answer").withColumnsRenamed({"sample_i_index": "i", "sample_j_index": "j", "embedding_distance": "distance"})
+    out = df.select("request.pair.*", "request.order", "request.judge_model", "answer").withColumnsRenamed({"sample_i_index": "i", "sample_j_index": "j", "embedding_distance": "distance"})
+    if validate:
+        require_empty(invalid_labels(out), "labels, orders or strata that no judgment has")
+    return out
 
 
-def quality(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+def quality(spark: SparkSession, path: str | list[str], strict: bool = True, validate: bool = True) -> DataFrame:
+    """One row a judgment, flat; scores beyond 1 to 10 raise."""
     df = json_lines(spark, path, schemas.QUALITY, strict)
-    return df.select("request.target.*", "request.judge_model", "request.idea_text", "scores.originality", "scores.feasibility", "scores.clarity")
+    out = df.select("request.target.*", "request.judge_model", "request.idea_text", *(f"scores.{a}" for a in AXES))
+    if validate:
+        require_empty(invalid_scores(out), "scores beyond 1 to 10")
+    return out
 
 
 def row_keys(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.ROW_KEY).withColumn("category", F.coalesce("category", F.lit("")))
 
 
+def template(spark: SparkSession, path: str, needed: Sequence[str]) -> dict[str, str]:
+    """The texts of a JSON file of prompts; raises where none of them holds a placeholder that is ``needed``."""
+    prompts = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    missing = [n for n in needed if not any("{" + n + "}" in t for t in prompts.values() if isinstance(t, str))]
+    if missing:
+        raise IntegrityError(f"{path} lacks placeholders {missing}")
+    return prompts
+
+
 def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
@@ -73,29 +93,38 @@ def keyword_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, path: str, chunk: int = 4096) -> DataFrame:
-    """row_idx, vec of a NumPy matrix (.npy) that the driver can open; meant to be written as Parquet once."""
-    import numpy as np
-    import pyarrow as pa
+    """row_idx, vec of a NumPy matrix (.npy) in a folder that driver and executors share: the driver reads its shape, tasks read ranges of rows."""
+    n = len(np.load(path, mmap_mode="r"))
 
-    m = np.load(path, mmap_mode="r")
-    parts = []
-    for i in range(0, max(1, len(m)), chunk):
-        block = np.asarray(m[i : i + chunk], np.float64)
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel()), block.shape[1]).cast(pa.list_(pa.float64())) if block.size else pa.array([], pa.list_(pa.float64()))
-        parts.append(pa.table({"row_idx": pa.array(range(i, i + len(block)), pa.int64()), "vec": flat}))
-    return spark.createDataFrame(pa.concat_tables(parts))
+    def run(batches):
+        m = np.load(path, mmap_mode="r")
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                block = np.asarray(m[k * chunk : (k + 1) * chunk], np.float64)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel()), block.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * chunk, k * chunk + len(block))), flat], names=["row_idx", "vec"])
 
+    chunks = -(-n // chunk)
+    return spark.range(0, chunks, 1, max(1, chunks)).mapInArrow(run, "row_idx long, vec array<double>")
 
-def facet_archive(spark: SparkSession, path: str) -> DataFrame:
-    """facet, keyword, effort, rank, vec of a NumPy archive (.npz) whose entries are named effort|keyword|facet."""
-    import numpy as np
 
-    rows = []
+def facet_archive(spark: SparkSession, path: str) -> DataFrame:
+    """facet, keyword, effort, rank, vec of a NumPy archive (.npz) whose entries are named effort|keyword|facet, in a folder that driver and executors share; tasks read the entries."""
     with np.load(path) as z:
-        for name in z.files:
-            effort, keyword, facet = name.split("|")
-            rows += [(facet, keyword, effort, i, v.astype(float).tolist()) for i, v in enumerate(z[name])]
-    return spark.createDataFrame(rows, "facet string, keyword string, effort string, rank long, vec array<double>")
+        names = z.files
+
+    def run(batches):
+        with np.load(path) as z:
+            for batch in batches:
+                for name in batch.column("name").to_pylist():
+                    effort, keyword, facet = name.split("|")
+                    m = z[name].astype(np.float64)
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+                    cols = [pa.array([x] * len(m), pa.string()) for x in (facet, keyword, effort)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(m))), flat], names=["facet", "keyword", "effort", "rank", "vec"])
+
+    entries = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 200)))
+    return entries.mapInArrow(run, "facet string, keyword string, effort string, rank long, vec array<double>")
 
 
 def align_archive(records: DataFrame, archive: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def vectors(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def pending_rows(log: DataFrame, expected: int) -> DataFrame:
+    """row_idx of the rows 0 .. expected - 1 that a partial log lacks: what a resumed run has to write."""
+    return log.sparkSession.range(expected).withColumnRenamed("id", "row_idx").join(log.select("row_idx").distinct(), "row_idx", "left_anti")
+
+
 def finalized_vectors(log: DataFrame, expected: int, line: str = "line_no") -> DataFrame:
     """The last row of each row_idx, after all rows 0 .. expected - 1 were found."""
     out = last_write_wins(log, ["row_idx"], line)
@@ -64,8 +69,26 @@ def matrix_order(samples: DataFrame, keys: DataFrame) -> DataFrame:
     return out.drop("__there")
 
 
-def without_keyword(df: DataFrame, keyword: str) -> DataFrame:
-    return df.where(F.col("keyword") != keyword)
+def masked(records: DataFrame, vecs: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """The records that a condition holds for, and their vectors."""
+    rows = records.where(keep)
+    return rows, vecs.join(rows.select("row_idx"), "row_idx", "left_semi")
+
+
+def without_keyword(keyword: str, records: DataFrame, vecs: DataFrame, *logs: DataFrame) -> tuple[DataFrame, ...]:
+    """Records, vectors and logs without a keyword."""
+    other = F.col("keyword") != keyword
+    return (*masked(records, vecs, other), *(x.where(other) for x in logs))
+
+
+def markdown(df: DataFrame, path: str, title: str, order: Sequence[str] = ()) -> None:
+    """A small table as a Markdown report: one file."""
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    top = df.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1)
+    body = (df.orderBy(*order) if order else df).select(line.alias("value")).coalesce(1)
+    top.union(body).coalesce(1).write.text(path)
 
 
 def keyword_filters(rows: DataFrame, path: str, expected: dict[str, int]) -> None:

@@ -108,3 +108,123 @@ def test_stream_counts_replays_once(spark, tmp_path):
     lines(src / "2.jsonl", [row, {"id": 3, "ts": "2024-01-01T00:02:00Z", "v": "z"}])
     go()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_judgments_with_unknown_values_raise(spark, tmp_path):
+    pair = {"keyword": "k", "effort": "low", "sample_i_index": 1, "sample_j_index": 2, "embedding_distance": 0.5, "stratum": "top", "rank": 1}
+    for more in ({"answer": "E"}, {"answer": None}, {"order": "aa"}):
+        p = lines(tmp_path / "p.jsonl", [{"request": {"pair": pair, "order": more.get("order", "ab"), "judge_model": "j"}, "answer": more.get("answer", "A")}])
+        if more == {"answer": None}:
+            p = lines(tmp_path / "p.jsonl", [{"request": {"pair": pair, "order": "ab", "judge_model": "j"}}])
+        with pytest.raises(IntegrityError):
+            readers.pairwise(spark, p)
+        assert readers.pairwise(spark, p, validate=False).count() == 1
+    q = lines(tmp_path / "q.jsonl", [{"request": {"target": {"keyword": "k", "effort": "low", "sample_row_index": 3}}, "scores": {"originality": 11, "feasibility": 1, "clarity": 1}}])
+    with pytest.raises(IntegrityError):
+        readers.quality(spark, q)
+
+
+def test_templates_need_their_placeholders(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"system": "judge", "user": "compare {a}\nand {b}"}))
+    assert readers.template(spark, str(tmp_path / "t.json"), ["a", "b"])["system"] == "judge"
+    with pytest.raises(IntegrityError, match="c"):
+        readers.template(spark, str(tmp_path / "t.json"), ["a", "c"])
+
+
+def test_grids_skip_missing_parts(spark):
+    one = spark.createDataFrame([("m", 1)], "idea_model string, row_idx long")
+    g = readers.panel_grid([(one, "e1", "purpose"), (None, "e1", "mechanism"), (one, "e2", "purpose")])
+    assert sorted((r["embedder"], r["facet"]) for r in g.collect()) == [("e1", "purpose"), ("e2", "purpose")]
+    with pytest.raises(IntegrityError, match="no part"):
+        readers.panel_grid([(None, "e", "f")])
+    with pytest.raises(IntegrityError, match="one model"):
+        readers.panel_grid([(one.union(spark.createDataFrame([("n", 2)], one.schema)), "e", "f")])
+
+
+def test_reasoning_counts_must_be_there(spark):
+    s = spark.createDataFrame([("k", "low", 0), ("k", "low", 1)], "keyword string, effort string, sample_index long")
+    c = spark.createDataFrame([("k", "low", 0, 7), ("k", "low", 1, 9)], "keyword string, effort string, sample_index long, reasoning_tokens long")
+    assert sorted(r["reasoning_tokens"] for r in readers.with_reasoning_counts(s, c).collect()) == [7, 9]
+    with pytest.raises(IntegrityError):
+        readers.with_reasoning_counts(s, c.limit(1))
+
+
+KEY = "row_idx long, category string, keyword string, prompt_style string, effort string, sample_index long"
+
+
+def test_releases_and_matrix_order(spark, tmp_path):
+    s = spark.createDataFrame([(0, "c", "a", "p", "low", 0), (1, None, "b", "p", "low", 0)], KEY)
+    v = spark.createDataFrame([(0, [1.5]), (1, [2.5])], "row_idx long, vec array<double>")
+    merged, vecs, keys = writers.release(s, s.where("row_idx = 0"), v)
+    assert merged.count() == 2 and dict(vecs.dtypes)["vec"] == "array<float>" and {r["category"] for r in keys.collect()} == {"c", ""}
+    path = lines(tmp_path / "k.jsonl", [{"category": None, "keyword": "b", "prompt_style": "p", "effort": "low", "sample_index": 0}])
+    assert readers.row_keys(spark, path).first()["category"] == ""
+    back = spark.createDataFrame([(5, "", "b", "p", "low", 0), (6, "c", "a", "p", "low", 0)], KEY)
+    assert {(r["row_idx"], r["keyword"]) for r in writers.matrix_order(s, back).collect()} == {(5, "b"), (6, "a")}
+    with pytest.raises(IntegrityError):
+        writers.matrix_order(s, spark.createDataFrame([(0, "c", "z", "p", "low", 0)], KEY))
+    with pytest.raises(IntegrityError):
+        writers.matrix_order(s.union(s), back)
+
+
+def test_cells_are_cleaned_together(spark):
+    s = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "row_idx long, keyword string")
+    v = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [3.0])], "row_idx long, vec array<double>")
+    rows, vecs, log = writers.without_keyword("a", s, v, s.select("keyword"))
+    assert [r["row_idx"] for r in rows.collect()] == [1] and [r["vec"] for r in vecs.collect()] == [[2.0]] and log.count() == 1
+
+
+def test_vector_logs_resume(spark, tmp_path):
+    path = str(tmp_path / "v")
+    writers.vectors(spark.createDataFrame([(0, [1.0], 0), (2, [2.0], 1)], "row_idx long, vec array<double>, line_no long"), path)
+    assert [r["row_idx"] for r in writers.pending_rows(spark.read.parquet(path), 4).orderBy("row_idx").collect()] == [1, 3]
+    writers.vectors(spark.createDataFrame([(1, [9.0], 2)], "row_idx long, vec array<double>, line_no long"), path)
+    assert writers.finalized_vectors(spark.read.parquet(path), 3).count() == 3
+
+
+def test_lists_matrices_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", "a"), ("m1", "a"), ("m2", "b")], "generation_model string, keyword string")
+    writers.keyword_filters(rows, str(tmp_path / "k"), {"m1": 1, "m2": 1})
+    assert {(r["generation_model"], r["keyword"]) for r in spark.read.option("header", True).csv(str(tmp_path / "k")).collect()} == {("m1", "a"), ("m2", "b")}
+    with pytest.raises(IntegrityError):
+        writers.keyword_filters(rows, str(tmp_path / "x"), {"m1": 2, "m2": 1})
+    long = spark.createDataFrame([("x", "x", 0.0), ("x", "y", 0.5), ("y", "x", 0.5), ("y", "y", 0.0)], "a string, b string, distance double")
+    assert [tuple(r) for r in writers.square_matrix(long, ["x", "y"]).orderBy("a").collect()] == [("x", 0.0, 0.5), ("y", 0.5, 0.0)]
+    with pytest.raises(IntegrityError):
+        writers.square_matrix(long, ["x", "y"], most=1)
+    writers.markdown(spark.createDataFrame([("b|c", 2), ("a", None)], "name string, n long"), str(tmp_path / "r"), "Report", ["name"])
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.split("\n")[:6] == ["# Report", "", "| name | n |", "| --- | --- |", "| a |  |", "| b\\|c | 2 |"]
+    rec = spark.createDataFrame([(0, "k", "c", "p", "low", 0, 3, 5, "end", True, "idea")], "row_idx long, keyword string, category string, prompt_style string, effort string, sample_index long, word_count long, output_tokens long, stop_reason string, has_reasoning_block boolean, idea string")
+    writers.pca_coordinates(rec, spark.createDataFrame([(0, 1.0, 2.0)], "row_idx long, x double, y double"), str(tmp_path / "c"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "c")).first()
+    assert got["x"] == "1.0" and got["has_reasoning_block"] == "1"
+
+
+def test_small_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmetrics.functions import columns as C
+    from corpusmetrics.functions import text as T
+    from corpusmetrics.operators import judgments, lexical
+
+    df = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0)], "x double, y double")
+    assert [r[0] for r in df.select(F.coalesce(C.finite(F.col("x"), F.col("y")), F.lit(False))).collect()] == [True, False, False, False]
+    one = spark.createDataFrame([("p", None, "e")], "a string, b string, c string")
+    assert one.select(T.combined(F.col("a"), F.col("b"), F.col("c"))).first()[0] == "p e"
+    cells = spark.createDataFrame([("k", 1.0, 0.01), ("k", 3.0, 0.2), ("k", float("nan"), float("nan"))], "k string, v double, p double")
+    r = lexical.cell_aggregate(cells, ["k"], "v", "p").first()
+    assert (r["n"], r["mean"], r["median"], r["n_significant"]) == (2, 2.0, 2.0, 1) and r["q90"] == pytest.approx(2.8)
+    vecs = spark.createDataFrame([(0, "f", [1.0, 0.0]), (1, "f", [0.0, 2.0]), (0, "g", [1.0, 0.0]), (1, "g", [3.0, 0.0])], "row_idx long, facet string, vec array<double>")
+    pairs = spark.createDataFrame([(0, 1, "A")], "i long, j long, answer string")
+    assert {r["facet"]: r["facet_distance"] for r in judgments.facet_distances(pairs, vecs).collect()} == {"f": 1.0, "g": 0.0}
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    lines(src / "1.jsonl", [{"id": k % 2, "ts": f"2024-01-01T00:0{k}:00Z"} for k in range(6)] + [{"id": 9, "ts": "2024-01-01T09:00:00Z"}])
+    counts = logs.windowed_counts(logs.read_log(spark, str(src), "id LONG, ts TIMESTAMP"), "ts", "5 minutes", ["id"])
+    logs.append(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = {(r["window"]["start"].minute, r["id"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(0, 0): 3, (0, 1): 2, (5, 1): 1}
