@@ -69,7 +69,7 @@ def _chunks(col, digest_bytes: int) -> Iterator[tuple[int, int, bytes, np.ndarra
 
 def _recipes(digest_bytes: int, clashes: frozenset):
     def run(batches):
-        for batch in batches:
+        for batch in tx.small(batches):
             recipes, shas = [], []
             for i, j, buf, off, spans, digests in _chunks(batch.column("text"), digest_bytes):
                 if clashes:
@@ -85,7 +85,7 @@ def _recipes(digest_bytes: int, clashes: frozenset):
 
 def _contents(digest_bytes: int):
     def run(batches):
-        for batch in batches:
+        for batch in tx.small(batches):
             for _, _, buf, _, spans, digests in _chunks(batch.column("text"), digest_bytes):
                 once = {(d, buf[a:b]) for (a, b), d in zip(spans.T.tolist(), digests, strict=True)}
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in once], pa.binary()), pa.array([c for _, c in once], pa.binary())], names=["digest", "chunk"])

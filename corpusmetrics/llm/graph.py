@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import drop, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: the smaller neighbours of a node, and it, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, e = e, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop(old)
         sign = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -19,8 +19,10 @@ prefixes pass.
 Defined results: null texts and texts without words have no shingles and link with
 nothing; fewer words than ``k`` are one shingle; rows of null doc_id are taken as the
 least id in joins and get component_id null if that id is theirs; rows of equal doc_id
-are one node (its sets are linked); an empty table gives an empty result; columns
-beyond doc_id and text are not read.
+are one node (its sets are linked); a similarity of exactly the share (a tie) links; very
+long texts are whole sets, worked on alone; an empty table gives an empty result; columns
+beyond doc_id and text, whatever their names, are not read.  The join gives components
+and no number of links: pairs that are connected already are not compared.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def needed(n: int, share: int) -> int:
 def _sets(k: int, share: int, sent):
     def run(batches):
         sketch = held(sent)
-        for batch in batches:
+        for batch in tx.small(batches):
             sizes, names, sets, prefixes = [], [], [], []
             for _, first, keys in _shingles(batch.column("text"), k):
                 level = sketch.level(keys)

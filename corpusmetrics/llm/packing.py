@@ -108,7 +108,7 @@ def _encoder(path: str) -> SpanEncoder:
 
 def _pieces(path: str, separator: int, size: int):
     def run(batches):
-        for batch in batches:
+        for batch in tx.small(batches):
             out: list[list] = [[], [], [], [], []]
             col = tx.column(batch.column("text"))
             ids_of = batch.column("doc_id").to_pylist()

@@ -221,7 +221,7 @@ def codec(model: str) -> PieceCodec:
 def _coded(model: str):
     def run(batches):
         c = codec(model)
-        for batch in batches:
+        for batch in tx.small(batches):
             counts, ids_sha, text_sha = [], [], []
             for i, j, ids, ends in c.encode_many(tx.column(batch.column("text"))):
                 for k in range(j - i):
@@ -237,7 +237,7 @@ def _coded(model: str):
 def _ids(model: str):
     def run(batches):
         c = codec(model)
-        for batch in batches:
+        for batch in tx.small(batches):
             rows = [np.concatenate([[c.bos], ids[ends[k] : ends[k + 1]], [c.eos]]).astype(np.int32) for i, j, ids, ends in c.encode_many(tx.column(batch.column("text"))) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

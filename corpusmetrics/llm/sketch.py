@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import stored
+from .shared import drop, stored
 
 #: log2 of the counters of a row, at least and at most: 2**28 bits are 32 MB.
 LEAST_BITS, MOST_BITS = 20, 28
 SHARD_BITS = 20
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Indices merged by one task at a time.
 MERGED = 32_000_000
 #: Parts in which the driver fetches a sketch.
@@ -123,7 +123,7 @@ def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
 
     def run(batches):
         held, n, flushes = [], 0, 0
-        for batch in batches:
+        for batch in tx.small(batches):
             for keys in keys_of(batch):
                 held.append(keys)
                 n += len(keys)
@@ -145,6 +145,7 @@ def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
         for r in merged.where(F.col("shard") % FETCHES == part).select("row", "shard", "planes").collect():
             for k in range(depth):
                 planes[r[0]][k][r[1] * width : (r[1] + 1) * width] = r[2][k * width : (k + 1) * width]
+    drop(merged)
     return spark.sparkContext.broadcast((planes, bits))
 
 

@@ -39,7 +39,7 @@ GRAM = 32
 #: Period of the difference cover, and the most bytes from any position to the next one of the cover.
 PERIOD, REACH = 32, 8
 #: Text sorted as one block.
-BLOCK = 1_000_000
+BLOCK = 400_000
 _OCCURRENCE = "key long, doc long, copy long, at int, back int, n int, body binary"
 _I64 = np.int64
 
@@ -139,7 +139,7 @@ def _keys(depth: int):
 def _occurrences(depth: int, sent):
     def run(batches):
         sketch = held(sent)
-        for batch in batches:
+        for batch in tx.small(batches):
             doc, copy = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
             got: list[list[np.ndarray]] = [[] for _ in range(6)]
             bodies = []
@@ -164,7 +164,7 @@ def _occurrences(depth: int, sent):
             head = group_heads(key[order], back[order], ident[order])
             lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
             later = np.zeros(len(d), bool)
-            later[order] = (d[order] != d[lead]) | (at[order] != at[lead])  # an equal body starts earlier in this batch: settled here
+            later[order] = (d[order] != d[lead]) | (at[order] != at[lead])  # an equal body starts earlier in this part: settled here
             key = np.where(later, tx.mix(key.view(np.uint64) ^ tx.mix(d.view(np.uint64) + at.astype(np.uint64))).view(_I64), key)
             cols = [pa.array(key), pa.array(d), pa.array(c), *(pa.array(x.astype(np.int32)) for x in (at, back, n)), pa.array([None if l else b for l, b in zip(later.tolist(), bodies, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "copy", "at", "back", "n", "body"])
@@ -257,7 +257,7 @@ def _marked(depth: int):
 
 def _kept(depth: int):
     def run(batches):
-        for batch in batches:
+        for batch in tx.small(batches):
             runs = batch.column("runs").to_pylist()
             out = []
             for i, j, data, off in tx.slices(tx.column(batch.column("text"))):
@@ -295,7 +295,7 @@ def _replaced(depth: int):
 
 def marked_strings(docs: DataFrame, depth: int, total: int) -> DataFrame:
     """doc, copy, first, n: runs of ``depth``-byte strings that also start earlier."""
-    sent = repeated_keys(docs.select("text"), _keys(depth), total / (depth - GRAM + 2) * 2, levels=(2, OFTEN))
+    sent = repeated_keys(docs.select("text"), _keys(depth), total / (depth - GRAM + 2) * 2, room=4, levels=(2, OFTEN))
     found = docs.select("doc", "copy", "text").mapInArrow(_occurrences(depth, sent), _OCCURRENCE)
     found = found.repartition(partitions_for(docs.sparkSession, total), "key").sortWithinPartitions("key", "doc", "at")
     runs = stored(found.mapInArrow(_marked(depth), "doc long, copy long, first long, n long"), "runs")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 U8 = np.uint64
 #: Text bytes worked on at once; bounds the temporaries to some tens of MB.
-SLICE = 1_000_000
+SLICE = 500_000
 #: Words of more bytes are hashed one by one.
 LONG = 64
 
@@ -87,6 +87,14 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def small(batches, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` bytes: what is made of a part is sent on before the next one is worked on."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+        for i in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(i, step)
+
+
 def slices(arr: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of about ``most`` bytes; a longer text stands alone."""
     data, off = raw(arr)

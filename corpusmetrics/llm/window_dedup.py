@@ -5,7 +5,7 @@ the sketch overestimates how often an anchor, and so any window of it, occurs.
 pass: the windows whose estimate is two or more, and no others, are grouped by anchor
 and 64-bit window hash (128 bits in all), and those that also start in a document of a
 smaller doc_id are marked.  Windows that cannot repeat never travel.  Equal runs of
-windows of one batch are combined before the shuffle, so a passage that a third of all
+windows of one part of a batch are combined before the shuffle, so a passage that a third of all
 documents hold sends a few rows a task, and the windows of an anchor that occurs very often
 are dealt by their contexts (see repeats).
 
@@ -62,7 +62,7 @@ def _folded(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def _occurrences(width: int, sent):
     def run(batches):
         sketch = held(sent)
-        for batch in batches:
+        for batch in tx.small(batches):
             doc, copy = batch.column("doc").to_numpy(), batch.column("copy").to_numpy()
             got: list[list[np.ndarray]] = [[] for _ in range(6)]
             bodies = []
@@ -163,7 +163,7 @@ def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 def _kept(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in tx.small(batches):
             runs = batch.column("runs").to_pylist()
             words, gone, texts = [], [], []
             for i, j, data, st, en, _, first in _word_codes(tx.column(batch.column("text"))):
