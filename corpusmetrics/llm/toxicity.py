@@ -259,12 +259,17 @@ def packed(model: Model) -> bytes:
     return pickle.dumps((used, model.embed[used], model._replace(embed=None)))
 
 
-def unpacked(blob: bytes) -> Model:
-    """As it scores: in double precision."""
+def unpacked(blob: bytes) -> tuple[np.ndarray, Model]:
+    """As it scores: in double precision, with a row of embed for each bucket that it knows, and the row of every bucket (0: zeros)."""
     used, rows, model = pickle.loads(blob)
-    embed = np.zeros((_PAD + 1, DIM), np.float32)
-    embed[used] = rows
-    return doubled(model._replace(embed=embed))
+    at = np.zeros(_PAD + 1, np.int32)
+    at[used] = np.arange(1, len(used) + 1)
+    return at, doubled(model._replace(embed=np.concatenate([np.zeros((1, DIM), np.float32), rows])))
+
+
+def text_scores(at: np.ndarray, model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    ids, begin = tokens(data, off)
+    return scores(model, at[ids], begin)
 
 
 def _trained(totals: dict[int, int], most: int):
@@ -301,9 +306,9 @@ def scored_rows(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -
     place = docs.columns.index("text")
 
     def scored_batches(batches, place: int):
-        model = unpacked(sent.value)
-        for batch in batches:
-            out = [scores(model, *tokens(d, o)) for _, _, d, o in tx.slices(tx.column(batch.column(place)), tx.SLICE // 4)]
+        at, model = unpacked(sent.value)
+        for batch in tx.small(batches):
+            out = [text_scores(at, model, d, o) for _, _, d, o in tx.slices(tx.column(batch.column(place)), tx.SLICE // 4)]
             yield batch, np.concatenate(out) if out else np.zeros(0)
 
     def run(batches):
