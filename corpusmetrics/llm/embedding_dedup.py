@@ -11,8 +11,9 @@ components; within them all pairs of tiles are compared once more, for exact lin
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing; vectors of different length never link; equal vectors are one class
 and link with each other; rows of equal vec_id are one node; a null vec_id is a node of
-its own and gives a null component_id; an empty table gives an empty result; columns
-beyond vec_id and embedding are not read.
+its own and gives a null component_id; a cosine of exactly the threshold (a tie) links; very
+long vectors are worked on by parts of few rows; an empty table gives an empty result;
+columns beyond vec_id and embedding, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +81,17 @@ def _unit(blobs) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _binary(batches):
-    for batch in batches:
-        vecs = batch.column("embedding").to_pylist()
-        out = []
-        for v in vecs:
-            ok = v is not None and len(v) > 0 and None not in v
-            x = np.array(v, np.float64) if ok else None
-            out.append((x + 0.0).tobytes() if ok and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "vec"])
+    """Vectors as the bytes of their doubles; null where a vector links with nothing."""
+    for batch in tx.small(batches):
+        col = batch.column("embedding").cast(pa.large_list(pa.float64()))
+        size = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
+        x = col.flatten().to_numpy(zero_copy_only=False) + 0.0  # null components become NaN, negative zeros zeros
+        ends = np.cumsum(size)
+        count = lambda hit: np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], ends])])  # noqa: B023, E731
+        ok = (size > 0) & (count(~np.isfinite(x)) == 0) & (count(x != 0) > 0)
+        off = 8 * np.concatenate([[0], ends]).astype(np.int64)
+        vec = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [pa.py_buffer(np.packbits(ok, bitorder="little").tobytes()), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(x))])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), vec.cast(pa.binary())], names=["id", "vec"])
 
 
 def _keys(k: int, tables: int):
@@ -100,7 +105,7 @@ def _keys(k: int, tables: int):
 def _members(k: int, tables: int, sent):
     def run(batches):
         sketch = held(sent)
-        for batch in batches:
+        for batch in tx.small(batches):
             blobs, node = batch.column("vec").to_pylist(), batch.column("node").to_numpy()
             for at, x in _unit(blobs):
                 for i in range(0, len(at), 2000):
