@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, in stages that each work on all that the one before kept."""
+"""From raw documents to packed training sequences, in stages that each work on all that the one before kept.
+
+Defined results of every stage: rows with null ids or texts, empty and very long texts, ties, repeated rows, empty
+tables and extra columns with clashing names are handled as the operator of the stage states; extra columns are
+carried along by all stages but the last, which returns pieces.  Null texts leave the suffix stage as empty ones.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from corpusmetrics.llm.exact_dedup import exact_survivors
 from corpusmetrics.llm.jaccard_join import jaccard_survivors
 from corpusmetrics.llm.packing import best_fit_packing
 from corpusmetrics.llm.queries import crc_mod, table, tokenizer
-from corpusmetrics.llm.shared import stored
+from corpusmetrics.llm.shared import drop, stored
 from corpusmetrics.llm.suffix_dedup import suffix_deduped
 from corpusmetrics.llm.toxicity import not_toxic
 
@@ -52,7 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents; between stages, what is kept is written and read back."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else stored(docs, name), sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, name)
+            if before is not None:  # all that read it is written
+                drop(before)
+            before = docs
     return docs
