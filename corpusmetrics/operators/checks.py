@@ -42,6 +42,14 @@ def one_to_one(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return a.join(b, list(key))
 
 
+def unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """df, whose key must be unique: the query fails where it isn't.  One aggregation on the key, as a join on it needs anyway."""
+    rest = [c for c in df.columns if c not in key]
+    one = df.groupBy(*key).agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in rest))
+    error = F.raise_error(F.concat(F.lit(f"keys {list(key)} are not unique: "), F.concat_ws(", ", *(F.col(k).cast("string") for k in key))))
+    return one.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(error.cast("boolean"))).select(*df.columns)
+
+
 def key_set_diff(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys of only one of the tables, and of which."""
     x = a.select(*key).distinct().withColumn("__a", F.lit(True))

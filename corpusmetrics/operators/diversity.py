@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,14 @@ def centroid_spread(samples: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
 
 
 def centroid_matrix(samples: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
-    """Distances of all centroids, in long form: one row for each ordered pair of groups."""
-    c = centroids(samples, by).select(F.concat_ws("|", *(F.coalesce(F.col(k), F.lit("NA")) for k in by)).alias("a"), V.unit(F.col("centroid")).alias("ua"))
-    d = c.select(F.col("a").alias("b"), F.col("ua").alias("ub"))
-    # groups, not rows: the result has groups**2 rows by definition
-    return c.crossJoin(d).select("a", "b", V.cosine_distance(F.col("ua"), F.col("ub")).alias("distance"))
+    """Distances of all centroids, in long form: one row for each ordered pair of groups, by matrix products of tiles of groups."""
+    name = F.concat_ws("|", *(F.coalesce(F.col(k), F.lit("NA")) for k in by))
+    c = centroids(samples, by).select(F.lit(1).alias("__all"), name.alias("i"), V.unit(F.col("centroid")).alias("u"))
+
+    def found(first, second, d):
+        return pd.DataFrame({"a": np.repeat(first["i"].to_numpy(), len(second)), "b": np.tile(second["i"].to_numpy(), len(first)), "distance": d.ravel()})
+
+    return P.products(P.tiled(c, ["__all"], ordered=True), ["__all"], found, "a string, b string, distance double").drop("__all")
 
 
 def keyword_effort_summary(samples: DataFrame, by: Sequence[str] = ("category", "keyword", "effort")) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import guarded_corr
 from ..functions.constants import AXES, CALIBRATION_LEAST, CALIBRATION_MEAN, CALIBRATION_ROWS, EFFORTS, TREND_TOLERANCE
+from .checks import unique
 
 
 def per_keyword_wide(scores: DataFrame, by: Sequence[str], axes: Sequence[str], efforts: Sequence[str], low: str | None = None, high: str = "high") -> DataFrame:
@@ -47,10 +48,10 @@ def by_effort(scores: DataFrame, axes: Sequence[str], efforts: Sequence[str] = E
 
 
 def joint(a: DataFrame, b: DataFrame, key: Sequence[str], axes: Sequence[str], suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
-    """Scores of two judges side by side for what both judged."""
+    """Scores of two judges side by side for what both judged; raises where a judge has a key twice."""
     x = a.select(*key, *(F.col(c).alias(c + suffixes[0]) for c in axes))
     y = b.select(*key, *(F.col(c).alias(c + suffixes[1]) for c in axes))
-    return x.join(y, list(key))
+    return unique(x, key).join(unique(y, key), list(key))
 
 
 def score_matrix(both: DataFrame, a: str, b: str, values: Sequence[int]) -> DataFrame:

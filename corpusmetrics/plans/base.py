@@ -78,9 +78,13 @@ def label(d, shift=0) -> F.Column:
     return F.element_at(F.array(*map(F.lit, LABELS)), (F.pmod(n + shift, F.lit(4)) + 1).cast("int"))
 
 
-def judged(spark: SparkSession, sf: str, judge: int = 0, m: int = 5) -> DataFrame:
+def stratified(spark: SparkSession, sf: str, m: int = 5) -> DataFrame:
+    return S.stratified_pairs(samples(spark, sf), D.GROUP, m, short="all")
+
+
+def judged(spark: SparkSession, sf: str, judge: int = 0, pairs: DataFrame | None = None) -> DataFrame:
     """Labels of the stratified pairs in both orders; another judge moves every fourth label by one."""
-    p = S.stratified_pairs(samples(spark, sf), D.GROUP, m, short="all")
+    p = stratified(spark, sf) if pairs is None else pairs
     p = p.withColumn("order", F.explode(F.array(F.lit("ab"), F.lit("ba")))).withColumn("distance", F.round("distance", 9))
     moved = F.when((F.col("order") == "ba") & ((F.col("i") + F.col("j")) % 5 == 0), 1).otherwise(0)
     if judge:

@@ -90,9 +90,10 @@ def position_consistency(spark, sf):
 
 
 def _two(spark, sf):
-    a = B.judged(spark, sf).withColumnRenamed("answer", "a").drop("distance")
-    b = B.judged(spark, sf, 1).withColumnRenamed("answer", "b").drop("distance")
-    return a.join(b, _KEY)
+    p = B.stratified(spark, sf)
+    a = B.judged(spark, sf, pairs=p).withColumnRenamed("answer", "a").drop("distance")
+    b = B.judged(spark, sf, 1, p).withColumnRenamed("answer", "b").drop("distance")
+    return C.unique(a, _KEY).join(C.unique(b, _KEY), _KEY)
 
 
 @query(f"WITH {_TWO} SELECT x.a, y.b, count(o.a) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D')) AS x(a) CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D')) AS y(b) LEFT JOIN o ON o.a = x.a AND o.b = y.b GROUP BY ALL")

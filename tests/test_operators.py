@@ -278,6 +278,9 @@ def test_checks(spark):
     assert checks.duplicate_keys(a, ["id"]).collect()[0]["n"] == 2
     with pytest.raises(checks.IntegrityError):
         checks.one_to_one(a, b, ["id"])
+    assert checks.unique(b, ["id"]).count() == 2
+    with pytest.raises(Exception, match="not unique: 1"):
+        checks.unique(a, ["id"]).collect()
     assert {(r["id"], r["only_in"]) for r in checks.key_set_diff(a, b, ["id"]).collect()} == {(1, "left"), (3, "right")}
     assert checks.uneven_groups(a, ["id"]).count() == 1
     assert checks.out_of_range(spark.createDataFrame([(2.1,), (1.0,), (float("nan"),)], "d double"), "d", 0, 2).count() == 2
