@@ -44,7 +44,7 @@ from . import text as tx
 from .shared import partitions_for, stored, text_bytes, texts_of
 
 #: Text of a block, and text whose n-grams make up a shard, in bytes.
-BLOCK, SHARD = 4_000_000, 8_000_000
+BLOCK, SHARD = 6_000_000, 8_000_000
 #: Mass given to the shorter context, for contexts of one word, two words (fixed; not fitted to data).
 MASS = (300.0, 0.3)
 #: Words of a stretch that is walked beside others.
@@ -94,7 +94,7 @@ def _blocks(most: int):
         def packed(doc_id, learn, texts, skip, ends, name) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([doc_id, learn, texts, pa.array(skip, pa.int32()), pa.array(ends, pa.bool_()), pa.array(name, pa.int64())], names=["doc_id", "learn", "text", "skip", "ends", "row"])
 
-        for batch in batches:
+        for batch in tx.small(batches):
             doc_id, learn = batch.column("doc_id"), batch.column("learn")
             texts = tx.column(batch.column("text"))
             for i, j, data, off in tx.slices(texts, min(tx.SLICE, most)):
@@ -204,7 +204,7 @@ def _asked(shards: int):
 
 
 def _totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Answers to the blocks: the totals of the n-grams they asked for; and a row with the tokens and words of the shard."""
+    """Answers to the blocks: how often all others have the n-grams they asked for; and a row with the tokens and words of the shard."""
     parts = [_unpacked(b) for b in pdf["blob"]]
     orders = len(MASS) + 1
     answers: list[list[np.ndarray]] = [[] for _ in parts]
@@ -221,7 +221,7 @@ def _totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if k == 0:
             tokens, words = int(total.sum()), int((total > 0).sum())
         answer = np.empty(len(keys), _I64)
-        answer[order] = total[np.cumsum(head) - 1]
+        answer[order] = total[np.cumsum(head) - 1] - count  # what others add to a block's own count
         size = np.cumsum([0, *(len(p[k]) for p in parts)])
         for a, x, y in zip(answers, size[:-1], size[1:], strict=True):
             a.append(answer[x:y])
@@ -283,9 +283,9 @@ def _scored(texts: int, tokens: int, words: int):
         for body in pdf["body"][pdf["body"].notna()]:
             p = Part(body)
             c = []
-            for k, (_, _, where) in enumerate(p.grams()):
-                total = np.concatenate([np.zeros(0, _I64), *(x[k].astype(_I64) for x in parts), np.zeros(1, _I64)])  # the last stands for -1
-                c.append(total[where])
+            for k, (_, own, where) in enumerate(p.grams()):
+                total = np.concatenate([np.zeros(0, _I64), *(x[k].astype(_I64) for x in parts)]) + own
+                c.append(np.append(total, 0)[where])  # the last stands for -1
             first = p.place == 0
             model = Automaton(c, first, texts, tokens, words)
             # stretches of the scored tokens of each row
