@@ -44,7 +44,7 @@ from . import text as tx
 from .shared import partitions_for, stored, text_bytes, texts_of
 
 #: Text of a block, and text whose n-grams make up a shard, in bytes.
-BLOCK, SHARD = 6_000_000, 8_000_000
+BLOCK, SHARD = 8_000_000, 8_000_000
 #: Mass given to the shorter context, for contexts of one word, two words (fixed; not fitted to data).
 MASS = (300.0, 0.3)
 #: Words of a stretch that is walked beside others.
