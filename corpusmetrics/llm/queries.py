@@ -9,6 +9,7 @@ from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .lm_score import lm_score
+from .merkle_manifest import merkle_manifest
 from .packing import best_fit_packing
 from .pieces import encode_digests
 from .suffix_dedup import suffix_dedup
@@ -79,7 +80,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_lm_score, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), crc_mod(2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_lm_score, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join, op11_merkle_manifest)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -124,4 +129,48 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 FROM ruled LEFT JOIN earned USING (host)
 """
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_url_filter": OP3_SQL}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', {0}) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + ", {}))"
+_TEXT = _FIELD.format("text")
+#: Whether crc32 of the decimal doc_id is even: bit by bit, with the reversed polynomial 0xEDB88320.
+_EVEN = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_transform(range(0, 8), lambda b: (ascii(c) >> b) & 1)))), lambda crc, bit: xor(crc >> 1, (xor(crc, bit) & 1) * 3988292384)) & 1 = 1"""
+OP11_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, leaf, CASE WHEN even THEN changed ELSE leaf END AS folded, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM (SELECT doc_id, source, {_LEAF.format(_TEXT)} AS leaf, {_LEAF.format(_TEXT.replace("text", "replace(text, chr(10), '')"))} AS changed, coalesce({_EVEN}, false) AS even FROM documents)),
+nodes AS (
+    SELECT 0 AS level, source, place, n, leaf AS h FROM leaves
+    UNION ALL
+    SELECT level + 1, source, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY level, source, place // 3),
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+outer_nodes AS (
+    SELECT 0 AS level, place, n, subroot AS h FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM outer_nodes WHERE n > 1 GROUP BY level, place // 3),
+sides AS (
+    SELECT source, level, place, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM nodes WHERE n > 1 WINDOW r AS (PARTITION BY source, level, place // 3 ORDER BY place)),
+outer_sides AS (
+    SELECT level, place, coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM outer_nodes WHERE n > 1 WINDOW r AS (PARTITION BY level, place // 3 ORDER BY place)),
+inner_fold AS (
+    SELECT 0 AS level, source, doc_id, leaf, folded AS cur, '' AS proof, place AS own, place FROM leaves
+    UNION ALL
+    SELECT f.level + 1, f.source, doc_id, leaf, sha256(concat(l, cur, r)), concat(proof, l, r), own, f.place // 3
+    FROM inner_fold f JOIN sides s ON f.source IS NOT DISTINCT FROM s.source AND f.level = s.level AND f.place = s.place),
+inner_done AS (
+    SELECT doc_id, leaf, cur, proof, s.subroot, s.place
+    FROM (SELECT *, max(level) OVER (PARTITION BY source) AS last FROM inner_fold) f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source WHERE level = last),
+outer_fold AS (
+    SELECT 0 AS level, *, row_number() OVER () AS id FROM inner_done
+    UNION ALL
+    SELECT f.level + 1, doc_id, leaf, sha256(concat(l, cur, r)), concat(proof, l, r), subroot, f.place // 3, id FROM outer_fold f JOIN outer_sides s ON f.level = s.level AND f.place = s.place)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM (SELECT *, max(level) OVER () AS last FROM outer_fold), (SELECT h AS root FROM outer_nodes WHERE n = 1) WHERE level = last
+"""
+
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_merkle_manifest": OP11_SQL}

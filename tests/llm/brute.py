@@ -124,3 +124,41 @@ def lm_score(docs: list[tuple]) -> list[tuple]:
         score = sum(math.log10(p([0, *w[:i]], x)) for i, x in enumerate(w))
         out.append((d, held, len(w), sum(uni[x] > 0 for x in w), n, base, score))
     return sorted(out)
+
+
+def merkle(rows: list[tuple], tampered, tampering) -> list[tuple]:
+    """rows: (doc_id, source, lang, n_chars, text).  One tuple a row: doc_id, leaf, subroot, root, proof, folded root, verified."""
+    h = lambda s: sha(s.encode())
+    leaf = lambda r: h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    def tree(level):
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append([h("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+        return levels
+
+    def beside(levels, i):
+        out = []
+        for level in levels[:-1]:
+            a = i // 3 * 3
+            out.append(("".join(level[a:i]), "".join(level[i + 1 : a + 3])))
+            i //= 3
+        return out
+
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for s in names:
+        groups[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {s: tree([leaf(r) for r in groups[s]]) for s in names}
+    top = tree([trees[s][-1][0] for s in names])
+    out = []
+    for k, s in enumerate(names):
+        for i, r in enumerate(groups[s]):
+            proof = beside(trees[s], i) + beside(top, k)
+            cur = leaf((*r[:4], tampering(r[4]))) if r[4] is not None and tampered(r) else leaf(r)
+            for left, right in proof:
+                cur = h(left + cur + right)
+            out.append((r[0], leaf(r), trees[s][-1][0], top[-1][0], h("".join(x + y for x, y in proof)), cur, cur == top[-1][0]))
+    return out
