@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
 from .jaccard_join import jaccard_join
 from .lm_score import lm_score
 from .merkle_manifest import merkle_manifest
@@ -84,7 +85,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), crc_mod(2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_lm_score, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join, op11_merkle_manifest)}
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_lm_score, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join, op11_merkle_manifest, op13_html_extract)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -173,4 +178,13 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded
 FROM (SELECT *, max(level) OVER () AS last FROM outer_fold), (SELECT h AS root FROM outer_nodes WHERE n = 1) WHERE level = last
 """
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_merkle_manifest": OP11_SQL}
+#: The pages of the tables have one article element, of h1 and p blocks, and two references; for such pages SQL can say the same.
+_BLOCK = r"regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace({_BLOCK}, '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
+OP13_SQL = rf"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (
+    SELECT page_id, url, array_to_string(list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(?:p|h1)>'),
+        lambda b: trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM pages)
+"""
+
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op13_html_extract": OP13_SQL}
