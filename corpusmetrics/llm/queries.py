@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .html_extract import html_extract
 from .jaccard_join import jaccard_join
 from .lm_score import lm_score
@@ -85,11 +86,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), crc_mod(2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_lm_score, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join, op11_merkle_manifest, op13_html_extract)}
+QUERIES = {q.__name__: q for q in (op1_exact_dedup, op2_lm_score, op3_url_filter, op4_sentencepiece, op5_embedding_dedup, op6_best_fit_packing, op7_window_dedup, op8_toxicity, op9_suffix_dedup, op10_jaccard_join, op11_merkle_manifest, op12_hard_negatives, op13_html_extract)}
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -178,6 +184,20 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded
 FROM (SELECT *, max(level) OVER () AS last FROM outer_fold), (SELECT h AS root FROM outer_nodes WHERE n = 1) WHERE level = last
 """
 
+OP12_SQL = """
+WITH q AS (
+    SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (
+    SELECT a.vec_id AS anchor_id, a.r AS anchor, b.vec_id AS id, b.r AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+p AS (SELECT anchor, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, place ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor = s.anchor AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 #: The pages of the tables have one article element, of h1 and p blocks, and two references; for such pages SQL can say the same.
 _BLOCK = r"regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
 _PLAIN = rf"regexp_replace(regexp_replace({_BLOCK}, '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
@@ -187,4 +207,4 @@ SELECT page_id, url, text, length(text) AS n_chars FROM (
         lambda b: trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM pages)
 """
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op13_html_extract": OP13_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_html_extract": OP13_SQL}

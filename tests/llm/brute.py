@@ -162,3 +162,25 @@ def merkle(rows: list[tuple], tampered, tampering) -> list[tuple]:
                 cur = h(left + cur + right)
             out.append((r[0], leaf(r), trees[s][-1][0], top[-1][0], h("".join(x + y for x, y in proof)), cur, cur == top[-1][0]))
     return out
+
+
+def hard_negatives(rows: list[tuple], is_anchor, scale=256, positives=5, negatives=10, low=30, high=90) -> list[tuple]:
+    """rows: (vec_id, vector, label).  (anchor_id, positive_id, rank, negative_id, positive_score, negative_score)."""
+    import math
+
+    fit = [(i, [math.floor(scale * x) for x in v], y) for i, v, y in rows if v is not None and y is not None and all(x is not None and math.isfinite(x) for x in v)]
+    least = lambda i: -(2**63) if i is None else i
+    out = []
+    for a, (ai, av, ay) in enumerate(fit):
+        if ai is None or not is_anchor(ai):
+            continue
+        scored = []
+        for b, (bi, bv, by) in enumerate(fit):
+            if a != b and len(av) == len(bv):
+                score = sum(p * q for p, q in zip(av, bv, strict=True))
+                scored.append((-max(-(2**63) + 1, min(2**63 - 1, score)), least(bi), bi, by))
+        scored.sort(key=lambda s: s[:2])
+        for ps, _, pi, _ in [s for s in scored if s[3] == ay][:positives]:
+            fitting = [s for s in scored if s[3] != ay and -low * ps <= -100 * s[0] <= -high * ps][:negatives]
+            out += [(ai, pi, k + 1, ni, -ps, -ns) for k, (ns, _, ni, _) in enumerate(fitting)]
+    return out
