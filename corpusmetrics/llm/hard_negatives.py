@@ -35,6 +35,8 @@ from .shared import NULL_ID, stored
 BLOCK, BLOCK_BYTES, GROUP, TOGETHER = 1024, 4_000_000, 1024, 16
 #: Rows of a leaf that the tree aims at, its leaves at most (also bounded by the bytes of their centres), sampled rows a leaf, bytes of the sample.
 LEAF, MOST_LEAVES, PER_LEAF, SAMPLE_BYTES = 4096, 1024, 16, 64_000_000
+#: Tasks that share the rows of one leaf.
+SPREAD = 64
 #: Anchors of so many levels of leaves go to one group.
 LIFT = 3
 NONE, MOST = -(2**63), 2**63 - 1
@@ -275,6 +277,12 @@ def _above(leaf: int) -> int:
     return leaf
 
 
+def _spread(rows: DataFrame, sizes: DataFrame, *keys: str) -> DataFrame:
+    """rows with what ``sizes`` says of their keys; the rows of one key are the work of SPREAD tasks."""
+    sizes = sizes.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return rows.withColumn("spread", F.pmod(F.xxhash64("row"), F.lit(SPREAD).cast("long"))).join(sizes, [*keys, "spread"]).drop("spread")
+
+
 class Search:
     """Rows in blocks and the trees over them."""
 
@@ -282,10 +290,10 @@ class Search:
         self.spark = rows.sparkSession
         self.trees = _grown(rows, leaf)
         rows = stored(rows.mapInArrow(_routed(self.trees), "id long, label long, anchor boolean, vec binary, row long, d long, leaf long"), "routed")
-        sizes = rows.groupBy("d", "leaf").agg(F.count("*").alias("n"))
         most = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("d") + 1))))
-        salted = rows.join(sizes, ["d", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / most)))
-        blocks = salted.select("d", "leaf", "salt", "id", "label", "row", "vec").groupBy("d", "leaf", "salt")
+        sizes = rows.groupBy("d", "leaf").agg(F.ceil(F.count("*") / F.first(most)).alias("parts"))
+        salted = _spread(rows, sizes, "d", "leaf").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("parts")))
+        blocks = salted.select("d", "leaf", "salt", "id", "label", "row", "vec").repartition("d", "leaf", "salt").groupBy("d", "leaf", "salt")
         self.blocks = stored(blocks.applyInArrow(_packed, "d long, leaf long, salt long, id binary, label binary, row binary, vecs binary"), "blocks")
         self.chunks = max(1, -(-self.blocks.count() // TOGETHER))
         self.anchors = stored(rows.where("anchor").select("id", "label", "vec", "row", "d", "leaf"), "anchors")
@@ -312,7 +320,7 @@ class Search:
     def find(self, anchors: DataFrame, partners: DataFrame, k: int, same: bool) -> DataFrame:
         """The k best of each anchor and slot in the candidate leaves that ``partners`` (d, leaf, over) gives to the node above it."""
         sizes = stored(anchors.groupBy("d", "over").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("groups")), "sizes")
-        anchors = anchors.join(sizes, ["d", "over"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("groups")))
+        anchors = _spread(anchors, sizes, "d", "over").withColumn("part", F.pmod(F.xxhash64("row"), F.col("groups")))
         task = F.pmod(F.xxhash64("leaf", "salt"), F.lit(self.chunks))
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         left = anchors.withColumn("chunk", upto(F.lit(self.chunks).cast("long")))
