@@ -273,8 +273,8 @@ def string_diagnostics(texts: DataFrame, by: Sequence[str], text: str) -> DataFr
     return s.join(prefix_share(texts, by, text), list(by))
 
 
-def _jaccard(first: pd.DataFrame, second: pd.DataFrame) -> np.ndarray:
-    sets = [list(map(list, x["u"])) for x in ((first,) if second is first else (first, second))]
+def bigram_distances(first: pd.DataFrame, second: pd.DataFrame) -> np.ndarray:
+    sets = [list(map(list, x["s"])) for x in ((first,) if second is first else (first, second))]
     size = [np.fromiter(map(len, s), np.int64, len(s)) for s in sets]
     code, _ = pd.factorize(np.array([g for s in sets for one in s for g in one], object))
     out, at = [], 0
@@ -289,17 +289,17 @@ def _jaccard(first: pd.DataFrame, second: pd.DataFrame) -> np.ndarray:
 
 
 def string_tiles(texts: DataFrame, by: Sequence[str], text: str, index: str = "row_idx") -> DataFrame:
-    return P.tiled(texts.select(*by, F.col(index).alias("i"), T.bigram_set(F.col(text)).alias("u")), by)
+    return P.tiled(texts.select(*by, F.col(index).alias("i"), T.bigram_set(F.col(text)).alias("s")), by)
 
 
 def string_distances(texts: DataFrame, by: Sequence[str], text: str, index: str = "row_idx") -> DataFrame:
     """Jaccard distances of character-bigram sets over all pairs i < j of a group."""
-    return P.all_pairs_of(string_tiles(texts, by, text, index), by, _jaccard)
+    return P.all_pairs_of(string_tiles(texts, by, text, index), by, bigram_distances)
 
 
 def string_distance_summary(texts: DataFrame, by: Sequence[str], text: str, index: str = "row_idx") -> DataFrame:
     """n_pairs, mean, median and deviation of these distances, without a row for each pair."""
-    return P.summary_of(string_tiles(texts, by, text, index), by, by, _jaccard)
+    return P.summary_of(string_tiles(texts, by, text, index), by, by, bigram_distances)
 
 
 def cell_aggregate(rows: DataFrame, by: Sequence[str], value: str, p: str) -> DataFrame:

@@ -78,7 +78,7 @@ def unit_rows(samples: DataFrame, by: Sequence[str], index: str = "row_idx", mor
     return samples.select(*by, F.col(index).alias("i"), V.unit(V.doubles(F.col("vec"))).alias("u"), *more)
 
 
-def _pairs_of(first: pd.DataFrame, second: pd.DataFrame, d: np.ndarray):
+def pairs_of(first: pd.DataFrame, second: pd.DataFrame, d: np.ndarray):
     """Rows and columns of the pairs of two tiles, each pair once."""
     return np.triu_indices(len(first), 1) if first is second else tuple(x.ravel() for x in np.indices(d.shape))
 
@@ -91,7 +91,7 @@ def histogram(tiles: DataFrame, by: Sequence[str], measure: Callable = cosine) -
     """by, bin, n and the sums of d - 1 and (d - 1)**2 of the pairs in it."""
 
     def found(first, second, d):
-        d = d[_pairs_of(first, second, d)]
+        d = d[pairs_of(first, second, d)]
         at, inv, n = np.unique(_bin(d), return_inverse=True, return_counts=True)
         return pd.DataFrame({"bin": at, "n": n, "s": np.bincount(inv, d - 1, len(at)), "q": np.bincount(inv, (d - 1) ** 2, len(at))})
 
@@ -112,7 +112,7 @@ def in_bins(tiles: DataFrame, by: Sequence[str], group: Sequence[str], wanted: D
     named = wanted.groupBy(*group).agg(F.sort_array(F.collect_set("bin")).alias("__bins"))
 
     def found(first, second, d):
-        r, c = _pairs_of(first, second, d)
+        r, c = pairs_of(first, second, d)
         d = d[r, c]
         pick = np.isin(_bin(d), first["__bins"].iloc[0])
         a, b = first["i"].to_numpy()[r[pick]], second["i"].to_numpy()[c[pick]]
@@ -141,14 +141,14 @@ def summary_of(tiles: DataFrame, by: Sequence[str], group: Sequence[str], measur
 
 
 def all_pairs(samples: DataFrame, by: Sequence[str], index: str = "row_idx") -> DataFrame:
-    return all_pairs_of(tiled(unit_rows(samples, by, index), by), by)
+    return allpairs_of(tiled(unit_rows(samples, by, index), by), by)
 
 
-def all_pairs_of(tiles: DataFrame, by: Sequence[str], measure: Callable = cosine) -> DataFrame:
+def allpairs_of(tiles: DataFrame, by: Sequence[str], measure: Callable = cosine) -> DataFrame:
     """by, i, j, distance of every pair i < j: for those who need all of them."""
 
     def found(first, second, d):
-        r, c = _pairs_of(first, second, d)
+        r, c = pairs_of(first, second, d)
         a, b = first["i"].to_numpy()[r], second["i"].to_numpy()[c]
         return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "distance": d[r, c]})
 
@@ -159,7 +159,7 @@ def extremes(tiles: DataFrame, by: Sequence[str], m: int) -> DataFrame:
     """by, i, j, distance of the m nearest and m farthest pairs of every two tiles (and all that tie with the last of them)."""
 
     def found(first, second, d):
-        r, c = _pairs_of(first, second, d)
+        r, c = pairs_of(first, second, d)
         d = d[r, c]
         if len(d) > 2 * m:
             low, high = np.partition(d, m - 1)[m - 1], np.partition(d, len(d) - m)[len(d) - m]

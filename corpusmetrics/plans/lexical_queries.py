@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.columns import hyphen_slug, template_key, text_key, underscore_slug
 from ..functions.constants import LEXICAL_TOKEN, SHARED_STOPWORDS, SHARED_TOKEN, VOCABULARY_STOPWORDS, VOCABULARY_TOKEN
 from ..operators import lexical as L
+from ..operators import permutation as PM
 from . import base as B
 from .base import TEXTS, query, r
 
@@ -160,6 +161,28 @@ def bigram_jaccard(spark, sf):
     return B.tidy(L.string_distance_summary(_strings(spark, sf), ["keyword"], "s").drop("std_distance"))
 
 
+#: Texts and vectors of one id; the draws of text_vector_correlation said in SQL.
+_OBJECTS = f"""{B.EMB}, {_STRINGS.removeprefix("WITH ")},
+b AS MATERIALIZED (SELECT s.keyword, s.row_idx AS i, e.u, CASE WHEN length(s) > 1 THEN list_distinct(list_transform(generate_series(1, length(s) - 1), lambda i: substr(s, i, 2))) WHEN length(s) = 1 THEN [s] ELSE [] END AS b,
+             row_number() OVER (PARTITION BY s.keyword ORDER BY s.row_idx) AS k FROM s JOIN e USING (row_idx)),
+d AS MATERIALIZED (SELECT x.keyword, x.i, y.i AS j, x.k, y.k AS l,
+             floor(1048576 * round(CASE WHEN len(x.b) + len(y.b) = 0 THEN 0 ELSE 1 - len(list_intersect(x.b, y.b)) / (len(x.b) + len(y.b) - len(list_intersect(x.b, y.b))) END, 12)) AS x,
+             floor(1048576 * round(least(2, greatest(0, 1 - list_inner_product(x.u, y.u))), 12)) AS y FROM b x JOIN b y ON x.keyword = y.keyword AND x.i < y.i),
+ranked AS MATERIALIZED (SELECT keyword, i, j, k, l, rank() OVER (PARTITION BY keyword ORDER BY x) + (count(*) OVER (PARTITION BY keyword, x) - 1) / 2.0 AS rx,
+                  rank() OVER (PARTITION BY keyword ORDER BY y) + (count(*) OVER (PARTITION BY keyword, y) - 1) / 2.0 AS ry FROM d),
+slots AS MATERIALIZED (SELECT keyword, draw, i, row_number() OVER (PARTITION BY keyword, draw ORDER BY md5(concat('42:', draw, ':', i)), i) AS k FROM b, generate_series(0, 199) g(draw)),
+sym AS MATERIALIZED (SELECT keyword, i, j, rx FROM ranked UNION ALL SELECT keyword, j, i, rx FROM ranked),
+moved AS MATERIALIZED (SELECT y.keyword, a.draw, a.i, c.i AS j, y.ry FROM ranked y JOIN slots a ON y.keyword = a.keyword AND y.k = a.k JOIN slots c ON y.keyword = c.keyword AND y.l = c.k AND a.draw = c.draw),
+drawn AS MATERIALIZED (SELECT keyword, draw, corr(rx, ry) AS r FROM moved JOIN sym USING (keyword, i, j) GROUP BY ALL),
+seen AS (SELECT keyword, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM ranked GROUP BY keyword)"""
+
+
+@query(f"WITH {_OBJECTS.removeprefix('WITH ').lstrip()} SELECT keyword, any_value(n) AS n, {r('any_value(rho)')} AS rho, {r('avg(drawn.r)')} AS null_mean, {r('avg(CAST(abs(drawn.r) >= abs(rho) - 1e-9 AS INT))')} AS p FROM seen JOIN drawn USING (keyword) JOIN (SELECT keyword, count(*) AS n FROM b GROUP BY keyword) USING (keyword) GROUP BY keyword")
+def text_vector_correlation(spark, sf):
+    vectors = B.samples(spark, sf).select("row_idx", "vec")
+    return B.tidy(PM.text_vector_correlation(_strings(spark, sf).join(vectors, "row_idx"), ["keyword"], "s"))
+
+
 @query(r"SELECT doc_id, CASE WHEN trim(regexp_replace(text, '[\s]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\s]+', ' ', 'g')), ' ')) END AS word_count, length(text) AS char_count, substr(sha1(" + B.stripped("text") + "), 1, 16) AS text_key, substr(sha256(lang), 1, 12) AS template_key FROM documents")
 def text_stats(spark, sf):
     d = B.table(spark, sf, "documents")
