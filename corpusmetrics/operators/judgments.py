@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.columns import guarded_corr, label_order, label_points
 from ..functions.constants import BIN_EDGES, LABELS
+from .ranks import joined, spearman
 
 
 def _counts(answer: str = "answer") -> list[Column]:
@@ -122,10 +123,9 @@ def kappa(both: DataFrame, by: Sequence[str], a: str, b: str, labels: Sequence =
 
 def axis_agreement(both: DataFrame, axis: str, a: str, b: str) -> DataFrame:
     """By axis: n, Pearson, Spearman (mean ranks), mean absolute difference and means."""
-    from .selection import average_rank
-
-    r = average_rank(average_rank(both, [axis], a, "__ra"), [axis], b, "__rb")
-    return r.groupBy(axis).agg(F.count("*").alias("n"), guarded_corr(a, b).alias("pearson"), guarded_corr("__ra", "__rb").alias("spearman"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_abs_diff"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
+    values = both.groupBy(axis).agg(F.count("*").alias("n"), guarded_corr(a, b).alias("pearson"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_abs_diff"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"))
+    order = [axis, "n", "pearson", "spearman", "mean_abs_diff", "mean_a", "mean_b"]
+    return joined(values, spearman(both, [axis], a, b), [axis]).select(*order)
 
 
 def compute_curve(samples: DataFrame, distances: DataFrame, judged: DataFrame) -> DataFrame:

@@ -101,10 +101,3 @@ def overlap(selected: DataFrame, by: Sequence[str], key: str, model: str) -> Dat
     """How many keys are selected by 1, 2, .. models."""
     per_key = selected.groupBy(*by, key).agg(F.countDistinct(model).alias("n_models"))
     return per_key.groupBy(*by, "n_models").agg(F.count("*").alias("n_keys"))
-
-
-def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(same) - 1) / 2.0)

@@ -1,4 +1,4 @@
-"""Rank and paired statistics as relational expressions; p-values by kernels on the few values of a group."""
+"""Rank and paired statistics as relational expressions; p-values follow from one row of sums a group."""
 
 from __future__ import annotations
 
@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.columns import guarded_corr
-from .selection import average_rank
+from . import ranks as RK
 
 
 def correlations(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """n, Pearson and Spearman (mean ranks) over rows that have both values."""
     have = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    r = average_rank(average_rank(have, by, x, "__rx"), by, y, "__ry")
-    return r.groupBy(*by).agg(F.count("*").alias("n"), guarded_corr(x, y).alias("pearson"), guarded_corr("__rx", "__ry").alias("spearman"))
+    values = have.groupBy(*by).agg(F.count("*").alias("n"), guarded_corr(x, y).alias("pearson"))
+    return RK.joined(values, RK.spearman(have, by, x, y), by)
 
 
 def paired_effect(rows: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
@@ -29,17 +29,21 @@ def paired_effect(rows: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
 def wilcoxon_statistic(rows: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     """W+ and W- over non-zero differences with mean ranks."""
     d = rows.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("__a", F.abs(diff))
-    r = average_rank(d, by, "__a", "__r")
-    side = {s: F.sum(F.when(F.col(diff) > 0 if s == "plus" else F.col(diff) < 0, F.col("__r")).otherwise(F.lit(0.0))) for s in ("plus", "minus")}
-    return r.groupBy(*by).agg(F.count("*").alias("n"), side["plus"].alias("w_plus"), side["minus"].alias("w_minus"))
+    counts = d.groupBy(*by, "__a").agg(F.count("*").alias("n"), F.count_if(F.col(diff) > 0).alias("plus"))
+    r, n = RK.mean_ranks(counts, by, "__a"), F.sum("n")
+    return r.groupBy(*by).agg(n.alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("plus"))).alias("w_minus"))
 
 
 def mannwhitney_u(rows: DataFrame, by: Sequence[str], value: str, side: str, first: str) -> DataFrame:
     """U of the rows whose ``side`` is ``first`` against the others."""
-    r = average_rank(rows.where(F.col(value).isNotNull()), by, value, "__r")
-    a = F.col(side) == first
-    n1, n2 = F.count_if(a), F.count_if(~a)
-    return r.groupBy(*by).agg(n1.alias("n_first"), n2.alias("n_other"), (F.sum(F.when(a, F.col("__r")).otherwise(F.lit(0.0))) - n1 * (n1 + 1) / 2).alias("u"))
+    r, n1 = _two_samples(rows, by, value, side, first), F.sum("first")
+    return r.groupBy(*by).agg(n1.alias("n_first"), F.sum(F.col("n") - F.col("first")).alias("n_other"), (F.sum(F.col("rank") * F.col("first")) - n1 * (n1 + 1) / 2).alias("u"))
+
+
+def _two_samples(rows: DataFrame, by: Sequence[str], value: str, side: str, first: str) -> DataFrame:
+    """by, value, n, first (rows of the first side), rank and total of each distinct value."""
+    rows = rows.where(F.col(value).isNotNull() & F.col(side).isNotNull())
+    return RK.mean_ranks(rows.groupBy(*by, value).agg(F.count("*").alias("n"), F.count_if(F.col(side) == first).alias("first")), by, value)
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, by: Sequence[str] = (), name: str = "p_adjusted") -> DataFrame:
@@ -60,23 +64,36 @@ def line_fit(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.when(v > 0, F.covar_pop(x, y) / F.when(v > 0, v)).alias("slope"), F.when(v > 0, F.avg(F.when(F.col(x).isNotNull(), F.col(y))) - F.covar_pop(x, y) / F.when(v > 0, v) * F.avg(F.when(F.col(y).isNotNull(), F.col(x)))).alias("intercept"))
 
 
+def _ties():
+    return F.sum(F.pow("n", F.lit(3.0)) - F.col("n"))
+
+
 def wilcoxon_test(rows: DataFrame, by: Sequence[str], diff: str, alternative: str = "two-sided", zeros: str = "wilcox") -> DataFrame:
-    """W+ and p of each group; a group holds one value for each keyword."""
-    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in by)
+    """W+ and p of each group, from counts of distinct absolute differences; NaN where all differences are zero."""
+    d = rows.where(F.col(diff).isNotNull() & ~F.isnan(F.col(diff).cast("double"))).withColumn("__a", F.abs(diff))
+    counts = d.groupBy(*by, "__a").agg(F.count("*").alias("n"), F.count_if(F.col(diff) > 0).alias("plus"))
+    groups = counts.groupBy(*by).agg(F.sum(F.when(F.col("__a") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("__a") != 0, F.col("n")).otherwise(0)).alias("others"))
+    r = RK.mean_ranks(counts if zeros == "zsplit" else counts.where("__a != 0"), by, "__a")
+    plus = F.sum(F.col("rank") * F.when(F.col("__a") == 0, F.col("n") / 2.0).otherwise(F.col("plus").cast("double")))
+    sums = RK.joined(groups, r.groupBy(*by).agg(plus.alias("w"), F.sum("n").alias("size"), _ties().alias("ties")), by, "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = K.wilcoxon_p(pdf[diff].to_numpy(float), alternative, zeros)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "w_plus": [w], "p": [p]})
+    @F.pandas_udf("double")
+    def p(w: pd.Series, size: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+        return pd.Series([K.signed_rank_p(a, int(n), t, not t and not z, alternative) for a, n, t, z in zip(w, size, ties, zeros, strict=True)])
 
-    return rows.select(*by, diff).groupBy(*by).applyInPandas(run, kinds + ", w_plus double, p double")
+    some, nan = F.col("others") > 0, F.lit(float("nan"))
+    out = sums.na.fill(0, ["w", "size", "ties"]).withColumn("p", p("w", "size", "ties", "zeros"))
+    return out.select(*by, F.when(some, F.col("w")).otherwise(nan).alias("w_plus"), F.when(some, F.col("p")).otherwise(nan).alias("p"))
 
 
 def mannwhitney_test(rows: DataFrame, by: Sequence[str], value: str, side: str, first: str) -> DataFrame:
-    kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in by)
+    """U of the rows whose ``side`` is ``first`` and the two-sided p, from counts of distinct values; NaN where a side is empty."""
+    r, m = _two_samples(rows, by, value, side, first), F.sum("first")
+    sums = r.groupBy(*by).agg(m.alias("m"), (F.sum("n") - m).alias("others"), (F.sum(F.col("rank") * F.col("first")) - m * (m + 1) / 2).alias("u"), _ties().alias("ties"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[side] == first
-        u, p = K.mannwhitney_p(pdf.loc[own, value].dropna().to_numpy(float), pdf.loc[~own, value].dropna().to_numpy(float))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "u": [u], "p": [p]})
+    @F.pandas_udf("double")
+    def p(u: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([K.rank_sum_p(*x) for x in zip(u, m.astype(int), n.astype(int), ties, strict=True)])
 
-    return rows.select(*by, side, value).groupBy(*by).applyInPandas(run, kinds + ", u double, p double")
+    both = (F.col("m") > 0) & (F.col("others") > 0)
+    return sums.select(*by, F.when(both, F.col("u")).otherwise(F.lit(float("nan"))).alias("u"), p("u", "m", "others", "ties").alias("p"))
