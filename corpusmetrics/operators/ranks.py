@@ -19,9 +19,9 @@ RANGES = 256
 
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """A join in which nulls are keys too."""
-    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = reduce(lambda x, y: x & y, (left[k].eqNullSafe(right[f"__{k}"]) for k in keys), F.lit(True))
-    return left.join(right, on, how).drop(*(f"__{k}" for k in keys))
+    right = right.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, (left[k].eqNullSafe(right[f"__of_{k}"]) for k in keys), F.lit(True))
+    return left.join(right, on, how).drop(*(f"__of_{k}" for k in keys))
 
 
 def cumulative(counts: DataFrame, by: Sequence[str], value: str, n: str = "n", ranges: int = RANGES) -> DataFrame:
@@ -50,9 +50,9 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> Dat
 
 
 def rank_pairs(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """by, x, y, n (rows with this pair of values), dx and dy: their mean ranks about the mean of all ranks."""
+    """by, x, y, n (rows with this pair of values), __rank_x and __rank_y: their mean ranks about the mean of all ranks."""
     pairs = rows.groupBy(*by, x, y).agg(F.count("*").alias("n"))
-    for v, name in ((x, "dx"), (y, "dy")):
+    for v, name in ((x, "__rank_x"), (y, "__rank_y")):
         ranks = mean_ranks(pairs.groupBy(*by, v).agg(F.sum("n").alias("n")), by, v)
         pairs = joined(pairs, ranks.select(*by, v, (F.col("rank") - (F.col("total") + 1) / 2.0).alias(name)), [*by, v])
     return pairs
@@ -61,8 +61,8 @@ def rank_pairs(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str, name: str = "spearman") -> DataFrame:
     """by, Spearman's rho (mean ranks); null for fewer than two rows or a constant column."""
     s = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
-    scale = F.sqrt(s("dx", "dx")) * F.sqrt(s("dy", "dy"))
-    return rank_pairs(rows, by, x, y).groupBy(*by).agg(F.when(scale > 0, s("dx", "dy") / F.when(scale > 0, scale)).alias(name))
+    scale = F.sqrt(s("__rank_x", "__rank_x")) * F.sqrt(s("__rank_y", "__rank_y"))
+    return rank_pairs(rows, by, x, y).groupBy(*by).agg(F.when(scale > 0, s("__rank_x", "__rank_y") / F.when(scale > 0, scale)).alias(name))
 
 
 def places(rows: DataFrame, by: Sequence[str], value: str, tie: str, name: str = "place") -> DataFrame:

@@ -8,7 +8,7 @@ are derived from distances of pairs, quality scores from labels, both by fixed a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,3 +173,47 @@ def _scores(name: str, by: str) -> str:
 
 
 SCORES = _scores("q", "0") + "," + _scores("q2", "(doc_id % 3 - 1)")
+
+
+def _mix(x: str, name: str) -> str:
+    """Columns name1 to name5: the 32-bit finaliser of x, step by step."""
+    return (
+        f"xor({x}, {x} >> 16) AS {name}1, ({name}1 * 2246822507) % 4294967296 AS {name}2, xor({name}2, {name}2 >> 13) AS {name}3, "
+        f"({name}3 * 3266489909) % 4294967296 AS {name}4, xor({name}4, {name}4 >> 16) AS {name}5"
+    )
+
+
+def drawn(rows: str, by: Sequence[str], order: str, n_boot: int, seed: int, name: str) -> str:
+    """A common table ``name``: the rows that each draw takes (by, draw and the columns of ``rows``)."""
+    keys = ", ".join(by)
+    return f"""
+{name}_p AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS UBIGINT) AS place, CAST(count(*) OVER (PARTITION BY {keys}) AS UBIGINT) AS places FROM {rows}),
+{name}_d AS MATERIALIZED (SELECT CAST(i AS UBIGINT) AS draw, ({seed} + draw * 2654435769) % 4294967296 AS a0, {_mix('a0', 'a')} FROM generate_series(0, {n_boot - 1}) g(i)),
+{name} AS (SELECT v.* EXCLUDE (place), k.draw FROM (
+    SELECT {keys}, draw, places, (place + a5) % 4294967296 AS b0, {_mix('b0', 'b')}, (b5 + a5) % 4294967296 AS c0, {_mix('c0', 'c')}, (c5 * places) >> 32 AS at FROM {name}_p, {name}_d) k
+    JOIN {name}_p v ON {' AND '.join(f'k.{c} IS NOT DISTINCT FROM v.{c}' for c in by)} AND k.at = v.place)"""
+
+
+def boot_mean(rows: str, by: Sequence[str], value: str, n_boot: int = 1000, digits: int = 6) -> str:
+    """The query over a table ``rows`` that bootstrap_mean_ci answers; after WITH ..., rows."""
+    keys = ", ".join(by)
+    same = " AND ".join(f"s.{c} IS NOT DISTINCT FROM e.{c}" for c in by)
+    return f""", {drawn(f"(SELECT * FROM {rows} WHERE {value} IS NOT NULL)", by, value, n_boot, 42, "drawn")},
+dm AS (SELECT {keys}, draw, avg({value}) AS m FROM drawn GROUP BY ALL),
+ends AS (SELECT {keys}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM dm GROUP BY ALL)
+SELECT {', '.join(f's.{c}' for c in by)}, s.n, {r('s.m', digits)} AS mean, {r('lo', digits)} AS ci_low, {r('hi', digits)} AS ci_high
+FROM (SELECT {keys}, count({value}) AS n, avg({value}) AS m FROM {rows} GROUP BY ALL) s LEFT JOIN ends e ON {same}"""
+
+
+def boot_pearson(rows: str, by: Sequence[str], x: str, y: str, n_boot: int = 1000, digits: int = 6) -> str:
+    """The query over a table ``rows`` that the guarded bootstrap_pearson_ci answers; after WITH ..., rows."""
+    keys = ", ".join(by)
+    same = " AND ".join(f"s.{c} IS NOT DISTINCT FROM e.{c}" for c in by)
+    own = f"(SELECT * FROM {rows} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+    return f""", {drawn(own, by, f"{x}, {y}", n_boot, 42, "drawn")},
+whole AS (SELECT {keys}, count(*) AS n, var_pop({x}) AS vx, var_pop({y}) AS vy, CASE WHEN sqrt(vx) * sqrt(vy) > 1e-12 THEN corr({x}, {y}) END AS r FROM {own} GROUP BY ALL),
+dm AS (SELECT {', '.join(f's.{c}' for c in by)}, draw, CASE WHEN var_pop({x}) > 1e-12 * any_value(s.vx) AND var_pop({y}) > 1e-12 * any_value(s.vy) THEN corr({x}, {y}) END AS b
+       FROM drawn e JOIN whole s ON {same} GROUP BY ALL),
+ends AS (SELECT {keys}, quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi FROM dm GROUP BY ALL)
+SELECT {', '.join(f's.{c}' for c in by)}, s.n, {r('CASE WHEN s.n >= 3 THEN s.r END', digits)} AS r, {r('CASE WHEN s.n >= 3 THEN lo END', digits)} AS ci_low, {r('CASE WHEN s.n >= 3 THEN hi END', digits)} AS ci_high
+FROM whole s LEFT JOIN ends e ON {same}"""

@@ -171,10 +171,10 @@ def quality_cells(spark, sf):
     return B.tidy(_judge_cells(spark, sf).groupBy("judge", "kind", "effort").agg(F.count("*").alias("n_keywords"), *(F.avg(a).alias(a) for a in AXES)))
 
 
-@query()
+@query(f"WITH {_Q2}, ql AS MATERIALIZED ({' UNION ALL '.join(f"SELECT judge, kind, effort, '{a}' AS axis, {a} AS score FROM qk" for a in AXES)}){B.boot_mean('ql', ['judge', 'kind', 'effort', 'axis'], 'score', 10_000)}")
 def quality_cells_ci(spark, sf):
     long = _judge_cells(spark, sf).unpivot(["judge", "kind", "effort", "keyword"], list(AXES), "axis", "score")
-    return R.bootstrap_mean_ci(long, ["judge", "kind", "effort", "axis"], "score", n_boot=10_000)
+    return B.tidy(R.bootstrap_mean_ci(long, ["judge", "kind", "effort", "axis"], "score", n_boot=10_000))
 
 
 @query(f"WITH {_TWO}, {_kappa('effort, stratum')} SELECT 'weighted' AS kind, count(*) AS n_cells, {r('min(weighted_kappa)')} AS least, {r('median(weighted_kappa)')} AS median, {r('max(weighted_kappa)')} AS most, {r('max(weighted_kappa) - min(weighted_kappa)')} AS range FROM kp")
@@ -218,13 +218,13 @@ def _changes(spark, sf):
     return d.join(q.unpivot(["keyword"], list(AXES), "axis", "dy"), "keyword").where("dx is not null and dy is not null")
 
 
-@query(f"WITH {_CHANGES} SELECT axis, count(*) AS n, {r('CASE WHEN count(*) > 1 AND stddev_pop(dx) * stddev_pop(dy) > 1e-12 THEN corr(dx, dy) END')} AS pearson FROM ch GROUP BY axis")
+@query(f"WITH {_CHANGES} SELECT axis, count(*) AS n, {r('CASE WHEN count(*) > 1 AND stddev_pop(dx) * stddev_pop(dy) > 1e-12 THEN corr(dx, dy) END')} AS pearson, {r('CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0 THEN corr(rx, ry) END')} AS spearman FROM (SELECT *, {', '.join(f"rank() OVER (PARTITION BY axis ORDER BY {v}) + (count(*) OVER (PARTITION BY axis, {v}) - 1) / 2.0 AS r{v[1]}" for v in ('dx', 'dy'))} FROM (SELECT axis, round(dx, 9) AS dx, round(dy, 9) AS dy FROM ch)) GROUP BY axis")
 def diversity_quality_correlation(spark, sf):
-    from ..functions.columns import guarded_corr
-
-    return B.tidy(_changes(spark, sf).groupBy("axis").agg(F.count("*").alias("n"), guarded_corr("dx", "dy").alias("pearson")))
+    """By axis: n, Pearson and Spearman between the changes of diversity and of quality from the low to the high tier."""
+    return B.tidy(ST.correlations(_changes(spark, sf).withColumns({v: F.round(v, 9) for v in ("dx", "dy")}), ["axis"], "dx", "dy"))
 
 
-@query()
+@query(f"WITH {_CHANGES}, ch2 AS MATERIALIZED (SELECT axis, round(dx, 9) AS dx, round(dy, 9) AS dy FROM ch){B.boot_pearson('ch2', ['axis'], 'dx', 'dy')}")
 def diversity_quality_correlation_ci(spark, sf):
-    return R.bootstrap_pearson_ci(_changes(spark, sf), ["axis"], "dx", "dy")
+    c = _changes(spark, sf).withColumns({v: F.round(v, 9) for v in ("dx", "dy")})
+    return B.tidy(R.bootstrap_pearson_ci(c, ["axis"], "dx", "dy"))

@@ -161,7 +161,7 @@ def low_high_change(spark, sf):
     return B.tidy(D.low_high_change(D.mean_pairwise_distance(B.samples(spark, sf), small=None), ["keyword"], "mean_distance"))
 
 
-_NEAR = (
+NEAR = (
     EMB
     + """,
 np AS (SELECT a.keyword, a.row_idx AS i, b.row_idx AS j, a.gen AS gi, b.gen AS gj, least(2, greatest(0, 1 - list_inner_product(a.u, b.u))) AS d FROM e a JOIN e b ON a.keyword = b.keyword AND a.row_idx <> b.row_idx),
@@ -173,32 +173,32 @@ def _near(spark, sf, k=10):
     return N.neighbours(B.samples(spark, sf), ["keyword"], "gen", k)
 
 
-@query(f"WITH {_NEAR}, x AS (SELECT keyword, i, k, avg(CAST(gi = gj AS INT)) AS s FROM nr, (VALUES (1), (3), (5), (10)) AS ks(k) WHERE rank <= k GROUP BY ALL) SELECT keyword, CAST(k AS BIGINT) AS k, count(*) AS n, {r('avg(s)')} AS purity FROM x GROUP BY ALL")
+@query(f"WITH {NEAR}, x AS (SELECT keyword, i, k, avg(CAST(gi = gj AS INT)) AS s FROM nr, (VALUES (1), (3), (5), (10)) AS ks(k) WHERE rank <= k GROUP BY ALL) SELECT keyword, CAST(k AS BIGINT) AS k, count(*) AS n, {r('avg(s)')} AS purity FROM x GROUP BY ALL")
 def soft_knn_purity(spark, sf):
     return B.tidy(N.soft_purity(_near(spark, sf), ["keyword"], [1, 3, 5, 10]))
 
 
-@query(f"WITH {_NEAR} SELECT keyword, count(*) AS n, CAST(1 AS BIGINT) AS k, {r('avg(CAST(gi = gj AS INT))')} AS purity FROM nr WHERE rank = 1 GROUP BY keyword")
+@query(f"WITH {NEAR} SELECT keyword, count(*) AS n, CAST(1 AS BIGINT) AS k, {r('avg(CAST(gi = gj AS INT))')} AS purity FROM nr WHERE rank = 1 GROUP BY keyword")
 def nn_purity(spark, sf):
     return B.tidy(N.soft_purity(_near(spark, sf, 1), ["keyword"], [1]))
 
 
-@query(f"WITH {_NEAR}, x AS (SELECT keyword, i, gi, avg(CAST(gi = gj AS INT)) AS s FROM nr WHERE rank <= 10 GROUP BY ALL) SELECT keyword, gi AS label, count(*) AS n, {r('avg(s)')} AS purity FROM x GROUP BY ALL")
+@query(f"WITH {NEAR}, x AS (SELECT keyword, i, gi, avg(CAST(gi = gj AS INT)) AS s FROM nr WHERE rank <= 10 GROUP BY ALL) SELECT keyword, gi AS label, count(*) AS n, {r('avg(s)')} AS purity FROM x GROUP BY ALL")
 def knn_purity_panel(spark, sf):
     return B.tidy(N.panel_purity(_near(spark, sf), ["keyword"]))
 
 
-@query(f"WITH {_NEAR}, x AS (SELECT keyword, i, gi, avg(CAST(gi = gj AS INT)) AS s FROM nr WHERE rank <= 10 GROUP BY ALL), y AS (SELECT keyword, gi, avg(s) AS purity FROM x GROUP BY ALL) SELECT gi AS label, count(*) AS n_panels, {r('avg(purity)')} AS mean_purity FROM y GROUP BY gi")
+@query(f"WITH {NEAR}, x AS (SELECT keyword, i, gi, avg(CAST(gi = gj AS INT)) AS s FROM nr WHERE rank <= 10 GROUP BY ALL), y AS (SELECT keyword, gi, avg(s) AS purity FROM x GROUP BY ALL) SELECT gi AS label, count(*) AS n_panels, {r('avg(purity)')} AS mean_purity FROM y GROUP BY gi")
 def knn_purity_overall(spark, sf):
     return B.tidy(N.mean_over_panels(N.panel_purity(_near(spark, sf), ["keyword"]), ["label"], "purity"))
 
 
-@query(f"WITH {_NEAR}, x AS (SELECT keyword, gi, avg(d) FILTER (gi = gj) AS w, avg(d) FILTER (gi <> gj) AS b FROM np GROUP BY ALL) SELECT keyword, gi AS label, {r('w')} AS within, {r('b')} AS between, {r('w / nullif(b, 0)')} AS ratio FROM x")
+@query(f"WITH {NEAR}, x AS (SELECT keyword, gi, avg(d) FILTER (gi = gj) AS w, avg(d) FILTER (gi <> gj) AS b FROM np GROUP BY ALL) SELECT keyword, gi AS label, {r('w')} AS within, {r('b')} AS between, {r('w / nullif(b, 0)')} AS ratio FROM x")
 def label_distances(spark, sf):
     return B.tidy(N.label_distances(B.samples(spark, sf), ["keyword"], "gen"))
 
 
-@query(f"WITH {_NEAR}, t AS (SELECT keyword, i, gi, gj, avg(d) AS d FROM np GROUP BY ALL), x AS (SELECT keyword, i, gi, max(d) FILTER (gi = gj) AS a, min(d) FILTER (gi <> gj) AS b FROM t GROUP BY ALL), y AS (SELECT *, CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM x) SELECT keyword, count(*) AS n, count(DISTINCT gi) AS labels, {r('CASE WHEN count(DISTINCT gi) > 1 AND count(*) > count(DISTINCT gi) THEN avg(s) END')} AS silhouette FROM y GROUP BY keyword")
+@query(f"WITH {NEAR}, t AS (SELECT keyword, i, gi, gj, avg(d) AS d FROM np GROUP BY ALL), x AS (SELECT keyword, i, gi, max(d) FILTER (gi = gj) AS a, min(d) FILTER (gi <> gj) AS b FROM t GROUP BY ALL), y AS (SELECT *, CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM x) SELECT keyword, count(*) AS n, count(DISTINCT gi) AS labels, {r('CASE WHEN count(DISTINCT gi) > 1 AND count(*) > count(DISTINCT gi) THEN avg(s) END')} AS silhouette FROM y GROUP BY keyword")
 def silhouette(spark, sf):
     return B.tidy(N.silhouette(B.samples(spark, sf), ["keyword"], "gen"))
 
