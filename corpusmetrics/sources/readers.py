@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from ..operators.checks import IntegrityError, invalid_labels, invalid_scores, m
 from ..operators.selection import positional_join
 from ..operators.tasks import canonical_index, merge_backfill
 from . import schemas
+from .numpy_source import read_numpy
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, partitions: int | None = None) -> DataFrame:
@@ -92,39 +91,14 @@ def keyword_list(spark: SparkSession, path: str) -> DataFrame:
     return df.where("keyword <> ''")
 
 
-def matrix(spark: SparkSession, path: str, chunk: int = 4096) -> DataFrame:
-    """row_idx, vec of a NumPy matrix (.npy) in a folder that driver and executors share: the driver reads its shape, tasks read ranges of rows."""
-    n = len(np.load(path, mmap_mode="r"))
-
-    def run(batches):
-        m = np.load(path, mmap_mode="r")
-        for batch in batches:
-            for k in batch.column("id").to_pylist():
-                block = np.asarray(m[k * chunk : (k + 1) * chunk], np.float64)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel()), block.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * chunk, k * chunk + len(block))), flat], names=["row_idx", "vec"])
-
-    chunks = -(-n // chunk)
-    return spark.range(0, chunks, 1, max(1, chunks)).mapInArrow(run, "row_idx long, vec array<double>")
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    """row_idx, vec of a NumPy matrix (.npy) on any file system of the session; a partition reads a range of rows."""
+    return read_numpy(spark, path)
 
 
 def facet_archive(spark: SparkSession, path: str) -> DataFrame:
-    """facet, keyword, effort, rank, vec of a NumPy archive (.npz) whose entries are named effort|keyword|facet, in a folder that driver and executors share; tasks read the entries."""
-    with np.load(path) as z:
-        names = z.files
-
-    def run(batches):
-        with np.load(path) as z:
-            for batch in batches:
-                for name in batch.column("name").to_pylist():
-                    effort, keyword, facet = name.split("|")
-                    m = z[name].astype(np.float64)
-                    flat = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
-                    cols = [pa.array([x] * len(m), pa.string()) for x in (facet, keyword, effort)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(m))), flat], names=["facet", "keyword", "effort", "rank", "vec"])
-
-    entries = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 200)))
-    return entries.mapInArrow(run, "facet string, keyword string, effort string, rank long, vec array<double>")
+    """facet, keyword, effort, rank, vec of a NumPy archive (.npz) whose entries are named effort|keyword|facet."""
+    return read_numpy(spark, path)
 
 
 def align_archive(records: DataFrame, archive: DataFrame) -> DataFrame:
