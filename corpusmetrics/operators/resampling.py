@@ -1,4 +1,4 @@
-"""Vendi scores, projections, bootstrap intervals and permutation tests by group.
+"""Bootstrap intervals and permutation tests by group.
 
 A bootstrap needs no group in one task: values have places by their order, the place that a slot of a
 draw takes is a hash of seed, draw and slot, and tasks sum stretches of places.  So results
@@ -23,24 +23,6 @@ def _kinds(df: DataFrame, by: Sequence[str]) -> str:
     return ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in by)
 
 
-def vendi_scores(samples: DataFrame, by: Sequence[str], vec: str = "vec") -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [len(pdf)], "vendi": [K.vendi(np.stack(pdf[vec].to_numpy()).astype(float))]})
-
-    return samples.select(*by, vec).groupBy(*by).applyInPandas(run, _kinds(samples, by) + ", n long, vendi double")
-
-
-def pca_coordinates(samples: DataFrame, by: Sequence[str], index: str = "row_idx", vec: str = "vec") -> DataFrame:
-    """x, y of each row by the principal axes of its panel, and the panel's shares of variance."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        xy, share = K.pca_2d(np.stack(pdf[vec].to_numpy()).astype(float))
-        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in by}, index: pdf[index].to_numpy(), "x": xy[:, 0], "y": xy[:, 1], "share_x": share[0], "share_y": share[1]})
-
-    return samples.select(*by, index, vec).groupBy(*by).applyInPandas(run, f"{_kinds(samples, by)}, {index} long, x double, y double, share_x double, share_y double")
-
-
 #: Picks that a task makes about, picks worked on at once, and distinct values of a task.
 PICKS, AT_ONCE, CHUNK = 50_000_000, 2_000_000, 1 << 18
 

@@ -9,6 +9,7 @@ from ..operators import contrasts as X
 from ..operators import diversity as D
 from ..operators import judgments as J
 from ..operators import resampling as R
+from ..operators import spectra as SP
 from ..operators import statistics as ST
 from . import base as B
 from .base import EMB, JUDGED, SCORES, query, r
@@ -201,7 +202,7 @@ def effort_gain_by_stratum(spark, sf):
 def vendi_by_cell(spark, sf):
     """Vendi scores of every keyword, kind and tier of the strata."""
     s = _samples(spark, sf).join(_strata(_cells(spark, sf)), "keyword")
-    return R.vendi_scores(s, ["stratum", "keyword", "kind", "effort"])
+    return SP.vendi_scores(s, ["stratum", "keyword", "kind", "effort"])
 
 
 _CHANGES = f"""{EMB}, pr AS (SELECT a.keyword, a.effort, avg(1 - list_inner_product(a.u, b.u)) AS d FROM e a JOIN e b ON a.keyword = b.keyword AND a.effort = b.effort AND a.row_idx < b.row_idx GROUP BY ALL),

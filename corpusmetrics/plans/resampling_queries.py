@@ -10,6 +10,7 @@ from ..operators import neighbours as N
 from ..operators import quality as Q
 from ..operators import resampling as R
 from ..operators import selection as S
+from ..operators import spectra as SP
 from ..operators import statistics as ST
 from . import base as B
 from .base import PAIRS, SCORES, query, r
@@ -18,12 +19,12 @@ from .vector_queries import NEAR
 
 @query()
 def vendi_score(spark, sf):
-    return R.vendi_scores(B.samples(spark, sf), ["keyword", "effort"])
+    return SP.vendi_scores(B.samples(spark, sf), ["keyword", "effort"])
 
 
 @query()
 def pca_2d(spark, sf):
-    return R.pca_coordinates(B.samples(spark, sf), ["keyword"])
+    return SP.pca_coordinates(B.samples(spark, sf), ["keyword"])
 
 
 def _means(spark, sf):
