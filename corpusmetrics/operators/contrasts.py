@@ -18,6 +18,7 @@ from ..functions import vectors as V
 from ..functions.columns import safe_ratio
 from .diversity import with_unit
 from .neighbours import neighbours
+from .selection import median_split, quartile_pools, seeded_sample
 from .statistics import benjamini_hochberg
 
 STRATA = ("Q1", "Q4")
@@ -62,8 +63,8 @@ def _nan_to_none(x: float):
     return None if x is None or np.isnan(x) else float(x)
 
 
-def gain_tests(rows: DataFrame, by: Sequence[str] = ("contrast",), values: Sequence[str] = ("abs_gain", "rel_gain"), zeros: str = "wilcox", least: int = 6, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
-    """Intervals of the means and ratios, signed-rank p of either stratum and rank-sum p between them, with p adjusted over all of a run.
+def gain_tests(rows: DataFrame, by: Sequence[str] = ("contrast",), values: Sequence[str] = ("abs_gain", "rel_gain"), zeros: str = "wilcox", least: int = 6, n_boot: int = 10_000, seed: int = 42, family: Sequence[str] = ()) -> DataFrame:
+    """Intervals of the means and ratios, signed-rank p of either stratum and rank-sum p between them, with p adjusted over all of a run (each value of ``family``).
 
     p are taken of the first value: the relative one orders keywords alike.  Strata below ``least`` keywords, or without any change, have none.
     """
@@ -92,8 +93,8 @@ def gain_tests(rows: DataFrame, by: Sequence[str] = ("contrast",), values: Seque
     kind = ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{c} double" for c in [*cis, *ps])])
     tested = rows.select(*by, "stratum", *values).groupBy(*by).applyInPandas(run, kind)
     # a family is all p of the table: a few for each contrast
-    family = benjamini_hochberg(tested.unpivot(by, ps, "test", "p").withColumn("__run", F.lit(1)), "p", ["__run"])
-    adjusted = family.groupBy(*by).pivot("test", ps).agg(F.first("p_adjusted"))
+    long = benjamini_hochberg(tested.unpivot(by, ps, "test", "p").withColumn("__run", F.lit(1)), "p", ["__run", *family])
+    adjusted = long.groupBy(*by).pivot("test", ps).agg(F.first("p_adjusted"))
     return tested.join(adjusted.select(*by, *(F.col(p).alias(f"{p}_fdr") for p in ps)), by)
 
 
@@ -107,10 +108,32 @@ def quality_deltas(cells: DataFrame, strata: DataFrame, contrasts: Sequence[tupl
     return s.select("contrast", "keyword", "stratum", F.explode(cells).alias("c")).select("contrast", "c.axis", "keyword", "stratum", "c.delta").where("delta is not null")
 
 
+def quartile_strata(cells: DataFrame, value: str = "value", per_stratum: int | None = None, excluded: Sequence[str] = (), kind: str = "default", effort: str = "low", seed: int = 42, short: str = "raise") -> DataFrame:
+    """keyword, stratum: the lowest (Q1) and highest (Q4) quarter, floor(n / 4) each, of keywords by their value in the base cell.
+
+    ``per_stratum``: so many of each are drawn without replacement, by seed; ``excluded`` keywords go after the draw, so
+    the others stay the same.  A pool smaller than the draw raises, or is taken whole with short = "all".
+    """
+    base = cells.where((F.col("kind") == kind) & (F.col("effort") == effort)).select("keyword", F.round(value, 9).alias("base")).where("base is not null")
+    pools = quartile_pools(base.withColumn("__run", F.lit(1)), ["__run"], "base", "keyword").select("keyword", "stratum")
+    if per_stratum is not None:
+        pools = seeded_sample(pools, ["stratum"], ["keyword"], per_stratum, seed, short)
+    return pools.where(~F.col("keyword").isin(list(excluded))) if excluded else pools
+
+
+def with_skipped(table: DataFrame, cells: DataFrame, contrasts: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """The table with a row for every contrast; ``skipped`` says 'missing cell' where no keyword has one of its cells."""
+    have = cells.select("kind", "effort").distinct()
+    asked = cells.sparkSession.createDataFrame([(label(c), *c) for c in contrasts], "contrast string, lk string, le string, rk string, re string")
+    for side in "lr":
+        named = have.select(F.col("kind").alias(f"{side}k"), F.col("effort").alias(f"{side}e"), F.lit(True).alias(f"has_{side}"))
+        asked = asked.join(named, [f"{side}k", f"{side}e"], "left")
+    missing = F.when(F.col("has_l").isNull() | F.col("has_r").isNull(), "missing cell")
+    return asked.select("contrast", missing.alias("skipped")).join(table, "contrast", "left")
+
+
 def baseline_strata(cells: DataFrame, axes: Sequence[str], kind: str = "default", effort: str = "low") -> DataFrame:
     """keyword, stratum: the lower (Q1) and upper (Q4) half of keywords by their mean score in the base cell."""
-    from .selection import median_split
-
     mean = sum((F.col(a) for a in axes[1:]), F.col(axes[0])) / len(axes)
     base = cells.where((F.col("kind") == kind) & (F.col("effort") == effort)).select("keyword", F.round(mean, 9).alias("base")).where("base is not null")
     halves = median_split(base.withColumn("__run", F.lit(1)), ["__run"], "base", "keyword")
@@ -156,9 +179,11 @@ def cell_separation(samples: DataFrame, contrasts: Sequence[tuple[str, str, str,
 
 
 def separation_means(rows: DataFrame, strata: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """contrast, stratum, n and the mean of each metric."""
-    j = rows.join(strata.select("keyword", "stratum"), "keyword")
-    return j.groupBy("contrast", "stratum").agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics))
+    """contrast, stratum, n and the mean of each metric over the keywords that have it; n counts all keywords of the stratum."""
+    means = rows.join(strata.select("keyword", "stratum"), "keyword").groupBy("contrast", "stratum").agg(*(F.avg(m).alias(m) for m in metrics))
+    sizes = strata.groupBy("stratum").agg(F.count("*").alias("n"))
+    every = rows.select("contrast").distinct().crossJoin(F.broadcast(sizes))  # two strata
+    return every.join(means, ["contrast", "stratum"], "left").select("contrast", "stratum", "n", *metrics)
 
 
 def roll_up(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -155,18 +155,25 @@ def allpairs_of(tiles: DataFrame, by: Sequence[str], measure: Callable = cosine)
     return products(tiles, by, found, "i long, j long, distance double", measure)
 
 
+def _least(d: np.ndarray, i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """Places of the m least of d, ties by i, then j."""
+    upto = np.flatnonzero(d <= np.partition(d, m - 1)[m - 1])
+    return upto[np.lexsort((j[upto], i[upto], d[upto]))[:m]]
+
+
 def extremes(tiles: DataFrame, by: Sequence[str], m: int) -> DataFrame:
-    """by, i, j, distance of the m nearest and m farthest pairs of every two tiles (and all that tie with the last of them)."""
+    """by, i, j, distance of the m nearest and m farthest pairs of every two tiles, of ties those of the least i, then j: 2 m rows at most."""
 
     def found(first, second, d):
         r, c = pairs_of(first, second, d)
         d = d[r, c]
-        if len(d) > 2 * m:
-            low, high = np.partition(d, m - 1)[m - 1], np.partition(d, len(d) - m)[len(d) - m]
-            pick = (d <= low) | (d >= high)
-            r, c, d = r[pick], c[pick], d[pick]
         a, b = first["i"].to_numpy()[r], second["i"].to_numpy()[c]
-        return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "distance": d})
+        i, j = np.minimum(a, b), np.maximum(a, b)
+        if len(d) > 2 * m:
+            own = [_least(sign * d, i, j, m) for sign in (1, -1)]
+            pick = np.unique(np.concatenate(own))
+            i, j, d = i[pick], j[pick], d[pick]
+        return pd.DataFrame({"i": i, "j": j, "distance": d})
 
     return products(tiles, by, found, "i long, j long, distance double")
 
@@ -179,7 +186,7 @@ def nearest(samples: DataFrame, panel: Sequence[str], label: str, k: int, index:
         i, j = first["i"].to_numpy(), second["i"].to_numpy()
         own, other = first["label"].to_numpy(), second["label"].to_numpy()
         place = np.empty(len(j), np.int64)  # order among equal distances
-        place[np.lexsort((j, other.astype(str)))] = np.arange(len(j))
+        place[np.lexsort((j, pd.factorize(other, sort=True)[0]))] = np.arange(len(j))  # labels in their own order
         d[i[:, None] == j[None, :]] = np.inf
         last = np.partition(d, k - 1, axis=1)[:, k - 1] if len(j) > k else np.full(len(i), 2.0)
         r, c = np.nonzero((d <= last[:, None]) & np.isfinite(d))

@@ -31,8 +31,12 @@ def _cells(spark, sf):
     return D.mean_pairwise_distance(_samples(spark, sf), ["keyword", "kind", "effort"], small=None).select("keyword", "kind", "effort", F.col("mean_distance").alias("value"))
 
 
+#: Keywords drawn of each quarter; the tables have ten keywords, so their quarters hold two.
+PER_STRATUM = 2
+
+
 def _strata(cells):
-    return X.baseline_strata(cells, ["value"])
+    return X.quartile_strata(cells, "value", PER_STRATUM, short="all")
 
 
 def _scores(spark, sf, judge=0):
@@ -45,9 +49,18 @@ def _values(contrasts) -> str:
 
 
 _K = "['default', 'vs', 'ssot'][{} % 3 + 1]"
+
+
+def _pools(cells: str, where: str = "") -> str:
+    """Table st: the quartile pools of a table of base values, and the draw."""
+    return f"""st0 AS (SELECT keyword, row_number() OVER (ORDER BY round(value, 9), keyword) AS rn, count(*) OVER () AS n FROM {cells} {where}),
+st1 AS (SELECT keyword, CASE WHEN rn <= n // 4 THEN 'Q1' ELSE 'Q4' END AS stratum FROM st0 WHERE rn <= n // 4 OR rn > n - n // 4),
+st AS MATERIALIZED (SELECT keyword, stratum FROM st1 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5(keyword || ':42'), keyword) <= {PER_STRATUM})"""
+
+
 _CELLS = f"""{EMB}, ek AS (SELECT *, {_K.format('row_idx')} AS kind FROM e),
 p AS (SELECT a.keyword, a.kind, a.effort, avg(1 - list_inner_product(a.u, b.u)) AS value FROM ek a JOIN ek b ON a.keyword = b.keyword AND a.kind = b.kind AND a.effort = b.effort AND a.row_idx < b.row_idx GROUP BY ALL),
-st AS (SELECT keyword, CASE WHEN row_number() OVER (ORDER BY round(value, 9), keyword) <= count(*) OVER () // 2 THEN 'Q1' ELSE 'Q4' END AS stratum FROM p WHERE kind = 'default' AND effort = 'low')"""
+{_pools('p', "WHERE kind = 'default' AND effort = 'low'")}"""
 _MEANS = ", ".join(f"count(*) FILTER (stratum = '{s}') AS n_{s.lower()}" for s in X.STRATA)
 
 
@@ -65,10 +78,11 @@ def _ratios(df):
 
 @query(f"""WITH {_CELLS}, ct(contrast, lk, le, rk, re) AS (VALUES {_values(GAIN_CONTRASTS)}),
 g AS (SELECT contrast, l.keyword, stratum, l.value - x.value AS abs_gain, (l.value - x.value) / nullif(x.value, 0) AS rel_gain FROM ct JOIN p l ON l.kind = lk AND l.effort = le JOIN p x ON x.kind = rk AND x.effort = re AND x.keyword = l.keyword JOIN st ON st.keyword = l.keyword)
-SELECT contrast, {_MEANS}, {_gain_cols(('abs_gain', 'rel_gain'))} FROM g WHERE rel_gain IS NOT NULL GROUP BY contrast""")
+SELECT ct.contrast, CASE WHEN NOT EXISTS (FROM p WHERE kind = lk AND effort = le) OR NOT EXISTS (FROM p WHERE kind = rk AND effort = re) THEN 'missing cell' END AS skipped, m.* EXCLUDE (contrast)
+FROM ct LEFT JOIN (SELECT contrast, {_MEANS}, {_gain_cols(('abs_gain', 'rel_gain'))} FROM g WHERE rel_gain IS NOT NULL GROUP BY contrast) m ON m.contrast = ct.contrast""")
 def gain_table(spark, sf):
     c = _cells(spark, sf)
-    return B.tidy(_ratios(X.gain_means(X.gains(c, _strata(c), GAIN_CONTRASTS))))
+    return B.tidy(X.with_skipped(_ratios(X.gain_means(X.gains(c, _strata(c), GAIN_CONTRASTS))), c.where("value IS NOT NULL"), GAIN_CONTRASTS))
 
 
 @query()
@@ -77,26 +91,31 @@ def gain_table_tests(spark, sf):
     return X.gain_tests(X.gains(c, _strata(c), GAIN_CONTRASTS))
 
 
-_QC = f"""{SCORES}, qc AS (SELECT keyword, {_K.format('row_idx')} AS kind, effort, {', '.join(f'avg({a}) AS {a}' for a in AXES)} FROM q GROUP BY ALL),
-st AS (SELECT keyword, CASE WHEN row_number() OVER (ORDER BY round(({' + '.join(AXES)}) / 3, 9), keyword) <= count(*) OVER () // 2 THEN 'Q1' ELSE 'Q4' END AS stratum FROM qc WHERE kind = 'default' AND effort = 'low')"""
+_QC = f"""{_CELLS}, {SCORES}, qc AS (SELECT keyword, {_K.format('row_idx')} AS kind, effort, {', '.join(f'avg({a}) AS {a}' for a in AXES)} FROM q GROUP BY ALL),
+sq AS (SELECT 'baseline-quality' AS strata, keyword, CASE WHEN row_number() OVER (ORDER BY round(({' + '.join(AXES)}) / 3, 9), keyword) <= count(*) OVER () // 2 THEN 'Q1' ELSE 'Q4' END AS stratum FROM qc WHERE kind = 'default' AND effort = 'low'
+       UNION ALL SELECT 'pair-distance', 'src' || keyword, stratum FROM st)"""
 
 
 def _quality_deltas(spark, sf):
+    """Deltas under either strata: halves by baseline quality, and quarters by baseline distance (of the label that a source's number names)."""
     c = _scores(spark, sf)
-    return X.quality_deltas(c, X.baseline_strata(c, AXES), QUALITY_CONTRASTS, AXES)
+    far = _strata(_cells(spark, sf)).withColumn("keyword", F.concat(F.lit("src"), "keyword"))
+    both = {"baseline-quality": X.baseline_strata(c, AXES), "pair-distance": far}
+    by, by_far = (X.quality_deltas(c, s, QUALITY_CONTRASTS, AXES).withColumn("strata", F.lit(n)) for n, s in both.items())
+    return by.unionByName(by_far)
 
 
 @query(f"""WITH {_QC}, ct(contrast, lk, le, rk, re) AS (VALUES {_values(QUALITY_CONTRASTS)}),
-d AS (SELECT contrast, stratum, {', '.join(f'l.{a} - x.{a} AS {a}' for a in AXES)} FROM ct JOIN qc l ON l.kind = lk AND l.effort = le JOIN qc x ON x.kind = rk AND x.effort = re AND x.keyword = l.keyword JOIN st ON st.keyword = l.keyword),
-ax AS ({' UNION ALL '.join([f"SELECT contrast, stratum, '{a}' AS axis, {a} AS delta FROM d" for a in AXES] + [f"SELECT contrast, stratum, 'avg', ({' + '.join(AXES)}) / 3 FROM d"])})
-SELECT contrast, axis, {_MEANS}, {_gain_cols(('delta',))} FROM ax GROUP BY ALL""")
+d AS (SELECT strata, contrast, stratum, {', '.join(f'l.{a} - x.{a} AS {a}' for a in AXES)} FROM ct JOIN qc l ON l.kind = lk AND l.effort = le JOIN qc x ON x.kind = rk AND x.effort = re AND x.keyword = l.keyword JOIN sq ON sq.keyword = l.keyword),
+ax AS ({' UNION ALL '.join([f"SELECT strata, contrast, stratum, '{a}' AS axis, {a} AS delta FROM d" for a in AXES] + [f"SELECT strata, contrast, stratum, 'avg', ({' + '.join(AXES)}) / 3 FROM d"])})
+SELECT strata, contrast, axis, {_MEANS}, {_gain_cols(('delta',))} FROM ax GROUP BY ALL""")
 def quality_delta_table(spark, sf):
-    return B.tidy(_ratios(X.gain_means(_quality_deltas(spark, sf), ["contrast", "axis"], ["delta"])))
+    return B.tidy(_ratios(X.gain_means(_quality_deltas(spark, sf), ["strata", "contrast", "axis"], ["delta"])))
 
 
 @query()
 def quality_delta_tests(spark, sf):
-    return X.gain_tests(_quality_deltas(spark, sf), ["contrast", "axis"], ["delta"], zeros="zsplit", least=2)
+    return X.gain_tests(_quality_deltas(spark, sf), ["strata", "contrast", "axis"], ["delta"], zeros="zsplit", least=2, family=["strata"])
 
 
 _FRAC = "f AS (SELECT keyword, effort, avg(CAST(answer = 'A' AS INT)) AS f FROM judged WHERE stratum = 'top' GROUP BY ALL)"
@@ -116,7 +135,8 @@ def effort_effects(spark, sf):
 
 @query()
 def effort_effect_tests(spark, sf):
-    d = X.paired_differences(_frac_a(spark, sf), EFFECT_COMPARISONS)
+    f = _frac_a(spark, sf)
+    d = X.paired_differences(f, EFFECT_COMPARISONS).join(X.paired_effects(f, EFFECT_COMPARISONS).select("comparison"), "comparison", "left_semi")
     return ST.wilcoxon_test(d.withColumn("diff", F.round("diff", 12)), ["comparison"], "diff", "greater")
 
 
@@ -132,8 +152,9 @@ cx AS (SELECT contrast, keyword, side, unnest(v) AS x, generate_subscripts(v, 1)
 cd AS (SELECT a.contrast, a.keyword, 1 - sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) AS centroid_distance FROM cm a JOIN cm b ON a.contrast = b.contrast AND a.keyword = b.keyword AND a.k = b.k WHERE a.side = 'lhs' AND b.side = 'rhs' GROUP BY ALL),
 sep AS (SELECT contrast, keyword, purity_1, centroid_distance, cr / nullif((wl + wr) / 2, 0) AS cross_within_ratio FROM ok JOIN pu USING (contrast, keyword) JOIN ds USING (contrast, keyword) JOIN cd USING (contrast, keyword)),
 pq AS (SELECT a.keyword, avg(1 - list_inner_product(a.u, b.u)) AS value FROM ek a JOIN ek b ON a.keyword = b.keyword AND a.kind = b.kind AND a.effort = b.effort AND a.row_idx < b.row_idx WHERE a.kind = 'default' AND a.effort = 'low' GROUP BY ALL),
-st AS (SELECT keyword, CASE WHEN row_number() OVER (ORDER BY round(value, 9), keyword) <= count(*) OVER () // 2 THEN 'Q1' ELSE 'Q4' END AS stratum FROM pq),
-sm AS (SELECT contrast, stratum, count(*) AS n, avg(purity_1) AS purity_1, avg(centroid_distance) AS centroid_distance, avg(cross_within_ratio) AS cross_within_ratio FROM sep JOIN st USING (keyword) GROUP BY ALL)"""
+{_pools('pq')},
+sm AS (SELECT c.contrast, c.stratum, any_value(c.n) AS n, avg(purity_1) AS purity_1, avg(centroid_distance) AS centroid_distance, avg(cross_within_ratio) AS cross_within_ratio
+       FROM (SELECT * FROM (SELECT DISTINCT contrast FROM sep), (SELECT stratum, count(*) AS n FROM st GROUP BY stratum)) c LEFT JOIN (SELECT * FROM sep JOIN st USING (keyword)) s ON c.contrast = s.contrast AND c.stratum = s.stratum GROUP BY ALL)"""
 METRICS = ("purity_1", "centroid_distance", "cross_within_ratio")
 
 
