@@ -120,12 +120,12 @@ h AS (SELECT * FROM l JOIN names USING (host)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 units AS (SELECT 'h' AS level, n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s),
-mom AS (SELECT level, sum(bad) / sum(n) AS m, sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS ss, count(*) - 1.0 AS df,
+mom AS (SELECT level, sum(bad) / sum(n) AS m, (sum(bad) + 1) / (sum(n) + 2) AS m_all, sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS ss, count(*) - 1.0 AS df,
                sum(n) - sum(n * n) / sum(n) AS w FROM units GROUP BY level),
-rho AS (SELECT level, m, (ss / nullif(m * (1 - m), 0) - df) / nullif(w - df, 0) AS r FROM mom),
-k AS (SELECT level, m, 1 / least(0.5, greatest(0.01, coalesce(r, 0.5))) - 1 AS k FROM rho),
-one AS (SELECT coalesce((SELECT m FROM k WHERE level = 's'), 0.5) AS m, coalesce((SELECT k FROM k WHERE level = 's'), 1) AS ks,
-               coalesce((SELECT k FROM k WHERE level = 'd'), 1) AS kd, coalesce((SELECT k FROM k WHERE level = 'h'), 1) AS kh),
+rho AS (SELECT level, m_all AS m, (ss / nullif(m * (1 - m), 0) - df) / nullif(w - df, 0) AS r FROM mom),
+k AS (SELECT level, m, 1 / least(0.5, greatest(0.01, coalesce(r, 0.1))) - 1 AS k FROM rho),
+one AS (SELECT coalesce((SELECT m FROM k WHERE level = 's'), 0.5) AS m, coalesce((SELECT k FROM k WHERE level = 's'), 9) AS ks,
+               coalesce((SELECT k FROM k WHERE level = 'd'), 9) AS kd, coalesce((SELECT k FROM k WHERE level = 'h'), 9) AS kh),
 a AS (SELECT names.host, coalesce(h.n, 0) AS nh, coalesce(h.bad, 0) AS bh, coalesce(d.n, 0) AS nd, coalesce(d.bad, 0) AS bd,
              coalesce(s.n, 0) AS ns, coalesce(s.bad, 0) AS bs
       FROM names LEFT JOIN h USING (host) LEFT JOIN d ON names.domain = d.domain LEFT JOIN s ON names.suffix = s.suffix),

@@ -28,6 +28,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which names are registered.
 SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+#: Correlation of the pages of a unit where the labels do not tell: units differ little, so a single label does not condemn its neighbours.
+RHO = 0.1
 #: Tasks that share the pages of one host.
 SALTS = 128
 
@@ -61,13 +63,16 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _strength(units: DataFrame, level: str) -> DataFrame:
-    """One row: the prior strength 1/rho - 1 of a level, rho being the moment estimate of the intra-class correlation."""
+    """One row: the prior strength 1/rho - 1 of a level, rho being the moment estimate of the intra-class correlation (RHO where there is none).
+
+    The level of suffixes also gives the overall rate, under a uniform prior: labels of one kind do not make it certain.
+    """
     s = units.agg(F.sum("n").alias("N"), F.sum("bad").alias("B"), F.sum(F.col("n") * F.col("n")).alias("Q"), F.count("*").alias("k"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("P"))
     m = F.expr("try_divide(B, N)")
-    s = s.select(m.alias("m"), F.expr("P - B * try_divide(B, N)").alias("S"), (F.col("k") - 1).cast("double").alias("d"), F.expr("N - try_divide(Q, N)").alias("w"))
+    s = s.select(m.alias("m"), F.expr("(coalesce(B, 0) + 1) / (coalesce(N, 0) + 2)").alias("m_all"), F.expr("P - B * try_divide(B, N)").alias("S"), (F.col("k") - 1).cast("double").alias("d"), F.expr("N - try_divide(Q, N)").alias("w"))
     rho = F.expr("try_divide(try_divide(S, m * (1 - m)) - d, w - d)")
-    rho = F.least(F.lit(0.5), F.greatest(F.lit(0.01), F.coalesce(F.when(F.isnan(rho), None).otherwise(rho), F.lit(0.5))))
-    return s.select((1 / rho - 1).alias("k_" + level), *([F.coalesce("m", F.lit(0.5)).alias("m_all")] if level == "suffix" else []))
+    rho = F.least(F.lit(0.5), F.greatest(F.lit(0.01), F.coalesce(F.when(F.isnan(rho), None).otherwise(rho), F.lit(RHO))))
+    return s.select((1 / rho - 1).alias("k_" + level), *([F.col("m_all")] if level == "suffix" else []))
 
 
 def reputation(labelled: DataFrame, suffixes=SUFFIXES) -> DataFrame:
