@@ -99,7 +99,9 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     contents = docs.select("text").mapInArrow(_contents(digest_bytes), "digest binary, chunk binary").distinct()
     clash = contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest").limit(MOST_CLASHES + 1)
     clashes = frozenset(bytes(r[0]) for r in clash.collect())
-    if len(clashes) > MOST_CLASHES and digest_bytes < LONGEST_DIGEST:
+    if len(clashes) > MOST_CLASHES:
+        if digest_bytes >= LONGEST_DIGEST:
+            raise ValueError(f"more than {MOST_CLASHES} digests of {digest_bytes} bytes stand for two contents")
         return exact_groups(docs.drop("copy"), min(LONGEST_DIGEST, 2 * digest_bytes))
     recipes = stored(docs.mapInArrow(_recipes(digest_bytes, clashes), "doc_id long, copy long, recipe binary, text_sha256 string"), "recipes")
     recipes = recipes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
