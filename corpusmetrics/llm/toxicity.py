@@ -17,7 +17,7 @@ Defined results: null and empty texts have the score of an empty text; rows with
 doc_id are scored but never learnt from; several labels of a doc_id count as the largest;
 of several texts of a doc_id (repeated rows) one is learnt from, and each is scored; null
 labels count as none; a score on the threshold (a tie) is flagged; very long texts are
-scored whole, and those of more than TRAIN_BYTES are not in the sample; without any label of
+scored whole, and learnt from by a stretch of TRAIN_CHARS characters whose place follows from the doc_id; without any label of
 either kind the score is the prior rate; an empty table gives an empty result; extra columns,
 whatever their names, are not read (``not_toxic`` carries them along).
 """
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .shared import stored, texts_of
 
-#: Labelled rows learnt from, of each label at most, and the most bytes of a text among them.
-SAMPLE, TRAIN_BYTES = 3000, 200_000
+#: Labelled rows learnt from, of each label at most, and the characters that a text among them is learnt from.
+SAMPLE, TRAIN_CHARS = 3000, 16_384
 #: A doc_id in one of so many is in the fold that is not fitted.
 FOLDS = 5
 BUCKET_BITS, HEADS, DIM, WIDTHS, FILTERS, TOP = 18, (4, 6), 8, (1, 2, 3), 6, 3
@@ -276,9 +276,8 @@ def _trained(totals: dict[int, int], most: int):
     """A task that learns from all rows of the sample, and gives the model as one row."""
 
     def run(batches):
-        # a doc_id that stands twice is learnt from once
         rows = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame(columns=["doc_id", "text", "y", "held"])])
-        rows = rows.sort_values(["doc_id", "text"]).drop_duplicates("doc_id", keep="last")
+        rows = rows.sort_values("doc_id")
         y = rows["y"].to_numpy(np.float64)
         weight = np.array([totals[int(x)] / max(1, min(most, totals[int(x)])) for x in y])
         model = train(rows["text"].tolist(), y, weight, rows["held"].to_numpy(bool))
@@ -290,9 +289,13 @@ def _trained(totals: dict[int, int], most: int):
 def fitted(docs: DataFrame, known: DataFrame, wanted: DataFrame, most: int) -> bytes:
     """The model, with a row of embed for each bucket that it knows."""
     totals = {r[0]: r[1] for r in known.groupBy("__y").agg(F.count("*")).collect()}
-    # ``wanted`` has at most 2 * most rows, and one task reads their texts
-    rows = texts_of(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(wanted), "doc_id")
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("__y").alias("y"), F.col("__held").alias("held"))
+    # ``wanted`` has at most 2 * most rows
+    text = F.coalesce("text", F.lit(""))
+    # of a longer text any stretch may be learnt from, chosen by the id; no row is left out
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(text) - TRAIN_CHARS + 1)).cast("int") + 1
+    rows = texts_of(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", F.substring(text, start, F.lit(TRAIN_CHARS)).alias("text"), F.col("__y").alias("y"), F.col("__held").alias("held"))
+    # a doc_id is one row before the one task that learns: it reads 2 * most texts of TRAIN_CHARS characters at most
+    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"), F.max("held").alias("held"))
     row = rows.repartition(1).mapInArrow(_trained(totals, most), "model binary").first()
     return bytes(row["model"]) if row else packed(train([], np.zeros(0), np.zeros(0)))
 
