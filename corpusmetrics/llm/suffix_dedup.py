@@ -38,8 +38,8 @@ from .window_dedup import covered, keyed, with_runs
 GRAM = 32
 #: Period of the difference cover, and the most bytes from any position to the next one of the cover.
 PERIOD, REACH = 32, 8
-#: Text sorted as one block.
-BLOCK = 400_000
+#: Text sorted as one block, and text whose anchors are found at once: every byte of it has several numbers of eight bytes.
+BLOCK, CODED = 400_000, 200_000
 _OCCURRENCE = "key long, doc long, copy long, at int, back int, n int, body binary"
 _I64 = np.int64
 
@@ -124,7 +124,7 @@ def equal_strings(bodies: list[bytes], back: np.ndarray, group: np.ndarray, dept
 
 
 def _codes(col):
-    for i, j, data, off in tx.slices(col):
+    for i, j, data, off in tx.slices(col, CODED):
         yield i, j, data, off, tx.byte_codes(data)
 
 
