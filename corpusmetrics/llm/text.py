@@ -10,6 +10,8 @@ the hash has no algebraic structure which ordinary text could meet.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -93,6 +95,14 @@ def small(batches, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
         step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
         for i in range(0, max(1, batch.num_rows), step):
             yield batch.slice(i, step)
+            release()
+
+
+def release() -> None:
+    """Gives memory that allocators hold but nothing uses back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(arr: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -282,6 +282,8 @@ def _trained(totals: dict[int, int], most: int):
         weight = np.array([totals[int(x)] / max(1, min(most, totals[int(x)])) for x in y])
         model = train(rows["text"].tolist(), y, weight, rows["held"].to_numpy(bool))
         yield pa.RecordBatch.from_arrays([pa.array([packed(model)], pa.binary())], names=["model"])
+        del rows, model
+        tx.release()
 
     return run
 

@@ -48,7 +48,7 @@ def test_pipeline_is_its_stages(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(SQL[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
