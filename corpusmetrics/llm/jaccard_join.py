@@ -14,7 +14,7 @@
 4. The links found, a forest for each tile pair, are joined to components.
 
 Shingles are 64-bit hashes.  No pair is lost at any size: a full sketch only lets more
-prefixes pass.
+prefixes pass, so its counters grow with the input; tasks look shingles up slice by slice.
 
 Defined results: null texts and texts without words have no shingles and link with
 nothing; fewer words than ``k`` are one shingle; rows of null doc_id are taken as the
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .graph import components
 from .shared import NULL_ID, stored, text_bytes, texts_of
-from .sketch import held, repeated_keys
+from .sketch import Sliced, sliced_keys
 
 #: Counts from which a shingle is of the next class.
 LEVELS = (2, 16, 256)
@@ -84,15 +84,15 @@ def needed(n: int, share: int) -> int:
     return -(-share * n // 100)
 
 
-def _sets(k: int, share: int, sent):
-    def run(batches):
-        sketch = held(sent)
-        for batch in tx.small(batches):
-            sizes, names, sets, prefixes = [], [], [], []
-            for _, first, keys in _shingles(batch.column("text"), k):
-                level = sketch.level(keys)
+def _sets(k: int, share: int, sketch: Sliced):
+    def rows(held: list) -> pa.RecordBatch:
+        """The rows of batches (doc, first and keys of each slice), all looked up at once."""
+        level = sketch.level(np.concatenate([keys for _, own in held for _, keys in own] or [np.zeros(0, np.uint64)]))
+        sizes, names, sets, prefixes, at = [], [], [], [], 0
+        for _, slices in held:
+            for first, keys in slices:
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    n, own, high = b - a, keys[a:b], level[a:b]
+                    n, own, high = b - a, keys[a:b], level[at + a : at + b]
                     sizes.append(n)
                     names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     length = n - needed(n, share) + 1 if n else 0
@@ -103,7 +103,21 @@ def _sets(k: int, share: int, sent):
                     else:
                         sets.append(own.tobytes())
                         prefixes.append(own[np.argsort(high, kind="stable")[single:length]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "name", "body", "prefix"])
+                at += len(keys)
+        doc = pa.concat_arrays([d for d, _ in held])
+        return pa.RecordBatch.from_arrays([doc, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "name", "body", "prefix"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in tx.small(batches):
+            own = [(first, keys) for _, first, keys in _shingles(batch.column("text"), k)]
+            held.append((batch.column("doc"), own))
+            n += sum(len(keys) for _, keys in own)
+            if n >= sketch.together:
+                yield rows(held)
+                held, n = [], 0
+        if held:
+            yield rows(held)
 
     return run
 
@@ -219,7 +233,7 @@ def shingle_components(docs: DataFrame, k: int, share: int) -> DataFrame:
     docs = texts_of(docs)
     docs = docs.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
     total = text_bytes(docs)
-    sent = repeated_keys(docs.select("text"), _keys(k), total / 6, rows=1, room=1, levels=LEVELS)
+    sent = sliced_keys(docs.select("text"), _keys(k), total / 6, levels=LEVELS)
     sets = stored(docs.select("doc", "text").mapInArrow(_sets(k, share, sent), "doc long, n long, name binary, body binary, prefix array<long>"), "sets")
     sent.destroy()
     named = sets.where("n > 0").groupBy("n", "name").agg(F.min("doc").alias("node"), F.bool_or(F.col("body").isNotNull()).alias("live"))

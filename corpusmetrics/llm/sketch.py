@@ -6,7 +6,8 @@ What tasks then hold is the class of each counter, one bit for "seen at least tw
 two bits for three levels: its size is set by the number of keys and bounded by
 MOST_BITS, whatever the input.  Estimates are never too low, so no key that repeats is
 lost; on inputs beyond that bound more single keys pass, and the exact pass behind it
-has more to do.
+has more to do.  A sliced sketch may have more counters: it is dealt to broadcasts of
+MOST_BITS counters each, and a task looks many keys up in one after the other.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .shared import drop, stored
 
 #: log2 of the counters of a row, at least and at most: 2**28 bits are 32 MB.
 LEAST_BITS, MOST_BITS = 20, 28
+#: The same of all slices of a sliced sketch together, and keys looked up at once in several slices.
+SLICED_BITS, LOOKED_UP = 32, 2_000_000
 SHARD_BITS = 20
 FLUSH = 1_000_000
 #: Indices merged by one task at a time.
@@ -115,10 +118,8 @@ def _whole(levels: tuple[int, ...]):
     return run
 
 
-def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: float, rows: int = 2, room: int = 8, levels: tuple[int, ...] = (2,)):
-    """A broadcast Sketch of all keys that ``keys_of`` finds in the batches of df; ``items``: about how many."""
-    spark = df.sparkSession
-    bits = bits_for(items, room)
+def _merged(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: float, rows: int, bits: int, levels: tuple[int, ...]) -> DataFrame:
+    """row, shard, planes; written."""
     salts = max(1, int(items / (MERGED << (bits - SHARD_BITS))) + 1)
 
     def run(batches):
@@ -136,19 +137,71 @@ def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
     parts = df.mapInArrow(run, "row int, shard int, salt int, blob binary")
     if salts > 1:  # a shard's blobs are too many for one task
         parts = parts.groupBy("row", "shard", "salt").applyInPandas(_partial, "row int, shard int, counts binary")
-    merged = parts.groupBy("row", "shard").applyInPandas(_whole(levels), "row int, shard int, planes binary")
-    depth, width = len(levels).bit_length(), 1 << (SHARD_BITS - 3)
-    merged = stored(merged, "sketch")
-    planes = [[bytearray(1 << (bits - 3)) for _ in range(depth)] for _ in range(rows)]
-    # at most rows * depth * 2**MOST_BITS bits come to the driver, a part of the shards at a time
+    return stored(parts.groupBy("row", "shard").applyInPandas(_whole(levels), "row int, shard int, planes binary"), "sketch")
+
+
+def _fetched(merged: DataFrame, rows: int, depth: int, first: int, shards: int) -> list[list[bytearray]]:
+    """The planes of ``shards`` shards from ``first`` on; a part of them comes to the driver at a time."""
+    width = 1 << (SHARD_BITS - 3)
+    planes = [[bytearray(shards * width) for _ in range(depth)] for _ in range(rows)]
+    own = merged.where((F.col("shard") >= first) & (F.col("shard") < first + shards))
     for part in range(FETCHES):
-        for r in merged.where(F.col("shard") % FETCHES == part).select("row", "shard", "planes").collect():
+        for r in own.where(F.col("shard") % FETCHES == part).select("row", "shard", "planes").collect():
+            at = (r[1] - first) * width
             for k in range(depth):
-                planes[r[0]][k][r[1] * width : (r[1] + 1) * width] = r[2][k * width : (k + 1) * width]
+                planes[r[0]][k][at : at + width] = r[2][k * width : (k + 1) * width]
+    return planes
+
+
+def repeated_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: float, rows: int = 2, room: int = 8, levels: tuple[int, ...] = (2,)):
+    """A broadcast Sketch of all keys that ``keys_of`` finds in the batches of df; ``items``: about how many."""
+    bits = bits_for(items, room)
+    merged = _merged(df, keys_of, items, rows, bits, levels)
+    # at most rows * depth * 2**MOST_BITS bits come to the driver
+    planes = _fetched(merged, rows, len(levels).bit_length(), 0, 1 << (bits - SHARD_BITS))
     drop(merged)
-    return spark.sparkContext.broadcast((planes, bits))
+    return df.sparkSession.sparkContext.broadcast((planes, bits))
 
 
 def held(sent) -> Sketch:
     planes, bits = sent.value
     return Sketch([[np.frombuffer(p, np.uint8) for p in row] for row in planes], bits)
+
+
+class Sliced:
+    """A sketch of one row, dealt to broadcasts by its first bits; of several a task holds one at a time."""
+
+    def __init__(self, parts: list, bits: int, slice_bits: int):
+        self.parts, self.bits, self.slice_bits = parts, bits, slice_bits
+        #: Keys that are worth a look-up.
+        self.together = 1 if len(parts) == 1 else LOOKED_UP
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return held(self.parts[0]).level(keys)
+        out = np.zeros(len(keys), np.uint8)
+        own = index(keys, 0, self.bits) >> self.slice_bits
+        rest = keys << np.uint64(self.bits - self.slice_bits)  # what follows the bits that name the slice
+        for k, part in enumerate(self.parts):
+            at = np.flatnonzero(own == k)
+            if len(at):
+                # read anew each time: the value of a broadcast would stay
+                planes, bits = part.load_from_path(part._path) if part._path else part.value
+                out[at] = Sketch([[np.frombuffer(p, np.uint8) for p in row] for row in planes], bits).level(rest[at])
+        return out
+
+    def destroy(self) -> None:
+        for part in self.parts:
+            part.destroy()
+
+
+def sliced_keys(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: float, levels: tuple[int, ...] = (2,)) -> Sliced:
+    """As repeated_keys with one row and about a counter a key, up to 2**SLICED_BITS counters; no more than one slice is at the driver at a time."""
+    bits = min(SLICED_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1.0, items)))))
+    slice_bits = min(bits, MOST_BITS)
+    merged = _merged(df, keys_of, items, 1, bits, levels)
+    shards, parts = 1 << (slice_bits - SHARD_BITS), []
+    for k in range(1 << (bits - slice_bits)):
+        parts.append(df.sparkSession.sparkContext.broadcast((_fetched(merged, 1, len(levels).bit_length(), k * shards, shards), slice_bits)))
+    drop(merged)
+    return Sliced(parts, bits, slice_bits)

@@ -1,10 +1,13 @@
 """Bounds that hold without leaving rows out, and priors that one label does not overturn."""
 
+import brute
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusmetrics.llm import sketch
 from corpusmetrics.llm import toxicity as tox
+from corpusmetrics.llm.jaccard_join import jaccard_join
 from corpusmetrics.llm.url_filter import url_filter
 
 
@@ -63,3 +66,25 @@ def test_stretches_are_not_prefixes(spark):
     high = np.mean([r["score"] for r in got if r["toxic"] == 1])
     low = np.mean([r["score"] for r in got if r["toxic"] == 0])
     assert high > low + 0.3
+
+
+def test_slices_keep_a_sketch_sparse(spark, monkeypatch):
+    """Six times as many keys as a broadcast has counters: single keys still look single, repeated ones never do."""
+    monkeypatch.setattr(sketch, "MOST_BITS", 20)
+    n, each = 30, 200_000
+
+    def keys_of(batch):
+        for k in batch.column(0).to_pylist():
+            yield np.concatenate([np.random.default_rng(k).integers(0, 2**64, each, np.uint64), np.arange(1, 4, dtype=np.uint64) << np.uint64(61)])
+
+    own = np.random.default_rng(3).integers(0, 2**64, each, np.uint64)
+    sent = sketch.sliced_keys(spark.range(n, numPartitions=3), keys_of, n * each)
+    twice = spark.range(1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([float((sent.level(own) == 0).mean())]), pa.array([int(sent.level(np.arange(1, 4, dtype=np.uint64) << np.uint64(61)).min())])], names=["single", "least"]) for _ in bs), "single double, least long").first()
+    assert len(sent.parts) == 8 and twice["least"] == 1 and twice["single"] > 0.4
+    sent.destroy()
+
+
+def test_components_by_slices(spark, docs, pairs, monkeypatch):
+    monkeypatch.setattr(sketch, "MOST_BITS", 20)
+    monkeypatch.setattr(sketch, "LEAST_BITS", 22)
+    assert sorted(map(tuple, jaccard_join(docs).collect()), key=str) == sorted(brute.jaccard_join(pairs), key=str)
