@@ -301,3 +301,18 @@ def test_tasks(spark):
     assert ok.count() == 9 and bad.count() == 0
     calls = spark.createDataFrame([(2, ["a", "b", "c"])], "batch_index long, responses array<string>")
     assert [r["sample_index"] for r in tasks.explode_calls(calls).orderBy("sample_index").collect()] == [6, 7, 8]
+
+
+def test_windows_travel_once(spark):
+    """Shared by buckets that differ in one column, at a few bytes for the grams of all orders; the results are those of buckets dealt apart."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], " ".join(f"w{w}" for w in rng.zipf(1.3, 60) % 500)) for i in range(200)] + [(900, "a", None), (901, "b", "w1")]
+    df = spark.createDataFrame([(i, k, f, t if f == "all" or t is None else t[: len(t) // 2]) for i, k, t in rows for f in ("all", "half")], "row_idx long, k string, facet string, text string").repartition(2)
+    tokens = df.where("text is not null").selectExpr("sum(size(split(text, ' '))) n").first()["n"]
+    for index in (None, "row_idx"):
+        dealt = lexical._dealt(df, ["k", "facet"], 6, 1, "facet", index)
+        assert dealt.selectExpr("sum(length(blob)) b").first()["b"] < 24 * tokens
+    for name in ("distinct_n", "self_bleu"):
+        got = [sorted(getattr(lexical, name)(df, ["k", "facet"], 6, nested=nested).collect(), key=str) for nested in ("facet", None)]
+        assert len(got[0]) == 24 and [r[:3] for r in got[0]] == [r[:3] for r in got[1]]
+        assert [r[3:] for r in got[0]] == [pytest.approx(r[3:]) for r in got[1]]
