@@ -316,3 +316,25 @@ def test_windows_travel_once(spark):
         got = [sorted(getattr(lexical, name)(df, ["k", "facet"], 6, nested=nested).collect(), key=str) for nested in ("facet", None)]
         assert len(got[0]) == 24 and [r[:3] for r in got[0]] == [r[:3] for r in got[1]]
         assert [r[3:] for r in got[0]] == [pytest.approx(r[3:]) for r in got[1]]
+
+
+def test_texts_are_tokenised_once(spark, tmp_path):
+    """One scan finds the tokens, and Spark sets no filter before it that would find them again."""
+    df = spark.createDataFrame([("c", "a", "one two two"), ("c", "b", "two three"), ("c", None, "three"), (None, "a", "two"), ("c", "d", None)], "category string, keyword string, t string")
+    df.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    vocab = lexical.vocabulary(df, ["category", "keyword"], T.vocabulary_tokens(F.col("t")))
+    keys = df.select("category", "keyword")
+    by_token, by_key = lexical.token_idf(vocab, ["category"], "keyword", keys), lexical.tf_idf(vocab, ["category"], "keyword", keys)
+    assert {tuple(r) for r in by_token.select("token", "tf", "df", "N").collect()} == {("one", 1, 1, 4), ("two", 3, 2, 4), ("three", 1, 2, 4)}
+    assert {tuple(r) for r in by_key.select("keyword", "token", "tf", "df").collect()} == {("a", "one", 1, 1), ("a", "two", 2, 2), ("b", "two", 1, 2), ("b", "three", 1, 2)}
+    means = [lexical.idf_mean(d, ["category"]).first()["mean_idf"] for d in (by_token, by_key)]
+    assert means[0] == pytest.approx(means[1])
+    for d in (by_token, by_key):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_entropy_by_characters(spark):
+    r = spark.createDataFrame([(None,), ("",), ("👍👍ab",), ("\x00\x00",)], "t string").select(T.char_entropy(F.col("t")).alias("e")).collect()
+    assert [x["e"] for x in r] == pytest.approx([0, 0, 1.5, 0])
+    assert "sort_array" not in spark.range(1).select(T.char_entropy(F.col("id").cast("string")))._jdf.queryExecution().toString()
