@@ -28,11 +28,11 @@ def made(n, seed):
 @pytest.mark.parametrize("least", [16384, 5])
 def test_summary_equals_a_plain_loop(spark, monkeypatch, least):
     monkeypatch.setattr(L, "SET_TILE", least)
-    groups = {"odd": ODD, "many": made(90, 1), "two": ["ab", "bc"], "one": ["ab"]}
+    groups = {"odd": ODD, "many": made(90, 1), "two": ["ab", "bc"], "one": ["ab"], "empty": [None, "", ""]}
     rows = [(g, i, t) for g, texts in groups.items() for i, t in enumerate(texts)] + [(None, 0, "ab"), (None, 1, "bc")]
     df = spark.createDataFrame(rows, "g string, row_idx long, t string").repartition(7)
     got = {r["g"]: tuple(r)[1:] for r in L.string_distance_summary(df, ["g"], "t").collect()}
-    assert got.keys() == {"odd", "many", "two"}
+    assert got.keys() == {"odd", "many", "two", "empty"}
     for g in got:
         d = [jaccard(a, b) for a, b in itertools.combinations(groups[g], 2)]
         assert got[g] == pytest.approx((len(d), statistics.mean(d), statistics.median(d), statistics.pstdev(d)), abs=1e-12), g
