@@ -13,7 +13,9 @@ import numpy as np
 from . import text as tx
 
 #: The memory of a task for known spans; when it is full, it starts anew (a matter of speed only).
-MOST_SPANS, MOST_IDS = 1_000_000, 8_000_000
+MOST_SPANS, MOST_IDS = 400_000, 3_000_000
+#: Spans given to the encoder at once: what it makes of a span is far larger than its ids.
+ENCODED = 4096
 
 
 def differing(a: np.ndarray, a_st: np.ndarray, b: np.ndarray, b_st: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -42,9 +44,12 @@ class SpanEncoder:
         self.bytes = np.zeros(0, np.uint8)
 
     def _flat(self, data: np.ndarray, st: np.ndarray, en: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.encode([data[a:b].tobytes() for a, b in zip(st.tolist(), en.tolist(), strict=True)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum())), sizes
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(st), ENCODED):
+            ids = self.encode([data[a:b].tobytes() for a, b in zip(st[i : i + ENCODED].tolist(), en[i : i + ENCODED].tolist(), strict=True)])
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _learn(self, data: np.ndarray, st: np.ndarray, en: np.ndarray, keys: np.ndarray) -> None:
         flat, sizes = self._flat(data, st, en)

@@ -96,14 +96,14 @@ def _contents(digest_bytes: int):
 def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     """exact_dedup, and copy: a hash of the row's own text."""
     docs = texts_of(docs).withColumn("copy", F.xxhash64("text"))
-    contents = docs.select("text").mapInArrow(_contents(digest_bytes), "digest binary, chunk binary").distinct()
+    contents = docs.select("text").mapInArrow(tx.task(_contents(digest_bytes)), "digest binary, chunk binary").distinct()
     clash = contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest").limit(MOST_CLASHES + 1)
     clashes = frozenset(bytes(r[0]) for r in clash.collect())
     if len(clashes) > MOST_CLASHES:
         if digest_bytes >= LONGEST_DIGEST:
             raise ValueError(f"more than {MOST_CLASHES} digests of {digest_bytes} bytes stand for two contents")
         return exact_groups(docs.drop("copy"), min(LONGEST_DIGEST, 2 * digest_bytes))
-    recipes = stored(docs.mapInArrow(_recipes(digest_bytes, clashes), "doc_id long, copy long, recipe binary, text_sha256 string"), "recipes")
+    recipes = stored(docs.mapInArrow(tx.task(_recipes(digest_bytes, clashes)), "doc_id long, copy long, recipe binary, text_sha256 string"), "recipes")
     recipes = recipes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     parts = recipes.groupBy("recipe", "salt").agg(F.max("doc_id").alias("m"), F.count("*").alias("n"))
     groups = parts.groupBy("recipe").agg(F.max("m").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .graph import components
-from .shared import NULL_ID, stored, text_bytes, texts_of
+from .shared import NULL_ID, drop, stored, text_bytes, texts_of
 from .sketch import Sliced, sliced_keys
 
 #: Counts from which a shingle is of the next class.
@@ -187,6 +187,8 @@ def _tiles(share: int):
                 a, b = tile_links(node[lo:hi], bodies[lo:hi], cross, share)
                 out_a += a
                 out_b += b
+        del pdf, bodies
+        tx.release()
         return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
 
     return run
@@ -234,16 +236,18 @@ def shingle_components(docs: DataFrame, k: int, share: int) -> DataFrame:
     docs = docs.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
     total = text_bytes(docs)
     sent = sliced_keys(docs.select("text"), _keys(k), total / 6, levels=LEVELS)
-    sets = stored(docs.select("doc", "text").mapInArrow(_sets(k, share, sent), "doc long, n long, name binary, body binary, prefix array<long>"), "sets")
+    sets = stored(docs.select("doc", "text").mapInArrow(tx.task(_sets(k, share, sent)), "doc long, n long, name binary, body binary, prefix array<long>"), "sets")
     sent.destroy()
     named = sets.where("n > 0").groupBy("n", "name").agg(F.min("doc").alias("node"), F.bool_or(F.col("body").isNotNull()).alias("live"))
     # one row of a class speaks for it
     speaker = F.first("prefix").alias("prefix")
     classes = sets.where("body is not null").select("doc", "n", "name", "prefix").join(named.where("live").drop("live"), ["n", "name"]).where("doc = node").groupBy("node", "name", "n").agg(speaker)
     bodies = sets.where("body is not null").select(F.col("doc").alias("node"), "name", "body").dropDuplicates(["node", "name"])
-    links = set_links(classes, bodies, share)
+    # written before they are joined: a task with two Python steps has two workers at once, and both stay
+    links = stored(set_links(classes, bodies, share), "pairs")
     copies = sets.where("n > 0").select("doc", "n", "name").join(named, ["n", "name"]).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(copies))
+    drop(links)
     out = sets.select("doc", "n").join(roots, F.col("doc") == F.col("node"), "left")
     return out.select("doc", "n", F.coalesce("root", "doc").alias("root"))
 

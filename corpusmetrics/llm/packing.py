@@ -124,13 +124,14 @@ def _pieces(path: str, separator: int, size: int):
                             o.append(v)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        _encoder(path).reset()  # an idle worker remembers no spans
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, separator: int = 1, size: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    return texts_of(docs).mapInArrow(_pieces(tokenizer, separator, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts_of(docs).mapInArrow(tx.task(_pieces(tokenizer, separator, size)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:

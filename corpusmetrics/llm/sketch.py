@@ -113,6 +113,8 @@ def _whole(levels: tuple[int, ...]):
         counts = _counted(pdf) if "blob" in pdf else sum(np.frombuffer(c, "<u2").astype(np.int64) for c in pdf["counts"])
         reached = sum((counts >= t).astype(np.uint8) for t in levels)
         planes = b"".join(np.packbits((reached >> k) & 1).tobytes() for k in range(len(levels).bit_length()))
+        del counts, reached
+        tx.release()
         return pd.DataFrame({"row": [key[0]], "shard": [key[1]], "planes": [planes]})
 
     return run
@@ -134,7 +136,7 @@ def _merged(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
         if n:
             yield _emit(held, rows, bits, int(held[0][0]) % salts if len(held[0]) else 0)
 
-    parts = df.mapInArrow(run, "row int, shard int, salt int, blob binary")
+    parts = df.mapInArrow(tx.task(run), "row int, shard int, salt int, blob binary")
     if salts > 1:  # a shard's blobs are too many for one task
         parts = parts.groupBy("row", "shard", "salt").applyInPandas(_partial, "row int, shard int, counts binary")
     return stored(parts.groupBy("row", "shard").applyInPandas(_whole(levels), "row int, shard int, planes binary"), "sketch")

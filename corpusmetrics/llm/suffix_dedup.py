@@ -296,9 +296,9 @@ def _replaced(depth: int):
 def marked_strings(docs: DataFrame, depth: int, total: int) -> DataFrame:
     """doc, copy, first, n: runs of ``depth``-byte strings that also start earlier."""
     sent = repeated_keys(docs.select("text"), _keys(depth), total / (depth - GRAM + 2) * 2, room=4, levels=(2, OFTEN))
-    found = docs.select("doc", "copy", "text").mapInArrow(_occurrences(depth, sent), _OCCURRENCE)
+    found = docs.select("doc", "copy", "text").mapInArrow(tx.task(_occurrences(depth, sent)), _OCCURRENCE)
     found = found.repartition(partitions_for(docs.sparkSession, total), "key").sortWithinPartitions("key", "doc", "at")
-    runs = stored(found.mapInArrow(_marked(depth), "doc long, copy long, first long, n long"), "runs")
+    runs = stored(found.mapInArrow(tx.task(_marked(depth)), "doc long, copy long, first long, n long"), "runs")
     sent.destroy()
     return runs
 
@@ -307,7 +307,7 @@ def suffix_dedup(docs: DataFrame, depth: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes)."""
     docs = keyed(docs)
     rows = with_runs(docs, marked_strings(docs, depth, text_bytes(docs)))
-    return rows.mapInArrow(_digests(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tx.task(_digests(depth)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_deduped(docs: DataFrame, depth: int = 100) -> DataFrame:
@@ -324,7 +324,7 @@ def suffix_deduped(docs: DataFrame, depth: int = 100) -> DataFrame:
     )
     rows = rows.join(runs, ["__doc", "__copy"], "left").drop("__doc", "__copy")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "runs")
-    done = rows.mapInArrow(_replaced(depth), kinds)
+    done = rows.mapInArrow(tx.task(_replaced(depth)), kinds)
     place = {c: F.col(f"c{i}") for i, c in enumerate(rest)} | {"text": F.col("text")}
     if "n_chars" in place:
         place["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

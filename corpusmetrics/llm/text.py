@@ -105,6 +105,16 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def task(run):
+    """``run``, a function from batches to batches; when it has ended and its frame is gone, so is the memory it had."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def slices(arr: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows of about ``most`` bytes; a longer text stands alone."""
     data, off = raw(arr)

@@ -80,7 +80,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def features(model: Model, ids: np.ndarray, begin: np.ndarray, where: bool = False):
     """The TOP largest different values of all filters for each text, least zero (and their places)."""
-    x = model.embed[ids[:, 0]]
+    x = model.embed[ids[:, 0]].astype(model.out.dtype, copy=False)
     for k in range(1, _PARTS):
         x += model.embed[ids[:, k]]
     n = len(ids) - _GAP
@@ -116,8 +116,8 @@ def scores(model: Model, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def doubled(model: Model) -> Model:
-    """The model in double precision, as it scores."""
-    return Model(model.embed.astype(np.float64), [f.astype(np.float64) for f in model.filters], [b.astype(np.float64) for b in model.bias], model.out.astype(np.float64), model.prior)
+    """The model as it scores, in double precision; its embeddings become doubles as they are looked up."""
+    return Model(model.embed, [f.astype(np.float64) for f in model.filters], [b.astype(np.float64) for b in model.bias], model.out.astype(np.float64), model.prior)
 
 
 def gradients(model: Model, ids: np.ndarray, begin: np.ndarray, labels: np.ndarray, scale: np.ndarray, kept: np.ndarray):
@@ -174,6 +174,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, held: np.nd
     check = split([texts[i] for i in np.flatnonzero(held)])
     ids = np.concatenate([f[0] for f in parts])
     size = np.concatenate([np.diff(np.append(f[1], len(f[0]))) for f in parts])
+    del parts
     begin = np.cumsum(size) - size
     y, w = labels[fit], weights[fit]
     # smoothed log-odds of each bucket, by documents that hold it
@@ -327,7 +328,7 @@ def scored_rows(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     # texts are scored where they are; only ids, languages and steps meet the labels
-    reached = texts_of(docs, F.coalesce(lang, F.lit("")).alias("lang")).where(learn).mapInArrow(steps, "doc_id long, lang string, step int").join(known, "doc_id")
+    reached = texts_of(docs, F.coalesce(lang, F.lit("")).alias("lang")).where(learn).mapInArrow(tx.task(steps), "doc_id long, lang string, step int").join(known, "doc_id")
     reached = reached.join(F.broadcast(wanted.where("not __held").select("doc_id")), "doc_id", "left_anti")
     counts: dict[str, np.ndarray] = {}
     # a row for each language, label and step
@@ -337,7 +338,7 @@ def scored_rows(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    scored = plain.mapInArrow(run, kinds + ", score double")
+    scored = plain.mapInArrow(tx.task(run), kinds + ", score double")
     scored = scored.toDF(*docs.columns, "__score")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     limits = F.create_map(*(F.lit(x) for kv in sorted(thresholds.items()) for x in kv))
