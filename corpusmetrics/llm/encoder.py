@@ -13,7 +13,9 @@ import numpy as np
 from . import text as tx
 
 #: The memory of a task for known spans; when it is full, it starts anew (a matter of speed only).
-MOST_SPANS, MOST_IDS = 400_000, 3_000_000
+MOST_SPANS, MOST_IDS = 1_000_000, 8_000_000
+#: With more known spans than this, a worker forgets them when its task ends.
+KEPT_SPANS = 600_000
 #: Spans given to the encoder at once: what it makes of a span is far larger than its ids.
 ENCODED = 4096
 
@@ -43,6 +45,11 @@ class SpanEncoder:
         self.length = np.zeros(0, np.int64)
         self.bytes = np.zeros(0, np.uint8)
 
+    def rest(self):
+        """At the end of a task."""
+        if len(self.hash) > KEPT_SPANS:
+            self.reset()
+
     def _flat(self, data: np.ndarray, st: np.ndarray, en: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(st), ENCODED):

@@ -124,7 +124,7 @@ def _pieces(path: str, separator: int, size: int):
                             o.append(v)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        _encoder(path).reset()  # an idle worker remembers no spans
+        _encoder(path).rest()
 
     return run
 

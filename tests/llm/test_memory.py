@@ -38,11 +38,13 @@ def test_spans_are_encoded_few_at_a_time():
     assert ids.tolist() == [x for a, b in zip(st.tolist(), en.tolist(), strict=True) for x in (b - a, *text[a:b])]
 
 
-def test_spans_are_forgotten_with_the_task():
+def test_many_spans_are_forgotten_with_the_task(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
-    assert sum(b.num_rows for b in packing._pieces(path, 1, 4096)(iter([batch]))) == 2
-    assert not len(packing._encoder(path).hash) and not len(packing._encoder(path).bytes)
+    for kept, known in ((600_000, True), (1, False)):
+        monkeypatch.setattr(encoder, "KEPT_SPANS", kept)
+        assert sum(b.num_rows for b in packing._pieces(path, 1, 4096)(iter([batch]))) == 2
+        assert bool(len(packing._encoder(path).hash)) is known and bool(len(packing._encoder(path).bytes)) is known
 
 
 def test_memory_is_given_back_when_the_frame_is_gone(monkeypatch):
