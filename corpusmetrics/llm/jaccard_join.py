@@ -1,12 +1,13 @@
 """Exact Jaccard join on word shingles by size-banded tiles with hashed bitmaps.
 
-1. A count-min sketch of all shingles tells about how often each occurs.  In the order "by
-   class of count (1, 2+, 16+, 256+), then by hash", a document must share one of its first
-   n - ceil(t n) + 1 shingles with every document it links to (prefix filtering); so a
-   document whose prefix is single throughout has no links and nothing of it travels, and
-   common passages seldom come into a prefix.
-2. Documents of equal sets become one class.  Classes that share a prefix shingle fall
-   into one block.
+1. Documents of equal sets become one class, for which the least of them speaks: of the
+   others only the name of their set travels.
+2. A count-min sketch of the shingles of those that speak tells about how often each occurs.
+   In the order "by class of count (1, 2+, 16+, 256+), then by hash", a document must share one
+   of its first n - ceil(t n) + 1 shingles with every document it links to (prefix filtering);
+   so a document whose prefix is single throughout has no links and nothing of it travels, and
+   common passages seldom come into a prefix.  Classes that share a prefix shingle fall into
+   one block; the sets of the classes in blocks are made anew from their texts.
 3. Within a block, classes are dealt to tiles by bands of set sizes, in which a size
    is at most 1/t times the least.  Tiles meet only tiles of the same or the next band.
    The bit counts of hashed bitmaps bound the overlap of a pair from above; pairs that the
@@ -15,6 +16,8 @@
 
 Shingles are 64-bit hashes.  No pair is lost at any size: a full sketch only lets more
 prefixes pass, so its counters grow with the input; tasks look shingles up slice by slice.
+Which documents speak, or stand in blocks, tasks ask a filter of at most 2**28 bits a row; those
+that it lets pass in error are dropped by a join.
 
 Defined results: null texts and texts without words have no shingles and link with
 nothing; fewer words than ``k`` are one shingle; rows of null doc_id are taken as the
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .graph import components
-from .shared import NULL_ID, drop, stored, text_bytes, texts_of
-from .sketch import Sliced, sliced_keys
+from .shared import NULL_ID, drop, stored, texts_of
+from .sketch import Sliced, held, repeated_keys, sliced_keys
 
 #: Counts from which a shingle is of the next class.
 LEVELS = (2, 16, 256)
@@ -71,10 +74,26 @@ def _shingles(col, k: int):
         yield i, np.searchsorted(own, np.arange(j - i + 1)), keys
 
 
-def _keys(k: int):
+def _doc_keys(doc: pa.Array) -> np.ndarray:
+    return tx.mix(doc.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _chosen(nodes: DataFrame, count: int):
+    """A broadcast filter of the column node: all of its values pass, and few others."""
+    return repeated_keys(nodes.select("node"), lambda batch: iter([_doc_keys(batch.column("node"))]), count, levels=(1,))
+
+
+def _passed(batches, sent):
+    """The rows of batches whose doc passes the filter."""
+    for batch in batches:
+        yield batch.filter(pa.array(held(sent).repeated(_doc_keys(batch.column("doc")))))
+
+
+def _keys(k: int, sent):
     def run(batch):
-        for _, _, keys in _shingles(batch.column("text"), k):
-            yield keys
+        for own in _passed([batch], sent):
+            for _, _, keys in _shingles(own.column("text"), k):
+                yield keys
 
     return run
 
@@ -84,32 +103,51 @@ def needed(n: int, share: int) -> int:
     return -(-share * n // 100)
 
 
-def _sets(k: int, share: int, sketch: Sliced):
+def _name(keys: np.ndarray) -> bytes:
+    return hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
+
+
+def _names(k: int):
+    """doc, n, name of every row: the size and the digest of its set."""
+
+    def run(batches):
+        for batch in tx.small(batches):
+            sizes, names = [], []
+            for _, first, keys in _shingles(batch.column("text"), k):
+                sizes.append(np.diff(first))
+                names += [_name(keys[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            n = pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), n, pa.array(names, pa.binary())], names=["doc", "n", "name"])
+
+    return run
+
+
+def _prefixes(k: int, share: int, sketch: Sliced, sent):
+    """node, n, name, prefix of the rows that pass and may have links."""
+
     def rows(held: list) -> pa.RecordBatch:
         """The rows of batches (doc, first and keys of each slice), all looked up at once."""
         level = sketch.level(np.concatenate([keys for _, own in held for _, keys in own] or [np.zeros(0, np.uint64)]))
-        sizes, names, sets, prefixes, at = [], [], [], [], 0
-        for _, slices in held:
+        docs, sizes, names, prefixes, at = [], [], [], [], 0
+        for doc, slices in held:
+            row = 0
             for first, keys in slices:
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     n, own, high = b - a, keys[a:b], level[at + a : at + b]
-                    sizes.append(n)
-                    names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     length = n - needed(n, share) + 1 if n else 0
                     single = int((high == 0).sum())
-                    if single >= length:
-                        sets.append(None)
-                        prefixes.append(None)
-                    else:
-                        sets.append(own.tobytes())
+                    if single < length:
+                        docs.append(doc[row].as_py())
+                        sizes.append(n)
+                        names.append(_name(own))
                         prefixes.append(own[np.argsort(high, kind="stable")[single:length]].view(np.int64))
+                    row += 1
                 at += len(keys)
-        doc = pa.concat_arrays([d for d, _ in held])
-        return pa.RecordBatch.from_arrays([doc, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "name", "body", "prefix"])
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["node", "n", "name", "prefix"])
 
     def run(batches):
         held, n = [], 0
-        for batch in tx.small(batches):
+        for batch in tx.small(_passed(batches, sent)):
             own = [(first, keys) for _, first, keys in _shingles(batch.column("text"), k)]
             held.append((batch.column("doc"), own))
             n += sum(len(keys) for _, keys in own)
@@ -122,6 +160,19 @@ def _sets(k: int, share: int, sketch: Sliced):
     return run
 
 
+def _bodies(k: int, sent):
+    """node, name, body of the rows that pass: their sets."""
+
+    def run(batches):
+        for batch in tx.small(_passed(batches, sent)):
+            doc = batch.column("doc")
+            for i, first, keys in _shingles(batch.column("text"), k):
+                sets = [keys[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc.slice(i, len(sets)), pa.array(list(map(_name, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "name", "body"])
+
+    return run
+
+
 def _bitmaps(bodies: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(bodies), BITMAP // 64), np.uint64)
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
@@ -194,10 +245,10 @@ def _tiles(share: int):
     return run
 
 
-def set_links(classes: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
-    """a, b: forests of the links of ``classes`` (node, name, n, prefix); ``bodies``: node, name, body.
+def set_links(classes: DataFrame, docs: DataFrame, k: int, share: int) -> DataFrame:
+    """a, b: forests of the links of ``classes`` (node, name, n, prefix) of ``docs`` (doc, text).
 
-    All planning is done on narrow rows; the sets themselves move once to their rows and once to their tiles.
+    All planning is done on narrow rows; only the sets of blocks are made, and move once to their rows and once to their tiles.
     """
     tokens = classes.select("node", F.explode("prefix").alias("token"))
     least = tokens.groupBy("token").agg(F.min("node").alias("m"), F.count("*").alias("c")).where("c > 1").select("token", "m")
@@ -208,7 +259,11 @@ def set_links(classes: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
     # size bands: ratio 100 / share
     rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share)).cast("long")), "blocked")
     per_block = rows.groupBy("block").agg(F.count("*").alias("size"))
-    groups = max(1, rows.count() // TOGETHER)
+    count = rows.count()
+    groups = max(1, count // TOGETHER)
+    # bodies of other sets of an equal doc_id are dropped by the join
+    sent = _chosen(rows, count)
+    bodies = docs.mapInArrow(tx.task(_bodies(k, sent)), "node long, name binary, body binary").dropDuplicates(["node", "name"])
     small = rows.join(per_block.where(F.col("size") <= TILE).select("block"), "block")
     small = small.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("k1"), *(F.lit(0).cast("long").alias(k) for k in ("k2", "k3", "k4", "k5")), F.lit(0).alias("side"), "block", "node", "name", "n")
     large = rows.join(per_block.where(F.col("size") > TILE).select("block"), "block")
@@ -233,19 +288,21 @@ def set_links(classes: DataFrame, bodies: DataFrame, share: int) -> DataFrame:
 def shingle_components(docs: DataFrame, k: int, share: int) -> DataFrame:
     """doc (null as NULL_ID), n, root: the least doc of its component."""
     docs = texts_of(docs)
-    docs = docs.select("text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
-    total = text_bytes(docs)
-    sent = sliced_keys(docs.select("text"), _keys(k), total / 6, levels=LEVELS)
-    sets = stored(docs.select("doc", "text").mapInArrow(tx.task(_sets(k, share, sent)), "doc long, n long, name binary, body binary, prefix array<long>"), "sets")
+    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    sets = stored(docs.mapInArrow(tx.task(_names(k)), "doc long, n long, name binary"), "sets")
+    named = stored(sets.where("n > 0").groupBy("n", "name").agg(F.min("doc").alias("node")), "named")
+    speakers, shingles = named.agg(F.count("*"), F.sum("n")).first()
+    sent = _chosen(named, speakers)
+    counts = sliced_keys(docs, _keys(k, sent), 1.25 * (shingles or 0), levels=LEVELS)
+    found = stored(docs.mapInArrow(tx.task(_prefixes(k, share, counts, sent)), "node long, n long, name binary, prefix array<long>"), "prefixes")
+    counts.destroy()
     sent.destroy()
-    named = sets.where("n > 0").groupBy("n", "name").agg(F.min("doc").alias("node"), F.bool_or(F.col("body").isNotNull()).alias("live"))
     # one row of a class speaks for it
-    speaker = F.first("prefix").alias("prefix")
-    classes = sets.where("body is not null").select("doc", "n", "name", "prefix").join(named.where("live").drop("live"), ["n", "name"]).where("doc = node").groupBy("node", "name", "n").agg(speaker)
-    bodies = sets.where("body is not null").select(F.col("doc").alias("node"), "name", "body").dropDuplicates(["node", "name"])
+    classes = found.join(named, ["node", "n", "name"]).groupBy("node", "name", "n").agg(F.first("prefix").alias("prefix"))
     # written before they are joined: a task with two Python steps has two workers at once, and both stay
-    links = stored(set_links(classes, bodies, share), "pairs")
-    copies = sets.where("n > 0").select("doc", "n", "name").join(named, ["n", "name"]).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
+    links = stored(set_links(classes, docs, k, share), "pairs")
+    drop(found)
+    copies = sets.where("n > 0").join(named, ["n", "name"]).where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     roots = components(links.unionByName(copies))
     drop(links)
     out = sets.select("doc", "n").join(roots, F.col("doc") == F.col("node"), "left")

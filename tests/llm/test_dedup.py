@@ -105,6 +105,28 @@ def test_jaccard(docs, pairs, tile, monkeypatch):
     assert rows(jaccard_join(docs)) == sorted(brute.jaccard_join(pairs), key=str)
 
 
+def test_jaccard_keeps_nothing_of_copies(spark, monkeypatch):
+    """Every text six times: no shingle is single, but neither sets nor prefixes of texts without near copies are written."""
+    from corpusmetrics.llm import jaccard_join as J
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]
+    near = [t.replace("x29", "y29") for t in texts[:2]]
+    rows_in = [(c * 100 + i, t) for c in range(6) for i, t in enumerate(texts + near)]
+    written = []
+
+    def noted(df, name):
+        out = stored(df, name)
+        if "prefix" in out.columns or "body" in out.columns:
+            written.append(out.count() if "body" not in out.columns else out.where("body IS NOT NULL").count())
+        return out
+
+    stored = J.stored
+    monkeypatch.setattr(J, "stored", noted)
+    got = rows(jaccard_join(spark.createDataFrame(rows_in, "doc_id long, text string").repartition(5)))
+    assert got == sorted(brute.jaccard_join(rows_in), key=str)
+    assert sum(written) <= 4
+
+
 def test_jaccard_survivors(docs, pairs, odd, empty):
     kept = jaccard_survivors(docs)
     assert kept.columns == docs.columns
